@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import bpe, quality, toxicity
 from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_toxicity"] = op1_toxicity
 QUERIES["op2_quality"] = op2_quality
 QUERIES["op3_simhash"] = op3_simhash
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op4_bpe"] = op4_bpe
