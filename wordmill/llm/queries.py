@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, toxicity
+from . import bpe, quality, sstable, toxicity
 from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_bpe"] = op4_bpe
+
+
+def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES["op6_sstable"] = op6_sstable
