@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, sstable, toxicity
+from . import bpe, licenses, quality, sstable, toxicity
 from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,10 @@ def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_sstable"] = op6_sstable
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_licenses"] = op9_licenses
