@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
-CHUNK_CHARACTERS = 32_000_000
+CHUNK_CHARACTERS = 24_000_000
 #: Token ids in one batch that goes back to Spark.
 IDS_AT_ONCE = 1_000_000
 _tokenizers: dict[int, object] = {}
@@ -100,25 +100,29 @@ def _split(docs: DataFrame, buckets: int) -> DataFrame:
                 split = pc.ascii_split_whitespace(text)
                 sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
                 coded = split.flatten().dictionary_encode()
-                words = coded.dictionary
-                bucket = np.fromiter((crc32(w.encode()) % buckets for w in words.to_pylist()), dtype=np.int64, count=len(words))
+                words = [w.encode() or b"\n" for w in coded.dictionary.to_pylist()]  # an empty one as white space, which has no ids
+                bucket = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % buckets
                 order = np.argsort(bucket, kind="stable")
                 place = np.empty(len(order), dtype=np.int64)
                 place[order] = np.arange(len(order))
-                in_buckets = lists(words.take(pa.array(order)), np.bincount(bucket, minlength=buckets))
+                ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+                order = order.tolist()
+                pack = zstandard.ZstdCompressor(level=1).compress
+                in_buckets = [pack(b" ".join([words[i] for i in order[a:b]])) if b > a else b"" for a, b in zip([0, *ends], ends, strict=False)]
+                del words, order
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([chunk]),
                         lists(part.column(0), [len(part)]),
                         pa.array([sizes.astype("<i4").tobytes()]),
                         pa.array([squeeze(place[coded.indices.to_numpy()])]),
-                        lists(in_buckets, [buckets]),
+                        pa.array([in_buckets], pa.list_(pa.binary())),
                     ],
                     names=["chunk", "ids", "sizes", "places", "words"],
                 )
                 chunk += 1
 
-    return docs.mapInArrow(run, f"chunk bigint, ids array<{kind}>, sizes binary, places binary, words array<array<string>>")
+    return docs.mapInArrow(run, f"chunk bigint, ids array<{kind}>, sizes binary, places binary, words array<binary>")
 
 
 def _encode(parts: DataFrame, file_text: str) -> DataFrame:
@@ -126,23 +130,18 @@ def _encode(parts: DataFrame, file_text: str) -> DataFrame:
     sent = parts.sparkSession.sparkContext.broadcast(file_text)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[bytes, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            coded = batch.column(2).flatten().dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            new = [w for w in words if w not in known]
-            for w, found in zip(new, tokenizer(sent.value).encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(found.ids, dtype="<u4")
-            found = [known[w] for w in words]
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            tokens = lists(pa.array(np.concatenate([np.zeros(0, "<u4"), *found])), sizes)
-            counts = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            place = coded.indices.to_numpy()
-            rows = np.add.reduceat(sizes[place], np.cumsum(counts) - counts) if len(place) else counts
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), as_binary(sizes[place].astype("<i4"), counts), as_binary(tokens.take(coded.indices).flatten().to_numpy(), rows)],
-                names=["chunk", "bucket", "sizes", "tokens"],
-            )
+            for chunk, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = unpack(blob).split(b" ")
+                new = [w for w in words if w not in known]
+                coded = tokenizer(sent.value).encode_batch([w.decode() for w in new], add_special_tokens=False)
+                known.update((w, np.array(e.ids, dtype="<u4")) for w, e in zip(new, coded, strict=True))
+                found = [known[w] for w in words]
+                sizes = squeeze(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+                row = {"chunk": [chunk], "bucket": pa.array([bucket], pa.int32()), "sizes": [sizes], "tokens": [squeeze(np.concatenate(found))]}
+                yield pa.RecordBatch.from_pydict(row)
 
     return parts.mapInArrow(run, "chunk bigint, bucket int, sizes binary, tokens binary")
 
@@ -159,7 +158,7 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     file_text = Path(file).read_text(encoding="utf-8")
     split = written(_split(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), buckets), "bpe-chunks")
-    parts = split.select("chunk", F.posexplode("words").alias("bucket", "words")).where(F.size("words") > 0)
+    parts = split.select("chunk", F.posexplode("words").alias("bucket", "words")).where(F.octet_length("words") > 0)
     coded = _encode(parts.repartition(buckets, "bucket"), file_text)
     table = coded.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "sizes", "tokens"))).alias("table"))
     joined = split.select("chunk", "ids", "sizes", "places").join(table, "chunk", "left")
@@ -171,8 +170,8 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
                 counts = np.frombuffer(batch.column("sizes")[row].as_py(), "<i4").astype(np.int64)
                 places = unsqueeze(batch.column("places")[row].as_py()).astype(np.int64)
                 own = batch.column("table")[row].as_py() or []
-                sizes = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(p["sizes"], "<i4") for p in own)])
-                tokens = lists(pa.array(np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p["tokens"], "<u4") for p in own)])), sizes)
+                sizes = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(p["sizes"]).astype(np.int64) for p in own)])
+                tokens = lists(pa.array(np.concatenate([np.zeros(0, "<u4"), *(unsqueeze(p["tokens"]) for p in own)])), sizes)
                 ends = np.cumsum(counts)
                 running = np.concatenate([[0], np.cumsum(sizes[places])])
                 lengths = running[ends] - running[ends - counts]

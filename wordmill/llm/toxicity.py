@@ -31,7 +31,7 @@ SHRINK = 1.0
 #: Buckets in fewer texts of the sample teach nothing.
 LEAST_DOCS = 8
 #: The most labelled documents of each class (0, 1) that the model is fitted on.
-SAMPLE_PER_CLASS = (3000, 1500)
+SAMPLE_PER_CLASS = (2000, 1200)
 THRESHOLD = 0.7
 #: Words that a worker remembers the score of before it starts anew, and how much text it takes at once.
 REMEMBERED = 400_000
