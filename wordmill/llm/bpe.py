@@ -75,13 +75,13 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most CHUNK_CHARACTERS of text, or one row."""
+def slices(batch: pa.RecordBatch, characters: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose second column has at most so many bytes of text, or one row."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(sizes):
         base = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, base + CHUNK_CHARACTERS, side="right")))
+        end = max(at + 1, int(np.searchsorted(sizes, base + characters, side="right")))
         yield batch.slice(at, end - at)
         at = end
 
@@ -93,7 +93,7 @@ def _split(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch, CHUNK_CHARACTERS):
                 text = part.column(1)
                 if not pc.any(pc.match_substring(text, "<|")).as_py():
                     text = pc.ascii_lower(text)  # fewer distinct words; special tokens are told by their case

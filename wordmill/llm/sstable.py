@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .bpe import IDS_AT_ONCE, _parts, as_binary, lists, tokenizer
+from .bpe import IDS_AT_ONCE, as_binary, lists, slices, tokenizer
 from .common import shared_folder
 
 BLOCK_BYTES = 65_536
@@ -41,7 +42,9 @@ BLOOM_HASHES = 7
 FOOTER = struct.Struct("<QQQQQQI4s")
 MAGIC = b"WMS1"
 #: Word forms that a worker remembers the ids of before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Bytes of text that are encoded at once.
+TEXT_AT_ONCE = 8_000_000
 #: Fixed value: a space before white space, where words that start with a space can't be told apart.
 LOOSE_SPACE = r" [\s\x0b\x1c-\x1f\x{85}\pZ]"
 
@@ -189,18 +192,24 @@ class ShardReader:
         return out
 
 
-_remembered: dict[int, tuple[dict[str, np.ndarray], dict[str, np.ndarray]]] = {}
+_remembered: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
-def _coded(words: list[str], known: dict[str, np.ndarray], lead: str, file_text: str) -> list[np.ndarray]:
+def _coded(words: list[str], known: dict[str, bytes], lead: str, file_text: str) -> list[bytes]:
     new = [w for w in words if w not in known]
-    if new:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = words
-        for w, found in zip(new, tokenizer(file_text).encode_batch([lead + w for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(found.ids, dtype="<u4")
-    return [known[w] for w in words]
+    own = dict(zip(new, _encoded([lead + w for w in new], file_text), strict=True))
+    found = [known[w] if w in known else own[w] for w in words]
+    if len(known) + len(own) > REMEMBERED:
+        known.clear()
+    known.update(list(own.items())[:REMEMBERED])
+    return found
+
+
+def _encoded(texts: list[str], file_text: str) -> Iterator[bytes]:
+    """The ids of each text as little-endian 32-bit integers."""
+    for at in range(0, len(texts), 5000):
+        for found in tokenizer(file_text).encode_batch(texts[at : at + 5000], add_special_tokens=False):
+            yield array("I", found.ids).tobytes()
 
 
 def encode_texts(texts: pa.Array, file_text: str, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,13 +236,13 @@ def encode_texts(texts: pa.Array, file_text: str, end: int) -> tuple[np.ndarray,
     place[firsts] = base + heads.indices.to_numpy()
     if len(whole):
         place[firsts[whole]] = len(found) + np.arange(len(whole))
-        found += [np.array(e.ids, dtype="<u4") for e in tokenizer(file_text).encode_batch(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        found += _encoded(texts.take(pa.array(whole)).to_pylist(), file_text)
     closing = len(found)
-    found.append(np.array([end], dtype="<u4"))
+    found.append(struct.pack("<I", end))
     place = np.insert(place, np.cumsum(sizes), closing)
     sizes += 1
-    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    table = lists(pa.array(np.concatenate(found)), lengths)
+    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+    table = lists(pa.array(np.frombuffer(b"".join(found), dtype="<u4")), lengths)
     ids = table.take(pa.array(place)).flatten().to_numpy()
     return ids, np.add.reduceat(lengths[place], np.cumsum(sizes) - sizes)
 
@@ -260,7 +269,7 @@ def write_shards(docs: DataFrame, file: str, folder: str, end: int = 0, id_col:
         draft = f"{root}/_{name}.{uuid.uuid4().hex}"
         writer, stream, before, row = None, None, (), 0
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch, TEXT_AT_ONCE):
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     stream = system.open_output_stream(draft)
