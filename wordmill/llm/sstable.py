@@ -41,8 +41,8 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 FOOTER = struct.Struct("<QQQQQQI4s")
 MAGIC = b"WMS1"
-#: Word forms that a worker remembers the ids of before it starts anew.
-REMEMBERED = 200_000
+#: Word forms that a worker remembers the ids of; others are encoded again.
+REMEMBERED = 400_000
 #: Bytes of text that are encoded at once.
 TEXT_AT_ONCE = 8_000_000
 #: Fixed value: a space before white space, where words that start with a space can't be told apart.
@@ -192,17 +192,36 @@ class ShardReader:
         return out
 
 
-_remembered: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+_remembered: dict[int, dict[str, bytes]] = {}
 
 
-def _coded(words: list[str], known: dict[str, bytes], lead: str, file_text: str) -> list[bytes]:
-    new = [w for w in words if w not in known]
-    own = dict(zip(new, _encoded([lead + w for w in new], file_text), strict=True))
-    found = [known[w] if w in known else own[w] for w in words]
-    if len(known) + len(own) > REMEMBERED:
-        known.clear()
-    known.update(list(own.items())[:REMEMBERED])
-    return found
+def _cuts(word: str) -> list[str]:
+    """A piece of text cut where such a tokenizer always cuts: around single line ends, and between a letter and a closing mark."""
+    parts = word.split("\n")
+    if len(parts) > 1 and parts != word.split():
+        return [word]
+    out: list[str] = []
+    for number, part in enumerate(parts):
+        if number:
+            out.append("\n")
+        if part[-1:] in (".", ",") and part[-2:-1].isascii() and part[-2:-1].isalpha():
+            out += (part[:-1], part[-1])
+        else:
+            out.append(part)
+    return out
+
+
+def _coded(words: list[str], lead: str, file_text: str) -> list[bytes]:
+    """The ids of each piece, with the lead before it; what is known is kept for the worker's life, to a bound."""
+    known = _remembered.setdefault(hash(file_text), {})
+    cut = [_cuts(w) if w[-1:] in (".", ",") or "\n" in w else [w] for w in words]
+    for parts in cut:
+        parts[0] = lead + parts[0]
+    new = list({part for parts in cut for part in parts if part not in known})
+    own = dict(zip(new, _encoded(new, file_text), strict=True))
+    out = [b"".join([known[part] if part in known else own[part] for part in parts]) for parts in cut]
+    known.update(list(own.items())[: max(0, REMEMBERED - len(known))])
+    return out
 
 
 def _encoded(texts: list[str], file_text: str) -> Iterator[bytes]:
@@ -228,10 +247,9 @@ def encode_texts(texts: pa.Array, file_text: str, end: int) -> tuple[np.ndarray,
     coded = flat.dictionary_encode()
     place = coded.indices.to_numpy().astype(np.int64)
     heads = flat.take(pa.array(firsts)).dictionary_encode()
-    inner, first = _remembered.setdefault(hash(file_text), ({}, {}))
-    found = _coded(coded.dictionary.to_pylist(), inner, " ", file_text)
+    found = _coded(coded.dictionary.to_pylist(), " ", file_text)
     base = len(found)
-    found += _coded(heads.dictionary.to_pylist(), first, "", file_text)
+    found += _coded(heads.dictionary.to_pylist(), "", file_text)
     whole = np.flatnonzero(loose.to_numpy(zero_copy_only=False))
     place[firsts] = base + heads.indices.to_numpy()
     if len(whole):
