@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, licenses, quality, sstable, toxicity
+from . import ann, bpe, licenses, quality, sstable, toxicity, urls
 from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,10 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_ann"] = op8_ann
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+QUERIES["op10_urls"] = op10_urls
