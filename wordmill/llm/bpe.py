@@ -13,6 +13,7 @@ dropped, no token across it) are checked for by the caller's choice of file.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 from zlib import crc32
@@ -25,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_folder
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
-CHUNK_CHARACTERS = 24_000_000
+CHUNK_CHARACTERS = 20_000_000
 #: Token ids in one batch that goes back to Spark.
-IDS_AT_ONCE = 1_000_000
+IDS_AT_ONCE = 500_000
 _tokenizers: dict[int, object] = {}
 
 
@@ -146,24 +147,30 @@ def _encode(parts: DataFrame, file_text: str) -> DataFrame:
     return parts.mapInArrow(run, "chunk bigint, bucket int, sizes binary, tokens binary")
 
 
-def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id_col, ids) for every row of docs: ids are little-endian unsigned 32-bit integers in a binary.
 
     file names a tokenizer file of the tokenizers library that drops white space. Null texts count
     as empty and have no ids. Repeated rows and ids come out as often as they came in; other columns
-    of docs are not read.
+    of docs are not read. with_text adds decoded, the text that the ids give, in the same pass.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     file_text = Path(file).read_text(encoding="utf-8")
-    split = written(_split(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), buckets), "bpe-chunks")
+    split = _split(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), buckets)
+    # bucketed by chunk, so that the chunks themselves are never shuffled
+    name = f"bpe_chunks_{uuid.uuid4().hex}"
+    split.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    split = spark.table(name)
     parts = split.select("chunk", F.posexplode("words").alias("bucket", "words")).where(F.octet_length("words") > 0)
     coded = _encode(parts.repartition(buckets, "bucket"), file_text)
     table = coded.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "sizes", "tokens"))).alias("table"))
-    joined = split.select("chunk", "ids", "sizes", "places").join(table, "chunk", "left")
+    joined = split.select("chunk", "ids", "sizes", "places").join(table.hint("merge"), "chunk", "left")
+    sent = spark.sparkContext.broadcast(piece_table(file_text) if with_text else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value[0], pa.binary()) if with_text else None
         for batch in batches:
             for row in range(len(batch)):
                 names = batch.column("ids")[row].values
@@ -172,6 +179,7 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
                 own = batch.column("table")[row].as_py() or []
                 sizes = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(p["sizes"]).astype(np.int64) for p in own)])
                 tokens = lists(pa.array(np.concatenate([np.zeros(0, "<u4"), *(unsqueeze(p["tokens"]) for p in own)])), sizes)
+                del own
                 ends = np.cumsum(counts)
                 running = np.concatenate([[0], np.cumsum(sizes[places])])
                 lengths = running[ends] - running[ends - counts]
@@ -180,38 +188,47 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
                     base = running[ends[at] - counts[at]]
                     end = max(at + 1, int(np.searchsorted(running[ends], base + IDS_AT_ONCE, side="right")))
                     got = tokens.take(pa.array(places[ends[at] - counts[at] : ends[end - 1]])).flatten().to_numpy()
-                    yield pa.RecordBatch.from_arrays([names.slice(at, end - at), as_binary(got, lengths[at:end])], names=["id", "ids"])
+                    out = [names.slice(at, end - at), as_binary(got, lengths[at:end])]
+                    if with_text:
+                        out.append(decoded(got, lengths[at:end], known, sent.value[1]))
+                    yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "decoded"][: len(out)])
                     at = end
 
-    return joined.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(run, f"id {kind}, ids binary" + ", decoded string" * with_text).withColumnRenamed("id", id_col)
 
 
-def pieces(file_text: str) -> tuple[pa.Array, str]:
-    """The piece of every id, as bytes, and what stands between pieces when a text is decoded."""
+def piece_table(file_text: str) -> tuple[list[bytes], str]:
+    """The piece of every id, as bytes, and what stands between pieces when a text is decoded.
+
+    It has one row for each id of the vocabulary, a size that no input changes.
+    """
     described = json.loads(file_text)
     vocabulary = tokenizer(file_text).get_vocab(with_added_tokens=True)
     by_id = [""] * (max(vocabulary.values()) + 1)
     for piece, at in vocabulary.items():
         by_id[at] = piece
     if described.get("decoder") is None:
-        return pa.array([p.encode() for p in by_id], pa.binary()), " "
+        return [p.encode() for p in by_id], " "
     if described["decoder"]["type"] != "ByteLevel":
         raise ValueError("only files without a decoder or with a byte-level one are known here")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
     special = {t["content"] for t in described["added_tokens"]}
-    return pa.array([p.encode() if p in special else bytes(byte_of[c] for c in p) for p in by_id], pa.binary()), ""
+    return [p.encode() if p in special else bytes(byte_of[c] for c in p) for p in by_id], ""
+
+
+def decoded(ids: np.ndarray, sizes: np.ndarray, known: pa.Array, between: str) -> pa.Array:
+    """Texts of runs of ids: each id joined with its piece, the pieces put together."""
+    joined = pc.binary_join(lists(known.take(pa.array(ids)), sizes), between.encode())
+    return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
 
 
 def decode(coded: DataFrame, file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, ids_col, decoded) for every row: ids joined with the table of pieces, as decode() of the library.
 
-    The table has one row for each id of the vocabulary, a size that no input changes, so it goes to
-    every task. Null ids decode to an empty text.
+    Null ids decode to an empty text.
     """
-    file_text = Path(file).read_text(encoding="utf-8")
-    table, between = pieces(file_text)
-    sent = coded.sparkSession.sparkContext.broadcast((table.to_pylist(), between))
+    sent = coded.sparkSession.sparkContext.broadcast(piece_table(Path(file).read_text(encoding="utf-8")))
     kind = coded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +239,7 @@ def decode(coded: DataFrame, file: str, id_col: str = "doc_id", ids_col: str = "
                 data = batch.column(1)
                 sizes = pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False) // 4
                 ids = np.frombuffer(b"".join(x for x in data.to_pylist() if x), dtype="<u4")
-                joined = pc.binary_join(lists(known.take(pa.array(ids)), sizes), sent.value[1].encode())
-                text = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), data, text], names=["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), data, decoded(ids, sizes, known, sent.value[1])], names=["id", "ids", "decoded"])
 
     out = coded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, ids binary, decoded string")
     return out.select(F.col("id").alias(id_col), F.col("ids").alias(ids_col), "decoded")
@@ -232,7 +247,7 @@ def decode(coded: DataFrame, file: str, id_col: str = "doc_id", ids_col: str = "
 
 def digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): a check of encode() and decode() for every row."""
-    out = decode(encode(docs, file, id_col, text_col), file, id_col)
+    out = encode(docs, file, id_col, text_col, with_text=True)
     return out.select(
         id_col,
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
