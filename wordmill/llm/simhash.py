@@ -36,6 +36,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
+#: Rows to leave out that may be broadcast (two longs each); with more, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def text_fingerprint(text: str | None) -> int:
@@ -53,15 +55,16 @@ def text_fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the 64-bit fingerprint of every row's whole text, as a signed long."""
+    """(id, key, fp): for every row the hash of its text and the 64-bit fingerprint of the whole text, a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = np.array([text_fingerprint(t) for t in batch["t"]], dtype=np.uint64)
-            yield pd.DataFrame({"id": batch["id"], "fp": values.view(np.int64)})
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "fp": values.view(np.int64)})
 
     kind = id_type(docs, id_col)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t"))
+    return rows.mapInPandas(run, f"id {kind}, key bigint, fp bigint")
 
 
 def _remainders() -> np.ndarray:
@@ -174,6 +177,18 @@ def links(values: DataFrame) -> DataFrame:
     ).select("u", "v")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, fp, root, component_id) of every row; root is the same within a group."""
+    known = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    distinct = written(known.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    rooted = components(links(distinct))
+    labelled = distinct.join(rooted, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return known.join(labelled.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (id_col, fingerprint, component_id).
 
@@ -182,15 +197,33 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     any other. Repeated rows come out as often as they came in. A null id takes part but is never a
     component_id unless its component has no other. Other columns of docs are not read.
     """
-    known = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = known.groupBy("fp").agg(F.min("id").alias("least"))
-    distinct = written(distinct, "distinct-fingerprints")
-    rooted = components(links(distinct))
-    labelled = distinct.join(rooted, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_value = labelled.join(least, "root").select("fp", "component_id")
-    return known.join(by_value, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    out = _grouped(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each group: the one with the smallest id, nulls last.
+
+    Of rows that repeat that id, the one whose text has the least hash stays, once.
+    """
+    rows = _grouped(docs, id_col, text_col).groupBy("root", "id", "key").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("s"), F.sum("n").alias("size"))
+    rows = rows.join(first, "root")
+    stays = F.col("id").eqNullSafe(F.col("s.id")) & (F.col("key") == F.col("s.key"))
+    marked = written(
+        rows.where(~stays | (F.col("n") > 1)).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), stays.alias("stays")), "near-copies"
     )
+
+    def meets(side: DataFrame):
+        return held["own_id"].eqNullSafe(side["gone_id"]) & (held["own_key"] == side["gone_key"])
+
+    held = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"))
+    gone = marked.drop("stays")
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = held.join(gone, meets(gone), "left_anti").select("row")
+    repeated = marked.where("stays").drop("stays")
+    if repeated.limit(1).count():  # rows that stay and have equals
+        again = held.join(repeated, meets(repeated), "left_semi")
+        kept = kept.unionByName(again.groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")
