@@ -1,0 +1 @@
+"""Registered queries: importing this package fills the registry."""
