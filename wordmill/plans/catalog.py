@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import rule_queries, text_queries  # noqa: F401
+from . import rule_queries, stat_queries, text_queries  # noqa: F401
