@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,19 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), np.bincount(where, weights=share, minlength=len(found)).astype(np.float32)
 
 
+def _packed(index: np.ndarray, share: np.ndarray) -> bytes:
+    """A bag in a few bytes: the driver holds all of the sample's."""
+    gaps = np.diff(index, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor().compress(np.ascontiguousarray(gaps).tobytes() + share.astype("<f2").tobytes())
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = len(raw) // 6
+    gaps = np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T
+    return np.cumsum(np.ascontiguousarray(gaps).view("<u4").ravel()).astype(np.int32), np.frombuffer(raw, "<f2", n, 4 * n).astype(np.float32)
+
+
 @dataclass
 class Model:
     """Trained vectors and softmax; score() needs only their product, one number for a bucket."""
@@ -206,14 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [bag(t) for t in batch["t"]]
-            yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "i": [a.tobytes() for a, _ in pairs], "s": [b.tobytes() for _, b in pairs]})
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
+                yield pd.DataFrame({"id": part["id"].astype(str), "y": part["y"], "b": [_packed(*bag(t)) for t in part["t"]]})
 
     sample = labelled_sample(docs, labels, "toxic", per_class, id_col, text_col)
-    rows = sample.mapInPandas(bags, "id string, y int, i binary, s binary").collect()
+    rows = sample.mapInPandas(bags, "id string, y int, b binary").collect()
     rows.sort(key=lambda r: (r["id"], r["y"]))
-    pairs = [(np.frombuffer(r["i"], np.int32), np.frombuffer(r["s"], np.float32)) for r in rows]
-    return train(pairs, np.array([r["y"] for r in rows]))
+    return train([_unpacked(r["b"]) for r in rows], np.array([r["y"] for r in rows]))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
