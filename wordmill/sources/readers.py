@@ -90,7 +90,7 @@ def two_line_records(spark: SparkSession, path: str) -> DataFrame:
     following = F.lead("line").over(Window.partitionBy("file").orderBy("pos"))
     rows = whole.withColumn("phones", F.nullif(F.trim(following), F.lit(""))).where(F.col("line").rlike(r"^\d"))
     parts = F.split("line", "\t", 2)
-    phones = F.when(~F.col("phones").rlike(r"^\d+\t"), F.col("phones"))
+    phones = F.when(~F.col("phones").rlike(r"^\d+\t"), F.regexp_replace("phones", r"^\s+|\s+$", ""))
     return rows.select("file", F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("text"), phones.alias("phones"))
 
 
