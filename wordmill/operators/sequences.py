@@ -184,3 +184,89 @@ def tag_phrases(texts: DataFrame, key: str, text: str, phrases: list[str]) -> Da
 
     found = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, at int, phrase string")
     return found.withColumnRenamed("k", key)
+
+
+def assign_intervals(tokens: DataFrame, intervals: DataFrame, optional: frozenset[str], nuclei: frozenset[str], rate: float, ahead: int = 6) -> DataFrame:
+    """(utt, pos, token, frames): durations of tokens from the labelled intervals of their utterance.
+
+    tokens: (utt, pos, token, phones), intervals: (utt, pos, label, start, end). A token takes its phones
+    in order; phones in `optional` may be missing, a nucleus may not, and no token reaches past another
+    nucleus. A token that doesn't fit has null frames, and the walk goes on at the next place, within
+    `ahead` intervals, where one does. The group of a task is one utterance.
+    """
+    kind = tokens.schema["utt"].dataType.simpleString()
+
+    def take(phones: list[str], labels: list[str], at: int) -> int | None:
+        """Where the token ends if it starts at this interval."""
+        begun = at
+        for p in phones:
+            if at < len(labels) and labels[at] == p:
+                at += 1
+            elif p in nuclei or p not in optional:
+                return None
+        return at if at > begun else None
+
+    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("pos"), right.sort_values("pos")
+        labels, lengths = right["label"].tolist(), (right["end"] - right["start"]).tolist()
+        at, out = 0, []
+        for utt, pos, token, phones in zip(left["utt"], left["pos"], left["token"], left["phones"], strict=True):
+            frames = None
+            for start in range(at, min(at + ahead, len(labels)) + 1):
+                if start > at and labels[start - 1] in nuclei:
+                    break  # what lies behind a nucleus belongs to a later token
+                end = take(list(phones), labels, start)
+                if end is not None:
+                    frames, at = sum(lengths[start:end]) * rate, end
+                    break
+            out.append((utt, pos, token, frames))
+        return pd.DataFrame(out, columns=["utt", "pos", "token", "frames"]).astype({"frames": "float64"})
+
+    return tokens.groupBy("utt").cogroup(intervals.groupBy("utt")).applyInPandas(walk, f"utt {kind}, pos bigint, token string, frames double")
+
+
+def encoded_chunks(rows: DataFrame, key: str, budget: int, strong: frozenset[str], weak: frozenset[str]) -> DataFrame:
+    """(key, chunk, tokens, ids) of rows (key, tokens, ids): both arrays cut together to at most `budget` each.
+
+    A cut falls after the last strong token that fits, else after the last weak one, else at the budget.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, tokens, ids in zip(batch["k"], batch["tokens"], batch["ids"], strict=True):
+                tokens, ids, at, number = list(tokens), list(ids), 0, 0
+                while at < len(tokens):
+                    end = min(at + budget, len(tokens))
+                    if end < len(tokens):
+                        for marks in (strong, weak):
+                            cut = next((i + 1 for i in range(end - 1, at - 1, -1) if tokens[i] in marks), None)
+                            if cut:
+                                end = cut
+                                break
+                    out.append((k, number, tokens[at:end], ids[at:end]))
+                    at, number = end, number + 1
+            yield pd.DataFrame(out, columns=["k", "chunk", "tokens", "ids"])
+
+    cut = rows.select(F.col(key).alias("k"), "tokens", "ids").mapInPandas(run, f"k {kind}, chunk int, tokens array<string>, ids array<int>")
+    return cut.withColumnRenamed("k", key)
+
+
+def reference_mismatches(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(line, pos, word, expected, got) of words whose dictionary units don't stand next in the reference.
+
+    lines: (line, words, units). A word takes as many units as its dictionary form has; on a mismatch the
+    walk takes what is there and goes on. Words that the dictionary lacks end a line's walk.
+    """
+    exploded = lines.select("line", "units", F.posexplode("words").alias("pos", "word"))
+    joined = exploded.join(lexicon.select("word", F.col("phones").alias("own")), "word", "left")
+    size = F.coalesce(F.size("own"), F.lit(0))
+    grouped = joined.groupBy("line").agg(F.first("units").alias("units"), F.sort_array(F.collect_list(F.struct("pos", "word", "own", size.alias("n")))).alias("w"))
+    known = F.size(F.array_compact(F.transform("w", lambda x: F.when(x["own"].isNull(), x["pos"]))))
+    first_gap = F.when(known > 0, F.array_min(F.filter(F.transform("w", lambda x: F.when(x["own"].isNull(), x["pos"])), lambda p: p.isNotNull()))).otherwise(F.size("w"))
+    walked = grouped.withColumn("w", F.slice("w", F.lit(1), first_gap))
+    rows = walked.select("line", "units", "w", F.posexplode("w").alias("i", "x"))
+    before = F.aggregate(F.slice("w", F.lit(1), F.col("i")), F.lit(0), lambda a, y: a + y["n"])
+    got = F.slice("units", before + 1, F.col("x.n"))
+    return rows.withColumn("got", got).where(F.col("got") != F.col("x.own")).select("line", F.col("x.pos").alias("pos"), F.col("x.word").alias("word"), F.col("x.own").alias("expected"), "got")
