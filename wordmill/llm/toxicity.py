@@ -32,7 +32,7 @@ SHRINK = 1.0
 #: Buckets in fewer texts of the sample teach nothing.
 LEAST_DOCS = 8
 #: The most labelled documents of each class (0, 1) that the model is fitted on.
-SAMPLE_PER_CLASS = (2000, 1200)
+SAMPLE_PER_CLASS = (1800, 1200)
 THRESHOLD = 0.7
 #: Words that a worker remembers the score of before it starts anew, and how much text it takes at once.
 REMEMBERED = 400_000
@@ -113,6 +113,8 @@ class Model:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, seed: int = 7) -> Model:
     """Joint training of vectors and softmax on the class-balanced cross entropy; without both classes, a constant model.
 
+    The list of bags is used up.
+
     Buckets count by their inverse document frequency, those in fewer than LEAST_DOCS texts not at
     all. Adam steps alternate with shrinking every vector's length (a group lasso): vectors that
     carry no signal go to zero, which is what keeps rare n-grams from learning single texts by heart.
@@ -125,10 +127,13 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     if len(set(labels.tolist())) < 2:
         toxic = len(labels) > 0 and bool(labels[0])
         return Model(vectors * 0, weights * 0, np.array([0.0, 2.0 if toxic else -2.0], np.float32))
-    seen = np.bincount(np.concatenate([i for i, _ in bags]), minlength=BUCKETS)
+    seen = np.zeros(BUCKETS, dtype=np.int64)
+    for index, _ in bags:
+        seen[index] += 1
     rarity = np.where(seen >= LEAST_DOCS, np.log((1 + len(bags)) / (1 + seen)), 0).astype(np.float32)
-    bags = [(i, w * rarity[i]) for i, w in bags]
-    bags = [(i[w > 0], w[w > 0]) for i, w in bags]
+    for n, (index, share) in enumerate(bags):  # in place: the driver holds one copy of the sample
+        share = share * rarity[index]
+        bags[n] = index[share > 0], share[share > 0]
     vectors[rarity == 0] = 0
     balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, weights, bias)]
@@ -227,7 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_
     sample = labelled_sample(docs, labels, "toxic", per_class, id_col, text_col)
     rows = sample.mapInPandas(bags, "id string, y int, b binary").collect()
     rows.sort(key=lambda r: (r["id"], r["y"]))
-    return train([_unpacked(r["b"]) for r in rows], np.array([r["y"] for r in rows]))
+    labels_ = np.array([r["y"] for r in rows])
+    pairs = [_unpacked(r["b"]) for r in rows]
+    del rows
+    return train(pairs, labels_)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
