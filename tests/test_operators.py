@@ -141,3 +141,12 @@ def test_reference_mismatches(spark):
     lines = spark.createDataFrame([(1, ["hi", "you", "zz", "hi"], ["HH", "AY", "Y", "AH", "Q"]), (2, ["hi"], ["HH", "AY"])], "line bigint, words array<string>, units array<string>")
     lexicon = spark.createDataFrame([("hi", ["HH", "AY"]), ("you", ["Y", "UW"])], "word string, phones array<string>")
     assert [(r["line"], r["word"], r["got"]) for r in D.reference_mismatches(lines, lexicon).collect()] == [(1, "you", ["Y", "AH"])]
+
+
+def test_step_windows_cover_every_event(spark, tmp_path):
+    from wordmill.plans.stat_queries import a23_step_windows
+
+    rows = [(0, 1.0), (999, 3.0), (9999, 5.0), (10000, 7.0), (99999, 9.0), (None, 2.0)]
+    spark.createDataFrame(rows, "event_id bigint, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r["lo"], r["hi"], r["n"], r["mean"]) for r in a23_step_windows(spark, str(tmp_path)).collect())
+    assert got == [(0, 1000, 2, 2.0), (9000, 10000, 1, 5.0), (10000, 11000, 1, 7.0), (99000, 100000, 1, 9.0)]
