@@ -70,6 +70,31 @@ def test_near_matches(spark):
     assert {(r["lid"], r["rid"]) for r in J.near_matches(left, right).collect()} == {(1, 7), (1, 8)}
 
 
+def test_near_matches_are_all_pairs(spark):
+    rng = random.Random(4)
+    held = "theharbourmasterkeptalongledgerofeveryboat"
+    variants = {held[:i] + c + held[i + 1 :] for i in range(len(held)) for c in "qxzjkvwbpfghm"}
+    others = ["".join(rng.choices("etaoin", k=rng.randrange(12, 40))) for _ in range(150)]
+    right = sorted(variants)[:520] + ["abcdefghijkl", held[4:36], *others[:50]]
+    left = [held, "abcdexghijkl", "elevencharx", *others[40:]]
+    left += [x[:i] + rng.choice("etaoin") + x[i + rng.randrange(2) :] for x in others for i in [rng.randrange(len(x))]]
+
+    def near(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            new = [0]
+            for j, d in enumerate(y, 1):
+                new.append(row[j - 1] + 1 if c == d else max(new[-1], row[j]))
+            row = new
+        n, m = sorted((len(x), len(y)))
+        return n >= 12 and (200.0 * row[-1] / (n + m) >= 88 or (n >= 20 and n >= 0.65 * m and (x in y or y in x)))
+
+    want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if near(x, y)}
+    got = J.near_matches(spark.createDataFrame(list(enumerate(left)), "lid bigint, lkey string"), spark.createDataFrame(list(enumerate(right)), "rid bigint, rkey string")).collect()
+    assert len(got) == len(want) and {(r["lid"], r["rid"]) for r in got} == want
+    assert sum(i == 0 for i, _ in want) > 500 and any(left[i] == "abcdexghijkl" for i, _ in want)
+
+
 def test_interval_join_is_all_pairs(spark):
     rng = random.Random(2)
     spans = [(rng.randrange(3), s, s + rng.randrange(1, 50)) for s in (rng.randrange(200) for _ in range(60))]

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
-#: Characters of a shingle in near_matches(): one width for both sides, so that they meet.
+#: Characters of a shingle that near_matches() counts.
 SHINGLE = 8
+#: Share of the longer key that a contained one has at least.
+CONTAINED = 0.65
+#: Cells that letters and letter pairs are counted in; letters that share one only let more pairs through.
+LETTERS, PAIRS = 64, 256
+#: Keys of the right side sent out at once, and pairs whose counts are compared at once.
+KEYS_AT_ONCE, CELLS_AT_ONCE = 20_000, 1 << 20
 
 
 def exclude(rows: DataFrame, excluded: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,42 +79,86 @@ def primary_or_supplement(primary: DataFrame, supplement: DataFrame, key: str) -
     return primary.withColumn("origin", F.lit("primary")).unionByName(more.withColumn("origin", F.lit("supplement")))
 
 
-@F.pandas_udf(DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 times twice the longest common subsequence over both lengths, in bit-parallel steps."""
-    def one(x: str, y: str) -> float:
-        if not x and not y:
-            return 100.0
-        masks: dict[str, int] = {}
-        for i, c in enumerate(x):
-            masks[c] = masks.get(c, 0) | 1 << i
-        full, row = (1 << len(x)) - 1, (1 << len(x)) - 1
-        for c in y:
-            both = row & masks.get(c, 0)
-            row = (row + both | row - both) & full
-        return 200.0 * (len(x) - row.bit_count()) / (len(x) + len(y))
-
-    return pd.Series([np.nan if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)])
+def common_length(x: str, y: str) -> int:
+    """The longest common subsequence's length, in bit-parallel steps."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(x):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, row = (1 << len(x)) - 1, (1 << len(x)) - 1
+    for c in y:
+        both = row & masks.get(c, 0)
+        row = (row + both | row - both) & full
+    return len(x) - row.bit_count()
+
+
+def _counts(keys: Sequence[str], letters: bool) -> np.ndarray:
+    """Counts of letters or of letter pairs for each key, by their code points in LETTERS or PAIRS cells."""
+    cells = LETTERS if letters else PAIRS
+    out = np.zeros((len(keys), cells), dtype=np.int32)
+    for row, key in zip(out, keys, strict=True):
+        codes = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row += np.bincount((codes if letters else codes[:-1] * 31 + codes[1:]) % cells, minlength=cells)
+    return out
 
 
-def near_matches(left: DataFrame, right: DataFrame, ratio: float = 88.0, candidates: int = 96, common: int = 500) -> DataFrame:
+def _near_pairs(left: Sequence[str], right: Sequence[str], sizes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, ratio: float) -> Iterator[tuple[int, int]]:
+    """(i, j) of left and right, sorted by size, that are near; sizes, counts and pairs are right's."""
+    own_sizes, own_counts, own_pairs = np.array([len(x) for x in left]), _counts(left, True), _counts(left, False)
+    least = min(CONTAINED, ratio / (200 - ratio))
+    for n in np.unique(own_sizes):
+        low, high = np.searchsorted(sizes, [np.floor(n * least), np.ceil(n / least) + 1])
+        rows, step = np.flatnonzero(own_sizes == n), max(1, CELLS_AT_ONCE // max(1, high - low))
+        for at in range(0, len(rows) if high > low else 0, step):
+            part = rows[at : at + step]
+            apart = np.zeros((len(part), high - low), dtype=np.int32)
+            for cell in range(LETTERS):
+                apart += np.abs(own_counts[part, cell][:, None] - counts[low:high, cell])
+            both = n + sizes[low:high]
+            # equal length of the rest: the longer may hold the shorter whole
+            may_hold, may_be_near = apart == np.abs(n - sizes[low:high]), 100.0 * (both - apart) / both >= ratio - 1e-9
+            for a, b in zip(*np.nonzero(may_hold | may_be_near), strict=True):
+                i, j = int(part[a]), int(low + b)
+                x, y = left[i], right[j]
+                short, long = (x, y) if len(x) <= len(y) else (y, x)
+                if may_hold[a, b] and len(short) >= 20 and len(short) >= CONTAINED * len(long) and short in long:
+                    yield i, j
+                elif may_be_near[a, b]:
+                    steps = np.abs(own_pairs[i] - pairs[j]).sum() / 3
+                    if 100.0 * (both[b] - steps) / both[b] >= ratio - 1e-9 and 200.0 * common_length(x, y) / (len(x) + len(y)) >= ratio:
+                        yield i, j
+
+
+def near_matches(left: DataFrame, right: DataFrame, ratio: float = 88.0) -> DataFrame:
     """(lid, rid, shared): keys of left (lid, lkey) and right (rid, rkey) that are nearly equal or contain each other.
 
-    Keys of 12 characters or more meet by shingles; a shingle that more than `common` keys of one side
-    share is no evidence. The best `candidates` of each left key by shared shingles are verified:
-    ratio of common characters, or containment at 20 characters and 0.65 of the length.
+    Keys have 12 characters or more; near are a ratio of common characters, or containment at 20
+    characters and 0.65 of the length. shared is how many shingles of SHINGLE characters both have.
+
+    Every pair is judged, none by rank: a character put in or taken out changes the counts of letters
+    by one and of letter pairs by three at most, which rules out all pairs of compatible lengths but
+    few, and those are verified. right, the smaller side, goes out in bounded sets; each is one pass
+    over left without a shuffle, so no frequent key, shingle or group is one task.
     """
-    def shingled(df: DataFrame, key: str, name: str) -> DataFrame:
-        k = F.col(key)
-        cuts = F.transform(F.sequence(F.lit(1), F.length(k) - SHINGLE + 1), lambda i: F.substr(k, i, F.lit(SHINGLE)))
-        return df.where(F.length(k) >= 12).select(name, F.explode(F.array_distinct(cuts)).alias("s"))
-
-    a, b = shingled(left, "lkey", "lid"), shingled(right, "rkey", "rid")
-    rare = b.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= common).select("s")
-    met = a.join(b.join(rare, "s", "left_semi"), "s").groupBy("lid", "rid").agg(F.count("*").alias("shared"))
-    top = met.withColumn("r", F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("shared"), "rid"))).where(F.col("r") <= candidates)
-    pairs = top.join(left, "lid").join(right, "rid")
-    n, m = F.length("lkey"), F.length("rkey")
-    inside = (F.contains("lkey", "rkey") | F.contains("rkey", "lkey")) & (F.least(n, m) >= 20) & (F.least(n, m) >= 0.65 * F.greatest(n, m))
-    near = pairs.where(inside).unionByName(pairs.where(~inside).where(indel_ratio("lkey", "rkey") >= ratio))
-    return near.select("lid", "rid", "shared")
+    kinds = f"lid {left.schema['lid'].dataType.simpleString()}, rid {right.schema['rid'].dataType.simpleString()}, shared bigint"
+    a = left.where(F.length("lkey") >= 12).select("lid", "lkey")
+    b = right.where(F.length("rkey") >= 12).select("rid", "rkey")
+    sets = max(1, -(-b.count() // KEYS_AT_ONCE))
+    found = left.sparkSession.createDataFrame([], kinds)
+    for number in range(sets):
+        rows = sorted(b.where(F.pmod(F.xxhash64("rid", "rkey"), F.lit(sets)) == number).collect(), key=lambda r: len(r["rkey"]))  # about KEYS_AT_ONCE rows
+        if not rows:
+            continue
+        sent = left.sparkSession.sparkContext.broadcast(([r["rid"] for r in rows], [r["rkey"] for r in rows]))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, keys = sent.value
+            known = np.array([len(k) for k in keys]), _counts(keys, True), _counts(keys, False)
+            for batch in batches:
+                own, own_ids, out = batch["lkey"].tolist(), batch["lid"].tolist(), []
+                for i, j in _near_pairs(own, keys, *known, ratio):
+                    x, y = ({k[at : at + SHINGLE] for at in range(len(k) - SHINGLE + 1)} for k in (own[i], keys[j]))
+                    out.append((own_ids[i], ids[j], len(x & y)))
+                yield pd.DataFrame(out, columns=["lid", "rid", "shared"])
+
+        found = found.unionByName(a.mapInPandas(run, kinds))
+    return found
