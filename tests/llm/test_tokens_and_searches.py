@@ -111,6 +111,19 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_among_close_copies(spark):
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(1500, 16))
+    copies = rng.choice(1500, 700, replace=False)
+    data[copies] = data[copies[0]] + 0.001 * rng.normal(size=(700, 16))
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>"), block=800).collect()
+    unit = data / np.sqrt((data * data).sum(axis=1, keepdims=True))
+    for q in range(0, 1500, 50):
+        score = unit @ unit[q]
+        score[q] = -np.inf
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-score)[:5].tolist()
+
+
 def test_url_rules_and_trees(spark):
     rows = [(None, "http://Example.ORG/es/x"), (1, None), (2, ""), (3, "no url"), (4, "http://org"), (5, "ftp://a.com/de/1?x#y"), (6, "http://org/"), (7, "x://b.example.org/en/19"), (7, "x://b.example.org/en/19"), (8, "a://net/fr/")]
     rows += [(100 + i, f"https://h{i % 7}.example.com/{'fr' if i % 2 else 'de'}/{i}") for i in range(200)]

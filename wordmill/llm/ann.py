@@ -7,7 +7,9 @@ rest: that part is what moves the scores of the queries for which the vector mat
 
 A query makes one table of 16 inner products per subspace; tables of two neighbouring subspaces are
 joined to one of 256, so a byte of code is one look-up. The best SHORTLIST by these sums in a block
-of vectors are scored exactly, in double precision, and the blocks' best are merged.
+of vectors are scored exactly, in double precision. A sum is off by the vector's residual at most, so
+every other vector whose sum and residual together reach the k-th of these scores is scored too:
+the block's best are exact, also among close copies. The blocks' best are merged.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ CENTRES = 16
 PARALLEL = 4.0
 #: Vectors that the codebooks are fitted on, at most; every vector is indexed.
 SAMPLE = 8192
-#: Exact scores for each query in a block of vectors, vectors in a block, queries sent out at once.
+#: First exact scores for each query in a block of vectors, vectors in a block, queries sent out at once.
 SHORTLIST = 96
 BLOCK = 4096
 QUERIES_AT_ONCE = 4096
@@ -76,6 +78,17 @@ class Codebooks:
         return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(queries), -1, CENTRES * CENTRES).astype(np.float32)
 
 
+def residuals(unit: np.ndarray, codes: np.ndarray, books: Codebooks) -> np.ndarray:
+    """Lengths of what the packed codes miss of unit vectors."""
+    parts = len(books.centres)
+    each = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)[:, :parts]
+    total = np.zeros(len(unit))
+    for p in range(parts):
+        rest = unit[:, p * books.width : (p + 1) * books.width] - books.centres[p][each[:, p]]
+        total += (rest * rest).sum(axis=1)
+    return np.sqrt(total)
+
+
 def packed(codes: np.ndarray) -> np.ndarray:
     """Two four-bit codes to a byte."""
     if codes.shape[1] % 2:
@@ -158,6 +171,8 @@ def _scan_block(ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, books: Cod
     ids, rows, codes = ids[order], rows[order], codes[order]
     columns = np.ascontiguousarray(codes.T)
     lengths = np.sqrt((rows * rows).sum(axis=1))
+    slack = residuals(_unit(rows), codes, books) + 1e-6 * (1 + len(columns))  # sums are in single precision
+    first = max(SHORTLIST, k + 1)  # the query itself may be among them
     for at in range(0, len(queries), SCAN_AT_ONCE):
         part, part_ids = queries[at : at + SCAN_AT_ONCE], query_ids[at : at + SCAN_AT_ONCE]
         tables = books.tables(_unit(part))
@@ -167,14 +182,13 @@ def _scan_block(ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, books: Cod
             for column, table in zip(columns, tables[q], strict=True):
                 rough += table[column]
             rough[ids == part_ids[q]] = -np.inf
-            if len(ids) > SHORTLIST:
-                least = np.partition(rough, len(ids) - SHORTLIST)[len(ids) - SHORTLIST]
-                above = np.flatnonzero(rough > least)
-                short = np.concatenate([above, np.flatnonzero(rough == least)[: SHORTLIST - len(above)]])
-            else:
-                short = np.arange(len(ids))
+            short = np.argpartition(rough, len(ids) - first)[-first:] if len(ids) > first else np.arange(len(ids))
             short = short[ids[short] != part_ids[q]]
             exact = (rows[short] @ part[q]) / (lengths[short] * part_lengths[q])
+            if len(ids) > first:
+                least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+                short = np.flatnonzero(~(rough + slack < least) & (ids != part_ids[q]))
+                exact = (rows[short] @ part[q]) / (lengths[short] * part_lengths[q])
             best = np.lexsort((ids[short], -exact))[:k]
             yield pd.DataFrame({"query_id": part_ids[q], "vec_id": ids[short][best], "score": exact[best]})
 
