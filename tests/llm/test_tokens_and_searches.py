@@ -172,3 +172,18 @@ def test_chat_edges(spark):
     out = chat.format_chats(df).collect()
     assert sum(r["n_lines"] for r in out) == 8
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_rows_of_one_turn_stay_apart(spark):
+    rows = [(None, None, "user", f"n{i}\nx") for i in range(150)] + [(-2, 0, "user", "a\nb")] * 150 + [(-3, 200, "assistant", "far\nx"), (-3, -1, "user", "first\nx")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    lines = chat.written(chat.transcripts(df), "test-lines")
+    assert lines.select("conv", "pos").distinct().count() == lines.count() == 2 * len(rows)
+    assert lines.where("begins").groupBy("conv", "block").count().agg({"count": "max"}).first()[0] <= 64
+    assert lines.where("block = 0").select("conv").distinct().count() == 3
+    assert [r["turn"] for r in lines.where("conv = '-3' and begins").orderBy("block", "pos").collect()] == [-1, 200]
+    told = chat.turns(lines.select("conv", "block", "pos", "line", "role", "begins")).collect()
+    assert len(told) == len(rows) and all(r["n_lines"] == 2 for r in told)
+    assert sum("\nn7\nx" in r["rendered"] for r in told) == 1
+    out = chat.format_chats(df).collect()
+    assert sum(r["n_lines"] for r in out) == 2 * len(rows) and {r["turn"] for r in out} == {-1, 0, 200}

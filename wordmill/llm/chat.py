@@ -188,18 +188,20 @@ def turns(spoken: DataFrame) -> DataFrame:
     return grouped.select("conv", "first_pos", "role", "n_lines", F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), body, F.lit("<|im_end|>")).alias("rendered"))
 
 
-#: Turns in a block, and the positions that a turn's lines may take.
-BLOCK_TURNS = 64
-LINES_OF_TURN = 1 << 24
+#: Rows in a block at most, rows in a sorted part and lines in a row, as powers of two: positions are too large for floating point.
+BLOCK_BITS, PART_BITS, LINE_BITS = 6, 24, 24
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """(conv, block, pos, line, role, begins, held_out): rows of conversations as transcript lines.
+    """(conv, block, pos, line, role, begins, held_out, turn): rows of conversations as transcript lines.
 
     Three of four turns, by a hash, open with one of their role's names; the others show nothing. role
     and begins are the truth, held_out is that the crc32 of the id as text leaves 1 when divided by 3.
-    Null ids are one conversation; null texts are empty lines; null turns count as 0. Rows of one
-    turn are kept apart by a hash of their text.
+    Null ids are one conversation; null texts are empty lines; null turns count as 0.
+
+    Rows of one turn follow each other by a hash of their text; equal rows are a turn each. A row's
+    place in the sorted table gives pos and block, so blocks are bounded in rows whatever ids and turns
+    repeat. block is 0 where a conversation opens and grows from there, with gaps.
     """
     turn = F.coalesce(F.col("turn"), F.lit(0)).cast("bigint")
     pick = F.xxhash64("conv_id", "turn", "text")
@@ -210,24 +212,32 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), turn.alias("turn"), F.col("role").alias("role"),
         F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
-        F.posexplode(F.split(F.concat(F.coalesce(shown, F.lit("")), F.coalesce("text", F.lit(""))), "\n")).alias("at", "line"),
+        F.concat(F.coalesce(shown, F.lit("")), F.coalesce("text", F.lit(""))).alias("said"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"),
     )
-    return rows.select(
-        "conv", F.floor(F.col("turn") / BLOCK_TURNS).cast("bigint").alias("block"), (F.col("turn") * LINES_OF_TURN + F.col("at")).alias("pos"), "line",
-        "role", (F.col("at") == 0).alias("begins"), "held_out",
+    number = F.monotonically_increasing_id()
+    within = number.bitwiseAND(F.lit((1 << 33) - 1))
+    place = F.when(within < 1 << PART_BITS, F.shiftleft(F.shiftright(number, 33), PART_BITS) + within).otherwise(F.raise_error(F.lit("too many rows in one sorted part")).cast("bigint"))
+    ordered = rows.orderBy("conv", "turn", "hash", "said", "role", "row")  # row only lets many equal rows go to several parts
+    placed = written(ordered.select("conv", "turn", "role", "held_out", "said", place.alias("place")), "chat-rows")
+    placed = placed.withColumn("block", F.shiftright("place", BLOCK_BITS) + 1)
+    opening = placed.groupBy("conv").agg(F.min("block").alias("block")).withColumn("opening", F.lit(True))
+    lines = placed.join(opening, ["conv", "block"], "left").select(
+        "conv", F.when(F.col("opening"), 0).otherwise(F.col("block")).cast("bigint").alias("block"), "place", "role", "held_out", "turn",
+        F.posexplode(F.split("said", "\n")).alias("at", "line"),
     )
+    return lines.select("conv", "block", (F.shiftleft("place", LINE_BITS) + F.col("at")).alias("pos"), "line", "role", (F.col("at") == 0).alias("begins"), "held_out", "turn")
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """(conv_id as text, first_line, turn, role, n_lines, rendered) of every turn recovered from the transcripts of conversations.
 
     The model is fitted on lines that are not held out. turn is the number of the turn that the
-    recovered one starts in. Repeated rows interleave as lines of one turn.
+    recovered one starts in, first_line the place of its first line in that turn's row.
     """
     lines = written(transcripts(conversations), "chat-transcripts")
     model = fit(lines.where(~F.col("held_out")))
-    found = turns(speakers(lines.select("conv", "block", "pos", "line"), model))
-    return found.select(
-        F.col("conv").alias("conv_id"), F.pmod("first_pos", F.lit(LINES_OF_TURN)).alias("first_line"),
-        F.floor(F.col("first_pos") / LINES_OF_TURN).cast("bigint").alias("turn"), "role", "n_lines", "rendered",
+    place = lambda pos: F.shiftright(pos, LINE_BITS).alias("place")
+    found = turns(speakers(lines.select("conv", "block", "pos", "line"), model)).select("*", place("first_pos"))
+    return found.join(lines.where("begins").select(place("pos"), "turn"), "place").select(
+        F.col("conv").alias("conv_id"), F.pmod("first_pos", F.lit(1 << LINE_BITS)).alias("first_line"), "turn", "role", "n_lines", "rendered",
     )
