@@ -1,11 +1,14 @@
 """Mixing sources to target weights by soft membership, with DataFrame and SQL functions only.
 
-1. A classifier (multinomial naive Bayes over counts of fixed substrings) learns domains from the
-   labelled table: one aggregation gives counts per class, a number of classes times features.
+1. A classifier learns domains from the labelled table. Its features are character n-grams, picked
+   from a bounded sample of labelled texts by how much more often a domain has them than the others;
+   multinomial naive Bayes over their counts gives posteriors. One aggregation gives the counts per
+   class, a number of classes times features.
 2. Every document gets posteriors over the domains and its number of words (tokens).
 3. Nonnegative rates per document are fitted by projected gradient on a weighted least squares of
    the expected token totals of the domains against their targets. A step needs the totals alone, so
-   it is one aggregation; rates stay a column.
+   it is one aggregation; rates stay a column. Steps end when the totals meet the targets or stand
+   still; a fit that does neither within MAX_STEPS is an error.
 4. A rate becomes whole copies: its integer part, and one more if the document's hash falls under
    the rest. Hashes make this the same for any partitioning.
 """
@@ -14,31 +17,32 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Substrings that are counted, all lower or upper case as written. Letters and endings
-#: of four languages, and marks that prose seldom holds.
-MARKS = (
-    "é", "è", "ê", "ç", "eau", "eux", "ment", "ä", "ö", "ü", "ß", "sch", "keit", "ñ", "ó", "í", "ción", "arr",
-    "th", "ing", "wh", "sh", " the ", " der ", " la ", " el ", "|", "#", "$", "%", "*", "&", "!!", "\n",
-)
 #: Domains and their target shares: four languages in good quality, and everything of low quality.
 TARGETS = {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.14, "rough": 0.01}
+#: Labelled texts of each domain that n-grams are picked from, at most, and that the classifier is fitted on.
+PICKED_FROM, SAMPLE_PER_DOMAIN = 300, 20_000
+#: N-grams picked for each domain, and the longest; a space stands for a word's edge.
+GRAMS_PER_DOMAIN, LONGEST_GRAM = 6, 4
 LARGEST_RATE = 4.0
-STEPS = 12
+#: Steps until a fit is given up; totals that meet the targets, and steps that no longer move them, as shares of all tokens.
+MAX_STEPS, MET, STILL = 200, 1e-6, 1e-7
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def _count(text: Column, mark: str) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark.encode())
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, marks: Sequence[str] = MARKS, whole_row: bool = False) -> DataFrame:
+def measured(docs: DataFrame, id_col: str, text_col: str, marks: Sequence[str], whole_row: bool = False) -> DataFrame:
     """(id, key, n_tokens, m): a row's words and mark counts; key is the hash of its text. whole_row adds row, all columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
@@ -46,11 +50,46 @@ def measured(docs: DataFrame, id_col: str, text_col: str, marks: Sequence[str] =
         F.col(id_col).alias("id"),
         F.xxhash64(text).alias("key"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n_tokens"),
-        F.array(*(_count(text, m) for m in marks)).alias("m"),
+        F.array(*(_count(text, m) for m in marks)).cast("array<double>").alias("m"),
     )
 
 
-def classifier(known: DataFrame, domains: Sequence[str], marks: Sequence[str] = MARKS) -> dict[str, tuple[float, list[float]]]:
+def learned_marks(known: DataFrame, domains: Sequence[str], each: int = GRAMS_PER_DOMAIN, longest: int = LONGEST_GRAM) -> list[str]:
+    """N-grams that tell the domains apart, from labelled texts (domain, t): at most `each` for a domain.
+
+    Every text weighs the same. A gram's worth for a domain is its rate there times the log of how far
+    that is above the mean rate of the domains; of two grams of which one holds the other, only the better stays.
+    Ties go to the gram that sorts first. Without a labelled text there are none.
+    """
+    words = known.select("domain", F.array_remove(F.split("t", BLANKS), "").alias("w")).where(F.size("w") > 0)
+    rows = words.select("domain", F.explode("w").alias("w"), (1 / F.size("w")).alias("weight"))
+    counted = rows.groupBy("domain", "w").agg(F.sum("weight").alias("weight"))
+    edged = F.concat(F.lit(" "), F.substring("w", 1, 64), F.lit(" "))
+    every = F.flatten(F.array(*(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length(edged) - (n - 1), F.lit(1))), lambda i, n=n: F.substr(edged, i, F.lit(n))) for n in range(1, longest + 1)
+    )))
+    grams = counted.select("domain", "weight", F.explode(every).alias("gram")).where("trim(gram) <> ''").groupBy("gram", "domain").agg(F.sum("weight").alias("weight"))
+    texts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # one row per domain
+    present = [d for d in domains if d in texts]
+    if not present:
+        return []
+    rate = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("weight"))), F.lit(0.0)) / texts[d] for d in present]
+    rates = grams.groupBy("gram").agg(F.array(*rate).alias("rates"))
+    mean = F.aggregate("rates", F.lit(1e-6), lambda total, x: total + x) / len(present)
+    worth = rates.select("gram", F.posexplode(F.transform("rates", lambda x: x * F.log((x + 1e-6) / mean))).alias("at", "worth")).where("worth > 0")
+    best = Window.partitionBy("at").orderBy(F.desc(F.round("worth", 9)), "gram")
+    found = worth.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 20 * each).orderBy("at", "rank").collect()  # 20 times the grams wanted
+    out: list[str] = []
+    for at in range(len(present)):
+        own: list[str] = []
+        for r in found:
+            if r["at"] == at and len(own) < each and not any(r["gram"] in o or o in r["gram"] for o in own):
+                own.append(r["gram"])
+        out += [g for g in own if g not in out]
+    return out
+
+
+def classifier(known: DataFrame, domains: Sequence[str], marks: Sequence[str]) -> dict[str, tuple[float, list[float]]]:
     """Log prior and log rates of the marks of each domain, from rows (domain, m)."""
     # marks count by their share of the text's, so that a long text teaches as much as a short one
     total = F.aggregate("m", F.lit(1e-9), lambda a, x: a + x)
@@ -71,7 +110,7 @@ def posteriors(rows: DataFrame, model: Mapping[str, tuple[float, list[float]]])
     Marks of one text are far from independent, so the evidence counts by the root of their number
     in place of the number: that keeps memberships soft.
     """
-    logs = [F.lit(prior) + sum((F.get("m", F.lit(i)) * w for i, w in enumerate(weights)), F.lit(0.0)) / F.col("root") for prior, weights in model.values()]
+    logs = [F.lit(float(prior)) + sum((F.get("m", F.lit(i)) * w for i, w in enumerate(weights)), F.lit(0.0)) / F.col("root") for prior, weights in model.values()]
     rows = _once(rows, "m", F.col("m"))
     rows = _once(rows, "root", F.sqrt(F.greatest(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))))
     rows = _once(rows, "l", F.array(*logs))
@@ -85,34 +124,52 @@ def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select(*(c for c in rows.columns if c != name), F.explode(F.array(value)).alias(name))
 
 
-def fitted_rates(rows: DataFrame, targets: Sequence[float], largest: float = LARGEST_RATE, steps: int = STEPS) -> tuple[list[list[float]], list[float], list[float]]:
-    """(steps taken, expected totals, targets in tokens) by projected gradient over rows (n_tokens, p).
+@dataclass
+class Fit:
+    """Steps of the rates, and the expected token totals of the domains against their targets."""
+
+    steps: list[list[float]] = field(default_factory=list)
+    totals: list[float] = field(default_factory=list)
+    goals: list[float] = field(default_factory=list)
+
+    @property
+    def gap(self) -> float:
+        """The largest distance of a total from its target, as a share of all tokens."""
+        return max((abs(t - g) for t, g in zip(self.totals, self.goals, strict=True)), default=0.0) / max(sum(self.goals), 1.0)
+
+
+def fitted_rates(rows: DataFrame, targets: Sequence[float], largest: float = LARGEST_RATE, max_steps: int = MAX_STEPS) -> Fit:
+    """Steps to the rates by projected gradient over rows (n_tokens, p).
 
     With r the rates, n the tokens and P the posteriors, the loss is half of (P'nr - goal)' G (P'nr - goal),
     G being the inverse of P'nP: one aggregation of a domains-by-domains matrix. In the metric that
     counts a document by its tokens the gradient is P G (P'nr - goal) and the loss has curvature one, so
     a step of one never overshoots, and reaches the goal at once where no bound is met. Every step is one
     more aggregation. The goals add up to the tokens there are. rated() turns steps into a column.
+
+    Where bounds keep a target out of reach the totals come to rest at the least loss there is; gap says
+    how far from the targets. Totals that still move after max_steps are an error.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     p = [F.get("p", F.lit(i)) for i in range(k)]
     sums = rows.agg(*(F.sum(F.col("n_tokens") * p[i]) for i in range(k)), *(F.sum(F.col("n_tokens") * p[i] * p[j]) for i, j in pairs)).first()
-    now = [float(x or 0.0) for x in sums[:k]]
+    fit = Fit(totals=[float(x or 0.0) for x in sums[:k]])
     gram = np.zeros((k, k))
     for (i, j), x in zip(pairs, sums[k:], strict=True):
         gram[i, j] = gram[j, i] = float(x or 0.0)
     inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    whole = sum(now)
-    goal = [t * whole / sum(targets) for t in targets]
-    taken: list[list[float]] = []
-    for _ in range(steps):
-        if max(abs(n - g) for n, g in zip(now, goal, strict=True)) <= 1e-6 * whole:
+    whole = sum(fit.totals)
+    fit.goals = [t * whole / sum(targets) for t in targets]
+    while fit.gap > MET:
+        if len(fit.steps) == max_steps:
+            raise RuntimeError(f"rates still move after {max_steps} steps; totals are off by {fit.gap:.2g} of all tokens")
+        fit.steps.append((inverse @ (np.array(fit.totals) - np.array(fit.goals))).tolist())
+        got = rated(rows, fit.steps, largest).agg(*(F.sum(F.col("n_tokens") * F.col("rate") * x) for x in p)).first()
+        before, fit.totals = fit.totals, [float(x or 0.0) for x in got]
+        if max(abs(a - b) for a, b in zip(before, fit.totals, strict=True)) <= STILL * whole:
             break
-        taken.append((inverse @ (np.array(now) - np.array(goal))).tolist())
-        got = rated(rows, taken, largest).agg(*(F.sum(F.col("n_tokens") * F.col("rate") * x) for x in p)).first()
-        now = [float(x or 0.0) for x in got]
-    return taken, now, goal
+    return fit
 
 
 def rated(rows: DataFrame, steps: Sequence[Sequence[float]], largest: float = LARGEST_RATE) -> DataFrame:
@@ -131,7 +188,8 @@ def rated(rows: DataFrame, steps: Sequence[Sequence[float]], largest: float = LA
 def labelled_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", domains: Sequence[str] = tuple(TARGETS)) -> DataFrame:
     """(key, domain) from the labelled table: the language of a good text, "rough" for a poor one.
 
-    A text labelled more than once takes its best label; languages that are no domain teach nothing.
+    A text labelled more than once takes its best label, an id of several languages the first of them;
+    languages that are no domain teach nothing.
     """
     best = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max("quality").alias("quality"))
     langs = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(lang_col).alias("lang"))
@@ -139,30 +197,63 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return langs.join(best, F.col("id") == F.col("key")).select("key", named.alias("domain")).where(F.col("domain").isin(*domains))
 
 
+def _sampled(named: DataFrame, domains: Sequence[str], each: int) -> DataFrame:
+    """At most so many rows (key, domain) of each domain, by the hash of the key."""
+    parts = [named.where(F.col("domain") == d).orderBy(F.xxhash64("key"), "key").limit(each) for d in domains]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def mixture(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: (id_col, n_tokens, p_<domain> ..., domain, rate, copies).
 
-    domain is the likeliest. Null and empty texts have no tokens; their posteriors are the priors and
-    their rate is what those give. Without labels all domains have the same posterior. Rates lie in 0 to
-    LARGEST_RATE: where a domain has too few tokens for its target, its documents stand at the bound
-    and the total falls short. Repeated rows are mixed each; equal rows get the same copies.
+    domain is the likeliest, the first of targets among equals. Null and empty texts have no tokens; their
+    posteriors are the priors and their rate is what those give. Very long texts are measured whole. Without
+    labels all domains have the same posterior. Rates lie in 0 to LARGEST_RATE: where a domain has too few
+    tokens for its target, its documents stand at the bound and the total falls short; totals() says by
+    how much. Repeated rows are mixed each; equal rows get the same copies. Extra columns are not read.
     """
-    scored, model, steps = _fit(docs, labels, targets, id_col, text_col, lang_col)
-    return _copied(scored, steps).select(
+    domains = list(targets)
+    scored, _, _, fit = _fit(docs, labels, targets, id_col, text_col, lang_col)
+    return _copied(scored, fit.steps).select(
         F.col("id").alias(id_col), "n_tokens",
-        *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model)),
-        F.get(F.array(*(F.lit(d) for d in model)), F.array_position("p", F.array_max("p")).cast("int") - 1).alias("domain"), "rate", "copies",
+        *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)),
+        F.get(F.array(*(F.lit(d) for d in domains)), F.array_position("p", F.array_max("p")).cast("int") - 1).alias("domain"), "rate", "copies",
+    )
+
+
+def totals(mixed: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
+    """(domain, target_tokens, expected_tokens, copied_tokens) of the rows that mixture() gives, one row for each domain.
+
+    expected counts rates, copied the whole copies; both count a document in all domains by its posteriors.
+    """
+    whole = float(sum(targets.values()))
+    sums = mixed.agg(
+        F.sum("n_tokens").alias("all"),
+        *(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")).alias(f"e_{i}") for i, d in enumerate(targets)),
+        *(F.sum(F.col("n_tokens") * F.col("copies") * F.col(f"p_{d}")).alias(f"c_{i}") for i, d in enumerate(targets)),
     )
+    each = [
+        F.struct(F.lit(d).alias("domain"), (F.col("all") * (t / whole)).alias("target_tokens"), F.col(f"e_{i}").alias("expected_tokens"), F.col(f"c_{i}").alias("copied_tokens"))
+        for i, (d, t) in enumerate(targets.items())
+    ]
+    return sums.select(F.inline(F.array(*each)))
 
 
 def _fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], id_col: str, text_col: str, lang_col: str):
-    """(rows with posteriors, classifier, steps of the rates), all that mixture() and mix() need."""
+    """(rows with posteriors, marks, classifier, fit of the rates), all that mixture() and mix() need."""
     domains = list(targets)
-    rows = written(measured(docs, id_col, text_col), "mixing-rows")
-    named = labelled_domains(docs, labels, id_col, lang_col, domains)
-    model = classifier(rows.join(named, F.col("id") == named["key"]).select("domain", "m"), domains)
+    named = written(_sampled(labelled_domains(docs, labels, id_col, lang_col, domains), domains, SAMPLE_PER_DOMAIN), "mixing-labels")
+    few = F.broadcast(_sampled(named, domains, PICKED_FROM))  # PICKED_FROM rows for each domain at most
+    texts = docs.join(few, F.col(id_col) == few["key"]).groupBy("key", "domain").agg(F.min(text_col).alias("t"))  # one text for a repeated id
+    marks = learned_marks(written(texts.select("domain", "t"), "mixing-texts"), domains)
+    rows = written(measured(docs, id_col, text_col, marks), "mixing-rows")
+    few = F.broadcast(named)  # SAMPLE_PER_DOMAIN rows for each domain at most
+    model = classifier(rows.join(few, F.col("id") == few["key"]).select("domain", "m"), domains, marks)
     scored = written(posteriors(rows, model), "mixing-posteriors")
-    return scored, model, fitted_rates(scored, list(targets.values()))[0]
+    return scored, marks, model, fitted_rates(scored, list(targets.values()))
 
 
 def _copied(scored: DataFrame, steps: Sequence[Sequence[float]]) -> DataFrame:
@@ -172,12 +263,12 @@ def _copied(scored: DataFrame, steps: Sequence[Sequence[float]]) -> DataFrame:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, with all their columns, each as often as its copies say.
+    """The rows of docs, with all their columns, each as often as its copies say; cases are those of mixture().
 
     Classifier and rates are small expressions by then, so texts are measured again in place of being
     shuffled to meet their copies.
     """
-    _, model, steps = _fit(docs, labels, targets, id_col, text_col, lang_col)
-    scored = posteriors(measured(docs, id_col, text_col, whole_row=True), model)
-    copied = _copied(scored, steps).where("copies > 0")
+    _, marks, model, fit = _fit(docs, labels, targets, id_col, text_col, lang_col)
+    scored = posteriors(measured(docs, id_col, text_col, marks, whole_row=True), model)
+    copied = _copied(scored, fit.steps).where("copies > 0")
     return copied.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
