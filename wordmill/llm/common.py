@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir).
 
-    Where the session names none, as in tests on one machine, a new local one is set.
+    Where a session on one machine names none, as in tests, a new local one is set; on a cluster, where
+    no executor could read it, that is an error.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
@@ -19,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-wordmill-"))
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
@@ -35,3 +39,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def id_type(df: DataFrame, column: str) -> str:
     """The SQL type of a key column, for the schemas of Python steps that pass it on."""
     return df.schema[column].dataType.simpleString()
+
+
+def ascii_lower(column: Column) -> Column:
+    """A-Z in lower case, every other character as it is."""
+    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -3,15 +3,20 @@
 Every pair of consecutive words of every text (a rolling k-gram, k = 2, so that two-word phrases
 have one) is joined by its hash, and then by its words, to the places it has in the templates. A hit votes for
 the diagonal "place in the text minus place in the template": a whole copy puts all its votes on one.
-Neighbouring diagonals merge, so that a word put in or left out doesn't split a copy in two. A span
-is taken for a copy if its votes cover enough of the template within few enough words.
+Neighbouring diagonals merge to islands, so that a word put in or left out doesn't split a copy in two.
+Every span of few enough words inside an island is verified: one whose votes cover enough of the template
+is a copy, whatever else the island holds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import ascii_lower
+
 #: The phrases whose places are counted, and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -29,17 +34,18 @@ TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
 }
-#: The least share of a template's word pairs, the furthest that merged diagonals lie apart, the longest span.
+#: The least share of a template's word pairs, the furthest that merged diagonals lie apart, the longest span (in pairs of the template).
 COVERAGE = 0.8
 MERGE = 2
 LONGEST = 1.5
+UNIT = 1 << 20
 #: Fixed value: what stands between words once A-Z are lower-case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for a null text."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def seeds(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
@@ -81,36 +87,29 @@ def scan(
     table = seeds(spark, phrases, templates).withColumn("h", F.xxhash64("a", "b"))
     hits = rolled.join(F.broadcast(table), "h").where("ga = a and gb = b")  # the templates above: some dozens of rows
 
-    diagonals = hits.groupBy(
-        "id", "key", "n_words", "label", "phrase", "pairs", F.when(F.col("pairs") > 0, F.col("p") - F.col("at")).alias("diagonal")
-    ).agg(
-        F.count("*").alias("rows"),
-        F.bit_or("bit").alias("cover"),
-        F.min("p").alias("first"),
-        F.max("p").alias("last"),
-    )
-    by = Window.partitionBy("id", "key", "label", "phrase").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > MERGE, F.lit(True))
-    spans = (
-        diagonals.withColumn("island", F.when(~F.col("phrase"), F.sum(far.cast("int")).over(by)).otherwise(F.row_number().over(by)))
-        .groupBy("id", "key", "n_words", "label", "phrase", "pairs", "island")
-        .agg(
-            F.max("rows").alias("rows"), F.bit_or("cover").alias("cover"), F.min("first").alias("first"), F.max("last").alias("last"),
-            F.min("diagonal").alias("start"),
-        )
-    )
-    share = F.try_divide(F.bit_count("cover"), F.col("pairs"))
-    short = F.col("last") - F.col("first") + 1 <= F.ceil(F.col("pairs") * LONGEST)
-    whole = F.col("phrase") & (F.bit_count("cover") == F.col("pairs"))
-    taken = ~F.col("phrase") & (share >= COVERAGE) & short
+    # one row for a vote, however often the row of docs repeats; ("", "", 0) votes for the document itself
+    votes = hits.groupBy("id", "key", "n_words", "label", "phrase", "pairs", "p", "at", "bit").agg(F.count("*").alias("rows"))
+    votes = votes.withColumn("diagonal", F.col("p") - F.col("at"))
+    sorted_ = Window.partitionBy("id", "key", "label", "phrase").orderBy("diagonal", "p")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(sorted_) > MERGE, F.lit(True))
+    votes = votes.withColumn("far", far.cast("int"))
+    votes = votes.withColumn("island", F.when(F.col("phrase"), F.col("diagonal")).otherwise(F.sum("far").over(sorted_)))
+    # a span begins at a vote and has room for LONGEST times the template's pairs: with that room as UNIT it is shorter than UNIT
+    room = F.greatest(F.ceil(F.col("pairs") * LONGEST), F.lit(1))
+    longest = max(math.ceil((len(text.split()) - 1) * LONGEST) for text in (*phrases, *templates))
+    span = Window.partitionBy("id", "key", "label", "phrase", "island").orderBy("place").rangeBetween(0, UNIT - UNIT // (2 * longest))
+    spans = votes.withColumn("place", F.floor(F.col("p").cast("bigint") * UNIT / room)).withColumn("cover", F.bit_count(F.bit_or("bit").over(span)))
+    share = F.try_divide(F.col("cover"), F.col("pairs"))
+    whole = F.col("phrase") & (F.col("at") == 0) & (F.col("cover") == F.col("pairs")) & (F.col("pairs") > 0)
+    taken = ~F.col("phrase") & (F.col("pairs") > 0) & (share >= COVERAGE)
     found = spans.groupBy("id", "key", "n_words").agg(
         F.max(F.when(F.col("pairs") == 0, F.col("rows"))).alias("copies"),
         F.count_if(whole).alias("n_base"),
-        F.min(F.when(whole, F.col("start").cast("bigint"))).alias("first_word"),
-        F.max(F.when(whole, F.col("start").cast("bigint"))).alias("last_word"),
+        F.min(F.when(whole, F.col("p").cast("bigint"))).alias("first_word"),
+        F.max(F.when(whole, F.col("p").cast("bigint"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(whole, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(whole | taken, F.col("label")))), ",").alias("labels"),
-        F.coalesce(F.max(F.when((F.col("pairs") > 0) & (short | whole), share)), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(F.col("pairs") > 0, share)), F.lit(0.0)).alias("score"),
     )
     once = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return once.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

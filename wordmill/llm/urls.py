@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, written
+from .common import ascii_lower, id_type, written
 
 #: Verdict, host and path of each rule.
 RULES = (
@@ -42,13 +42,9 @@ FEATURES = (
 )
 
 
-def _ascii_lower(column: Column) -> Column:
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def host(url: Column) -> Column:
     """What stands after the first :// up to /, ? or #, A-Z lower-cased; empty for a null url or without ://."""
-    return F.coalesce(_ascii_lower(F.regexp_extract(url, "://([^/?#]*)", 1)), F.lit(""))
+    return F.coalesce(ascii_lower(F.regexp_extract(url, "://([^/?#]*)", 1)), F.lit(""))
 
 
 def path(url: Column) -> Column:
