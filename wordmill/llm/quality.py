@@ -3,6 +3,9 @@
 Base statistics come first (words, symbols, repeated lines, words in repeated windows) with two
 rules. Then every line with a word is labelled content or boilerplate by Viterbi decoding; the share
 of words that stand in content lines decides whether the document is kept.
+
+Only documents are labelled, so the labels of lines are latent: a good text is taken to hold mostly
+content lines and a poor one few, and expectation maximisation under these bounds finds which.
 """
 
 from __future__ import annotations
@@ -25,9 +28,12 @@ MOST_REPEATED_PERCENT = 30
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
-#: The most labelled documents of each quality class (0, 1) that the field is fitted on, and the lines of one sequence.
+#: The most labelled documents of each quality class (0, 1) that the field is fitted on, the lines of one sequence
+#: and the most sequences of one text, which then lie evenly over it.
 SAMPLE_PER_CLASS = (1500, 1500)
-LINES_AT_ONCE = 64
+LINES_AT_ONCE, SEQUENCES_PER_TEXT = 64, 8
+#: Expected share of content lines that a good text has at least, and a poor one at most.
+GOOD_SHARE, POOR_SHARE = 0.9, 0.3
 FEATURES = (
     "bias", "log words", "pipes", "symbols", "exclamations", "digits", "all capitals", "small start", "sentence end",
     "one word", "few words", "repeated words", "same neighbours", "seen before", "first line", "last line", "word length",
@@ -116,11 +122,72 @@ class Field:
         return np.array(out[::-1], dtype=np.int64)
 
 
-def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
-    """Maximum conditional likelihood by gradient steps (Adam) over forward-backward sums.
+class _Sequences:
+    """Padded sequences, and the expectations of a field over them."""
+
+    def __init__(self, pieces: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in pieces])
+        self.longest = int(self.size.max())
+        self.live = np.arange(self.longest)[None, :] < self.size[:, None]
+        self.x = np.zeros((len(pieces), self.longest, len(FEATURES)))
+        for row, piece in zip(self.x, pieces, strict=True):
+            row[: len(piece)] = piece
+
+    def expected(self, gain: np.ndarray, steps: np.ndarray, start: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chance of content for each line, expected steps weighted by the sequences' shares) by forward-backward sums.
+
+        gain is what content scores over boilerplate at each line.
+        """
+        n = len(self.x)
+        two = np.zeros((n, self.longest, 2))
+        two[:, :, 1] = gain
+        ahead = np.zeros_like(two)
+        ahead[:, 0] = start + two[:, 0]
+        for t in range(1, self.longest):
+            new = np.logaddexp(ahead[:, t - 1, :1] + steps[0], ahead[:, t - 1, 1:] + steps[1]) + two[:, t]
+            ahead[:, t] = np.where(self.live[:, t, None], new, ahead[:, t - 1])
+        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
+        behind = np.zeros_like(two)
+        hops = np.zeros(4)
+        for t in range(self.longest - 2, -1, -1):
+            after = two[:, t + 1] + behind[:, t + 1]
+            on = self.live[:, t + 1]
+            joint = np.exp(np.minimum(ahead[:, t, :, None] + steps[None] + after[:, None, :] - total[:, None, None], 0))
+            hops += (joint * (on * share)[:, None, None]).sum(axis=0).ravel()
+            new = np.logaddexp(steps[:, 0] + after[:, :1], steps[:, 1] + after[:, 1:])
+            behind[:, t] = np.where(on[:, None], new, 0)
+        chance = np.exp(np.minimum(ahead[:, :, 1] + behind[:, :, 1] - total[:, None], 0)) * self.live
+        return chance, hops
+
+
+class _Adam:
+    def __init__(self, size: int, rate: float) -> None:
+        self.value, self.first, self.second = (np.zeros(size) for _ in range(3))
+        self.rate, self.turn = rate, 0
+
+    def step(self, slope: np.ndarray) -> None:
+        self.turn += 1
+        self.first += 0.1 * (slope - self.first)
+        self.second += 0.01 * (slope * slope - self.second)
+        self.value -= self.rate * (self.first / (1 - 0.9**self.turn)) / (np.sqrt(self.second / (1 - 0.99**self.turn)) + 1e-9)
+
+
+def spread(features: np.ndarray) -> list[np.ndarray]:
+    """Sequences of LINES_AT_ONCE lines of one text; of more than SEQUENCES_PER_TEXT, so many spread evenly."""
+    starts = np.arange(0, len(features), LINES_AT_ONCE)
+    if len(starts) > SEQUENCES_PER_TEXT:
+        starts = starts[np.linspace(0, len(starts) - 1, SEQUENCES_PER_TEXT).round().astype(int)]
+    return [features[i : i + LINES_AT_ONCE] for i in starts]
 
-    Every line of a labelled text takes the text's label. Each text counts once, however many lines
-    it has. Without both classes the field takes every line for the one class (content if none).
+
+def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+    """A field from the lines of labelled texts (1: good), whose lines have no labels of their own.
+
+    The first guess is a line by line one, from the text's label. Then, in turns, the chances of the
+    lines' labels are found under bounds (content is GOOD_SHARE of a good sequence at least, POOR_SHARE
+    of a poor one at most, each kept by a multiplier of its own), and the field steps towards them: Adam
+    on the difference of forward-backward expectations with and without the bounds. Each text counts
+    once, however many lines it has. Without both classes every line is the one class (content if none).
     """
     k = len(FEATURES)
     labels = {y for _, y in sequences}
@@ -128,57 +195,51 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: floa
         bias = np.zeros(k)
         bias[0] = -5.0 if labels == {0} else 5.0
         return Field(bias, np.zeros((2, 2)), np.zeros(2))
-    pieces = [(x[i : i + LINES_AT_ONCE], y, 1 / len(x)) for x, y in sequences for i in range(0, len(x), LINES_AT_ONCE)]
-    longest = max(len(x) for x, _, _ in pieces)
-    size = np.array([len(x) for x, _, _ in pieces])
+    pieces = [(piece, y, 1 / len(x)) for x, y in sequences for piece in spread(x)]
+    held = _Sequences([x for x, _, _ in pieces])
     y = np.array([label for _, label, _ in pieces])
     share = np.array([s for _, _, s in pieces])
-    share *= np.where(y == 1, 0.5 / (y * share * size).sum(), 0.5 / ((1 - y) * share * size).sum())
-    x = np.zeros((len(pieces), longest, k))
-    for i, (rows, _, _) in enumerate(pieces):
-        x[i, : len(rows)] = rows
-    live = np.arange(longest)[None, :] < size[:, None]
-    value = np.zeros(k + 6)
-    first, second = np.zeros_like(value), np.zeros_like(value)
-    for turn in range(1, rounds + 1):
-        w, steps, start = value[:k], value[k : k + 4].reshape(2, 2), value[k + 4 :]
-        gain = np.zeros((len(pieces), longest, 2))
-        gain[:, :, 1] = x @ w
-        ahead = np.zeros_like(gain)
-        ahead[:, 0] = start + gain[:, 0]
-        for t in range(1, longest):
-            new = np.logaddexp(ahead[:, t - 1, :1] + steps[0], ahead[:, t - 1, 1:] + steps[1]) + gain[:, t]
-            ahead[:, t] = np.where(live[:, t, None], new, ahead[:, t - 1])
-        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        behind = np.zeros_like(gain)
-        hops = np.zeros(4)
-        for t in range(longest - 2, -1, -1):
-            after = gain[:, t + 1] + behind[:, t + 1]
-            on = live[:, t + 1]
-            joint = np.exp(np.minimum(ahead[:, t, :, None] + steps[None] + after[:, None, :] - total[:, None, None], 0))
-            hops += (joint * (on * share)[:, None, None]).sum(axis=0).ravel()
-            new = np.logaddexp(steps[:, 0] + after[:, :1], steps[:, 1] + after[:, 1:])
-            behind[:, t] = np.where(on[:, None], new, 0)
-        chance = np.exp(np.minimum(ahead + behind - total[:, None, None], 0)) * live[:, :, None]
-        slope = np.zeros_like(value)
-        slope[:k] = np.einsum("nt,ntk->k", (chance[:, :, 1] - y[:, None] * live) * share[:, None], x)
-        pairs = np.maximum(size - 1, 0) * share
-        slope[k : k + 4] = hops - np.array([(pairs * (1 - y)).sum(), 0, 0, (pairs * y).sum()])
-        slope[k + 4 :] = (chance[:, 0] * share[:, None]).sum(axis=0) - np.array([(share * (1 - y)).sum(), (share * y).sum()])
-        slope += ridge * value
-        first += 0.1 * (slope - first)
-        second += 0.01 * (slope * slope - second)
-        value -= rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-9)
+    share *= np.where(y == 1, 0.5 / (y * share * held.size).sum(), 0.5 / ((1 - y) * share * held.size).sum())
+    fit = _Adam(k + 6, rate)
+    for _ in range(rounds):
+        chance = 1 / (1 + np.exp(-held.x @ fit.value[:k])) * held.live
+        slope = ridge * fit.value
+        slope[:k] += np.einsum("nt,ntk->k", (chance - y[:, None] * held.live) * share[:, None], held.x)
+        fit.step(slope)
+    # the line by line guess took ordinary lines of poor texts for poor: their multipliers settle that
+    bound, sign = np.where(y == 1, GOOD_SHARE, POOR_SHARE), np.where(y == 1, 1.0, -1.0)
+    push = np.zeros(len(y))
+    goal_chance = goal_hops = None
+    for turn in range(rounds):
+        w, steps, start = fit.value[:k], fit.value[k : k + 4].reshape(2, 2), fit.value[k + 4 :]
+        gain = held.x @ w
+        if turn % 4 == 0:
+            goal_chance, goal_hops = held.expected(gain + push[:, None], steps, start, share)
+            missing = bound - goal_chance.sum(axis=1) / held.size
+            push = sign * np.clip(sign * (push + 4.0 * missing), 0, 8)
+        chance, hops = held.expected(gain, steps, start, share)
+        slope = ridge * fit.value
+        slope[:k] += np.einsum("nt,ntk->k", (chance - goal_chance) * share[:, None], held.x)
+        slope[k : k + 4] += hops - goal_hops
+        gone = ((chance[:, 0] - goal_chance[:, 0]) * share).sum()
+        slope[k + 4 :] += (-gone, gone)
+        fit.step(slope)
+    value = fit.value
     return Field(value[:k].copy(), value[k : k + 4].reshape(2, 2).copy(), value[k + 4 :].copy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """A field of labels.quality, fitted on a bounded sample; documents that fail a base rule teach it too."""
+    """A field of labels.quality, fitted on a bounded sample of texts and of their lines.
+
+    SAMPLE_PER_CLASS texts of each class at most, of each SEQUENCES_PER_TEXT sequences of LINES_AT_ONCE lines
+    spread evenly over it. Documents that fail a base rule teach it too; null and empty ones have no line.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [line_features((t or "").split("\n"))[0] for t in batch["t"]]
-            yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "x": [x.astype(np.float32).tobytes() for x in found]})
+            found = [spread(line_features((t or "").split("\n"))[0]) for t in batch["t"]]
+            found = [np.concatenate(x).astype(np.float32).tobytes() if x else b"" for x in found]
+            yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "x": found})
 
     sample = labelled_sample(docs, labels, "quality", per_class, id_col, text_col)
     rows = sample.mapInPandas(run, "id string, y int, x binary").collect()
@@ -214,8 +275,9 @@ NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 def quality(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, statistics, base_failed, content_share, kept) for every row of docs.
 
-    Null and empty texts have no words, fail the base rules and are not kept. Repeated rows are
-    judged each; other columns of docs are not read.
+    Null and empty texts have no words, fail the base rules and are not kept. Very long texts are judged
+    whole, all their lines as one sequence. A line that scores alike both ways is content. Repeated rows
+    are judged each; other columns of docs are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,7 +292,10 @@ def quality(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that quality() keeps."""
+    """The rows of docs, with all their columns, that quality() keeps.
+
+    Null and empty texts go; very long ones are judged whole; repeated rows stay or go together.
+    """
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
