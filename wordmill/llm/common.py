@@ -44,3 +44,20 @@ def id_type(df: DataFrame, column: str) -> str:
 def ascii_lower(column: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Keys that hold more than 1/HOT of the rows are hot: there can be HOT of them at most, so their side may be broadcast.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with values (one row for each key) without sending a hot key's rows to one task.
+
+    size is the column of values that says how many rows the key has, total the number of all rows.
+    Hot keys meet their values by a broadcast of HOT rows at most, all others by a shuffle.
+    """
+    hot = F.broadcast(values.where(F.col(size) > total / HOT).drop(size).withColumn("hot_", F.lit(True)))
+    met = rows.join(hot, key, "left")
+    rest = met.where("hot_ is null").select(*rows.columns).join(values.where(F.col(size) <= total / HOT).drop(size), key)
+    columns = [key, *(c for c in rows.columns if c != key), *(c for c in values.columns if c not in (key, size))]
+    return met.where("hot_").select(*columns).unionByName(rest.select(*columns))

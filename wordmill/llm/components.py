@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with the least v of each u, and u itself, as m."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least.withColumn("m", F.least("u", "m")), "u")
+def _least_neighbour(pairs: DataFrame, total: int) -> DataFrame:
+    """pairs (u, v), total in number or more, with the least v of each u, and u itself, as m."""
+    least = pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("size"))
+    return join_hot(pairs, least, "u", "size", total)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -19,17 +19,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps take turns, each round written to the shared folder. A round
     moves at most two rows for a link, whatever a node's degree; the number of rounds grows with
-    the logarithm of a component's size. Self links and links with a null end are left out.
+    the logarithm of a component's size. A node with very many links is no task of its own (join_hot).
+    Self links and links with a null end are left out.
     """
     edges = written(
         links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(),
         "links",
     )
-    before = None
+    before, total = None, edges.count()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = _least_neighbour(large.where("u <> v").distinct())
+        large = _least_neighbour(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = _least_neighbour(written(large.where("u <> v").distinct(), "links"), total)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             near.select("u", F.col("m").alias("v"))
         )
@@ -39,7 +40,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         ).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()

@@ -14,6 +14,12 @@ Three errors over three segments leave two cases (pigeonhole):
 
 Keys therefore hold 33 to 39 bits, candidates are few, and every candidate is verified by its
 Hamming distance inside the join, so only true links leave it.
+
+A dense cluster of n fingerprints would still give up to n * n candidates under one key. Fingerprints
+under such a heavy key are linked through hubs instead: two of them are within three bits if and only
+if some word is one bit or less from the one and two bits or less from the other. All fingerprints
+near a word are linked to one of those within one bit of it, which is a true link for each: the links
+grow with n, and reach whatever all pairs would.
 """
 
 from __future__ import annotations
@@ -23,11 +29,11 @@ from itertools import permutations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import id_type, written
+from .common import id_type, join_hot, written
 from .components import components
 
 #: Fixed value: the generator polynomial of the (23, 12) Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -36,6 +42,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
+#: Fingerprints of a key above which it is heavy.
+HEAVY = 2_000
 #: Rows to leave out that may be broadcast (two longs each); with more, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -168,25 +176,71 @@ def _keys(values: DataFrame, side: int) -> DataFrame:
     return values.select("fp").mapInPandas(run, "key bigint, fp bigint")
 
 
-def links(values: DataFrame) -> DataFrame:
-    """Pairs (u < v) of the distinct fingerprints in column fp that differ in 3 bits or fewer."""
-    left = _keys(values, 0).withColumnRenamed("fp", "u")
+def _flips(most: int) -> np.ndarray:
+    """All 64-bit words of `most` bits or fewer."""
+    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    out = [np.zeros(1, np.uint64), one]
+    if most > 1:
+        a, b = np.triu_indices(64, 1)
+        out.append(one[a] | one[b])
+    return np.concatenate(out)
+
+
+def hub_links(values: DataFrame) -> DataFrame:
+    """Pairs (u, v) of fingerprints in column fp that are within 3 bits: as many as connect all such pairs.
+
+    Every fingerprint names the 2,081 words within two bits of it, and tells which are within one. A word that is
+    within one bit of some is a hub: whatever names it is within three bits of the least of those.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flips = _flips(2)
+        close = np.arange(len(flips)) <= 64
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                fp = batch["fp"].to_numpy()[at : at + 256]
+                hubs = (fp.view(np.uint64)[:, None] ^ flips[None, :]).view(np.int64)
+                yield pd.DataFrame({"hub": hubs.ravel(), "fp": np.repeat(fp, len(flips)), "close": np.tile(close, len(fp))})
+
+    named = values.select("fp").mapInPandas(run, "hub bigint, fp bigint, close boolean")
+    near = Window.partitionBy("hub")  # a hub is named by 2,081 fingerprints at most
+    least = named.withColumn("least", F.min(F.when(F.col("close"), F.col("fp"))).over(near))
+    met = least.where((F.col("least") != F.col("fp")) & F.col("least").isNotNull())
+    return met.select(F.least("fp", "least").alias("u"), F.greatest("fp", "least").alias("v")).distinct()
+
+
+def links(values: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """Pairs (u < v) of the distinct fingerprints in column fp that differ in 3 bits or fewer.
+
+    All such pairs that no heavy key (of more than `heavy` fingerprints) brings together, and of those
+    that one does, as many as connect the same fingerprints.
+    """
+    left = written(_keys(values, 0).withColumnRenamed("fp", "u"), "simhash-keys")
     right = _keys(values, 1).withColumnRenamed("fp", "v")
-    return left.join(
-        right, (left["key"] == right["key"]) & (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE)
-    ).select("u", "v")
+    near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE)
+    crowded = written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("key"), "heavy-keys")
+    count = crowded.count()
+    if not count:
+        return left.join(right, (left["key"] == right["key"]) & near).select("u", "v")
+    right = written(right, "simhash-keys")
+    small = F.broadcast(crowded) if count <= BROADCAST_ROWS else crowded
+    plain = left.join(small, "key", "left_anti")
+    light = plain.join(right, (plain["key"] == right["key"]) & near).select("u", "v")
+    dense = left.join(small, "key", "left_semi").select(F.col("u").alias("fp")).unionByName(right.join(small, "key", "left_semi").select(F.col("v").alias("fp")))
+    return light.unionByName(hub_links(dense.distinct()))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, fp, root, component_id) of every row; root is the same within a group."""
+    """(fp, id, key, root, component_id) of every row; root is the same within a group."""
     known = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(known.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    distinct = written(known.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("size")), "distinct-fingerprints")
+    total, fps = distinct.agg(F.sum("size"), F.count("*")).first()
     rooted = components(links(distinct))
-    labelled = distinct.join(rooted, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(labelled.join(least, "root").select("fp", "root", "component_id"), "fp")
+    labelled = distinct.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "size", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = written(labelled, "rooted-fingerprints")
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_hot(labelled, least, "root", "members", fps)
+    return join_hot(known, named.select("fp", "root", "component_id", "size"), "fp", "size", total or 0)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +249,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id is the smallest id that links of 3 or fewer differing bits reach, the row's own
     included. Null and empty texts, and texts of white space only, have fingerprint zero and link like
     any other. Repeated rows come out as often as they came in. A null id takes part but is never a
-    component_id unless its component has no other. Other columns of docs are not read.
+    component_id unless its component has no other. Very long texts are read whole. Other columns of docs
+    are not read.
     """
     out = _grouped(docs, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -204,11 +259,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs, with all its columns, for each group: the one with the smallest id, nulls last.
 
-    Of rows that repeat that id, the one whose text has the least hash stays, once.
+    Of rows that repeat that id, the one whose text has the least hash stays, once; of those that repeat
+    id and text, the one whose columns come first as JSON. Null and empty texts are one group.
     """
-    rows = _grouped(docs, id_col, text_col).groupBy("root", "id", "key").agg(F.count("*").alias("n"))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("s"), F.sum("n").alias("size"))
-    rows = rows.join(first, "root")
+    rows = written(_grouped(docs, id_col, text_col).groupBy("root", "id", "key").agg(F.count("*").alias("n")), "grouped-rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("s"), F.count("*").alias("size"))
+    rows = join_hot(rows, first, "root", "size", rows.count())
     stays = F.col("id").eqNullSafe(F.col("s.id")) & (F.col("key") == F.col("s.key"))
     marked = written(
         rows.where(~stays | (F.col("n") > 1)).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), stays.alias("stays")), "near-copies"
@@ -225,5 +281,5 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = marked.where("stays").drop("stays")
     if repeated.limit(1).count():  # rows that stay and have equals
         again = held.join(repeated, meets(repeated), "left_semi")
-        kept = kept.unionByName(again.groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row"))
+        kept = kept.unionByName(again.groupBy("own_id", "own_key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
     return kept.select("row.*")
