@@ -15,12 +15,13 @@ the document's ids in 2 bytes each where the vocabulary allows, else in 4.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from dataclasses import dataclass
+from itertools import accumulate, chain
 from pathlib import Path
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .bpe import IDS_AT_ONCE, as_binary, lists, slices, tokenizer
+from .bpe import IDS_AT_ONCE, as_binary, lists, piece_table, slices, tokenizer
 from .common import shared_folder
 
 BLOCK_BYTES = 65_536
@@ -41,12 +42,14 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 FOOTER = struct.Struct("<QQQQQQI4s")
 MAGIC = b"WMS1"
-#: Word forms that a worker remembers the ids of; others are encoded again.
-REMEMBERED = 400_000
+#: Word forms that a worker remembers the ids of (others are encoded again), and forms in one string.
+REMEMBERED, FORMS_AT_ONCE = 600_000, 100
 #: Bytes of text that are encoded at once.
 TEXT_AT_ONCE = 8_000_000
 #: Fixed value: a space before white space, where words that start with a space can't be told apart.
 LOOSE_SPACE = r" [\s\x0b\x1c-\x1f\x{85}\pZ]"
+#: Stands for a single line end while texts are cut.
+MARK = "\x01"
 
 
 def _key(identifier: int | None, row: int) -> bytes:
@@ -192,85 +195,144 @@ class ShardReader:
         return out
 
 
-_remembered: dict[int, dict[str, bytes]] = {}
+class Forms:
+    """What a worker knows of one tokenizer file: forms met so far and their ids, to a bound, held as arrays."""
+
+    def __init__(self, file_text: str) -> None:
+        self.coder = tokenizer(file_text)
+        self.cut = cuts_at_spaces(file_text)
+        self.size_of = np.array([len(p) for p in piece_table(file_text)[0]]) if self.cut else None
+        self.forms = pa.array([], pa.string())
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each) of texts encoded on their own."""
+        found = [e.ids for at in range(0, len(texts), 5000) for e in self.coder.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def strung(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each) of forms that start with a space or line end, encoded many in a string.
+
+        The tokenizer cuts where a form starts, and ids give back every byte, so the bytes that ids stand
+        for tell which form they are of.
+        """
+        words = forms.to_pylist()
+        ids, _ = self.alone(["".join(words[at : at + FORMS_AT_ONCE]) for at in range(0, len(words), FORMS_AT_ONCE)])
+        edges = np.cumsum(pc.binary_length(forms).to_numpy(zero_copy_only=False).astype(np.int64))
+        reached = np.cumsum(self.size_of[ids])
+        last = np.searchsorted(reached, edges)
+        if len(edges) and not np.array_equal(reached[last], edges):
+            return self.alone(words)
+        return ids, np.diff(last, prepend=-1)
+
+    def coded(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each) of distinct forms; only those not known yet are encoded."""
+        place = pc.index_in(forms, self.forms)
+        new = forms.filter(pc.is_null(place))
+        ids, sizes = self.strung(new)
+        where = place.to_numpy(zero_copy_only=False)
+        fresh = np.isnan(where) if where.dtype.kind == "f" else np.zeros(len(where), bool)
+        where = np.where(fresh, len(self.forms) + np.cumsum(fresh) - 1, where).astype(np.int64)
+        sizes, ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        kept = min(len(new), max(0, REMEMBERED - len(self.forms)))
+        out = taken(ids, sizes, where)
+        if kept:
+            self.forms = pa.concat_arrays([self.forms, new.slice(0, kept)])
+            self.sizes = sizes[: len(self.forms)]
+            self.ids = ids[: self.sizes.sum()]
+        return out
 
 
-def _cuts(word: str) -> list[str]:
-    """A piece of text cut where such a tokenizer always cuts: around single line ends, and between a letter and a closing mark."""
-    parts = word.split("\n")
-    if len(parts) > 1 and parts != word.split():
-        return [word]
-    out: list[str] = []
-    for number, part in enumerate(parts):
-        if number:
-            out.append("\n")
-        if part[-1:] in (".", ",") and part[-2:-1].isascii() and part[-2:-1].isalpha():
-            out += (part[:-1], part[-1])
-        else:
-            out.append(part)
-    return out
+def taken(values: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of the runs at these places."""
+    return lists(pa.array(values), sizes).take(pa.array(places)).flatten().to_numpy(), sizes[places]
 
 
-def _coded(words: list[str], lead: str, file_text: str) -> list[bytes]:
-    """The ids of each piece, with the lead before it; what is known is kept for the worker's life, to a bound."""
-    known = _remembered.setdefault(hash(file_text), {})
-    cut = [_cuts(w) if w[-1:] in (".", ",") or "\n" in w else [w] for w in words]
-    for parts in cut:
-        parts[0] = lead + parts[0]
-    new = list({part for parts in cut for part in parts if part not in known})
-    own = dict(zip(new, _encoded(new, file_text), strict=True))
-    out = [b"".join([known[part] if part in known else own[part] for part in parts]) for parts in cut]
-    known.update(list(own.items())[: max(0, REMEMBERED - len(known))])
-    return out
+def cuts_at_spaces(file_text: str) -> bool:
+    """Whether a file's tokenizer always cuts before a space, or a single line end, that non-blank text follows.
+
+    So do byte-level files with the usual split, without a normalizer and without added tokens that hold
+    blanks or take them in. Texts are encoded whole for any other file.
+    """
+    file = json.loads(file_text)
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") is True and split.get("add_prefix_space") is False
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not any(c.isspace() for c in t["content"]) for t in file["added_tokens"])
+    return bool(plain and added and file.get("normalizer") is None and (file.get("decoder") or {}).get("type") == "ByteLevel" and model["type"] == "BPE" and not model.get("dropout"))
 
 
-def _encoded(texts: list[str], file_text: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian 32-bit integers."""
-    for at in range(0, len(texts), 5000):
-        for found in tokenizer(file_text).encode_batch(texts[at : at + 5000], add_special_tokens=False):
-            yield array("I", found.ids).tobytes()
+_forms: dict[int, Forms] = {}
 
 
 def encode_texts(texts: pa.Array, file_text: str, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, ids of each) for a byte-level file; null texts are empty, end is put after each.
+    """(ids of all texts, ids of each); null texts are empty, end is put after each.
 
-    Such a tokenizer never joins what stands on both sides of a space that is followed by anything
-    but white space, so texts are cut there and equal pieces of a batch are encoded once. Texts with
-    a space before other white space are encoded whole.
+    Where the file allows (cuts_at_spaces), texts are cut before spaces and single line ends, and equal
+    forms of a batch are encoded once; a full stop or comma after an ASCII letter is a form of its own.
+    Texts with a space before other white space, or with the mark that stands for a line end meanwhile, are
+    encoded whole, as are all texts of other files.
     """
+    key = hash(file_text)
+    if key not in _forms:
+        _forms[key] = Forms(file_text)
+    known = _forms[key]
     texts = pc.fill_null(texts, "")
-    loose = pc.match_substring_regex(texts, LOOSE_SPACE)
-    split = pc.split_pattern(pc.if_else(loose, "", texts), " ")
-    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not known.cut:
+        ids, sizes = known.alone(texts.to_pylist())
+        return np.insert(ids, np.cumsum(sizes), end), sizes + 1
+    loose = pc.or_(pc.match_substring_regex(texts, LOOSE_SPACE), pc.match_substring(texts, MARK))
+    marked = pc.replace_substring_regex(pc.if_else(loose, "", texts), r"(\S)\n(\S)", rf"\1 {MARK}\2")
+    split = pc.split_pattern(marked, " ")
+    words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = split.flatten()
-    firsts = np.cumsum(sizes) - sizes
+    firsts = np.cumsum(words) - words
     coded = flat.dictionary_encode()
-    place = coded.indices.to_numpy().astype(np.int64)
+    place, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    forms = pc.if_else(pc.starts_with(pieces, MARK), pc.replace_substring(pieces, MARK, "\n", max_replacements=1), pc.binary_join_element_wise(" ", pieces, ""))
+    stopped = pc.match_substring_regex(pieces, "[A-Za-z][.,]$")
+    bare = pc.if_else(stopped, pc.utf8_slice_codeunits(forms, 0, -1), forms).dictionary_encode()
+    ids, sizes = taken(*known.coded(bare.dictionary), bare.indices.to_numpy().astype(np.int64))
+    stops = np.flatnonzero(stopped.to_numpy(zero_copy_only=False))
+    marks = pc.ends_with(pieces.take(pa.array(stops)), ",").to_numpy(zero_copy_only=False)
+    dot, comma = known.alone([".", ","])[0] if len(stops) else (0, 0)
+    ids = np.insert(ids, np.cumsum(sizes)[stops], np.where(marks, comma, dot))
+    sizes[stops] += 1
+    # texts' first pieces have no space before them, and some texts are whole
     heads = flat.take(pa.array(firsts)).dictionary_encode()
-    found = _coded(coded.dictionary.to_pylist(), " ", file_text)
-    base = len(found)
-    found += _coded(heads.dictionary.to_pylist(), "", file_text)
     whole = np.flatnonzero(loose.to_numpy(zero_copy_only=False))
-    place[firsts] = base + heads.indices.to_numpy()
-    if len(whole):
-        place[firsts[whole]] = len(found) + np.arange(len(whole))
-        found += _encoded(texts.take(pa.array(whole)).to_pylist(), file_text)
-    closing = len(found)
-    found.append(struct.pack("<I", end))
-    place = np.insert(place, np.cumsum(sizes), closing)
-    sizes += 1
-    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-    table = lists(pa.array(np.frombuffer(b"".join(found), dtype="<u4")), lengths)
-    ids = table.take(pa.array(place)).flatten().to_numpy()
-    return ids, np.add.reduceat(lengths[place], np.cumsum(sizes) - sizes)
+    place[firsts] = len(sizes) + heads.indices.to_numpy()
+    place[firsts[whole]] = len(sizes) + len(heads.dictionary) + np.arange(len(whole))
+    more_ids, more_sizes = known.alone(heads.dictionary.to_pylist() + texts.take(pa.array(whole)).to_pylist())
+    ids, sizes = np.concatenate([ids, more_ids, [end]]), np.concatenate([sizes, more_sizes, [1]])
+    place = np.insert(place, np.cumsum(words), len(sizes) - 1)
+    got, each = taken(ids.astype("<u4"), sizes, place)
+    return got, np.add.reduceat(each, np.cumsum(words + 1) - words - 1)
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{Path(folder).absolute()}")
 
 
-def write_shards(docs: DataFrame, file: str, folder: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
-    """Writes every row of docs, encoded and closed by the id end, as shards; (file, documents, ids) of each in order.
+@dataclass(frozen=True)
+class Shard:
+    """A written shard: its file, documents, ids, and the identifiers of its first and last document."""
+
+    name: str
+    entries: int
+    ids: int
+    first: int | None
+    last: int | None
+
+    def may_hold(self, identifier: int | None) -> bool:
+        """Null comes before every number."""
+        if identifier is None:
+            return self.first is None
+        return self.last is not None and (self.first is None or self.first <= identifier) and identifier <= self.last
+
+
+def write_shards(docs: DataFrame, file: str, folder: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> list[Shard]:
+    """Writes every row of docs, encoded and closed by the id end, as shards, and names them in order.
 
     Rows are dealt by ranges of (id, hash of the text), so that one id with a third of all rows still
     spreads, and sorted; null ids come first. A shard is written under a name of its own and then
@@ -285,13 +347,13 @@ def write_shards(docs: DataFrame, file: str, folder: str, end: int = 0, id_col:
         system, root = _open(folder)
         name = f"part-{TaskContext.get().partitionId():06d}.sst"
         draft = f"{root}/_{name}.{uuid.uuid4().hex}"
-        writer, stream, before, row = None, None, (), 0
+        writer, stream, before, row, first = None, None, (), 0, None
         for batch in batches:
             for part in slices(batch, TEXT_AT_ONCE):
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     stream = system.open_output_stream(draft)
-                    writer = ShardWriter(stream, id_bytes)
+                    writer, first = ShardWriter(stream, id_bytes), part.column(0)[0].as_py()
                 ids, sizes = encode_texts(part.column(1), sent.value, end)
                 data, ends = ids.astype(f"<u{id_bytes}").tobytes(), np.cumsum(sizes) * id_bytes
                 for identifier, stop, size in zip(part.column(0).to_pylist(), ends.tolist(), (sizes * id_bytes).tolist(), strict=True):
@@ -302,18 +364,19 @@ def write_shards(docs: DataFrame, file: str, folder: str, end: int = 0, id_col:
             writer.close()
             stream.close()
             system.move(draft, f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"name": [name], "entries": [writer.entries], "ids": [writer.ids]})
+            ends = {"first": pa.array([first], pa.int64()), "last": pa.array(before, pa.int64())}
+            yield pa.RecordBatch.from_pydict({"name": [name], "entries": [writer.entries], "ids": [writer.ids], **ends})
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     dealt = rows.repartitionByRange("id", F.xxhash64("t")).sortWithinPartitions("id", F.xxhash64("t"))
-    done = dealt.mapInArrow(run, "name string, entries bigint, ids bigint").collect()
-    return sorted((r["name"], r["entries"], r["ids"]) for r in done)
+    done = dealt.mapInArrow(run, "name string, entries bigint, ids bigint, first bigint, last bigint").collect()
+    return sorted((Shard(*r) for r in done), key=lambda shard: shard.name)
 
 
-def read_shards(spark, folder: str, shards: list[tuple[str, int, int]], id_col: str = "doc_id") -> DataFrame:
+def read_shards(spark, folder: str, shards: list[Shard], id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, ids) of every document in the shards: start counts the ids of all documents before it."""
-    starts = accumulate((ids for _, _, ids in shards), initial=0)
-    places = [(name, start) for (name, _, _), start in zip(shards, starts, strict=False)]
+    starts = accumulate((shard.ids for shard in shards), initial=0)
+    places = [(shard.name, start) for shard, start in zip(shards, starts, strict=False)]
     table = spark.createDataFrame(places, "name string, base bigint").repartition(max(1, len(places)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,12 +406,15 @@ def _rows(names: list, starts: list[int], found: list[np.ndarray]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts, pa.int64()), as_binary(np.concatenate(found), sizes)], names=["id", "start", "ids"])
 
 
-def lookup(folder: str, shards: list[tuple[str, int, int]], identifier: int | None) -> list[np.ndarray]:
-    """The ids of every row with this identifier, from the shards' filters, indexes and blocks."""
+def lookup(folder: str, shards: list[Shard], identifier: int | None) -> list[np.ndarray]:
+    """The ids of every row with this identifier: only shards whose range holds it are opened, found by binary search."""
     system, root = _open(folder)
     out: list[np.ndarray] = []
-    for name, _, _ in shards:
-        with system.open_input_file(f"{root}/{name}") as stream:
+    rank = [(s.last is not None, s.last or 0) for s in shards]
+    for shard in shards[bisect_left(rank, (identifier is not None, identifier or 0)) :]:
+        if not shard.may_hold(identifier):
+            break
+        with system.open_input_file(f"{root}/{shard.name}") as stream:
             out += ShardReader(stream).lookup(identifier)
     return out
 
@@ -357,7 +423,8 @@ def digests(docs: DataFrame, file: str, end: int = 0, id_col: str = "doc_id", te
     """(id_col, start, n_tokens, ids_crc32) of every row of docs, from shards written to the shared folder and read back.
 
     Null texts count as empty and hold the closing id alone. Repeated rows and ids are entries each;
-    among equal ids the order is that of their texts' hashes. Other columns of docs are not read.
+    among equal ids the order is that of their texts' hashes. Very long texts are encoded and stored whole.
+    Other columns of docs are not read.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
