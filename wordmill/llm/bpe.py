@@ -6,21 +6,28 @@
    (once for each chunk, however often the chunk has it) and each distinct word is encoded once.
 3. join back: a chunk's encoded lists return to it by chunk and place, and documents get their ids.
 
-A word is what stands between ASCII white space: the tokenizers for which this is exact (white space
-dropped, no token across it) are checked for by the caller's choice of file.
+The table (chunk, place, word, ids) that this joins by is kept as packed lists, one row for each chunk
+and bucket: a row for each word would shuffle the corpus's words twice over.
+
+A word is what stands between ASCII white space. For this to be exact the file's tokenizer must drop
+white space and join nothing across it; drops_blanks() reads that from the file. Texts are encoded
+whole, each distinct one of a batch once, for any other file.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,9 +36,15 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
-CHUNK_CHARACTERS = 20_000_000
+CHUNK_CHARACTERS = 12_000_000
+#: Words that a task remembers the ids of before it starts anew.
+REMEMBERED = 1_000_000
+#: Normalizers that leave ASCII white space where it is.
+KEEP_BLANKS = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents")
 #: Token ids in one batch that goes back to Spark.
 IDS_AT_ONCE = 500_000
+#: Characters of text that are encoded whole at once.
+WHOLE_AT_ONCE = 2_000_000
 _tokenizers: dict[int, object] = {}
 
 
@@ -51,6 +64,36 @@ def tokenizer(text: str):
     return _tokenizers[key]
 
 
+def _parts(described: dict | None, name: str) -> list[dict]:
+    """The parts of a sequence of normalizers or pre-tokenizers, or the one there is."""
+    return [] if described is None else described.get(name, [described])
+
+
+def drops_blanks(file_text: str) -> bool:
+    """Whether a file's tokenizer drops white space and has no token across it, so that words can be encoded one by one."""
+    file = json.loads(file_text)
+    first = (_parts(file.get("pre_tokenizer"), "pretokenizers") or [{"type": ""}])[0]
+    if first["type"] == "Split" and "Regex" in first["pattern"]:
+        pattern = regex.compile(first["pattern"]["Regex"])
+        probe = "a b\tc\n1 .\r'x\v!\f's  z "
+        splits = first["behavior"] == "Removed" and first["invert"] and not any(c.isspace() for found in pattern.findall(probe) for c in found)
+    else:
+        splits = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    spaced = any(p.get("add_prefix_space") for p in _parts(file.get("pre_tokenizer"), "pretokenizers"))
+    normal = all(
+        n["type"] in KEEP_BLANKS or n["type"] == "Replace" and n["content"] == " " and n["pattern"].get("Regex") in (r"\s", r"\s+")
+        for n in _parts(file.get("normalizer"), "normalizers")
+    )
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c.isspace() for c in t["content"]) for t in file["added_tokens"])
+    return bool(splits and normal and added and not spaced and not file["model"].get("dropout"))
+
+
+def lowers(file_text: str) -> bool:
+    """Whether a file's tokenizer lower-cases texts itself and tells added tokens before that, by marks that hold "<|"."""
+    file = json.loads(file_text)
+    return any(n["type"] == "Lowercase" for n in _parts(file.get("normalizer"), "normalizers")) and all("<|" in t["content"] for t in file["added_tokens"])
+
+
 def lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     """Consecutive runs of values as a list array."""
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
@@ -87,8 +130,11 @@ def slices(batch: pa.RecordBatch, characters: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def _split(docs: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, ids, sizes, places, words): one row per chunk, as the module says."""
+def _split(docs: DataFrame, buckets: int, lower: bool) -> DataFrame:
+    """(chunk, ids, sizes, places, words): one row per chunk, as the module says.
+
+    lower: A-Z may be lower-cased first, as the tokenizer would, for fewer distinct words.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +142,8 @@ def _split(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, CHUNK_CHARACTERS):
                 text = part.column(1)
-                if not pc.any(pc.match_substring(text, "<|")).as_py():
-                    text = pc.ascii_lower(text)  # fewer distinct words; special tokens are told by their case
+                if lower and not pc.any(pc.match_substring(text, "<|")).as_py():
+                    text = pc.ascii_lower(text)
                 split = pc.ascii_split_whitespace(text)
                 sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
                 coded = split.flatten().dictionary_encode()
@@ -127,42 +173,75 @@ def _split(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _encode(parts: DataFrame, file_text: str) -> DataFrame:
-    """(chunk, bucket, sizes, tokens) of (chunk, bucket, words): each distinct word is encoded once in a task."""
+    """(chunk, bucket, sizes, tokens) of (chunk, bucket, words): each distinct word is encoded once, in its bucket's task.
+
+    A task that has met REMEMBERED words forgets them, and encodes again those that it meets again.
+    """
     sent = parts.sparkSession.sparkContext.broadcast(file_text)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for chunk, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = unpack(blob).split(b" ")
                 new = [w for w in words if w not in known]
-                coded = tokenizer(sent.value).encode_batch([w.decode() for w in new], add_special_tokens=False)
-                known.update((w, np.array(e.ids, dtype="<u4")) for w, e in zip(new, coded, strict=True))
+                coded = tokenizer(sent.value).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+                known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, coded, strict=True))
                 found = [known[w] for w in words]
-                sizes = squeeze(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
-                row = {"chunk": [chunk], "bucket": pa.array([bucket], pa.int32()), "sizes": [sizes], "tokens": [squeeze(np.concatenate(found))]}
+                if len(known) > REMEMBERED:
+                    known.clear()
+                sizes = squeeze(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4)
+                row = {"chunk": [chunk], "bucket": pa.array([bucket], pa.int32()), "sizes": [sizes], "tokens": [squeeze(np.frombuffer(b"".join(found), "<u4"))]}
                 yield pa.RecordBatch.from_pydict(row)
 
     return parts.mapInArrow(run, "chunk bigint, bucket int, sizes binary, tokens binary")
 
 
+def _whole(docs: DataFrame, file_text: str, with_text: bool) -> DataFrame:
+    """What encode() gives, by encoding whole texts: for files whose words can't be encoded one by one."""
+    sent = docs.sparkSession.sparkContext.broadcast(file_text)  # one vocabulary file
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_table(file_text) if with_text else None)
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(pieces.value[0], pa.binary()) if with_text else None
+        for batch in batches:
+            for part in slices(batch, WHOLE_AT_ONCE):
+                texts = pc.fill_null(part.column(1), "").dictionary_encode()
+                found = [e.ids for e in tokenizer(sent.value).encode_batch_fast(texts.dictionary.to_pylist(), add_special_tokens=False)]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                table = lists(pa.array(np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum()))), sizes)
+                got, sizes = table.take(texts.indices).flatten().to_numpy(), sizes[texts.indices.to_numpy()]
+                out = [part.column(0), as_binary(got, sizes)]
+                if with_text:
+                    out.append(decoded(got, sizes, known, pieces.value[1]))
+                yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "decoded"][: len(out)])
+
+    return docs.mapInArrow(run, f"id {kind}, ids binary" + ", decoded string" * with_text)
+
+
 def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id_col, ids) for every row of docs: ids are little-endian unsigned 32-bit integers in a binary.
 
-    file names a tokenizer file of the tokenizers library that drops white space. Null texts count
-    as empty and have no ids. Repeated rows and ids come out as often as they came in; other columns
-    of docs are not read. with_text adds decoded, the text that the ids give, in the same pass.
+    file names any tokenizer file of the tokenizers library. Null texts count as empty and have no ids.
+    Very long texts are encoded whole, each a chunk of its own. Repeated rows and ids come out as often as
+    they came in; other columns of docs are not read. with_text adds decoded, the text that the ids give,
+    in the same pass.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     file_text = Path(file).read_text(encoding="utf-8")
-    split = _split(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), buckets)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    if not drops_blanks(file_text):
+        return _whole(own, file_text, with_text).withColumnRenamed("id", id_col)
+    split = _split(own, buckets, lowers(file_text))
     # bucketed by chunk, so that the chunks themselves are never shuffled
     name = f"bpe_chunks_{uuid.uuid4().hex}"
     split.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     split = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its name goes, its files stay for the plan that reads them
     parts = split.select("chunk", F.posexplode("words").alias("bucket", "words")).where(F.octet_length("words") > 0)
     coded = _encode(parts.repartition(buckets, "bucket"), file_text)
     table = coded.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "sizes", "tokens"))).alias("table"))
