@@ -29,11 +29,13 @@ GAIN = 40.0
 #: Learning rate, and the length that a step takes off every vector in terms of it.
 RATE = 0.03
 SHRINK = 1.0
-#: Buckets in fewer texts of the sample teach nothing.
-LEAST_DOCS = 8
+#: Buckets in fewer texts than this share of the sample, or in one text alone, teach nothing.
+LEAST_SHARE = 1 / 400
 #: The most labelled documents of each class (0, 1) that the model is fitted on.
 SAMPLE_PER_CLASS = (1800, 1200)
 THRESHOLD = 0.7
+#: Texts that training sees, repeats included; a small sample is seen more often.
+TEXTS_SEEN = 24_000
 #: Words that a worker remembers the score of before it starts anew, and how much text it takes at once.
 REMEMBERED = 400_000
 CHARACTERS_AT_ONCE = 1_000_000
@@ -84,14 +86,14 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def _packed(index: np.ndarray, share: np.ndarray) -> bytes:
     """A bag in a few bytes: the driver holds all of the sample's."""
     gaps = np.diff(index, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor().compress(np.ascontiguousarray(gaps).tobytes() + share.astype("<f2").tobytes())
+    return zstandard.ZstdCompressor().compress(np.ascontiguousarray(gaps).tobytes() + share.astype("<f4").tobytes())
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n = len(raw) // 6
+    n = len(raw) // 8
     gaps = np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T
-    return np.cumsum(np.ascontiguousarray(gaps).view("<u4").ravel()).astype(np.int32), np.frombuffer(raw, "<f2", n, 4 * n).astype(np.float32)
+    return np.cumsum(np.ascontiguousarray(gaps).view("<u4").ravel()).astype(np.int32), np.frombuffer(raw, "<f4", n, 4 * n)
 
 
 @dataclass
@@ -110,15 +112,15 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, seed: int = 7) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int | None = None, seed: int = 7) -> Model:
     """Joint training of vectors and softmax on the class-balanced cross entropy; without both classes, a constant model.
 
     The list of bags is used up.
 
-    Buckets count by their inverse document frequency, those in fewer than LEAST_DOCS texts not at
-    all. Adam steps alternate with shrinking every vector's length (a group lasso): vectors that
+    Buckets count by their inverse document frequency, those in too few texts (LEAST_SHARE) not at all. Adam steps alternate with shrinking every vector's length (a group lasso): vectors that
     carry no signal go to zero, which is what keeps rare n-grams from learning single texts by heart.
     """
+    epochs = epochs or int(np.clip(TEXTS_SEEN // max(1, len(bags)), 8, 60))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-0.1 / SIZE, 0.1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
     weights = rng.normal(0, 1, (SIZE, 2)).astype(np.float32)
@@ -130,11 +132,14 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     seen = np.zeros(BUCKETS, dtype=np.int64)
     for index, _ in bags:
         seen[index] += 1
-    rarity = np.where(seen >= LEAST_DOCS, np.log((1 + len(bags)) / (1 + seen)), 0).astype(np.float32)
+    rarity = np.where(seen >= max(2, LEAST_SHARE * len(bags)), np.log((1 + len(bags)) / (1 + seen)), 0).astype(np.float32)
+    used = np.flatnonzero(rarity)
+    place = np.zeros(BUCKETS, dtype=np.int32)
+    place[used] = np.arange(len(used))
     for n, (index, share) in enumerate(bags):  # in place: the driver holds one copy of the sample
         share = share * rarity[index]
-        bags[n] = index[share > 0], share[share > 0]
-    vectors[rarity == 0] = 0
+        bags[n] = place[index[share > 0]], share[share > 0]
+    vectors = vectors[used]
     balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, weights, bias)]
     step, batch = 0, 64
@@ -154,7 +159,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
             chance[np.arange(len(rows)), labels[rows]] -= 1
             chance *= balance[rows][:, None] / len(rows)
             back = (GAIN * (chance @ weights.T))[owner] * share[:, None]
-            slope = np.stack([np.bincount(index, back[:, k], BUCKETS) for k in range(SIZE)], axis=1)
+            slope = np.stack([np.bincount(index, back[:, k], len(used)) for k in range(SIZE)], axis=1)
             step += 1
             for (first, second), p, g in zip(
                 state, (vectors, weights, bias), (slope, hidden.T @ chance + 1e-4 * weights, chance.sum(axis=0)), strict=True
@@ -164,7 +169,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
                 p -= (rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)).astype(p.dtype)
             length = np.sqrt((vectors * vectors).sum(axis=1))
             vectors *= np.maximum(0, 1 - rate * SHRINK / (length + 1e-12))[:, None].astype(np.float32)
-    return Model(vectors * rarity[:, None], weights, bias)
+    every = np.zeros((BUCKETS, SIZE), np.float32)
+    every[used] = vectors * rarity[used][:, None]
+    return Model(every, weights, bias)
 
 
 _logits: dict[str, np.ndarray] = {}
@@ -241,8 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of docs.
 
-    Null and empty texts get the score of the bias alone. Repeated rows are scored each; other
-    columns of docs are not read.
+    Null and empty texts get the score of the bias alone; very long ones are scored whole. A score at the
+    threshold is predicted toxic. Repeated rows are scored each; other columns of docs are not read.
     """
     kind = id_type(docs, id_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x SIZE floats
@@ -258,7 +265,10 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def reject_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below the threshold."""
+    """The rows of docs, with all their columns, whose text scores below the threshold; cases are those of toxicity().
+
+    Null and empty texts stay unless the bias alone is toxic.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
