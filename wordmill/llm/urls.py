@@ -173,27 +173,46 @@ def _with_suffixes(pages: DataFrame) -> DataFrame:
     return out
 
 
+#: Statistics of suffixes that follow the lexical features.
+SUFFIX_COLUMNS = ["tail_size", "tail_share", "top_size", "top_share"]
+
+
+def fit(table: DataFrame, sample: int = SAMPLE) -> Trees:
+    """Trees from at most so many rows with a verdict (url, host, path, verdict, suffix statistics), by the hash of the url.
+
+    Features alone come to the driver, len(FEATURES) numbers for a row, whatever the urls' lengths.
+    """
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = features(batch["url"].tolist(), batch["host"].tolist(), batch["path"].tolist(), batch[SUFFIX_COLUMNS].to_numpy(float))
+            yield pd.DataFrame({"h": batch["h"], "y": batch["y"], "x": list(x)})
+
+    own = table.where("verdict is not null").select("url", "host", "path", *SUFFIX_COLUMNS, F.xxhash64("url").alias("h"), (F.col("verdict") == "block").cast("int").alias("y"))
+    rows = own.orderBy("h", "url").limit(sample).mapInPandas(measured, "h bigint, y int, x array<double>").collect()
+    rows.sort(key=lambda r: (r["h"], r["y"], r["x"]))
+    return train(np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], dtype=float))
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id_col, host, path, rule, verdict, score) for every row of pages.
 
     rule and its verdict come from the longest rule that fits; elsewhere rule is null and the trees
     decide (block from THRESHOLD of score on). Null and odd URLs have empty parts and are judged like
-    any other. Without labelled URLs of both kinds the trees give the overall share. Repeated rows
-    are judged each; other columns are not read.
+    any other, very long ones whole. Of equally long rules that fit, the first by text decides. Without labelled
+    URLs of both kinds the trees give the overall share. Repeated rows are judged each; other columns are
+    not read.
     """
     kind = id_type(pages, id_col)
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     base = base.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     base = base.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", "fit.rule", "fit.verdict")
-    columns = ["tail_size", "tail_share", "top_size", "top_share"]
-    table = written(_with_suffixes(base).select("id", "url", "host", "path", "rule", "verdict", *columns), "url-features")
-    labelled = table.where("verdict is not null").orderBy(F.xxhash64("url"), "url").limit(sample).toPandas()
-    x = features(labelled["url"].tolist(), labelled["host"].tolist(), labelled["path"].tolist(), labelled[columns].to_numpy(float))
-    model = train(x, (labelled["verdict"] == "block").to_numpy(float))
+    table = written(_with_suffixes(base).select("id", "url", "host", "path", "rule", "verdict", *SUFFIX_COLUMNS), "url-features")
+    model = fit(table, sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = features(batch["url"].tolist(), batch["host"].tolist(), batch["path"].tolist(), batch[columns].to_numpy(float))
+            rows = features(batch["url"].tolist(), batch["host"].tolist(), batch["path"].tolist(), batch[SUFFIX_COLUMNS].to_numpy(float))
             score = model.score(rows)
             guess = pd.Series(np.where(score >= THRESHOLD, "block", "allow"), index=batch.index)
             yield batch[["id", "host", "path", "rule"]].assign(verdict=batch["verdict"].where(batch["verdict"].notna(), guess), score=score)
