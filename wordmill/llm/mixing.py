@@ -144,8 +144,10 @@ def fitted_rates(rows: DataFrame, targets: Sequence[float], largest: float = LAR
     With r the rates, n the tokens and P the posteriors, the loss is half of (P'nr - goal)' G (P'nr - goal),
     G being the inverse of P'nP: one aggregation of a domains-by-domains matrix. In the metric that
     counts a document by its tokens the gradient is P G (P'nr - goal) and the loss has curvature one, so
-    a step of one never overshoots, and reaches the goal at once where no bound is met. Every step is one
-    more aggregation. The goals add up to the tokens there are. rated() turns steps into a column.
+    a step of one never overshoots, and reaches the goal at once where no bound is met. Documents that
+    rest at a bound don't move, so a step is first tried in the metric of those that do (P'nP over them
+    alone), then halved, and taken as above if the loss did not fall. A trial is one aggregation, of totals
+    and of that matrix. The goals add up to the tokens there are. rated() turns steps into a column.
 
     Where bounds keep a target out of reach the totals come to rest at the least loss there is; gap says
     how far from the targets. Totals that still move after max_steps are an error.
@@ -153,21 +155,37 @@ def fitted_rates(rows: DataFrame, targets: Sequence[float], largest: float = LAR
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     p = [F.get("p", F.lit(i)) for i in range(k)]
-    sums = rows.agg(*(F.sum(F.col("n_tokens") * p[i]) for i in range(k)), *(F.sum(F.col("n_tokens") * p[i] * p[j]) for i, j in pairs)).first()
-    fit = Fit(totals=[float(x or 0.0) for x in sums[:k]])
-    gram = np.zeros((k, k))
-    for (i, j), x in zip(pairs, sums[k:], strict=True):
-        gram[i, j] = gram[j, i] = float(x or 0.0)
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    whole = sum(fit.totals)
-    fit.goals = [t * whole / sum(targets) for t in targets]
+
+    def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        rate = F.col("rate")
+        moves = F.when((rate > 0) & (rate < largest), F.col("n_tokens")).otherwise(0.0)
+        got = rated(rows, steps, largest).agg(*(F.sum(F.col("n_tokens") * rate * x) for x in p), *(F.sum(moves * p[i] * p[j]) for i, j in pairs)).first()
+        matrix = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k:], strict=True):
+            matrix[i, j] = matrix[j, i] = float(x or 0.0)
+        return np.array([float(x or 0.0) for x in got[:k]]), matrix
+
+    def inverse(matrix: np.ndarray) -> np.ndarray:
+        return np.linalg.pinv(matrix, rcond=1e-9, hermitian=True)
+
+    now, moving = sums([])
+    every, whole = inverse(moving), float(now.sum())
+    fit = Fit(totals=now.tolist(), goals=[t * whole / sum(targets) for t in targets])
+    goal, trials = np.array(fit.goals), 0
     while fit.gap > MET:
-        if len(fit.steps) == max_steps:
-            raise RuntimeError(f"rates still move after {max_steps} steps; totals are off by {fit.gap:.2g} of all tokens")
-        fit.steps.append((inverse @ (np.array(fit.totals) - np.array(fit.goals))).tolist())
-        got = rated(rows, fit.steps, largest).agg(*(F.sum(F.col("n_tokens") * F.col("rate") * x) for x in p)).first()
-        before, fit.totals = fit.totals, [float(x or 0.0) for x in got]
-        if max(abs(a - b) for a, b in zip(before, fit.totals, strict=True)) <= STILL * whole:
+        off = np.array(fit.totals) - goal
+        loss = off @ every @ off
+        own = inverse(moving) @ off
+        for step in (own, own / 2, every @ off):
+            if trials == max_steps:
+                raise RuntimeError(f"rates still move after {max_steps} steps; totals are off by {fit.gap:.2g} of all tokens")
+            trials += 1
+            now, moving = sums([*fit.steps, step.tolist()])
+            if (now - goal) @ every @ (now - goal) < 0.9 * loss:
+                break
+        fit.steps.append(step.tolist())
+        before, fit.totals = np.array(fit.totals), now.tolist()
+        if np.abs(now - before).max() <= STILL * whole:
             break
     return fit
 
