@@ -221,11 +221,11 @@ def links(values: DataFrame, heavy: int = HEAVY) -> DataFrame:
     crowded = written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("key"), "heavy-keys")
     count = crowded.count()
     if not count:
-        return left.join(right, (left["key"] == right["key"]) & near).select("u", "v")
+        return left.join(right.hint("merge"), (left["key"] == right["key"]) & near).select("u", "v")
     right = written(right, "simhash-keys")
     small = F.broadcast(crowded) if count <= BROADCAST_ROWS else crowded
     plain = left.join(small, "key", "left_anti")
-    light = plain.join(right, (plain["key"] == right["key"]) & near).select("u", "v")
+    light = plain.join(right.hint("merge"), (plain["key"] == right["key"]) & near).select("u", "v")
     dense = left.join(small, "key", "left_semi").select(F.col("u").alias("fp")).unionByName(right.join(small, "key", "left_semi").select(F.col("v").alias("fp")))
     return light.unionByName(hub_links(dense.distinct()))
 
