@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
-CHUNK_CHARACTERS = 12_000_000
+CHUNK_CHARACTERS = 8_000_000
 #: Words that a task remembers the ids of before it starts anew.
 REMEMBERED = 1_000_000
 #: Normalizers that leave ASCII white space where it is.
