@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -60,6 +61,24 @@ def test_toxicity_learns_and_generalises(spark, labelled):
     assert misspelt > clean
 
 
+def test_toxicity_scores_match_vectors(labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    text = "river stoneses idiot river, moron! green"
+    total = np.zeros(toxicity.SIZE)
+    for word in text.lower().split():
+        index, _ = toxicity.grams([word])
+        total += model.vectors[index].astype(float).mean(axis=0)
+    logits = toxicity.GAIN * (total / len(text.split())) @ model.weights + model.bias
+    assert abs(toxicity.score_texts([text], model)[0] - np.exp(logits[1]) / np.exp(logits).sum()) < 1e-5
+
+
+def test_toxicity_sample_keeps_rare_shares():
+    index, share = toxicity.bag("a " * 2_000_000 + "idiot")
+    index2, share2 = toxicity._unpacked(toxicity._packed(index, share))
+    assert np.array_equal(index, index2) and np.array_equal(share, share2) and (share2 > 0).all()
+
+
 def test_toxicity_edges(spark, labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels)
@@ -88,7 +107,7 @@ def test_quality_statistics_match_brute_force(spark, labelled):
     docs, labels = labelled
     field = quality.fit(docs, labels)
     rng = random.Random(5)
-    rows = ODD[:6] + ODD[7:] + [(100 + k, "\n".join(rng.choice(["a b c", "a b c d e f g h i", "x # y", "", " "]) for _ in range(rng.randrange(1, 30)))) for k in range(60)]
+    rows = [*ODD[:6], (5, "long " * 3_000), *ODD[7:]] + [(100 + k, "\n".join(rng.choice(["a b c", "a b c d e f g h i", "x # y", "", " "]) for _ in range(rng.randrange(1, 30)))) for k in range(60)]
     got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.quality(docs_frame(spark, rows), field).collect())
     assert got == Counter((i, *brute_quality(t)) for i, t in rows)
     assert quality.quality(docs_frame(spark, []), field).count() == 0
@@ -102,6 +121,35 @@ def test_quality_keeps_prose_and_drops_tables(spark, labelled):
     assert np.mean([(i in kept) == bool(truth[i]) for i in truth]) > 0.95
 
 
+def test_quality_labels_lines_of_mixed_texts(spark):
+    rng = random.Random(8)
+
+    def lines(good, n):
+        return [prose(rng, 12) if good else " | ".join(prose(rng, 9).split()) for _ in range(n)]
+
+    rows = [(i, "\n".join(lines(True, rng.randrange(1, 9)) if i % 2 else lines(True, 1) + lines(False, rng.randrange(3, 9)))) for i in range(200)]
+    field = quality.fit(docs_frame(spark, rows), spark.createDataFrame([(i, i % 2, 0) for i in range(200)], LABELS))
+    good, poor = ["\n".join(prose(rng, 12) for _ in range(6)) for _ in range(2)], "\n".join(" | ".join(prose(rng, 9).split()) for _ in range(6))
+    for text, first in ((good[0] + "\n" + poor, 1), (poor + "\n" + good[1], 0)):
+        found = field.viterbi(quality.line_features(text.split("\n"))[0]).tolist()
+        assert sum(x == first for x in found[:6]) >= 5 and sum(x != first for x in found[6:]) >= 5
+        assert 0 < quality.judge(text, field)[6] < 1
+
+
+def test_quality_expectations_match_all_paths():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4, len(quality.FEATURES)))
+    held = quality._Sequences([x, x[:2]])
+    steps, start, w = rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=len(quality.FEATURES))
+    chance, hops = held.expected(held.x @ w, steps, start, np.array([1.0, 0.0]))
+    gain = x @ w
+    paths = list(product((0, 1), repeat=4))
+    weight = np.array([np.exp(start[p[0]] + sum(gain[i] for i in range(4) if p[i]) + sum(steps[a, b] for a, b in zip(p, p[1:], strict=False))) for p in paths])
+    weight /= weight.sum()
+    assert np.allclose(chance[0], [sum(k for k, p in zip(weight, paths, strict=True) if p[i]) for i in range(4)])
+    assert np.isclose(hops[1], sum(k * sum((a, b) == (0, 1) for a, b in zip(p, p[1:], strict=False)) for k, p in zip(weight, paths, strict=True)))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     field = quality.Field(rng.normal(size=len(quality.FEATURES)), rng.normal(size=(2, 2)), rng.normal(size=2))
@@ -179,6 +227,43 @@ def test_simhash_groups_match_brute_force(spark):
     assert simhash.simhash_groups(docs_frame(spark, [])).count() == 0
 
 
+def test_simhash_hubs_connect_crowded_keys(spark):
+    rng = np.random.default_rng(0)
+    base, bits = int(rng.integers(0, 1 << 62)), [1, 5, 9, 20, 33, 41, 50, 62]
+    values = {base ^ sum(1 << b for i, b in enumerate(bits) if m >> i & 1) for m in range(256)} | {int(x) for x in rng.integers(0, 1 << 62, 60)}
+    df = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    few, every = simhash.links(df, heavy=20), simhash.links(df)
+    assert few.where("bit_count(u ^ v) > 3").count() == 0
+    one, other = (Counter(simhash.components(x).collect()) for x in (few, every))
+    assert one == other
+
+
+def test_first_of_groups_does_not_depend_on_partitions(spark):
+    rows = [(1, "same text here today", "en", f"s{i}", i, "x", "x", "x", "x") for i in range(40)]
+    kept = [simhash.first_of_groups(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect() for n in (1, 5)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
+def test_mixing_posteriors_and_bounds_match_brute_force(spark):
+    docs = spark.createDataFrame([(i, ("the house and " if i % 10 else "der hund und ") * 5, "en" if i % 10 else "de", "s", 1) for i in range(100)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], LABELS)
+    targets = {"en": 0.2, "de": 0.8}  # more German than LARGEST_RATE copies give
+    scored, marks, model, fit = mixing._fit(docs, labels, targets, "doc_id", "text", "lang")
+    text = "the house and " * 5
+    counts = np.array([text.count(m) for m in marks], float)
+    logs = np.array([prior + (np.array(w) @ counts) / np.sqrt(max(counts.sum(), 1)) for prior, w in model.values()])
+    assert np.allclose(scored.where("id = 1").first()["p"], np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum())
+    rows = mixing.rated(scored, fit.steps).toPandas()
+    p, n = np.array(rows.p.tolist()), rows.n_tokens.to_numpy(float)
+    gram = np.linalg.inv(p.T @ (p * n[:, None]))
+    rate = np.ones(len(n))
+    for _ in range(3000):
+        rate = np.clip(rate - p @ gram @ (p.T @ (n * rate) - fit.goals), 0, mixing.LARGEST_RATE)
+    assert np.allclose(p.T @ (n * rate), fit.totals, atol=1e-3 * n.sum()) and fit.gap > 0.3
+    report = {r["domain"]: r for r in mixing.totals(mixing.mixture(docs, labels, targets), targets).collect()}
+    assert np.isclose(report["de"]["target_tokens"], 0.8 * n.sum()) and np.isclose(report["de"]["expected_tokens"], fit.totals[1], rtol=1e-6)
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(4)
     rows, labels = [], []
@@ -214,3 +299,31 @@ def test_pipeline(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path, labelled):
+    """Nulls, empty, repeated and very long texts and clashing columns; every stage holds what the operator alone decides."""
+    docs, labels = labelled
+    docs = docs.unionByName(docs_frame(spark, [*((None if i is None else i + 1000, t) for i, t in ODD), (1007, prose(random.Random(1), 30_000)), (1900, None), (1900, None)]))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = simhash.written(stage(spark, now, str(tmp_path)), "test-stage")
+        ids = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        before = Counter(r["doc_id"] for r in now.select("doc_id").collect())
+        if name == "toxicity":
+            got = toxicity.toxicity(now, toxicity.fit(now, labels))
+            assert ids == Counter(r["doc_id"] for r in got.where("predicted = 0").collect())
+        elif name == "quality_rules":
+            got = quality.quality(now, quality.fit(now, labels))
+            assert ids == Counter(r["doc_id"] for r in got.where("kept").collect()) and not {None, 1001, 1002, 1900} & set(ids)
+        elif name == "near_dedup":
+            assert set(ids) == {r["component_id"] for r in simhash.simhash_groups(now).collect()} and max(ids.values()) == 1
+        elif name == "mixing":
+            got = mixing.mixture(now, labels).where("copies > 0").collect()
+            assert ids == Counter({r["doc_id"]: r["copies"] for r in got})
+        else:
+            assert ids == before and all(r["n_tokens"] > 0 for r in out.collect())
+        assert name == "bpe" or out.columns == docs.columns
+        now = out

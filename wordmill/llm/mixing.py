@@ -265,11 +265,12 @@ def _fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], id_co
     domains = list(targets)
     named = written(_sampled(labelled_domains(docs, labels, id_col, lang_col, domains), domains, SAMPLE_PER_DOMAIN), "mixing-labels")
     few = F.broadcast(_sampled(named, domains, PICKED_FROM))  # PICKED_FROM rows for each domain at most
-    texts = docs.join(few, F.col(id_col) == few["key"]).groupBy("key", "domain").agg(F.min(text_col).alias("t"))  # one text for a repeated id
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(few, F.col("id") == F.col("key"))
+    texts = own.groupBy("key", "domain").agg(F.min("t").alias("t"))  # one text for a repeated id
     marks = learned_marks(written(texts.select("domain", "t"), "mixing-texts"), domains)
     rows = written(measured(docs, id_col, text_col, marks), "mixing-rows")
     few = F.broadcast(named)  # SAMPLE_PER_DOMAIN rows for each domain at most
-    model = classifier(rows.join(few, F.col("id") == few["key"]).select("domain", "m"), domains, marks)
+    model = classifier(rows.select("id", "m").join(few, F.col("id") == F.col("key")).select("domain", "m"), domains, marks)
     scored = written(posteriors(rows, model), "mixing-posteriors")
     return scored, marks, model, fitted_rates(scored, list(targets.values()))
 
