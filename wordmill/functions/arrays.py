@@ -22,7 +22,11 @@ def run_lengths(tokens: Column, durations: Column) -> Column:
 
 def grams(text: Column, n: int) -> Column:
     """Distinct n-grams of characters in order of their first place."""
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    letters = F.split(text, "")
+    every = letters
+    for k in range(1, n):  # a letter with the next n - 1: null where the text ends before
+        every = F.zip_with(every, F.slice(letters, k + 1, F.greatest(F.length(text), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) >= n, F.array_distinct(F.filter(every, lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Classes of characters, as regular expressions.
-EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F000}-\\x{1F2FF}\\x{FE0F}\\x{200D}]"
-CONTROL = "[\\x{00}-\\x{1F}\\x{7F}-\\x{9F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}]"
+EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2300}-\\x{23FF}\\x{1F000}-\\x{1F2FF}\\x{E0020}-\\x{E007F}\\x{20E3}\\x{FE0F}\\x{200D}]"
+CONTROL = "[\\x{00}-\\x{1F}\\x{7F}-\\x{9F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}\\x{FFF9}-\\x{FFFB}]"
 BLANK = "[ \\t\\n\\r\\f\\x{0B}]"
 DASHES = "-‐‑‒–—―−"
 FULL_WIDTH = "，。！？；：（）【】《》“”‘’、"
 HALF_WIDTH = ",.!?;:()[]<>\"\"'',"
-SQL_WORDS = ("SELECT", "FROM", "WHERE", "GROUP", "ORDER", "BY", "JOIN", "INSERT", "UPDATE", "DELETE")
+#: Query words that are written glued together, first words and what follows each.
+SQL_GLUED = (
+    ("TRUNC", ("DATE", "MONTH", "YEAR", "DAY", "HOUR", "MINUTE", "SECOND")), ("COUNT", ("DISTINCT",)), ("GROUP", ("BY",)), ("ORDER", ("BY",)),
+    ("INNER", ("JOIN",)), ("LEFT", ("JOIN",)), ("RIGHT", ("JOIN",)), ("OUTER", ("JOIN",)), ("CROSS", ("JOIN",)), ("FULL", ("JOIN",)),
+    ("LEN", ("STRING",)), ("TO", ("CHAR", "DATE", "NUMBER")), ("NVL", ("2",)),
+)
+#: Whatever NFKC can change: all but ASCII and the accented letters that it leaves alone.
+UNSETTLED = "[^\\x{00}-\\x{7F}\\x{C0}-\\x{131}]"
 
 
 def strip_emojis(c: Column) -> Column:
@@ -81,9 +88,13 @@ def programming_tokens(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("C++"), F.lit("C plus plus")), F.lit("C#"), F.lit("C sharp")), F.lit("F#"), F.lit("F sharp"))
 
 
-def split_sql_glued(c: Column, words: Sequence[str] = SQL_WORDS) -> Column:
-    """Puts spaces around upper-case query words that are glued to letters on their right."""
-    return F.regexp_replace(c, rf"\b({'|'.join(words)})([A-Z][a-z])", "$1 $2")
+def split_sql_glued(c: Column) -> Column:
+    """Glued query words of any case, standing alone, become two upper-case words."""
+    pairs = [(first, then) for first, rest in SQL_GLUED for then in rest]
+    out = c
+    for first, then in pairs:
+        out = F.regexp_replace(out, rf"(?i)\b{first}{then}\b", f"{first} {then}")
+    return F.when(c.rlike(rf"(?i)\b({'|'.join(a + b for a, b in pairs)})\b"), out).otherwise(c)
 
 
 def translate_chars(c: Column, source: str, target: str) -> Column:
@@ -111,8 +122,13 @@ def split_inner_commas(c: Column) -> Column:
 
 
 def text_key(c: Column) -> Column:
-    """Lower case, letters and digits only: equal for texts that differ in spacing and punctuation (NFKC texts)."""
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    """NFKC, lower case, letters and digits only: equal for texts that differ in form, spacing and punctuation.
+
+    Only texts that NFKC may change are sent to Python.
+    """
+    unsettled = c.rlike(UNSETTLED)
+    settled = F.when(unsettled, nfkc(F.when(unsettled, c))).otherwise(c)
+    return F.regexp_replace(F.lower(settled), r"[^\p{L}\p{N}]", "")
 
 
 def file_stem(c: Column) -> Column:
@@ -184,8 +200,9 @@ def strip_markdown_asterisks(c: Column) -> Column:
 
 
 def clause_breaks(c: Column) -> Column:
-    """Line ends become punctuation: nothing after a sentence end, a comma after a word, a full stop for a paragraph."""
+    """Line ends become punctuation: nothing after a sentence end, a comma after a word, a full stop for a paragraph (a wide one after a Chinese character)."""
     out = F.regexp_replace(c, r"([.!?。！？])\s*\n+\s*", "$1 ")
+    out = F.regexp_replace(out, r"(?<=[\x{4E00}-\x{9FFF}])\s*\n\s*\n\s*", "。")
     out = F.regexp_replace(out, r"(?<=[\p{L}\p{N}])\s*\n\s*\n\s*", ". ")
     return F.regexp_replace(out, r"(?<=[\p{L}\p{N}])\s*\n\s*", ", ")
 

@@ -193,11 +193,11 @@ def j14_clamped_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j15_inventory_lookup",
-    """SELECT doc_id, array_to_string(list_transform(list_slice(regexp_extract_all(text, '[A-Za-z]+'), 1, 30), lambda x: coalesce((list_position(['the', 'of', 'and', 'to', 'in'], x) - 1)::VARCHAR, '5')), ' ') AS ids FROM documents""",
+    """SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: coalesce((list_position(['the', 'of', 'and', 'to', 'in'], x) - 1)::VARCHAR, '5')), ' ') AS ids FROM documents""",
 )
 def j15_inventory_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.create_map(*(x for i, w in enumerate(("the", "of", "and", "to", "in")) for x in (F.lit(w), F.lit(i))))
-    tokens = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 30)
+    tokens = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(ids, t), F.lit(5)).cast("string")), " ").alias("ids"))
 
 
@@ -317,7 +317,7 @@ def u4_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.where("x > 0 and y > 0")
 
 
-@query("u5_distinct_first_seen", "SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x})), lambda s: s.x), ' ') AS words FROM (SELECT doc_id, list_slice(regexp_extract_all(text, '[A-Za-z]+'), 1, 60) AS w FROM documents)")
+@query("u5_distinct_first_seen", "WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS p FROM w), f AS (SELECT doc_id, x, min(p) AS p FROM e GROUP BY ALL), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS words FROM f GROUP BY 1) SELECT doc_id, coalesce(words, '') AS words FROM w LEFT JOIN j USING (doc_id)")
 def u5_distinct_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 60)
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(words), " ").alias("words"))

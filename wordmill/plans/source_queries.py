@@ -13,12 +13,12 @@ from .session import epoch_seconds, table
 
 @query(
     "s1_manifest",
-    "SELECT source AS wav, try_cast(CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE doc_id::VARCHAR END AS INT) AS spk, trim(substr(replace(replace(text, '|', ' '), chr(10), ' '), 1, 80)) AS text FROM documents WHERE doc_id % 7 <> 0",
+    "SELECT source AS wav, try_cast(CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE doc_id::VARCHAR END AS INT) AS spk, trim(replace(replace(text, '|', ' '), chr(10), ' ')) AS text FROM documents WHERE doc_id % 7 <> 0",
 )
 def s1_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents written as wav|speaker|text lines and read again; one in seven has no number for a speaker."""
     speaker = F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("doc_id").cast("string"))
-    line = F.concat_ws("|", "source", speaker, F.substring(F.translate("text", "|\n", "  "), 1, 80))
+    line = F.concat_ws("|", "source", speaker, F.translate("text", "|\n", "  "))
     return S.manifest(table(spark, sf_dir, "documents").select(line.alias("value")), True).where("error is null").select("wav", "spk", "text")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import text_key
 from ..operators import rules as R
 from ..operators import windows as W
 from ..registry import query
@@ -38,7 +39,7 @@ def w2_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("text")
 
 
-@query("w2_two_keys", "WITH a AS (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1) SELECT doc_id FROM a QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) = 1")
+@query("w2_two_keys", r"WITH a AS (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1) SELECT doc_id FROM a QUALIFY row_number() OVER (PARTITION BY regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') ORDER BY doc_id) = 1")
 def w2_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First wins on two keys in sequence.
 
@@ -46,8 +47,8 @@ def w2_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejects might still have held the second, which two passes don't see.
     """
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    once = R.first_by_key(rows, "text", ["doc_id"]).withColumn("head", F.substring("text", 1, 40))
-    return once.groupBy("head").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    once = R.first_by_key(rows, "text", ["doc_id"]).withColumn("key", text_key(F.col("text")))
+    return once.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @query("w3_last_wins", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -268,12 +269,12 @@ def k9_row_ratio_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "k10_group_union",
-    f"SELECT doc_id, 'presplit' AS origin, CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM documents WHERE source = 'src0' UNION ALL SELECT doc_id, 'split', {NAMED.format(b=HASH.format(g='doc_id'), v=20, t=40)} FROM documents WHERE source = 'src1' UNION ALL SELECT item_id, 'raw', 'train' FROM benchmark",
+    f"SELECT doc_id, 'presplit' AS origin, CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'split', {NAMED.format(b=HASH.format(g='doc_id'), v=20, t=40)} FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT item_id, 'raw', 'train' FROM benchmark",
 )
 def k10_group_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fixed = docs.where("source = 'src0'").select("doc_id", F.lit("presplit").alias("origin"), F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"))
-    cut = docs.where("source = 'src1'").select("doc_id", F.lit("split").alias("origin"), R.split_of(F.col("doc_id")).alias("split"))
+    fixed = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("presplit").alias("origin"), F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"))
+    cut = docs.where("doc_id % 2 = 1").select("doc_id", F.lit("split").alias("origin"), R.split_of(F.col("doc_id")).alias("split"))
     raw = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("raw").alias("origin"), F.lit("train").alias("split"))
     return fixed.unionByName(cut).unionByName(raw)
 
