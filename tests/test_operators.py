@@ -175,3 +175,22 @@ def test_step_windows_cover_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted((r["lo"], r["hi"], r["n"], r["mean"]) for r in a23_step_windows(spark, str(tmp_path)).collect())
     assert got == [(0, 1000, 2, 2.0), (9000, 10000, 1, 5.0), (10000, 11000, 1, 7.0), (99000, 100000, 1, 9.0)]
+
+
+def test_text_rules_in_full(spark):
+    cases = [
+        (T.text_key, "\uff21\ufb01 \u2460 \u00c9!", "afi1\u00e9"), (T.text_key, None, None), (T.split_sql_glued, "groupby truncDATE NVL2 ToNumberX", "GROUP BY TRUNC DATE NVL 2 ToNumberX"),
+        (T.strip_emojis, "a\u231a1\ufe0f\u20e3b\U0001f3f4\U000e0067\U000e007f", "a1b"), (T.strip_control_chars, "a\ufff9b\ufffbc\u200b", "abc"),
+        (T.clause_breaks, "\u597d\n\n\u597d", "\u597d\u3002\u597d"),
+    ]
+    for function, text, want in cases:
+        row = spark.createDataFrame([(text,)], "t string").select(function(F.col("t")).alias("out")).first()
+        assert row["out"] == want, (function.__name__, text)
+
+
+def test_character_grams(spark):
+    texts = ["abcabcd", "abc", "", None, "\u00e9\U0001f600xyz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["g"] for r in df.select(Y.grams(F.col("t"), 4).alias("g")).collect()]
+    assert got[0] == ["abca", "bcab", "cabc", "abcd"] and got[1] == [] and got[2] == [] and not got[3]
+    assert got[4] == ["\u00e9\U0001f600xy", "\U0001f600xyz"]
