@@ -194,3 +194,14 @@ def test_character_grams(spark):
     got = [r["g"] for r in df.select(Y.grams(F.col("t"), 4).alias("g")).collect()]
     assert got[0] == ["abca", "bcab", "cabc", "abcd"] and got[1] == [] and got[2] == [] and not got[3]
     assert got[4] == ["\u00e9\U0001f600xy", "\U0001f600xyz"]
+
+
+def test_running_sums_in_groups(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randrange(9)) for i in range(400)]
+    rng.shuffle(rows)
+    got = W.running_in_groups(spark.createDataFrame(rows, "g string, i bigint, v bigint"), ["g"], ["i"], "v", "run").collect()
+    sums = {g: sum(v for x, _, v in rows if x == g) for g in ("a", "b", None)}
+    assert len(got) == 400
+    for r in got:
+        assert r["run"] == sum(v for g, i, v in rows if g == r["g"] and i <= r["i"]) and r["total_"] == sums[r["g"]]

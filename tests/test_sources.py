@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import struct
 
+import pytest
+
 from wordmill.sources import readers as S
 
 
@@ -71,3 +73,33 @@ def test_sinks(spark, tmp_path):
     S.write_report(df, str(tmp_path / "r"), 3)
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("*.csv"))
     assert "train\t1.235" in text and "val\t\n" in text
+
+
+def test_file_list_numbers_and_strict_mode(spark, tmp_path):
+    body = ["# note", "", "a.wav|3|hi", "a.wav|x|hi", "b.wav|4|0.5|1|both", "broken"] + [f"w{i}.wav|1|t" for i in range(300)] + ["last"]
+    (tmp_path / "m.txt").write_text("\n".join(body) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        rows = S.file_list(spark, str(tmp_path / "m.txt")).orderBy("line").collect()
+        with pytest.raises(ValueError, match="m.txt:4: speaker"):
+            S.file_list(spark, str(tmp_path / "m.txt"), strict=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["line"], r["error"]) for r in rows if r["error"]] == [(4, "speaker"), (6, "fields"), (307, "fields")]
+    assert (rows[2]["line"], rows[2]["wav"], rows[2]["spk"], rows[2]["tail"]) == (5, "b.wav", 4, "0.5|1|both") and rows[250]["line"] == 253 and len(rows) == 305
+
+
+def test_chunk_plan_round_trip(spark, tmp_path):
+    rows = [(1, 1, 0, 2, 5, False, 'say "a b', "whole text"), (2, 1, 1, 2, 4, True, " c", None)]
+    S.write_chunk_plan(spark.createDataFrame(rows, "synth_line bigint, orig_line bigint, chunk_idx bigint, n_chunks bigint, n_tokens bigint, had_hard_split boolean, text string, orig_text string"), str(tmp_path / "p"))
+    got = S.chunk_plan(spark, str(tmp_path / "p")).orderBy("synth_line").collect()
+    assert [tuple(r)[:8] for r in got] == rows and all(r["error"] is None for r in got)
+    (tmp_path / "q.tsv").write_text("\t".join(S.PLAN[:7]) + "\n1\t1\t0\t1\t3\t0\ta\tb\n1\t1\t0\n1\tx\t0\t1\t3\t0\ta\n\n")
+    got = S.chunk_plan(spark, str(tmp_path / "q.tsv")).collect()
+    assert [(r["text"], r["orig_text"], r["error"]) for r in got] == [("a\tb", None, None), (None, None, "fields"), (None, None, "number")]
+
+
+def test_split_lists(spark, tmp_path):
+    S.write_split_lists(spark.createDataFrame([("val", 1, "a|b\nc"), ("train", 2, None)], "split string, k int, t string"), str(tmp_path / "l"), ["k", "t"])
+    assert {(r["split"], r["value"]) for r in spark.read.text(str(tmp_path / "l")).collect()} == {("val", "1|a b c"), ("train", "2|")}

@@ -65,3 +65,25 @@ def test_admission(spark, tmp_path):
     query = jobs.admit(jobs.stream(spark, str(tmp_path / "in"), schema), excluded, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("key")).collect()) == ["a", "c"]
+
+
+def test_admission_keeps_near_copies_out(spark, tmp_path):
+    schema = "key string, ts timestamp"
+    held, base = "thequickbrownfoxjumpsoverthedog", "theharbourmasterkeptalongledger"
+    chain = [base, base[:-2] + "xx", base[:-4] + "yyxx"]  # each is near the next, the first not near the last
+    files(spark, tmp_path / "in", schema, [(held[:-1] + "s", T0), *((k, T0) for k in chain), ("short", T0)], [(base[:-1] + "q", T0 + timedelta(minutes=1)), ("anothersentencealtogether", T0 + timedelta(minutes=1))])
+    excluded = spark.createDataFrame([(held,)], "key string")
+    query = jobs.admit(jobs.stream(spark, str(tmp_path / "in"), schema), excluded, str(tmp_path / "out"), str(tmp_path / "cp"), 88.0).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r["key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"short", "anothersentencealtogether", chain[0], chain[2]}
+
+
+def test_advanced_rows_equal_the_stream(spark, tmp_path):
+    rows = [(k, s) for k in (1, 2) for s in range(k, 400, 7)] + [(3, 5), (3, 5), (None, 1), (4, None)]
+    want, last = set(), {}
+    for k, s in sorted(r for r in rows if None not in r):
+        if k not in last or s >= last[k] + 50:
+            last[k] = s
+            want.add((k, s))
+    assert sorted(tuple(r) for r in jobs.advanced_rows(spark.createDataFrame(rows, "key bigint, step bigint"), 50).collect()) == sorted(want)

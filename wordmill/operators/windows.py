@@ -2,34 +2,67 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a table of groups that is broadcast, at most.
+FEW_GROUPS = 10_000
+
 
 def hash_order(*parts: Column, seed: str = "0") -> Column:
     """A stable random order: the sha256 of a seed and a key, never rand()."""
     return F.sha2(F.concat_ws(":", F.lit(seed), *(p.cast("string") for p in parts)), 256)
 
 
+def fixed(rows: DataFrame) -> DataFrame:
+    """rows written to the checkpoint folder: all that follows sees the same ones, and survives lost executors.
+
+    The folder is spark.checkpoint.dir. Where a session on one machine names none, a new local one is set;
+    on a cluster, where no executor could read it, that is an error.
+    """
+    context = rows.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wordmill-checkpoints-"))
+    return rows.checkpoint()
+
+
 def global_running_sum(rows: DataFrame, order: Sequence[str], value: str, into: str) -> DataFrame:
     """rows with the running sum of an integer value over a total order of all rows.
 
     Rows are dealt by ranges of the order; each range sums up on its own and starts from the sum of
     those before it. Only one number per range comes to the driver, and no window spans all rows.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
-    # the ranges are fixed by writing them down: both passes below must see the same ones
-    fixed = dealt.persist()
-    sums = sorted((r["range_"], r["s"] or 0) for r in fixed.groupBy("range_").agg(F.sum(value).alias("s")).collect())
-    starts = dict(zip((n for n, _ in sums), accumulate((s for _, s in sums), initial=0), strict=False))
-    offset = F.create_map(*(x for n, s in starts.items() for x in (F.lit(n), F.lit(s)))) if starts else F.lit(None)
-    by = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if not starts:
+    ranges = fixed(rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))  # both passes must see the same ranges
+    sums = sorted((r["range_"], r["s"] or 0) for r in ranges.groupBy("range_").agg(F.sum(value).alias("s")).collect())
+    if not sums:
         return rows.withColumn(into, F.lit(0).cast("bigint"))
-    return fixed.withColumn(into, (F.sum(value).over(by) + F.element_at(offset, F.col("range_"))).cast("bigint")).drop("range_")
+    before = zip((n for n, _ in sums), accumulate((s for _, s in sums), initial=0), strict=False)
+    starts = rows.sparkSession.createDataFrame(list(before), "range_ int, start_ bigint")
+    by = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = ranges.withColumn(into, F.sum(value).over(by)).join(F.broadcast(starts), "range_")  # one row for each range
+    return met.withColumn(into, (F.col(into) + F.col("start_")).cast("bigint")).drop("range_", "start_")
+
+
+def running_in_groups(rows: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, into: str) -> DataFrame:
+    """rows with the running sum of an integer value within their group, and the group's sum as total_.
+
+    A group may hold any share of the rows: it is cut into ranges of the order, as global_running_sum()
+    does for all rows. Null group keys are a group. The table of groups is broadcast up to FEW_GROUPS rows.
+    """
+    totals = rows.groupBy(*groups).agg(F.sum(value).cast("bigint").alias("total_"))
+    ends = fixed(global_running_sum(totals, groups, "total_", "end_"))
+    starts = ends.select(*(F.col(g).alias(f"{g}_of_") for g in groups), "total_", (F.col("end_") - F.col("total_")).alias("before_"))
+    starts = F.broadcast(starts) if ends.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else starts
+    summed = global_running_sum(rows, [*groups, *order], value, into)
+    same = [F.col(g).eqNullSafe(F.col(f"{g}_of_")) for g in groups]
+    return summed.join(starts, same).withColumn(into, F.col(into) - F.col("before_")).drop("before_", *(f"{g}_of_" for g in groups))
 
 
 def stratified_quota(rows: DataFrame, strata: Sequence[str], key: Sequence[str], value: str, target: int, seed: str) -> DataFrame:
@@ -38,10 +71,8 @@ def stratified_quota(rows: DataFrame, strata: Sequence[str], key: Sequence[str],
     A row's position is the middle of its value within its stratum's total. value is an integer.
     """
     keyed = rows.withColumn("h_", hash_order(*(F.col(k) for k in key), seed=seed))
-    by = Window.partitionBy(*strata).orderBy("h_", *key)
-    total = Window.partitionBy(*strata)
-    run = F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    placed = keyed.withColumn("at_", ((2 * run - F.col(value)) * 1_000_000_000 / (2 * F.sum(value).over(total))).cast("bigint"))
+    run = running_in_groups(keyed, strata, ["h_", *key], value, "in_")
+    placed = run.withColumn("at_", ((2 * F.col("in_") - F.col(value)) * 1_000_000_000 / (2 * F.col("total_"))).cast("bigint")).drop("in_", "total_")
     summed = global_running_sum(placed, ["at_", "h_", *key], value, "run_")
     return summed.where(F.col("run_") - F.col(value) < target).drop("h_", "at_", "run_")
 
@@ -64,8 +95,9 @@ def balanced(rows: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     sizes = rows.groupBy(group).agg(F.count("*").alias("n_"))
     sizes = sizes.join(F.broadcast(sizes.agg(F.max("n_").alias("top_"))))
     rounds = rows.join(sizes, group).withColumn("round", F.explode(F.sequence(F.lit(0), F.ceil(F.col("top_") / F.col("n_")).cast("int") - 1)))
-    rest = rounds.withColumn("r_", F.row_number().over(Window.partitionBy(group, "round").orderBy(hash_order(F.col("round"), F.col(key), seed=seed), key)))
-    return rest.where(F.col("round") * F.col("n_") + F.col("r_") <= F.col("top_")).drop("n_", "top_", "r_")
+    placed = rounds.withColumn("h_", hash_order(F.col("round"), F.col(key), seed=seed)).withColumn("one_", F.lit(1))
+    rest = running_in_groups(placed, [group, "round"], ["h_", key], "one_", "r_")
+    return rest.where(F.col("round") * F.col("n_") + F.col("r_") <= F.col("top_")).drop("n_", "top_", "r_", "h_", "one_", "total_")
 
 
 def dense_ids(rows: DataFrame, group: str, ident: str, into: str) -> DataFrame:
@@ -86,8 +118,9 @@ def largest_remainder(counts: DataFrame, group: Sequence[str], bucket: str, shar
 
 def prioritized_sample(rows: DataFrame, quotas: DataFrame, keys: Sequence[str], priority: str, key: Sequence[str], seed: str) -> DataFrame:
     """The quota's number of rows of each group, by priority and then by hash."""
-    by = Window.partitionBy(*keys).orderBy(priority, hash_order(*(F.col(k) for k in key), seed=seed), *key)
-    return rows.withColumn("r_", F.row_number().over(by)).join(quotas, list(keys)).where(F.col("r_") <= F.col("quota")).drop("r_", "quota")
+    placed = rows.withColumn("h_", hash_order(*(F.col(k) for k in key), seed=seed)).withColumn("one_", F.lit(1))
+    ranked = running_in_groups(placed, keys, [priority, "h_", *key], "one_", "r_").drop("h_", "one_", "total_")
+    return ranked.join(quotas, list(keys)).where(F.col("r_") <= F.col("quota")).drop("r_", "quota")
 
 
 def mapped(column: Column, table: Mapping[str, int]) -> Column:

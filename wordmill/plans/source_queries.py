@@ -114,12 +114,7 @@ def t7_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t8_emit_if_advanced")
 def t8_emit_if_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch twin: in order of a user's events, those at least 500 past the last one kept."""
-    steps = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.sort_array(F.collect_list("event_id")).alias("l"))
-
-    def fold(kept, x):
-        return F.when((F.size(kept) == 0) | (x >= F.coalesce(F.get(kept, F.size(kept) - 1), F.lit(0)) + 500), F.array_append(kept, x)).otherwise(kept)
-
-    return steps.select("key", F.explode(F.aggregate("l", F.array().cast("array<bigint>"), fold)).alias("step"))
+    return jobs.advanced_rows(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("step")), 500)
 
 
 @query("t9_drain", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

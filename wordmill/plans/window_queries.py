@@ -169,8 +169,8 @@ def w14_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w15_strided", "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 4 AS part FROM documents")
 def w15_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", ((r - 1) % 4).cast("bigint").alias("part"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).alias("one"))
+    return W.running_in_groups(rows, ["source"], ["doc_id"], "one", "r").select("doc_id", ((F.col("r") - 1) % 4).alias("part"))
 
 
 @query(

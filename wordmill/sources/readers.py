@@ -42,6 +42,65 @@ def real_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(~F.col("value").rlike(r"^\s*(#|$)"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines counted from 1; a window holds the lines of one block of a file at most."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seen"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("seen"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n")).withColumn("before", earlier)
+    return rows.withColumn("inside", inside).join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("inside")).alias("line"), "value")
+
+
+def file_list(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(file, line, wav, spk, tail, error) of wav|speaker|tail lines; blank lines and comments go.
+
+    tail is all that follows the speaker, with its bars. A bad line keeps its number and value as tail
+    and has its error: fields or speaker; fork() parts them off. strict raises at the first of them.
+    """
+    rows = numbered_lines(spark, path).withColumn("value", F.trim("value")).where(~F.col("value").rlike(r"^(#|$)"))
+    parts = F.split("value", r"\|", 3)
+    spk = F.trim(F.get(parts, F.lit(1))).try_cast("int")
+    error = F.when(F.size(parts) < 3, "fields").when(spk.isNull(), "speaker")
+    out = rows.select(
+        "file", "line", F.when(error.isNull(), F.get(parts, F.lit(0))).alias("wav"), F.when(error.isNull(), spk).alias("spk"),
+        F.when(error.isNull(), F.get(parts, F.lit(2))).otherwise(F.col("value")).alias("tail"), error.alias("error"),
+    )
+    if strict:
+        bad = out.where("error is not null").orderBy("file", "line").first()
+        if bad:
+            raise ValueError(f"{bad['file']}:{bad['line']}: {bad['error']}")
+    return out
+
+
+#: Columns of a chunk plan in their order; the last one may be absent.
+PLAN = ("synth_line", "orig_line", "chunk_idx", "n_chunks", "n_tokens", "had_hard_split", "text", "orig_text")
+
+
+def chunk_plan(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of PLAN, file and error of tab-separated chunk plans with a header; files without orig_text have it null.
+
+    Tabs in the last column belong to it. Rows with too few fields or bad numbers have an error and null fields.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    heads = lines.where(F.col("value").startswith("synth_line\t")).select("file", F.col("value").endswith("\torig_text").alias("full")).distinct()
+    rows = lines.where(~F.col("value").startswith("synth_line\t")).join(heads, "file")
+    parts = F.when(F.col("full"), F.split("value", "\t", 8)).otherwise(F.split("value", "\t", 7))
+    fields = [F.get(parts, F.lit(i)) for i in range(8)]
+    numbers = [f.try_cast("bigint") for f in fields[:6]]
+    short = F.size(parts) < F.when(F.col("full"), 8).otherwise(7)
+    error = F.when(short, "fields").when(F.greatest(*(n.isNull() for n in numbers)), "number")
+    typed = [*numbers[:5], numbers[5] != 0, fields[6], F.nullif(fields[7], F.lit(""))]
+    return rows.select(*(F.when(error.isNull(), c).alias(n) for n, c in zip(PLAN, typed, strict=True)), "file", error.alias("error"))
+
+
+def write_chunk_plan(rows: DataFrame, path: str) -> None:
+    """rows with the columns of PLAN as chunk_plan() reads them; tabs and line ends inside texts become spaces."""
+    cells = [F.col(c).cast("int").cast("string") if c == "had_hard_split" else F.col(c).cast("string") for c in PLAN]
+    plain = [F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]", " ").alias(n) for c, n in zip(cells, PLAN, strict=True)]
+    options = {"sep": "\t", "header": True, "quote": "\u0000", "escape": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select(*plain).write.mode("overwrite").options(**options).csv(path)
+
+
 def text_manifest(lines: DataFrame, default_speaker: int) -> DataFrame:
     """(spk, text) of lines whose leading fields may be a path, numbers and a speaker; the last field is the text."""
     parts = F.split("value", r"\|")
@@ -159,6 +218,12 @@ def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
     rows.write.partitionBy(split).mode("overwrite").json(path)
 
 
+def write_split_lists(rows: DataFrame, path: str, columns: Sequence[str], split: str = "split") -> None:
+    """One folder of text lines per split, the columns joined by bars; line ends and bars inside become spaces."""
+    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[|\r\n]", " ") for c in columns]
+    rows.select(split, F.concat_ws("|", *cells).alias("value")).write.partitionBy(split).mode("overwrite").text(path)
+
+
 def write_report(rows: DataFrame, path: str, decimals: int = 6) -> None:
     """Tab-separated with a header; numbers rounded, null and NaN blank."""
     cells = [F.when(~F.isnan(F.col(c)), F.round(F.col(c), decimals)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.joins import near_matches
+from ..operators.windows import fixed
+
 #: Order of a candidate's states; a step may go one state on, or end.
 STATES = ("queued", "synthesizing", "synthesized", "asr", "done", "passed", "rejected")
 LEGAL = {"queued": {"synthesizing"}, "synthesizing": {"synthesized", "queued"}, "synthesized": {"asr"}, "asr": {"done"}, "done": {"passed", "rejected"}}
@@ -109,18 +112,68 @@ def advanced(events: DataFrame, every: int) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, "key bigint, step bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def admit(texts: DataFrame, excluded: DataFrame, path: str, checkpoint: str):
-    """Writes texts (key, ts, ...) of a stream once per key and none that is excluded; each micro-batch also drains against what is there."""
+def advanced_rows(events: DataFrame, every: int) -> DataFrame:
+    """The batch twin of advanced(): each key's steps in order, those at least `every` past the last one kept.
+
+    Sorted partitions are walked with the last kept step as the only state, so a key of any size fits.
+    """
+    kind = events.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), None
+        for rows in batches:
+            keys, steps = rows["key"].tolist(), rows["step"].tolist()
+            kept = []
+            for at, (key, step) in enumerate(zip(keys, steps, strict=True)):
+                if key != now:
+                    now, last = key, None
+                if last is None or step >= last + every:
+                    last = step
+                    kept.append(at)
+            yield rows.iloc[kept]
+
+    whole = events.where("key is not null and step is not null").select("key", F.col("step").cast("bigint").alias("step"))
+    return whole.repartition("key").sortWithinPartitions("key", "step").mapInPandas(run, f"key {kind}, step bigint")
+
+
+def near_admitted(fresh: DataFrame, held: DataFrame, ratio: float) -> DataFrame:
+    """Rows of fresh (key, ...) whose key is near none of held (key) and none of fresh that stays itself.
+
+    Keys of fresh are judged in their order: one that is near an earlier one goes if that one stays.
+    """
+    def named(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select(F.col("key").alias(f"{side}id"), F.col("key").alias(f"{side}key"))
+
+    close = near_matches(named(held, "l"), named(fresh, "r"), ratio).select(F.col("rid").alias("key")).distinct()
+    left = fixed(fresh.join(close, "key", "left_anti"))
+    pairs = fixed(near_matches(named(left, "l"), named(left, "r"), ratio).where("lid < rid").select("lid", "rid"))
+    while not pairs.isEmpty():  # the smallest key of all pairs is decided in every round, and all others without an earlier neighbour
+        stay = pairs.select("lid").distinct().join(pairs.select(F.col("rid").alias("lid")), "lid", "left_anti")
+        gone = fixed(pairs.join(stay, "lid", "left_semi").select("rid").distinct())
+        left = fixed(left.join(gone.withColumnRenamed("rid", "key"), "key", "left_anti"))
+        open_pairs = pairs.join(stay, "lid", "left_anti").join(gone, "rid", "left_anti")
+        pairs = fixed(open_pairs.join(gone.withColumnRenamed("rid", "lid"), "lid", "left_anti").select("lid", "rid"))
+    return left
+
+
+def admit(texts: DataFrame, excluded: DataFrame, path: str, checkpoint: str, ratio: float | None = None):
+    """Writes texts (key, ts, ...) of a stream once per key and none that is excluded; each micro-batch also drains against what is there.
+
+    With a ratio, as near_matches() takes it, keys that are near an excluded or admitted one stay out as well.
+    """
     once = texts.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["key"])
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.join(excluded, "key", "left_anti")
+        fresh, held = batch.join(excluded, "key", "left_anti"), excluded.select("key")
         try:
-            fresh = fresh.join(spark.read.parquet(path).where(F.col("batch") != number).select("key"), "key", "left_anti")
+            there = spark.read.parquet(path).where(F.col("batch") != number).select("key")
+            fresh, held = fresh.join(there, "key", "left_anti"), held.unionByName(there)
         except Exception as error:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
                 raise
+        if ratio is not None:
+            fresh = near_admitted(fixed(fresh), held, ratio)
         fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
