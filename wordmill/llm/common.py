@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitted(sample: DataFrame, train: Callable[[pd.DataFrame], Any]) -> Any:
+    """What train makes of all rows of a sample, which the caller keeps to a fixed bound.
+
+    Training is one task, which another executor can do again, so neither the sample nor what training
+    needs is held by the driver; only the model comes back.
+    """
+    columns = sample.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [batch for batch in batches if len(batch)]
+        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+        del parts
+        yield pd.DataFrame({"model": [pickle.dumps(train(rows))]})
+
+    found = sample.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else train(pd.DataFrame(columns=columns))
+
+
 def id_type(df: DataFrame, column: str) -> str:
     """The SQL type of a key column, for the schemas of Python steps that pass it on."""
     return df.schema[column].dataType.simpleString()

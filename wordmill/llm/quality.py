@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type
+from .common import fitted, id_type
 from .toxicity import labelled_sample
 
 WINDOW = 8
@@ -242,10 +242,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_
             yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "x": found})
 
     sample = labelled_sample(docs, labels, "quality", per_class, id_col, text_col)
-    rows = sample.mapInPandas(run, "id string, y int, x binary").collect()
-    rows.sort(key=lambda r: (r["id"], r["y"]))
-    pairs = [(np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(np.float64), r["y"]) for r in rows]
-    return train([(x, y) for x, y in pairs if len(x)])
+
+    def learn(rows: pd.DataFrame) -> Field:
+        rows = rows.sort_values(["id", "y"])
+        pairs = [(np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)).astype(np.float64), y) for x, y in zip(rows["x"], rows["y"], strict=True)]
+        return train([(x, y) for x, y in pairs if len(x)])
+
+    return fitted(sample.mapInPandas(run, "id string, y int, x binary"), learn)
 
 
 def judge(text: str | None, field: Field) -> tuple[int, int, int, int, int, bool, float, bool]:

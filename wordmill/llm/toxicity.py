@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type
+from .common import fitted, id_type
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -84,7 +84,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(index: np.ndarray, share: np.ndarray) -> bytes:
-    """A bag in a few bytes: the driver holds all of the sample's."""
+    """A bag in a few bytes: one task holds all of the sample's."""
     gaps = np.diff(index, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
     return zstandard.ZstdCompressor().compress(np.ascontiguousarray(gaps).tobytes() + share.astype("<f4").tobytes())
 
@@ -136,7 +136,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     used = np.flatnonzero(rarity)
     place = np.zeros(BUCKETS, dtype=np.int32)
     place[used] = np.arange(len(used))
-    for n, (index, share) in enumerate(bags):  # in place: the driver holds one copy of the sample
+    for n, (index, share) in enumerate(bags):  # in place: one copy of the sample is held
         share = share * rarity[index]
         bags[n] = place[index[share > 0]], share[share > 0]
     vectors = vectors[used]
@@ -237,12 +237,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_
                 yield pd.DataFrame({"id": part["id"].astype(str), "y": part["y"], "b": [_packed(*bag(t)) for t in part["t"]]})
 
     sample = labelled_sample(docs, labels, "toxic", per_class, id_col, text_col)
-    rows = sample.mapInPandas(bags, "id string, y int, b binary").collect()
-    rows.sort(key=lambda r: (r["id"], r["y"]))
-    labels_ = np.array([r["y"] for r in rows])
-    pairs = [_unpacked(r["b"]) for r in rows]
-    del rows
-    return train(pairs, labels_)
+
+    def learn(rows: pd.DataFrame) -> Model:
+        rows = rows.sort_values(["id", "y"])
+        return train([_unpacked(b) for b in rows["b"]], rows["y"].to_numpy(np.int64))
+
+    return fitted(sample.mapInPandas(bags, "id string, y int, b binary"), learn)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
