@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,28 @@ def test_running_sums_in_groups(spark):
     assert len(got) == 400
     for r in got:
         assert r["run"] == sum(v for g, i, v in rows if g == r["g"] and i <= r["i"]) and r["total_"] == sums[r["g"]]
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2", "cosine"])
+def test_dtw_metrics_and_path(spark, metric):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=(n, 3)).tolist(), rng.normal(size=(m, 3)).tolist()) for k, (n, m) in enumerate([(1, 1), (3, 4), (5, 2), (4, 5)])]
+    pairs = spark.createDataFrame([*rows, (9, rows[3][1] * 3, rows[3][1] * 3)], "pair long, x array<array<double>>, y array<array<double>>")
+    got = {r["pair"]: r for r in D.dtw_costs(pairs, None, 100, metric, True).collect()}
+    assert got[9]["cost"] is None and got[9]["path"] is None  # 144 cells
+
+    for k, x, y in rows:
+        def apart(i: int, j: int) -> float:
+            a, b = np.array(x[i]), np.array(y[j])
+            if metric == "cosine":
+                return 1 - a @ b / np.sqrt(a @ a * (b @ b))
+            return np.abs(a - b).sum() if metric == "l1" else np.sqrt(((a - b) ** 2).sum())
+
+        def least(i: int, j: int) -> float:  # over all paths
+            before = [least(p, q) for p, q in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if p >= 0 and q >= 0]
+            return apart(i, j) + (min(before) if before else 0)
+
+        path = [(s["i"], s["j"]) for s in got[k]["path"]]
+        assert got[k]["cost"] == pytest.approx(least(len(x) - 1, len(y) - 1)) and len(path) == got[k]["steps"]
+        assert path[0] == (0, 0) and path[-1] == (len(x) - 1, len(y) - 1)
+        assert sum(apart(i, j) for i, j in path) == pytest.approx(got[k]["cost"])

@@ -50,35 +50,61 @@ def wer(a: Column, b: Column) -> Column:
     return F.when(F.size(both) <= MOST_WORDS, F.levenshtein(written(left), written(right)) / F.greatest(F.size(left), F.lit(1))).otherwise(_long_wer(a, b))
 
 
-def dtw_costs(pairs: DataFrame, band: int, most_cells: int) -> DataFrame:
-    """(pair, cost, steps) of pairs (pair, x, y: arrays of numbers) by dynamic time warping in a band.
-
-    Pairs of more than most_cells cells get a null cost before any Python runs; the others are dealt by
-    their cells so that tasks have like work.
+def frame_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all frames of a (n, k) to those of b (m, k): l1, l2 or cosine (1 where a frame is all zero)."""
+    if metric == "cosine":
+        sizes = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+        return 1 - np.divide(a @ b.T, sizes, out=np.zeros_like(sizes), where=sizes > 0)
+    apart = (np.abs(x - b) for x in a)
+    rows = [d.sum(axis=1) if metric == "l1" else np.sqrt((d * d).sum(axis=1)) for d in apart]
+    return np.stack(rows) if rows else np.zeros((0, len(b)))
+
+
+def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int, metric: str = "l1", with_path: bool = False) -> DataFrame:
+    """(pair, cost, steps) of pairs (pair, x, y: arrays of numbers, or of equally long frames) by dynamic time warping.
+
+    The metric is l1, l2 or cosine; band is how far a path may leave the diagonal, None for anywhere.
+    With with_path, path holds the steps (i, j) from the start. Pairs of more than most_cells cells get
+    nulls before any Python runs; the others are dealt by their cells so that tasks have like work.
     """
+    if metric not in ("l1", "l2", "cosine"):
+        raise ValueError(f"no such metric: {metric}")
     cells = pairs.withColumn("cells", F.size("x").cast("bigint") * F.size("y"))
 
+    def frames(values: np.ndarray) -> np.ndarray:
+        return np.array([np.atleast_1d(v) for v in values], float).reshape(len(values), -1)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for pair, x, y in zip(batch["pair"], batch["x"], batch["y"], strict=True):
-                a, b = np.asarray(x, float), np.asarray(y, float)
-                cost = np.full((len(a) + 1, len(b) + 1), np.inf)
-                steps = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64)
+                n, m = len(x), len(y)
+                apart = frame_distances(frames(x), frames(y), metric) if n and m else np.zeros((n, m))
+                cost = np.full((n + 1, m + 1), np.inf)
+                steps = np.zeros((n + 1, m + 1), dtype=np.int64)
                 cost[0, 0] = 0
-                for i in range(1, len(a) + 1):
-                    middle = i * len(b) // max(len(a), 1)
-                    for j in range(max(1, middle - band), min(len(b), middle + band) + 1):
+                for i in range(1, n + 1):
+                    middle, reach = i * m // max(n, 1), m if band is None else band
+                    for j in range(max(1, middle - reach), min(m, middle + reach) + 1):
                         options = ((cost[i - 1, j - 1], steps[i - 1, j - 1]), (cost[i - 1, j], steps[i - 1, j]), (cost[i, j - 1], steps[i, j - 1]))
                         best = min(options)
-                        cost[i, j], steps[i, j] = best[0] + abs(a[i - 1] - b[j - 1]), best[1] + 1
-                out.append((pair, float(cost[-1, -1]), int(steps[-1, -1])))
-            yield pd.DataFrame(out, columns=["pair", "cost", "steps"])
+                        cost[i, j], steps[i, j] = best[0] + apart[i - 1, j - 1], best[1] + 1
+                row = [pair, float(cost[-1, -1]), int(steps[-1, -1])]
+                if with_path:
+                    i, j, path = n, m, []
+                    while i and j and np.isfinite(cost[i, j]):
+                        path.append({"i": i - 1, "j": j - 1})
+                        _, _, i, j = min((cost[p, q], steps[p, q], p, q) for p, q in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
+                    row.append(path[::-1])
+                out.append(row)
+            yield pd.DataFrame(out, columns=["pair", "cost", "steps", "path"][: 3 + with_path])
 
     fit = cells.where(F.col("cells") <= most_cells).repartitionByRange("cells", "pair").select("pair", "x", "y")
-    kind = pairs.schema["pair"].dataType.simpleString()
+    kinds = f"pair {pairs.schema['pair'].dataType.simpleString()}, cost double, steps bigint" + ", path array<struct<i: int, j: int>>" * with_path
     skipped = cells.where(F.col("cells") > most_cells).select("pair", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("bigint").alias("steps"))
-    return fit.mapInPandas(run, f"pair {kind}, cost double, steps bigint").unionByName(skipped)
+    if with_path:
+        skipped = skipped.withColumn("path", F.lit(None).cast("array<struct<i: int, j: int>>"))
+    return fit.mapInPandas(run, kinds).unionByName(skipped)
 
 
 def lookup(words: DataFrame, lexicon: DataFrame, supplement: DataFrame) -> DataFrame:
