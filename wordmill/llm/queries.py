@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, licenses, mixing, quality, sstable, toxicity, urls
+from . import ann, bpe, chat, licenses, mixing, quality, runs, sstable, toxicity, urls
 from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,22 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_chat"] = op5_chat
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op11's contract: of every tenth id by hash, the words from a place on are repeated with a period."""
+    h = crc32(str(doc_id).encode())
+    n = len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(_table(spark, sf_dir, "documents"), change=planted)
+
+
+QUERIES["op11_runs"] = op11_runs
