@@ -8,7 +8,7 @@ from zlib import crc32
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, licenses, mixing, quality, runs, sstable, toxicity, urls
+from . import ann, bpe, chat, jaccard, licenses, mixing, phrases, quality, runs, sstable, toxicity, urls
 from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,71 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_runs"] = op11_runs
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_phrases"] = op12_phrases
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op12_phrases"] = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), f AS MATERIALIZED (
+    SELECT lang, p, count(*) AS f
+    FROM (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])))) AS p FROM words)
+    GROUP BY lang, p
+    HAVING count(*) >= 30 OR len(p) = 1
+), candidates AS (
+    SELECT lang, p, f AS a FROM f WHERE len(p) > 1
+), cuts AS (
+    SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, (2000000 * c.a::HUGEINT // (x.f + y.f))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidates) c
+    JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k]
+    JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 :]
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, q, max(a) AS longer
+    FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, len(p)), lambda k: list_transform(range(1, len(p) - k + 2), lambda i: p[i : i + k - 1])))) AS q FROM candidates)
+    GROUP BY lang, q
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang
+), ranked AS (
+    SELECT lowest.lang, array_to_string(lowest.p, ' ') AS phrase, a, l, r, score,
+           row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, array_to_string(lowest.p, ' ')) AS rank
+    FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.q = lowest.p
+    WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_jaccard"] = op13_jaccard
+SQL["op13_jaccard"] = rf"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+    SELECT row_no, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM words
+), shingles AS MATERIALIZED (
+    SELECT row_no, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS MATERIALIZED (
+    SELECT x.row_no AS u, y.row_no AS v
+    FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.row_no <> y.row_no
+    GROUP BY x.row_no, y.row_no, x.n, y.n
+    HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), reached(u, v) AS (
+    SELECT row_no, row_no FROM sets UNION SELECT reached.u, links.v FROM reached JOIN links ON links.u = reached.v
+)
+SELECT any_value(a.doc_id) AS doc_id, any_value(len(a.s))::BIGINT AS n_shingles, min(b.doc_id) AS component_id
+FROM reached JOIN sets a ON a.row_no = reached.u JOIN sets b ON b.row_no = reached.v
+GROUP BY reached.u
+"""
