@@ -77,7 +77,7 @@ def _ints(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype="<i4")
 
 
-def occurrences(docs: DataFrame, seed: int, text_col: str, lang_col: str) -> DataFrame:
+def occurrences(docs: DataFrame, seed: int, text_col: str, lang_col: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """R_1 of all words: (chunk, lang, words, hashes, counts, place, items), one row for each chunk.
 
     words, hashes and counts list the chunk's distinct words; place holds the steps from place to place,
@@ -106,7 +106,7 @@ def occurrences(docs: DataFrame, seed: int, text_col: str, lang_col: str) -> Dat
                 for piece in pieces(text or b""):
                     chunk = held.setdefault(lang, _Chunk())
                     chunk.add(piece)
-                    if chunk.words >= CHUNK_WORDS:
+                    if chunk.words >= chunk_words:
                         yield row(lang, held.pop(lang))
         for lang in list(held):
             yield row(lang, held.pop(lang))
@@ -218,10 +218,10 @@ def semi_join(relation: DataFrame, k: int, single: Filter | None, frequent: Filt
     return relation.select("hashes", "place", "items").mapInArrow(run, "hashes array<bigint>, place binary, items binary")
 
 
-def _words(docs: DataFrame, text_col: str, lang_col: str, least: int) -> tuple[DataFrame, DataFrame]:
+def _words(docs: DataFrame, text_col: str, lang_col: str, least: int, chunk_words: int) -> tuple[DataFrame, DataFrame]:
     """(R_1, (lang, word, h0, f) of all words), hashed so that no frequent word shares its hash."""
     for seed in range(8):
-        relation = written(occurrences(docs, seed, text_col, lang_col), "occurrences-1", "zstd")
+        relation = written(occurrences(docs, seed, text_col, lang_col, chunk_words), "occurrences-1", "zstd")
         one = relation.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
         words = one.groupBy("lang", F.col("w.words").alias("word"), F.col("w.hashes").alias("h0")).agg(F.sum("w.counts").alias("f"))
         words = written(words, "words", "zstd")
@@ -261,7 +261,7 @@ def _inside(table: dict[int, DataFrame], k: int) -> DataFrame:
     return out.groupBy(_names(k)).agg(F.max("f").alias("longer"))
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, first: int = FIRST) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, first: int = FIRST, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Each language's first phrases of 2 to 4 words: (lang, rank, phrase, a, l, r, n, score).
 
     Texts are lower-cased (A-Z) and split into pieces at sentence marks and line ends, pieces into words at
@@ -272,7 +272,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     texts have no words; a null language is `und`; repeated rows count as often as they are there; an empty table gives an
     empty result; long texts are read whole, over several chunks where need be. Other columns are not read.
     """
-    relation, words = _words(docs, text_col, lang_col, least)
+    relation, words = _words(docs, text_col, lang_col, least, chunk_words)
     table = {1: words.where(F.col("f") >= least).select("h0", "f")}
     single: Filter | None = Filter(table[1], 1)
     for k in range(2, LONGEST + 1):
