@@ -80,7 +80,7 @@ def test_groups_match_brute_force(spark):
     for k in range(60):
         rows.append((400 + (k * 37) % 61, " ".join(chain)))
         chain = edited(rng, chain, 2)
-    frame = spark.createDataFrame([(i, t, "x", "x") for i, t in rows], "doc_id bigint, text string, node string, region string")
+    frame = spark.createDataFrame([(i, t, "x", "x") for i, t in rows], "doc_id bigint, text string, node string, s0 string")
     got = sorted(map(repr, (tuple(r) for r in jaccard.jaccard_groups(frame).collect())))
     assert got == sorted(map(repr, brute_groups(rows)))
 
@@ -92,8 +92,17 @@ def test_large_regions_split_and_end(spark):
     families = [edited(rng, base, 9) for _ in range(8)]
     rows = [(k, " ".join(edited(rng, families[k % 8], rng.randrange(0, 7)))) for k in range(120)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = {tuple(r) for r in jaccard.jaccard_groups(frame).collect()}
-    assert found == set(brute_groups(rows)) and len({c for _, _, c in found}) > 8
+    for leaf in (jaccard.LEAF, 10):
+        found = {tuple(r) for r in jaccard.jaccard_groups(frame, leaf=leaf).collect()}
+        assert found == set(brute_groups(rows)) and len({c for _, _, c in found}) > 8
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        pool = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) * np.uint64(2)
+        a, b = pool[: rng.integers(1, 300)], pool[rng.integers(0, 200) :]
+        assert sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64)) <= len(np.setxor1d(a, b))
 
 
 def test_empty_and_unlinked_tables(spark):

@@ -12,12 +12,12 @@ the largest part on which two linked sets agree is among those of both: no link
 into bands, so that both sets of a pair are cut alike; a set also enters the band above where a partner may be there.
 
 Inside a region pivots are chosen among the nodes that links do not yet connect with the region's largest
-group. All its nodes get their exact distances from the pivots. Each goes to the Voronoi cell of its
+group; the first is the node that shares most regions, which connects most groups of copies. All its nodes get their exact distances from the pivots. Each goes to the Voronoi cell of its
 nearest pivot, at distance d, and to every cell whose pivot is at most d + 2r away: by the triangle
 inequality two linked nodes meet in the cell of either. Pivots have met everyone and leave; cells are
-regions of the next step. A region whose windows would take in too much stays whole without its pivots,
-one of LEAF nodes or fewer is ended by making pivots of all nodes outside its largest group, and one
-whose nodes are all connected is left. The first step takes one pivot for each region, which connects most groups of copies.
+regions of the next step. A region whose windows would take in too much stays whole. It, and one with LEAF
+nodes or fewer outside its largest group, is ended by making pivots of all of those; a sketch of 512 parities,
+which differ no more than the sets do, leaves few of these pairs to be measured. Regions whose nodes are all connected are left.
 
 Only nodes of regions that two different sets share are ever compared; their sets are made once more
 from the texts, and every distance is the size of an intersection, not an estimate.
@@ -43,9 +43,11 @@ from .components import components
 SHINGLE_WORDS = 3
 PERCENT = 90
 SEED = 42
-#: Nodes of a region that is ended in one step, and pivots of a larger one.
-LEAF = 32
+#: Nodes outside the largest group of a region that is ended in one step, and about how many pivots a larger one gets.
+LEAF = 1000
 PIVOTS = 32
+#: Columns of a set's sketch.
+SKETCH = tuple(f"s{i}" for i in range(8))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -95,6 +97,11 @@ def part_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """64 bits for each column of SKETCH: whether an odd number of shingles falls into a cell. Two sets differ in at least as many shingles as bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * len(SKETCH)) & 1, bitorder="little").view(np.int64)
+
+
 def _described(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """(id, tkey, n, node, short, keys) of every row: a hash of the text, the set's size, its 128-bit digest, 64 bits of that, its keys.
 
@@ -124,14 +131,15 @@ def _described(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Dat
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(node, n, shingles) of the rows of (node, t)."""
-    ddl = StructType.fromDDL("node binary, n bigint, shingles array<bigint>")
+    """(node, n, shingles, s0 ..) of the rows of (node, t)."""
+    ddl = StructType.fromDDL("node binary, n bigint, shingles array<bigint>, " + ", ".join(f"{s} bigint" for s in SKETCH))
     schema = to_arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t).view(np.int64) for t in batch.column("t").to_pylist()]
-            columns = [batch.column("node"), pa.array([len(s) for s in found]), pa.array(found, schema.types[2])]
+            found = [shingle_set(t) for t in batch.column("t").to_pylist()]
+            marks = np.array([sketch(s) for s in found], dtype=np.int64).reshape(-1, len(SKETCH))
+            columns = [batch.column("node"), pa.array([len(s) for s in found]), pa.array([s.view(np.int64) for s in found], schema.types[2]), *(pa.array(m) for m in marks.T.copy())]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return texts.select("node", "t").mapInArrow(run, ddl).dropDuplicates(["node"])
@@ -153,59 +161,81 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("p", "x", both.alias("both"), F.col("nx"), F.col("np")).select("p", "x", "both", (F.col("nx") + F.col("np") - F.col("both")).alias("either"))
 
 
-def _step(live: DataFrame, sets: DataFrame, percent: int, first: bool) -> tuple[DataFrame, DataFrame]:
-    """Pivots of all live regions (region, node, root, main, size) met: (links of this step, regions of the next)."""
-    chance = F.xxhash64("node") / F.lit(2.0**64) + 0.5
-    outside = live.where("root <> main").withColumn("chance", chance)
-    least = outside.groupBy("region").agg(F.min("chance").alias("least"), F.count("*").alias("others"))
-    wanted = F.lit(0.0) if first else F.when(F.col("size") <= LEAF, F.col("others")).otherwise(F.least(F.sqrt("size"), F.lit(float(PIVOTS))))
-    chosen = (F.col("chance") == F.col("least")) | (F.col("chance") < wanted / F.col("others"))
-    pivots = written(outside.join(least, "region").where(chosen).select("region", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivots")
-    leaf = F.lit(False) if first else F.col("size") <= LEAF
-    met = live.join(pivots, "region").where((F.col("node") != F.col("pivot")) & (~leaf | (F.col("root") != F.col("pivot_root"))))
-    met = written(met.select("region", "node", "size", "pivot", F.least("node", "pivot").alias("p"), F.greatest("node", "pivot").alias("x")), "met")
+def _step(live: DataFrame, sets: DataFrame, percent: int, number: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Pivots of all live regions (region, node, n, weight, s0 .., whole, root, main) met: (links of this step, regions of the next)."""
+    first, own = number == 0, ["node", "n", "weight", *SKETCH]
+    chance = F.xxhash64("node", F.lit(number)) / F.lit(2.0**64) + 0.5
+    outside = (live if first else live.where("root <> main")).withColumn("chance", chance).withColumn("rank", F.struct("weight", "chance"))
+    best = outside.groupBy("region").agg(F.max("rank").alias("best"), F.count("*").alias("others"))
+    ends = F.lit(False) if first else F.col("whole") | (F.col("others") <= leaf)
+    wanted = F.lit(0) if first else F.when(F.col("ends"), F.col("others")).otherwise(PIVOTS)
+    chosen = (F.col("rank") == F.col("best")) | (F.col("chance") < F.col("wanted") / F.col("others"))
+    pivots = outside.join(best, "region").withColumn("ends", ends).withColumn("wanted", wanted).where(chosen)
+    pivots = pivots.select("region", "ends", *(F.col(c).alias(f"pivot_{c}") for c in ["root", "node", "n", *SKETCH]))
+    pivots = written(pivots, "pivots")
+    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"pivot_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("pivot_s0"))))
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("pivot_n"))
+    wide = F.lit(False) if first else ~F.col("ends")  # cells need every distance
+    met = live.join(pivots, "region").where((F.col("node") != F.col("pivot_node")) & (wide | (near & (F.col("root") != F.col("pivot_root")))))
+    met = written(met.select("region", *own, "ends", F.col("pivot_node").alias("pivot"), F.least("node", "pivot_node").alias("p"), F.greatest("node", "pivot_node").alias("x")), "met")
     measured = written(_measured(met.select("p", "x").distinct(), sets), "distances")
     links = measured.where(100 * F.col("both") >= percent * F.col("either")).select(F.col("p").alias("u"), F.col("x").alias("v"))
 
-    own_pivots = pivots.select("region", F.col("pivot").alias("node"))
-    rest = met.where(~leaf).join(own_pivots, ["region", "node"], "left_anti")
+    own_pivots = pivots.select("region", F.col("pivot_node").alias("node"))
     if first:  # one pivot: one cell
-        return links, rest.select("region", "node")
-    apart = rest.join(measured, ["p", "x"]).select("region", "node", "pivot", (1 - F.col("both") / F.col("either")).alias("d"))
+        return links, live.join(own_pivots, ["region", "node"], "left_anti").select("region", *own, "whole")
+    rest = met.where("not ends").join(own_pivots, ["region", "node"], "left_anti")
+    apart = rest.join(measured, ["p", "x"]).withColumn("d", 1 - F.col("both") / F.col("either"))
     nearest = apart.groupBy("region", "node").agg(F.min("d").alias("nearest"))
     window = F.col("nearest") + 2 * (100 - percent) / 100 + 1e-9
-    cells = written(apart.join(nearest, ["region", "node"]).where(F.col("d") <= window).select("region", "node", "pivot"), "cells")
-    split = cells.groupBy("region").agg((2 * F.count("*") <= 3 * F.count_distinct("node")).alias("split"))
-    place = F.when(F.col("split"), F.xxhash64("region", "pivot")).otherwise(F.col("region"))
-    return links, cells.join(split, "region").select(place.alias("region"), "node").distinct()
-
-
-def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    cells = written(apart.join(nearest, ["region", "node"]).where(F.col("d") <= window).select("region", *own, "pivot"), "cells")
+    whole = cells.groupBy("region").agg((2 * F.count("*") > 3 * F.count_distinct("node")).alias("whole"))
+    place = F.when(F.col("whole"), F.col("region")).otherwise(F.xxhash64("region", "pivot"))
+    return links, cells.join(whole, "region").select(place.alias("region"), *own, "whole").distinct()
+
+
+def _weighted(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """regions with the nodes' sizes, sketches and weights: how many nodes a node meets in all its regions; who meets most is the most central."""
+    sizes = regions.groupBy("region").agg(F.count("*").alias("size"))
+    weights = regions.join(sizes, "region").groupBy("node").agg(F.sum("size").alias("weight"))
+    return regions.join(weights, "node").join(sets.select("node", "n", *SKETCH), "node").withColumn("whole", F.lit(False))
+
+
+def _renamed(rows: DataFrame, column: str, names: DataFrame | None, into: str) -> DataFrame:
+    """rows with the root of a column's node, itself where it has none, as into."""
+    if names is None:
+        return rows.withColumn(into, F.col(column))
+    found = names.select(F.col("node").alias("known_"), F.col("root").alias("root_"))
+    return rows.join(found, F.col(column) == F.col("known_"), "left").withColumn(into, F.coalesce("root_", column)).drop("known_", "root_")
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, root) with new links added: only the roots that they connect are named anew."""
+    between = _renamed(_renamed(links, "u", roots, "a"), "v", roots, "b").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    between = written(between.distinct(), "links")
+    if between.isEmpty():
+        return roots
+    named = components(between)
     if roots is None:
-        return rows.withColumn("root", F.col("node"))
-    found = roots.select(F.col("node").alias("linked"), "root")
-    return rows.join(found, rows["node"] == found["linked"], "left").select("region", "node", F.coalesce("root", "node").alias("root"))
+        return named
+    old = _renamed(roots.select("node", F.col("root").alias("old")), "old", named, "root").select("node", "root")
+    return written(old.unionByName(named.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
-def connected(regions: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+def connected(regions: DataFrame, sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame | None:
     """(node, root) of the nodes that links connect, given regions (region, node) in which linked nodes meet; None if there is no link."""
-    rows, links, roots, first = written(regions, "regions"), [], None, True
-    while True:
-        held = written(_rooted(rows, roots), "regions")
-        groups = held.groupBy("region", "root").agg(F.count("*").alias("n"))
-        state = groups.groupBy("region").agg(F.sum("n").alias("size"), F.max_by("root", "n").alias("main"), F.count("*").alias("groups"))
-        state = written(state.where("groups > 1").drop("groups"), "regions")
-        if state.isEmpty():
-            return roots
-        found, rows = _step(written(held.join(state, "region"), "regions"), sets, percent, first)
-        rows = written(rows, "regions")
-        links.append(found)
-        if not links[-1].isEmpty():
-            roots = components(reduce(DataFrame.unionByName, links))
-        first = False
-
-
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    live = written(_weighted(regions, sets).withColumns({"root": F.col("node"), "main": F.col("node")}), "regions")
+    roots, number = None, 0
+    while not live.isEmpty():
+        links, rows = _step(live, sets, percent, number, leaf)
+        rows, roots, number = written(rows, "regions"), _merged(roots, links), number + 1
+        held = written(_renamed(rows, "node", roots, "root"), "regions")
+        groups = held.groupBy("region", "root").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("groups"))
+        live = written(held.join(groups.where("groups > 1").select("region", "main"), "region"), "regions")
+    return roots
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """One row per row of docs: (id_col, n_shingles, component_id).
 
     Two rows link when 100 * intersection >= percent * union for their sets of 3-word shingles of lower-cased
@@ -225,7 +255,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_tkey"), F.col(text_col).alias("t"))
     texts = texts.join(compared, texts["own_id"].eqNullSafe(compared["row_id"]) & (texts["own_tkey"] == compared["row_tkey"]))
     sets = written(_sets(texts), "shingle-sets")
-    roots = connected(regions, sets, percent)
+    roots = connected(regions, sets, percent, leaf)
 
     total, count = nodes.agg(F.sum("copies"), F.count("*")).first()
     if roots is None:
