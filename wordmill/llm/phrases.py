@@ -34,7 +34,9 @@ from .common import written
 LEAST = 30
 LONGEST = 4
 FIRST = 2000
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 600_000
+#: Texts that are split at once.
+TEXTS_AT_ONCE = 500
 FILTER_BITS = 26
 PROBES = 3
 #: Tasks that find a language's first phrases before one task orders what they found.
@@ -101,7 +103,7 @@ def occurrences(docs: DataFrame, seed: int, text_col: str, lang_col: str, chunk_
             values = (number, lang, [w.decode() for w in chunk.codes], hashes, counts, _bytes(np.diff(at, prepend=0)), _bytes(codes[at]))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, TEXTS_AT_ONCE)):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist(), strict=True):
                 for piece in pieces(text or b""):
                     chunk = held.setdefault(lang, _Chunk())
@@ -143,7 +145,7 @@ class Filter:
                 yield pa.RecordBatch.from_pydict({"slot": found >> 6, "value": np.left_shift(np.uint64(1), (found & 63).astype(np.uint64)).view(np.int64)})
 
         marks = groups.select(_names(k)).mapInArrow(run, "slot bigint, value bigint").groupBy("slot").agg(F.bit_or("value").alias("value"))
-        found = marks.toPandas()  # 2^(bits - 6) rows at most
+        found = marks.toArrow()  # 2^(bits - 6) rows at most
         words = np.zeros(1 << (bits - 6), dtype=np.int64)
         words[found["slot"].to_numpy()] = found["value"].to_numpy()
         self.bits, self.held = bits, groups.sparkSession.sparkContext.broadcast(words.view(np.uint64))
