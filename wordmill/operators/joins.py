@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import fixed
+
 
 #: Characters of a shingle that near_matches() counts.
 SHINGLE = 8
 #: Share of the longer key that a contained one has at least.
 CONTAINED = 0.65
 #: Cells that letters and letter pairs are counted in; letters that share one only let more pairs through.
-LETTERS, PAIRS = 64, 256
+LETTERS, PAIRS = 32, 256
 #: Keys of the right side sent out at once, and pairs whose counts are compared at once.
 KEYS_AT_ONCE, CELLS_AT_ONCE = 20_000, 1 << 20
 
@@ -92,39 +94,53 @@ def common_length(x: str, y: str) -> int:
 
 
 def _counts(keys: Sequence[str], letters: bool) -> np.ndarray:
-    """Counts of letters or of letter pairs for each key, by their code points in LETTERS or PAIRS cells."""
+    """Counts, up to 255, of letters or of letter pairs for each key, by their code points in LETTERS or PAIRS cells."""
     cells = LETTERS if letters else PAIRS
-    out = np.zeros((len(keys), cells), dtype=np.int32)
-    for row, key in zip(out, keys, strict=True):
-        codes = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        row += np.bincount((codes if letters else codes[:-1] * 31 + codes[1:]) % cells, minlength=cells)
-    return out
+    sizes = np.array([len(k) for k in keys], dtype=np.int64)
+    points = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(keys)), sizes)
+    if not letters:
+        same = owner[:-1] == owner[1:]
+        points, owner = (points[:-1] * 31 + points[1:])[same], owner[:-1][same]
+    found = np.bincount(owner * cells + points % cells, minlength=len(keys) * cells)
+    return np.minimum(found, 255).astype(np.uint8).reshape(len(keys), cells)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differences of counts; bytes are compared many at a time."""
+    return np.maximum(a, b) - np.minimum(a, b)
 
 
 def _near_pairs(left: Sequence[str], right: Sequence[str], sizes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, ratio: float) -> Iterator[tuple[int, int]]:
     """(i, j) of left and right, sorted by size, that are near; sizes, counts and pairs are right's."""
     own_sizes, own_counts, own_pairs = np.array([len(x) for x in left]), _counts(left, True), _counts(left, False)
     least = min(CONTAINED, ratio / (200 - ratio))
+    by_cell = np.ascontiguousarray(counts.T)
     for n in np.unique(own_sizes):
         low, high = np.searchsorted(sizes, [np.floor(n * least), np.ceil(n / least) + 1])
         rows, step = np.flatnonzero(own_sizes == n), max(1, CELLS_AT_ONCE // max(1, high - low))
         for at in range(0, len(rows) if high > low else 0, step):
             part = rows[at : at + step]
-            apart = np.zeros((len(part), high - low), dtype=np.int32)
+            total = np.zeros((len(part), high - low), dtype=np.uint16)
             for cell in range(LETTERS):
-                apart += np.abs(own_counts[part, cell][:, None] - counts[low:high, cell])
+                total += _apart(own_counts[part, cell][:, None], by_cell[cell, low:high])
+            apart = total.astype(np.int64)
             both = n + sizes[low:high]
             # equal length of the rest: the longer may hold the shorter whole
-            may_hold, may_be_near = apart == np.abs(n - sizes[low:high]), 100.0 * (both - apart) / both >= ratio - 1e-9
-            for a, b in zip(*np.nonzero(may_hold | may_be_near), strict=True):
-                i, j = int(part[a]), int(low + b)
-                x, y = left[i], right[j]
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                if may_hold[a, b] and len(short) >= 20 and len(short) >= CONTAINED * len(long) and short in long:
-                    yield i, j
-                elif may_be_near[a, b]:
-                    steps = np.abs(own_pairs[i] - pairs[j]).sum() / 3
-                    if 100.0 * (both[b] - steps) / both[b] >= ratio - 1e-9 and 200.0 * common_length(x, y) / (len(x) + len(y)) >= ratio:
+            may_hold, may_be_near = apart <= np.abs(n - sizes[low:high]), 100.0 * (both - apart) / both >= ratio - 1e-9
+            rows_at, columns_at = np.nonzero(may_hold | may_be_near)
+            for first in range(0, len(rows_at), CELLS_AT_ONCE // PAIRS):
+                a, b = (x[first : first + CELLS_AT_ONCE // PAIRS] for x in (rows_at, columns_at))
+                steps = _apart(own_pairs[part[a]], pairs[low + b]).sum(axis=1, dtype=np.int64) / 3
+                near = may_be_near[a, b] & (100.0 * (both[b] - steps) / both[b] >= ratio - 1e-9)
+                holds = may_hold[a, b]
+                for k in np.flatnonzero(near | holds).tolist():
+                    i, j = int(part[a[k]]), int(low + b[k])
+                    x, y = left[i], right[j]
+                    short, long = (x, y) if len(x) <= len(y) else (y, x)
+                    if holds[k] and len(short) >= 20 and len(short) >= CONTAINED * len(long) and short in long:
+                        yield i, j
+                    elif near[k] and 200.0 * common_length(x, y) / (len(x) + len(y)) >= ratio:
                         yield i, j
 
 
@@ -143,7 +159,7 @@ def near_matches(left: DataFrame, right: DataFrame, ratio: float = 88.0) -> Data
     a = left.where(F.length("lkey") >= 12).select("lid", "lkey")
     b = right.where(F.length("rkey") >= 12).select("rid", "rkey")
     sets = max(1, -(-b.count() // KEYS_AT_ONCE))
-    found = left.sparkSession.createDataFrame([], kinds)
+    found = None
     for number in range(sets):
         rows = sorted(b.where(F.pmod(F.xxhash64("rid", "rkey"), F.lit(sets)) == number).collect(), key=lambda r: len(r["rkey"]))  # about KEYS_AT_ONCE rows
         if not rows:
@@ -160,5 +176,9 @@ def near_matches(left: DataFrame, right: DataFrame, ratio: float = 88.0) -> Data
                     out.append((own_ids[i], ids[j], len(x & y)))
                 yield pd.DataFrame(out, columns=["lid", "rid", "shared"])
 
-        found = found.unionByName(a.mapInPandas(run, kinds))
-    return found
+        met = a.mapInPandas(run, kinds)
+        if sets > 1:  # so that no more than one set is held at a time
+            met = fixed(met)
+            sent.destroy()
+        found = met if found is None else found.unionByName(met)
+    return left.sparkSession.createDataFrame([], kinds) if found is None else found
