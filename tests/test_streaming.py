@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from wordmill.streaming import jobs
@@ -11,9 +13,15 @@ from wordmill.streaming import jobs
 T0 = datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def _only_batches_with_rows(spark):
+    """Timers by processing time ask for batch after batch, so a run over what is there would never end."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
 def ran(df, name, mode="append"):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(60)
     return df.sparkSession.table(name).collect()
 
 
@@ -34,11 +42,57 @@ def test_state_machine(spark, tmp_path):
     assert last == {1: "passed", 2: "queued"} and twin["state"] == last[1]
 
 
-def test_round_winners(spark, tmp_path):
+def stepwise(df, path, folder, schema, name, *batches):
+    """What a stream gives batch by batch, started anew from its checkpoint for each of them."""
+    out = []
+    for number, rows in enumerate(batches):
+        files(df.sparkSession, path, schema, rows)
+        query = df.writeStream.foreachBatch(lambda part, _: out.extend(part.collect())).option("checkpointLocation", str(folder)).outputMode("append").trigger(availableNow=True).queryName(f"{name}{number}").start()
+        query.awaitTermination(60)
+        assert query.exception() is None
+    return out
+
+
+def test_round_winners_survive_restarts_and_repeats(spark, tmp_path):
     schema = "text bigint, candidate bigint, expected int, passed boolean, score double"
-    files(spark, tmp_path, schema, [(1, 5, 3, True, 0.5), (1, 4, 3, True, 0.5), (2, 1, 1, False, 0.9)], [(1, 9, 3, False, 0.9), (1, 2, 3, True, 1.0)])
-    out = {r["text"]: (r["winner"], r["retry"]) for r in ran(jobs.round_winners(jobs.stream(spark, str(tmp_path), schema, 10)), "winners")}
-    assert out[2] == (None, True) and out[1][1] is False and len(out) == 2
+    path = tmp_path / "in"
+    files(spark, path, schema, [(9, 1, 2, True, 0.5)])
+    df = jobs.round_winners(jobs.stream(spark, str(path), schema, 10))
+    out = stepwise(
+        df, path, tmp_path / "cp", schema, "rounds",
+        [(1, 5, 4, True, 0.5), (1, 5, 4, True, 0.5), (1, 4, 4, True, 0.5), (2, 1, 1, False, 0.9), (3, 8, 2, True, 0.1), (3, 8, 2, True, 0.1)],
+        [(1, 5, 4, True, 0.5), (1, 9, 4, False, 2.0), (1, 2, 4, True, 1.0), (2, 1, 1, True, 1.0)],
+        [(3, 8, 2, True, 0.1), (3, 7, 2, True, 0.1)],
+    )
+    assert sorted((r["text"], r["winner"], r["retry"]) for r in out) == [(1, 2, False), (2, None, True), (3, 7, False)]
+
+
+def test_rounds_equal_their_batch_twin(spark, tmp_path):
+    schema = "text bigint, candidate bigint, expected int, passed boolean, score double"
+    rows = [(t, c, 4, (t + c) % 3 > 0 and t % 5 > 0, float((t * c) % 4)) for t in range(40) for c in range(3 + t % 2)]
+    files(spark, tmp_path / "in", schema, rows, rows[:50])
+    streamed = ran(jobs.round_winners(jobs.stream(spark, str(tmp_path / "in"), schema, 1)), "twin_rounds")
+    batch = jobs.ended_rounds(spark.read.schema(schema).parquet(str(tmp_path / "in")))
+    assert sorted(map(repr, map(tuple, streamed))) == sorted(map(repr, map(tuple, batch.collect()))) and len(streamed) == 20
+
+
+def test_ended_lease_sends_back_and_violations_are_kept(spark, tmp_path):
+    schema = "candidate bigint, state string, ts timestamp"
+    path = tmp_path / "in"
+    files(spark, path, schema, [(1, "queued", T0), (1, "synthesizing", T0 + timedelta(minutes=1)), (2, "done", T0)])
+    steps = jobs.candidate_states(jobs.stream(spark, str(path), schema), 1)
+    for more in ([(3, "queued", T0)], [(1, "synthesizing", T0 + timedelta(minutes=2)), (1, "synthesized", T0 + timedelta(minutes=3))]):
+        query = jobs.recorded(steps, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+        files(spark, path, schema, more)
+        time.sleep(0.1)
+    query = jobs.recorded(steps, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    legal = {(r["candidate"], r["state"]) for r in spark.read.parquet(str(tmp_path / "out" / "steps")).collect()}
+    assert {(1, "queued"), (1, "synthesizing"), (3, "queued")} <= legal
+    back = spark.read.parquet(str(tmp_path / "out" / "steps")).where("candidate = 1 and state = 'queued' and ts is null").count()
+    assert back >= 1
+    assert {(r["candidate"], r["state"]) for r in spark.read.parquet(str(tmp_path / "out" / "violations")).collect()} == {(2, "done")}
 
 
 def test_advanced(spark, tmp_path):
@@ -63,7 +117,7 @@ def test_admission(spark, tmp_path):
     files(spark, tmp_path / "in", schema, [("a", T0), ("b", T0), ("a", T0)], [("c", T0 + timedelta(minutes=1)), ("b", T0 + timedelta(minutes=1))])
     excluded = spark.createDataFrame([("b",)], "key string")
     query = jobs.admit(jobs.stream(spark, str(tmp_path / "in"), schema), excluded, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(60)
     assert sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("key")).collect()) == ["a", "c"]
 
 
@@ -74,7 +128,7 @@ def test_admission_keeps_near_copies_out(spark, tmp_path):
     files(spark, tmp_path / "in", schema, [(held[:-1] + "s", T0), *((k, T0) for k in chain), ("short", T0)], [(base[:-1] + "q", T0 + timedelta(minutes=1)), ("anothersentencealtogether", T0 + timedelta(minutes=1))])
     excluded = spark.createDataFrame([(held,)], "key string")
     query = jobs.admit(jobs.stream(spark, str(tmp_path / "in"), schema), excluded, str(tmp_path / "out"), str(tmp_path / "cp"), 88.0).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(60)
     got = {r["key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"short", "anothersentencealtogether", chain[0], chain[2]}
 

@@ -87,10 +87,19 @@ def t1_last_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.last_states(first.select(F.col("user_id").alias("candidate"), "state", "ts"))
 
 
-@query("t3_round_winners", "SELECT l_orderkey AS text, arg_min(l_partkey, (-l_extendedprice, l_partkey)) AS winner FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1")
+@query(
+    "t3_round_winners",
+    """WITH e AS (SELECT l_orderkey AS text, l_partkey AS candidate, max(l_returnflag <> 'R') AS passed, max(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END) AS score, max(l_linenumber) AS n FROM lineitem GROUP BY 1, 2),
+    r AS (SELECT text, count(*) AS ended, max(n) AS expected, bool_or(passed) AS any_passed, arg_min(candidate, (-score, candidate)) FILTER (passed) AS best FROM e GROUP BY 1)
+    SELECT text, best AS winner, NOT any_passed AS retry FROM r WHERE ended >= expected""",
+)
 def t3_round_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'")
-    return rows.groupBy(F.col("l_orderkey").alias("text")).agg(F.min_by("l_partkey", F.struct(-F.col("l_extendedprice"), "l_partkey")).alias("winner"))
+    """Orders as rounds, their lines as ended candidates; a part that an order has twice is one candidate, so that order's round is open."""
+    passed = F.col("l_returnflag") != "R"
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("text"), F.col("l_partkey").alias("candidate"), F.col("l_linenumber").alias("expected"), passed.alias("passed"), F.when(passed, F.col("l_extendedprice").cast("double")).alias("score")
+    )
+    return jobs.ended_rounds(rows)
 
 
 @query("t5_progress", "SELECT event_type, count(*) AS n, max(ts) AS last FROM events GROUP BY 1")

@@ -8,14 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.joins import near_matches
 from ..operators.windows import fixed
 
 #: Order of a candidate's states; a step may go one state on, or end.
 STATES = ("queued", "synthesizing", "synthesized", "asr", "done", "passed", "rejected")
-LEGAL = {"queued": {"synthesizing"}, "synthesizing": {"synthesized", "queued"}, "synthesized": {"asr"}, "asr": {"done"}, "done": {"passed", "rejected"}}
+LEGAL = {"queued": {"synthesizing"}, "synthesizing": {"synthesized", "queued"}, "synthesized": {"asr"}, "asr": {"done", "synthesized"}, "done": {"passed", "rejected"}}
+#: States in which a worker holds a candidate, and what it goes back to when the lease ends.
+LEASED = {"synthesizing": "queued", "asr": "synthesized"}
 WATERMARK = "10 minutes"
+DAY = 86_400_000
 
 
 def stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
@@ -39,63 +43,121 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
 
 
-def candidate_states(events: DataFrame, lease: int) -> DataFrame:
-    """(candidate, state, legal, ts) for every event (candidate, state, ts) of a stream, kept per candidate.
+def _keeps_state(rows: DataFrame) -> None:
+    """Typed state with time to live needs the RocksDB store; a session that names another keeps it for its other queries."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    A step that LEGAL doesn't know is emitted with legal false and changes nothing. A candidate that
-    stays in synthesizing for `lease` milliseconds of processing time goes back to queued.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (now,) = state.get
-            if now == "synthesizing":
-                state.update(("queued",))
-                yield pd.DataFrame({"candidate": [key[0]], "state": ["queued"], "legal": [True], "ts": [pd.NaT]}).astype({"ts": "datetime64[us]"})
-            return
-        now = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
+
+class CandidateSteps(StatefulProcessor):
+    """The state of one candidate: where it is, and until when it is leased."""
+
+    def __init__(self, lease: int, keep: int) -> None:
+        self.lease, self.keep = lease, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "state string, due bigint", self.keep)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now, due = self.now.get() or (None, None)
         out = []
-        for ts, new in zip(rows["ts"], rows["state"], strict=True):
+        whole = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        for ts, new in zip(whole["ts"], whole["state"], strict=True):
             legal = (now is None and new == "queued") or new in LEGAL.get(now, ())
             now = new if legal else now
             out.append((key[0], new, legal, ts))
         if now is not None:
-            state.update((now,))
-            if now == "synthesizing":
-                state.setTimeoutDuration(lease)
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = timerValues.getCurrentProcessingTimeInMs() + self.lease if now in LEASED else None
+            if due is not None:
+                self.handle.registerTimer(due)
+            self.now.update((now, due))
         yield pd.DataFrame(out, columns=["candidate", "state", "legal", "ts"])
 
-    return events.groupBy("candidate").applyInPandasWithState(
-        step, "candidate bigint, state string, legal boolean, ts timestamp", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, due = self.now.get() or (None, None)
+        if now in LEASED and due == expiredTimerInfo.getExpiryTimeInMs():
+            self.now.update((LEASED[now], None))
+            yield pd.DataFrame({"candidate": [key[0]], "state": [LEASED[now]], "legal": [True], "ts": [pd.NaT]}).astype({"ts": "datetime64[us]"})
+
+
+def candidate_states(events: DataFrame, lease: int, keep: int = 7 * DAY) -> DataFrame:
+    """(candidate, state, legal, ts) for every event (candidate, state, ts) of a stream, kept per candidate.
+
+    A step that LEGAL doesn't know is emitted with legal false and changes nothing. A candidate whose worker is
+    silent for `lease` milliseconds of processing time in a state of LEASED goes back to the state before.
+    A candidate without events for `keep` milliseconds leaves the state, ended ones too.
+    """
+    _keeps_state(events)
+    return events.groupBy("candidate").transformWithStateInPandas(
+        CandidateSteps(lease, keep), "candidate bigint, state string, legal boolean, ts timestamp", "append", "processingTime"
     )
 
 
+def recorded(steps: DataFrame, path: str, checkpoint: str):
+    """Writes the legal steps of candidate_states() to path/steps and the others to path/violations, once for each micro-batch, however often it is tried."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        for name, part in (("steps", batch.where("legal")), ("violations", batch.where("not legal"))):
+            rows = part.drop("legal").withColumn("batch", F.lit(number))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
+
+    return steps.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def last_states(events: DataFrame) -> DataFrame:
     """The batch twin where all steps are legal: the last state of each candidate."""
     return events.groupBy("candidate").agg(F.max_by("state", "ts").alias("state"))
 
 
-def round_winners(events: DataFrame) -> DataFrame:
+class Rounds(StatefulProcessor):
+    """The ended candidates of one text's round, and whether it is decided."""
+
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ended = handle.getMapState("ended", "candidate bigint", "passed boolean, score double", self.keep)
+        self.decided = handle.getValueState("decided", "winner bigint", self.keep)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if self.decided.exists():
+            return
+        expected = 0
+        for batch in rows:
+            for candidate, wanted, passed, score in zip(batch["candidate"], batch["expected"], batch["passed"], batch["score"], strict=True):
+                expected = max(expected, int(wanted))
+                if not self.ended.containsKey((int(candidate),)):  # a repeated delivery is one candidate
+                    self.ended.updateValue((int(candidate),), (bool(passed), float(score)))
+        found = [(candidate, passed, score) for (candidate,), (passed, score) in self.ended.iterator()]
+        if len(found) < expected:
+            return
+        best = min(((-score, candidate) for candidate, passed, score in found if passed), default=None)
+        winner = None if best is None else best[1]
+        self.decided.update((-1 if winner is None else winner,))
+        self.ended.clear()
+        yield pd.DataFrame({"text": [key[0]], "winner": pd.array([winner], dtype="Int64"), "retry": [winner is None]})
+
+
+def round_winners(events: DataFrame, keep: int = DAY) -> DataFrame:
     """(text, winner, retry) as rounds finish: events (text, candidate, expected, passed, score) of a stream.
 
-    Once all expected candidates of a text have ended, the best passed one wins, ties to the smaller
-    id; without one the text asks for a retry. Events after the decision change nothing.
+    Once `expected` different candidates of a text have ended, the best passed one wins, ties to the smaller
+    id; without one the text asks for a retry. A candidate that is delivered again counts once, with what it
+    brought first. Events after the decision change nothing; the candidates leave the state with it, the
+    decision itself after `keep` milliseconds.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, best, score, decided = state.get if state.exists else (0, -1, 0.0, False)
-        for rows in batches:
-            for expected, candidate, passed, value in zip(rows["expected"], rows["candidate"], rows["passed"], rows["score"], strict=True):
-                if decided:
-                    continue
-                seen += 1
-                if passed and (best < 0 or value > score or (value == score and candidate < best)):
-                    best, score = int(candidate), float(value)
-                if seen >= expected:
-                    decided = True
-                    yield pd.DataFrame({"text": [key[0]], "winner": pd.array([best if best >= 0 else None], dtype="Int64"), "retry": [best < 0]})
-        state.update((seen, best, score, decided))
-
-    return events.groupBy("text").applyInPandasWithState(step, "text bigint, winner bigint, retry boolean", "seen bigint, best bigint, score double, decided boolean", "append", GroupStateTimeout.NoTimeout)
+    _keeps_state(events)
+    return events.groupBy("text").transformWithStateInPandas(Rounds(keep), "text bigint, winner bigint, retry boolean", "append", "processingTime")
+
+
+def ended_rounds(events: DataFrame) -> DataFrame:
+    """The batch twin of round_winners(): each text whose candidates have all ended, its winner, and whether it asks for a retry."""
+    once = events.groupBy("text", "candidate").agg(F.max("expected").alias("expected"), F.max(F.struct("passed", "score")).alias("s"))
+    best = F.min_by("candidate", F.when(F.col("s.passed"), F.struct(-F.col("s.score"), "candidate")))
+    rounds = once.groupBy("text").agg(F.max("expected").alias("expected"), F.count("*").alias("ended"), F.max("s.passed").alias("any"), best.alias("best"))
+    return rounds.where("ended >= expected").select("text", F.when(F.col("any"), F.col("best")).alias("winner"), (~F.col("any")).alias("retry"))
 
 
 def advanced(events: DataFrame, every: int) -> DataFrame:
