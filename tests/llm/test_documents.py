@@ -327,3 +327,10 @@ def test_pipeline_on_odd_rows(spark, tmp_path, labelled):
             assert ids == before and all(r["n_tokens"] > 0 for r in out.collect())
         assert name == "bpe" or out.columns == docs.columns
         now = out
+
+
+def test_marks_come_from_whole_words(spark):
+    long = "q" * 300
+    known = spark.createDataFrame([("en", f"{long}xyz{long} plain words"), ("de", f"{long}{long} plain words")], "domain string, t string")
+    marks = mixing.learned_marks(known, ["en", "de"], each=40)
+    assert any("y" in m for m in marks)

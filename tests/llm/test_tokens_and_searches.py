@@ -124,6 +124,19 @@ def test_licenses_match_brute_force(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_long_templates_with_gaps_and_changed_words(spark):
+    """Whole texts of over a hundred words count as a template does that fits one number, whether or not a base phrase is there."""
+    mit = next(t for t, label in licenses.TEMPLATES.items() if label == "mit-text").split()
+    gap = mit[:60] + ["or", "so"] + mit[61:]
+    swapped = [w if i % 21 else "other" for i, w in enumerate(mit)]
+    third = [w if i % 3 else "other" for i, w in enumerate(mit)]
+    rows = [(1, " ".join(mit)), (2, "so. " * 40 + " ".join(gap)), (3, " ".join(swapped)), (4, " ".join(third)), (5, " ".join(mit[:90])), (6, " ".join(mit) + " x " + " ".join(mit))]
+    found = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert all(found[i]["labels"].split(",") == ["mit-grant", "mit-text"] and found[i]["n_base"] == 0 for i in (1, 2, 6))
+    assert "mit-text" in found[3]["labels"] and found[4]["labels"] == "" and "mit-text" not in found[5]["labels"]
+    assert found[1]["score"] == 1.0 and 0.5 < found[5]["score"] <= 1.0 and found[4]["score"] < 0.8
+
+
 def test_license_spans_inside_long_islands(spark):
     rows = [
         (1, "licensed under " * 10 + "licensed under cc by sa 4 0"), (2, "licensed under cc by sa 4 0 " + "4 0 " * 10), (3, "under the licensed " * 50),
@@ -291,3 +304,16 @@ def test_chat_rows_of_one_turn_stay_apart(spark):
     assert sum("\nn7\nx" in r["rendered"] for r in told) == 1
     out = chat.format_chats(df).collect()
     assert sum(r["n_lines"] for r in out) == 2 * len(rows)
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=(4, 3, 7)[i % 3]).tolist()) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(vectors, k=3, every=10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 200, 10):
+        own = np.array(rows[q][1])
+        near = sorted(((-np.dot(own, v) / np.linalg.norm(own) / np.linalg.norm(v), i) for i, v in rows if i != q and len(v) == len(own)))[:3]
+        assert sorted(got[q]) == [(n, i) for n, (_, i) in enumerate(near, 1)]

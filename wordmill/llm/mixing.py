@@ -32,6 +32,8 @@ PICKED_FROM, SAMPLE_PER_DOMAIN = 300, 20_000
 #: N-grams picked for each domain, and the longest; a space stands for a word's edge.
 GRAMS_PER_DOMAIN, LONGEST_GRAM = 6, 4
 LARGEST_RATE = 4.0
+#: Characters of a word whose n-grams are taken at once.
+BLOCK = 64
 #: Largest distance of met targets as a share of all tokens; loss after a step, as a share of that before, from which totals rest;
 #: share of the goals that is added to the moving documents' matrix; steps tried at most.
 MET, RESTS, DAMPING, TRIALS = 1e-6, 0.98, 0.02, 40
@@ -65,11 +67,18 @@ def learned_marks(known: DataFrame, domains: Sequence[str], each: int = GRAMS_PE
     words = known.select("domain", F.array_remove(F.split("t", BLANKS), "").alias("w")).where(F.size("w") > 0)
     rows = words.select("domain", F.explode("w").alias("w"), (1 / F.size("w")).alias("weight"))
     counted = rows.groupBy("domain", "w").agg(F.sum("weight").alias("weight"))
-    edged = F.concat(F.lit(" "), F.substring("w", 1, 64), F.lit(" "))
+    edged = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
+    # a word of any length is taken block by block: every gram begins in one of its blocks, and in one only
+    blocks = counted.select("domain", "weight", F.explode(F.transform(F.sequence(F.lit(1), F.length(edged), F.lit(BLOCK)), lambda i: F.struct(i.alias("at"), F.substr(edged, i, F.lit(BLOCK + longest - 1)).alias("t")))).alias("b"))
+    blocks = blocks.select("domain", "weight", F.col("b.at").alias("at"), F.col("b.t").alias("b"))
     every = F.flatten(F.array(*(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(edged) - (n - 1), F.lit(1))), lambda i, n=n: F.substr(edged, i, F.lit(n))) for n in range(1, longest + 1)
+        F.filter(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length("b") - (n - 1), F.lit(BLOCK)), F.lit(1))), lambda i, n=n: F.substr("b", i, F.lit(n))),
+            lambda x, n=n: (F.length(x) == n) | (F.col("at") == 1),
+        )
+        for n in range(1, longest + 1)
     )))
-    grams = counted.select("domain", "weight", F.explode(every).alias("gram")).where("trim(gram) <> ''").groupBy("gram", "domain").agg(F.sum("weight").alias("weight"))
+    grams = blocks.select("domain", "weight", F.explode(every).alias("gram")).where("trim(gram) <> ''").groupBy("gram", "domain").agg(F.sum("weight").alias("weight"))
     texts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # one row per domain
     present = [d for d in domains if d in texts]
     if not present:
