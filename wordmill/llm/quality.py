@@ -28,10 +28,9 @@ MOST_REPEATED_PERCENT = 30
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
-#: The most labelled documents of each quality class (0, 1) that the field is fitted on, the lines of one sequence
-#: and the most sequences of one text, which then lie evenly over it.
+#: The most labelled documents of each quality class (0, 1) that the field is fitted on, with all their lines, and the lines of one sequence.
 SAMPLE_PER_CLASS = (1500, 1500)
-LINES_AT_ONCE, SEQUENCES_PER_TEXT = 64, 8
+LINES_AT_ONCE = 64
 #: Expected share of content lines that a good text has at least, and a poor one at most.
 GOOD_SHARE, POOR_SHARE = 0.9, 0.3
 FEATURES = (
@@ -173,11 +172,8 @@ class _Adam:
 
 
 def spread(features: np.ndarray) -> list[np.ndarray]:
-    """Sequences of LINES_AT_ONCE lines of one text; of more than SEQUENCES_PER_TEXT, so many spread evenly."""
-    starts = np.arange(0, len(features), LINES_AT_ONCE)
-    if len(starts) > SEQUENCES_PER_TEXT:
-        starts = starts[np.linspace(0, len(starts) - 1, SEQUENCES_PER_TEXT).round().astype(int)]
-    return [features[i : i + LINES_AT_ONCE] for i in starts]
+    """All lines of one text, as sequences of LINES_AT_ONCE lines."""
+    return [features[i : i + LINES_AT_ONCE] for i in range(0, len(features), LINES_AT_ONCE)]
 
 
 def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> Field:
@@ -229,10 +225,9 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 120, rate: floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """A field of labels.quality, fitted on a bounded sample of texts and of their lines.
+    """A field of labels.quality, fitted on a bounded sample of texts.
 
-    SAMPLE_PER_CLASS texts of each class at most, of each SEQUENCES_PER_TEXT sequences of LINES_AT_ONCE lines
-    spread evenly over it. Documents that fail a base rule teach it too; null and empty ones have no line.
+    SAMPLE_PER_CLASS texts of each class at most, each with all its lines. Documents that fail a base rule teach it too; null and empty ones have no line.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
