@@ -131,17 +131,12 @@ def train(unit: np.ndarray, rounds: int = 8, seed: int = 5) -> Codebooks:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): vectors with an id, of finite components that are not all zero, and of the length that most of them have.
-
-    Of lengths that tie the smallest counts.
-    """
+    """(id, v): vectors with an id, of finite components that are not all zero."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
     out = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    out = out.where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(finite & some, F.lit(False)))
-    usual = out.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    return out if usual is None else out.where(F.size("v") == usual["n"])
+    return out.where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(finite & some, F.lit(False)))
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -204,15 +199,24 @@ def nearest(
     """(query_id, rank, vec_id, score): the k nearest vectors found for every vector whose id is divisible by `every`.
 
     Candidates are all rows but those with the query's id; score is the exact cosine of the original
-    vectors in double precision, ties go to the smaller id. Null, zero and non-finite vectors, null ids and
-    vectors of another length than most take no part. Vectors that are equal are candidates each; a repeated id is one query for each of
+    vectors in double precision, ties go to the smaller id. Null, zero and non-finite vectors and null ids take
+    no part. Vectors of another length are a table of their own, as a cosine needs equal lengths. Vectors that are equal are candidates each; a repeated id is one query for each of
     its rows' vectors, whose answers merge. Extra columns are not read.
 
     The index is written once. Queries go out in bounded sets; for each, one pass without a shuffle
     scans blocks of the index, and only k rows per query and block are merged.
     """
-    spark = vectors.sparkSession
     clean = usable(vectors, id_col, vector_col)
+    lengths = sorted(r["n"] for r in clean.groupBy(F.size("v").alias("n")).count().collect())  # one row for each length
+    found = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for n in lengths:
+        found = found.unionByName(_nearest(clean.where(F.size("v") == n), k, every, block))
+    return found
+
+
+def _nearest(clean: DataFrame, k: int, every: int, block: int) -> DataFrame:
+    """nearest() over vectors (id, v) of one length."""
+    spark = clean.sparkSession
     books = fit(clean)
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if books is None:
