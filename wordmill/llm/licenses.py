@@ -11,6 +11,8 @@ is a copy, whatever else the island holds.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,12 +35,30 @@ TEMPLATES = {
     "released under the mit license": "mit-notice",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software"
+    " to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"
+    " and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+    " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+    " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+    " merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any"
+    " claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software"
+    " or the use or other dealings in the software": "mit-text",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain"
+    " a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software"
+    " distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see"
+    " the license for the specific language governing permissions and limitations under the license": "apache-2.0-header",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by"
+    " the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope"
+    " that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+    " see the gnu general public license for more details": "gpl-3.0-or-later-header",
 }
 #: The least share of a template's word pairs, the furthest that merged diagonals lie apart, the longest span (in pairs of the template).
 COVERAGE = 0.8
 MERGE = 2
 LONGEST = 1.5
 UNIT = 1 << 20
+#: Places of a template in one number.
+BITS = 62
 #: Fixed value: what stands between words once A-Z are lower-case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -50,14 +70,14 @@ def words(text: Column) -> Column:
 
 def seeds(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
     """One row for every word pair of every phrase and template; a pair of empty words stands for "a document"."""
-    rows = [("", "", 0, 0, 0, "", False)]
+    rows = [("", "", 0, 0, "", False)]
     for kind, group in ((True, phrases), (False, templates)):
         for text, label in group.items():
             own = text.split()
-            if not 2 <= len(own) <= 63:
-                raise ValueError("a phrase or template has 2 to 63 words")
-            rows += [(a, b, i, 1 << i, len(own) - 1, label, kind) for i, (a, b) in enumerate(zip(own, own[1:], strict=False))]
-    return spark.createDataFrame(rows, "a string, b string, at int, bit bigint, pairs int, label string, phrase boolean")
+            if len(own) < 2:
+                raise ValueError("a phrase or template has two words at least")
+            rows += [(a, b, i, len(own) - 1, label, kind) for i, (a, b) in enumerate(zip(own, own[1:], strict=False))]
+    return spark.createDataFrame(rows, "a string, b string, at int, pairs int, label string, phrase boolean")
 
 
 def scan(
@@ -88,7 +108,7 @@ def scan(
     hits = rolled.join(F.broadcast(table), "h").where("ga = a and gb = b")  # the templates above: some dozens of rows
 
     # one row for a vote, however often the row of docs repeats; ("", "", 0) votes for the document itself
-    votes = hits.groupBy("id", "key", "n_words", "label", "phrase", "pairs", "p", "at", "bit").agg(F.count("*").alias("rows"))
+    votes = hits.groupBy("id", "key", "n_words", "label", "phrase", "pairs", "p", "at").agg(F.count("*").alias("rows"))
     votes = votes.withColumn("diagonal", F.col("p") - F.col("at"))
     sorted_ = Window.partitionBy("id", "key", "label", "phrase").orderBy("diagonal", "p")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(sorted_) > MERGE, F.lit(True))
@@ -98,7 +118,10 @@ def scan(
     room = F.greatest(F.ceil(F.col("pairs") * LONGEST), F.lit(1))
     longest = max(math.ceil((len(text.split()) - 1) * LONGEST) for text in (*phrases, *templates))
     span = Window.partitionBy("id", "key", "label", "phrase", "island").orderBy("place").rangeBetween(0, UNIT - UNIT // (2 * longest))
-    spans = votes.withColumn("place", F.floor(F.col("p").cast("bigint") * UNIT / room)).withColumn("cover", F.bit_count(F.bit_or("bit").over(span)))
+    spans = votes.withColumn("place", F.floor(F.col("p").cast("bigint") * UNIT / room))
+    # the places of a template that a span votes for, BITS of them in a number
+    parts = [F.bit_or(F.when(F.floor(F.col("at") / BITS) == i, F.expr(f"shiftleft(1L, at % {BITS})")).otherwise(F.lit(0).cast("bigint"))).over(span) for i in range(-(-longest // BITS))]
+    spans = spans.withColumn("cover", reduce(add, (F.bit_count(x) for x in parts)))
     share = F.try_divide(F.col("cover"), F.col("pairs"))
     whole = F.col("phrase") & (F.col("at") == 0) & (F.col("cover") == F.col("pairs")) & (F.col("pairs") > 0)
     taken = ~F.col("phrase") & (F.col("pairs") > 0) & (share >= COVERAGE)
