@@ -329,8 +329,32 @@ def test_pipeline_on_odd_rows(spark, tmp_path, labelled):
         now = out
 
 
-def test_marks_come_from_whole_words(spark):
-    long = "q" * 300
-    known = spark.createDataFrame([("en", f"{long}xyz{long} plain words"), ("de", f"{long}{long} plain words")], "domain string, t string")
-    marks = mixing.learned_marks(known, ["en", "de"], each=40)
-    assert any("y" in m for m in marks)
+def test_marks_are_grams_of_whole_words(spark):
+    """Against a plain count of all n-grams; one word is longer than a block."""
+    long = "q" * 100
+    texts = [("en", f"{long}xyz{long} thing thong"), ("en", "the thing"), ("de", f"{long}{long} ung zeit"), ("de", "zeitung")]
+    marks = mixing.learned_marks(spark.createDataFrame(texts, "domain string, t string"), ["en", "de"], each=12, longest=4)
+    weight = {}
+    for domain, text in texts:
+        words = text.split()
+        for word in words:
+            edged = f" {word} "
+            for n in range(1, 5):
+                for i in range(len(edged) - n + 1):
+                    gram = edged[i : i + n]
+                    if gram.strip():
+                        weight[domain, gram] = weight.get((domain, gram), 0) + 1 / len(words)
+    want = []
+    for d in ("en", "de"):
+        worth = {}
+        for gram in {g for _, g in weight}:
+            rates = [weight.get((x, gram), 0.0) / 2 for x in ("en", "de")]
+            mean = (sum(rates) + 1e-6) / 2
+            own = weight.get((d, gram), 0.0) / 2
+            worth[gram] = own * np.log((own + 1e-6) / mean)
+        kept = []
+        for gram in sorted((g for g in worth if worth[g] > 0), key=lambda g: (-round(worth[g], 9), g)):
+            if len(kept) < 12 and not any(gram in o or o in gram for o in kept):
+                kept.append(gram)
+        want += [g for g in kept if g not in want]
+    assert marks == want and any("x" in m for m in marks)

@@ -69,15 +69,14 @@ def learned_marks(known: DataFrame, domains: Sequence[str], each: int = GRAMS_PE
     counted = rows.groupBy("domain", "w").agg(F.sum("weight").alias("weight"))
     edged = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
     # a word of any length is taken block by block: every gram begins in one of its blocks, and in one only
-    blocks = counted.select("domain", "weight", F.explode(F.transform(F.sequence(F.lit(1), F.length(edged), F.lit(BLOCK)), lambda i: F.struct(i.alias("at"), F.substr(edged, i, F.lit(BLOCK + longest - 1)).alias("t")))).alias("b"))
-    blocks = blocks.select("domain", "weight", F.col("b.at").alias("at"), F.col("b.t").alias("b"))
-    every = F.flatten(F.array(*(
-        F.filter(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length("b") - (n - 1), F.lit(BLOCK)), F.lit(1))), lambda i, n=n: F.substr("b", i, F.lit(n))),
-            lambda x, n=n: (F.length(x) == n) | (F.col("at") == 1),
-        )
-        for n in range(1, longest + 1)
-    )))
+    blocks = counted.select("domain", "weight", F.explode(F.transform(F.sequence(F.lit(1), F.length(edged), F.lit(BLOCK)), lambda i: F.substr(edged, i, F.lit(BLOCK + longest - 1)))).alias("b"))
+
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.least(F.length("b") - (n - 1), F.lit(BLOCK)), F.lit(1)))
+        cut = F.transform(starts, lambda i: F.substr("b", i, F.lit(n)))
+        return F.filter(cut, lambda x: F.length(x) == n)
+
+    every = F.flatten(F.array(*(grams_of(n) for n in range(1, longest + 1))))
     grams = blocks.select("domain", "weight", F.explode(every).alias("gram")).where("trim(gram) <> ''").groupBy("gram", "domain").agg(F.sum("weight").alias("weight"))
     texts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # one row per domain
     present = [d for d in domains if d in texts]
