@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import struct
+from hashlib import sha256
 
 import pytest
 
 from wordmill.sources import readers as S
+from wordmill.sources.files import FileFacts
 
 
 def test_manifest_arity_and_bounds(spark):
@@ -103,3 +105,66 @@ def test_chunk_plan_round_trip(spark, tmp_path):
 def test_split_lists(spark, tmp_path):
     S.write_split_lists(spark.createDataFrame([("val", 1, "a|b\nc"), ("train", 2, None)], "split string, k int, t string"), str(tmp_path / "l"), ["k", "t"])
     assert {(r["split"], r["value"]) for r in spark.read.text(str(tmp_path / "l")).collect()} == {("val", "1|a b c"), ("train", "2|")}
+
+
+def chunk(name, body):
+    return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+
+def wave(*chunks):
+    body = b"WAVE" + b"".join(chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_wave_facts_walk_chunks(spark, tmp_path):
+    form = chunk(b"fmt ", struct.pack("<HHIIHH", 1, 2, 16000, 64000, 4, 16))
+    data = chunk(b"data", b"\1" * 40)
+    files = {
+        "plain": (wave(form, data), (16000, 2, 16, 10, None)),
+        "list_first": (wave(chunk(b"LIST", b"INFO" + b"x" * 6_001), form, data), (16000, 2, 16, 10, None)),
+        "large_header": (wave(form, chunk(b"JUNK", b"\0" * 6_000_001), data), (16000, 2, 16, 10, None)),
+        "word_inside": (wave(form, chunk(b"LIST", b"metadata fmt data" + struct.pack("<I", 9)), data), (16000, 2, 16, 10, None)),
+        "data_first": (wave(data, form), (16000, 2, 16, 10, None)),
+        "extended": (wave(chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 8000, 1, 8) + b"\0\0"), chunk(b"data", b"\1" * 7)), (8000, 1, 8, 7, None)),
+        "unfinished": (wave(form) + b"data" + struct.pack("<I", 0xFFFFFFFF) + b"\1" * 16, (16000, 2, 16, 4, None)),
+        "no_data": (wave(form), (None, None, None, None, "data")),
+        "no_form": (wave(data), (None, None, None, None, "fmt")),
+        "zero_block": (wave(chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 8000, 0, 8)), data), (None, None, None, None, "block")),
+        "not_riff": (b"OggS" + b"\0" * 40, (None, None, None, None, "header")),
+        "empty": (b"", (None, None, None, None, "header")),
+    }
+    for name, (body, _) in files.items():
+        (tmp_path / f"{name}.wav").write_bytes(body)
+    want = {f"{name}.wav": facts for name, (_, facts) in files.items()}
+    spark.dataSource.register(FileFacts)
+    source = spark.read.format("file_facts").option("files", 5).load(str(tmp_path))
+    assert source.rdd.getNumPartitions() == 3
+    assert {r["path"].rsplit("/", 1)[1]: tuple(r)[1:] for r in source.collect()} == want
+    whole = {r["path"].rsplit("/", 1)[1]: tuple(r)[1:] for r in S.wave_headers(spark, str(tmp_path)).collect()}
+    assert whole == {name: facts for name, facts in want.items() if name != "empty.wav"}
+    digests = spark.read.format("file_facts").option("kind", "sha256").load(str(tmp_path)).collect()
+    assert {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in digests} == {f"{n}.wav": (len(b), sha256(b).hexdigest()) for n, (b, _) in files.items()}
+
+
+def test_two_line_records_of_many_blocks(spark, tmp_path):
+    lines, want = [], {}
+    for i in range(3000):
+        lines.append(f"{i:05d}\ttext {i}")
+        if i % 7:
+            lines.append(f"\tP{i} Q")
+        want[f"{i:05d}"] = f"P{i} Q" if i % 7 else None
+    (tmp_path / "r.txt").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1k", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = S.two_line_records(spark, str(tmp_path / "r.txt")).collect()
+        assert len(rows) == 3000 and {r["id"]: r["phones"] for r in rows} == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_stat_table(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("token\tcount\tmean\na\t50\t1.5\nb\t3\t2\n\t60\t1\nc\t70\tx\n")
+    rows = {r["token"]: (r["count"], r["mean"], r["error"]) for r in S.stat_table(spark, str(tmp_path / "t.tsv"), ["count", "mean"], least=20).collect()}
+    assert rows == {"a": (50.0, 1.5, None), "b": (3.0, 2.0, "few"), None: (60.0, 1.0, "token"), "c": (70.0, None, "mean")}
+    with pytest.raises(ValueError, match="p99"):
+        S.stat_table(spark, str(tmp_path / "t.tsv"), ["count", "p99"])

@@ -141,3 +141,30 @@ def test_advanced_rows_equal_the_stream(spark, tmp_path):
             last[k] = s
             want.add((k, s))
     assert sorted(tuple(r) for r in jobs.advanced_rows(spark.createDataFrame(rows, "key bigint, step bigint"), 50).collect()) == sorted(want)
+
+
+def test_quotas_are_followed_and_the_flag_is_written_once(spark, tmp_path):
+    schema = "split string, language string, seconds double"
+    quotas = spark.createDataFrame([("train", "en", 10.0), ("train", "de", 5.0)], "split string, language string, target double")
+    path, out = tmp_path / "in", str(tmp_path / "out")
+    flags, reports = [], []
+    for rows in ([("train", "en", 6.0)], [("train", "en", 6.0), ("val", "en", 1.0)], [("train", "de", 5.0)], [("train", "de", 9.0)]):
+        files(spark, path, schema, rows)
+        query = jobs.follow_quotas(jobs.stream(spark, str(path), schema), quotas, ["split", "language"], out, str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+        reports.append({(r["language"], r["seconds"], r["missing"], r["complete"]) for r in spark.read.parquet(f"{out}/report").collect()})
+        flags.append([r["batch"] for r in spark.read.parquet(f"{out}/ready").collect()] if (tmp_path / "out" / "ready").exists() else None)
+    assert reports[0] == {("en", 6.0, 4.0, False), ("de", 0.0, 5.0, False)} and reports[1] == {("en", 12.0, 0.0, True), ("de", 0.0, 5.0, False)}
+    assert reports[3] == {("en", 12.0, 0.0, True), ("de", 14.0, 0.0, True)}
+    assert flags[:2] == [None, None] and len(flags[2]) == 1 and flags[3] == flags[2]
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    schema = "event_id bigint, ts timestamp, event_type string"
+    files(spark, tmp_path, schema, [(1, T0 + timedelta(hours=2), "a")], [(2, T0 + timedelta(hours=3), "a")], [(3, T0, "a"), (4, T0 + timedelta(hours=3), "a")])
+    df = jobs.status_windows(jobs.stream(spark, str(tmp_path), schema))
+    query = df.writeStream.format("memory").queryName("late_rows").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert jobs.dropped_late(query) == 1
+    assert all(r["start"] > T0 for r in spark.table("late_rows").collect())

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructType
+
+from ..functions.tables import text_parts
+from .windows import fixed
 
 #: Distinct words of a pair that fit into private-use characters.
 MOST_WORDS = 6400
@@ -131,48 +138,11 @@ def chunks(texts: DataFrame, key: str, text: str, budget: int) -> DataFrame:
     """
     kind = texts.schema[key].dataType.simpleString()
 
-    def cut(words: list[str]) -> Iterator[tuple[list[str], bool]]:
-        part: list[str] = []
-        for marks in (".!?", ",;:"):
-            pieces, piece = [], []
-            for w in words:
-                piece.append(w)
-                if w[-1] in marks:
-                    pieces.append(piece)
-                    piece = []
-            pieces += [piece] if piece else []
-            if all(len(p) <= budget for p in pieces):
-                for p in pieces:
-                    if part and len(part) + len(p) > budget:
-                        yield part, False
-                        part = []
-                    part = part + p
-                if part:
-                    yield part, False
-                return
-            if marks == ".!?" and len(pieces) > 1:
-                for p in pieces:
-                    if len(p) <= budget and len(part) + len(p) <= budget:
-                        part = part + p
-                        continue
-                    if part:
-                        yield part, False
-                        part = []
-                    if len(p) <= budget:
-                        part = p
-                    else:
-                        yield from cut(p)
-                if part:
-                    yield part, False
-                return
-        for i in range(0, len(words), budget):
-            yield words[i : i + budget], True
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, t in zip(batch["k"], batch["t"], strict=True):
-                parts = list(cut((t or "").split()))
+                parts = list(text_parts((t or "").split(), budget))
                 out += [(k, i, len(parts), len(p), hard, " ".join(p)) for i, (p, hard) in enumerate(parts)]
             yield pd.DataFrame(out, columns=["k", "chunk", "n_chunks", "n_words", "hard", "part"])
 
@@ -186,71 +156,236 @@ def reassemble(parts: DataFrame, key: str) -> DataFrame:
     return grouped.where(F.size("l") == F.col("n")).select(key, F.array_join(F.transform("l", lambda x: x["part"]), " ").alias("text"))
 
 
-def tag_phrases(texts: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
-    """(key, at, phrase): longest matches of a small phrase list over words, left to right without overlap."""
-    table: dict[str, list[list[str]]] = {}
-    for p in phrases:
-        words = p.split()
-        table.setdefault(words[0], []).append(words)
-    for options in table.values():
-        options.sort(key=len, reverse=True)
-    kind = texts.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Phrases of a lexicon that every task may hold as a tree; those of a larger one are met by a join.
+TREE_PHRASES = 200_000
+
+
+class PhraseTree:
+    """A lexicon of phrases as a tree of their words."""
+
+    def __init__(self, phrases: Iterable[str]) -> None:
+        self.root: dict = {}
+        for phrase in phrases:
+            node = self.root
+            for word in phrase.split():
+                node = node.setdefault(word, {})
+            if node is not self.root:
+                node[None] = True
+
+    def lengths(self, words: Sequence[str], at: int) -> list[int]:
+        """The numbers of words of all phrases that begin at a place."""
+        out, node = [], self.root
+        for end in range(at, len(words)):
+            node = node.get(words[end])
+            if node is None:
+                break
+            if None in node:
+                out.append(end - at + 1)
+        return out
+
+
+def _taken(words: Sequence[str], hits: Mapping[int, Sequence[int]], not_after: Mapping[str, Collection[str]], overlaps: bool) -> Iterator[tuple[int, str]]:
+    """Longest phrases from left to right, without those that a veto rules out."""
+    at = 0
+    while at < len(words):
+        for n in sorted(hits.get(at, ()), reverse=True):
+            phrase = " ".join(words[at : at + n])
+            if at and words[at - 1] in not_after.get(phrase, ()):
+                continue
+            if overlaps and n > 1 and (n - 1) in hits[at] and max(hits.get(at + n - 1, (0,))) > 1:
+                continue
+            yield at, phrase
+            at += n
+            break
+        else:
+            at += 1
+
+
+def tag_phrases(
+    texts: DataFrame, key: str, text: str, phrases: DataFrame | Iterable[str], not_after: Mapping[str, Collection[str]] | None = None, overlaps: bool = False, tree: int = TREE_PHRASES
+) -> DataFrame:
+    """(key, at, phrase): the longest phrases of a lexicon over a text's lower-cased words, left to right without overlap.
+
+    phrases is a list or a DataFrame with a column phrase, of any size: up to `tree` of them go to every task as a
+    tree; with more, the stretches of each text's words are joined to them. not_after names words that may
+    not stand before a phrase. With overlaps, a phrase gives way where its last word begins a longer one
+    and what remains of it is a phrase too. A vetoed phrase leaves its place to the next shorter one. Null and empty
+    texts have no tag. Keys stand for one row each where phrases are joined.
+    """
+    kind, veto = texts.schema[key].dataType.simpleString(), dict(not_after or {})
+    spark, out_kinds = texts.sparkSession, f"k {kind}, at int, phrase string"
+    rows = texts.select(F.col(key).alias("k"), F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "").alias("w"))
+    lexicon = phrases if isinstance(phrases, DataFrame) else spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    lexicon = lexicon.select(F.array_join(F.filter(F.split("phrase", r"\s+"), lambda w: w != ""), " ").alias("phrase")).where("phrase <> ''").distinct()
+    some = [r["phrase"] for r in lexicon.limit(tree + 1).collect()]  # tree + 1 at most
+    if len(some) <= tree:
+        sent = spark.sparkContext.broadcast(PhraseTree(some))
+
+        def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = sent.value
+            for batch in batches:
+                out = []
+                for k, words in zip(batch["k"], batch["w"], strict=True):
+                    words = list(words)
+                    hits = {at: found for at in range(len(words)) if (found := held.lengths(words, at))}
+                    out += [(k, at, phrase) for at, phrase in _taken(words, hits, veto, overlaps)]
+                yield pd.DataFrame(out, columns=["k", "at", "phrase"])
+
+        return rows.mapInPandas(tag, out_kinds).withColumnRenamed("k", key)
+
+    sizes = lexicon.groupBy(F.size(F.split("phrase", " ")).alias("n")).count().orderBy("n").collect()  # one row for each number of words
+    places = rows.select("k", F.posexplode("w").alias("at", "first"), "w")
+    firsts = lexicon.select(F.split_part("phrase", F.lit(" "), F.lit(1)).alias("first")).distinct()
+    spans = places.join(firsts, "first", "left_semi").select(
+        "k", "at", F.explode(F.array(*(F.when(F.size("w") >= F.col("at") + r["n"], F.array_join(F.slice("w", F.col("at") + 1, r["n"]), " ")) for r in sizes))).alias("phrase")
+    )
+    hits = spans.join(lexicon, "phrase").select("k", F.struct("at", F.size(F.split("phrase", " ")).alias("n")).alias("hit")).groupBy("k").agg(F.collect_list("hit").alias("hits"))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, t in zip(batch["k"], batch["t"], strict=True):
-                words, i = (t or "").lower().split(), 0
-                while i < len(words):
-                    hit = next((o for o in table.get(words[i], ()) if words[i : i + len(o)] == o), None)
-                    if hit:
-                        out.append((k, i, " ".join(hit)))
-                    i += len(hit) if hit else 1
+            for k, words, found in zip(batch["k"], batch["w"], batch["hits"], strict=True):
+                own: dict[int, list[int]] = {}
+                for hit in found:
+                    own.setdefault(int(hit["at"]), []).append(int(hit["n"]))
+                out += [(k, at, phrase) for at, phrase in _taken(list(words), own, veto, overlaps)]
             yield pd.DataFrame(out, columns=["k", "at", "phrase"])
 
-    found = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, at int, phrase string")
-    return found.withColumnRenamed("k", key)
+    return rows.join(hits, "k").mapInPandas(choose, out_kinds).withColumnRenamed("k", key)
 
 
-def assign_intervals(tokens: DataFrame, intervals: DataFrame, optional: frozenset[str], nuclei: frozenset[str], rate: float, ahead: int = 6) -> DataFrame:
+def in_context(tokens: DataFrame, rules: Sequence[Mapping[str, object]]) -> DataFrame:
+    """tokens (utt, pos, token, phones) with phones as the token before asks for.
+
+    A rule has after (tokens before it) and starts (what the token begins with) or is (the token itself);
+    drop takes phones out, and where none is left all stay; phones puts others in their place. The first rule that fits counts.
+    """
+    before = F.lag("token").over(Window.partitionBy("utt").orderBy("pos"))
+    rows, phones = tokens.withColumn("before_", before), F.col("phones")
+
+    def without(dropped: list[str]) -> Column:
+        return F.filter(phones, lambda p: ~p.isin(*dropped))
+
+    out = None
+    for rule in rules:
+        fits = F.col("before_").isin(*sorted(rule["after"])) & (F.col("token") == rule["is"] if "is" in rule else F.col("token").startswith(rule["starts"]))
+        if "phones" in rule:
+            new = F.array(*(F.lit(p) for p in rule["phones"]))
+        else:
+            left = without(sorted(rule["drop"]))
+            new = F.when(F.size(left) > 0, left).otherwise(phones)
+        out = F.when(fits, new) if out is None else out.when(fits, new)
+    return rows.withColumn("phones", phones if out is None else out.otherwise(phones)).drop("before_")
+
+
+class _Aligned:
+    """Spoken intervals of one utterance, with what a token may take of them."""
+
+    def __init__(self, labels: list[str], frames: list[float], nuclei: Collection[str], same: Mapping[str, Collection[str]], ahead: int) -> None:
+        self.labels, self.frames, self.same, self.ahead = labels, frames, same, ahead
+        self.wall = [len(labels)] * (len(labels) + 1)  # the first nucleus from each place on
+        for at in reversed(range(len(labels))):
+            self.wall[at] = at if labels[at] in nuclei else self.wall[at + 1]
+
+    def fits(self, at: int, phone: str) -> bool:
+        return at < len(self.labels) and (self.labels[at] == phone or self.labels[at] in self.same.get(phone, ()))
+
+    def find(self, at: int, phone: str) -> int | None:
+        """Where the phone is spoken: within reach, and not behind a nucleus that is another."""
+        reach = min(at + self.ahead, len(self.labels), self.wall[min(at, len(self.labels))] + 1)
+        return next((j for j in range(at, reach) if self.fits(j, phone)), None)
+
+    def take(self, at: int, phones: list[str], onsets: Collection[str], codas: Collection[str]) -> tuple[float | None, int]:
+        """(frames of a token that begins here or None, where the next one begins)."""
+        first, places = at, []
+        for k, phone in enumerate(phones):
+            last = k == len(phones) - 1
+            if (phone in onsets and not last) or (phone in codas and last and places):
+                found = at if self.fits(at, phone) else None
+            else:
+                found = self.find(at, phone)
+                if found is None:
+                    # what it has taken stays with it; if nothing, the nucleus in its way is what it was spoken as
+                    wall = self.wall[min(first, len(self.labels))]
+                    return None, at if places else wall + 1 if wall < min(first + self.ahead, len(self.labels)) else first
+            if found is not None:
+                places.append(found)
+                at = found + 1
+        total = sum(self.frames[j] for j in places)
+        return (total, at) if total > 0 else (None, first)
+
+
+def assign_intervals(
+    tokens: DataFrame, intervals: DataFrame, onsets: Collection[str], nuclei: Collection[str], rate: float, ahead: int = 6, codas: Collection[str] = (), same: Mapping[str, Collection[str]] | None = None
+) -> DataFrame:
     """(utt, pos, token, frames): durations of tokens from the labelled intervals of their utterance.
 
-    tokens: (utt, pos, token, phones), intervals: (utt, pos, label, start, end). A token takes its phones
-    in order; phones in `optional` may be missing, a nucleus may not, and no token reaches past another
-    nucleus. A token that doesn't fit has null frames, and the walk goes on at the next place, within
-    `ahead` intervals, where one does. The group of a task is one utterance.
+    tokens: (utt, pos, token, phones), intervals: (utt, pos, label, start, end). A token takes its phones in
+    order, each within `ahead` intervals but never behind a nucleus that is not its own; same lists labels that a
+    phone may be spoken as. An onset before the last phone, and a coda that is the last after others, count where they stand
+    next and may be missing. A token that doesn't fit has null frames and keeps what it took from the
+    next; if that is nothing, it passes the nucleus that stood in its way. The group of a task is one utterance.
     """
-    kind = tokens.schema["utt"].dataType.simpleString()
-
-    def take(phones: list[str], labels: list[str], at: int) -> int | None:
-        """Where the token ends if it starts at this interval."""
-        begun = at
-        for p in phones:
-            if at < len(labels) and labels[at] == p:
-                at += 1
-            elif p in nuclei or p not in optional:
-                return None
-        return at if at > begun else None
+    kind, alike = tokens.schema["utt"].dataType.simpleString(), dict(same or {})
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("pos"), right.sort_values("pos")
-        labels, lengths = right["label"].tolist(), (right["end"] - right["start"]).tolist()
+        spoken = _Aligned(right["label"].tolist(), ((right["end"] - right["start"]) * rate).tolist(), nuclei, alike, ahead)
         at, out = 0, []
         for utt, pos, token, phones in zip(left["utt"], left["pos"], left["token"], left["phones"], strict=True):
-            frames = None
-            for start in range(at, min(at + ahead, len(labels)) + 1):
-                if start > at and labels[start - 1] in nuclei:
-                    break  # what lies behind a nucleus belongs to a later token
-                end = take(list(phones), labels, start)
-                if end is not None:
-                    frames, at = sum(lengths[start:end]) * rate, end
-                    break
+            frames, at = spoken.take(at, list(phones), onsets, codas) if len(phones) else (None, at)
             out.append((utt, pos, token, frames))
         return pd.DataFrame(out, columns=["utt", "pos", "token", "frames"]).astype({"frames": "float64"})
 
     return tokens.groupBy("utt").cogroup(intervals.groupBy("utt")).applyInPandas(walk, f"utt {kind}, pos bigint, token string, frames double")
 
 
+Scorer = Callable[[np.ndarray], Mapping[str, np.ndarray]]
+
+
+def _scores(rows: DataFrame, key: str, values: str, names: Sequence[str], scorer: Scorer, most: int) -> DataFrame:
+    kind = rows.schema[key].dataType.simpleString()
+    ddl = StructType.fromDDL(f"k {kind}, " + ", ".join(f"{n} double" for n in names))
+    schema = to_arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[object, list[float]]] = []
+
+        def scored() -> pa.RecordBatch:
+            found = scorer(np.array([v for _, v in held], dtype=float))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], schema.types[0]), *(pa.array(np.asarray(found[n], dtype=float)) for n in names)], schema=schema)
+
+        for batch in batches:
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if held and (len(held) == most or len(held[0][1]) != len(v)):
+                    yield scored()
+                    held = []
+                held.append((k, v))
+        if held:
+            yield scored()
+
+    sized = rows.select(F.col(key).alias("k"), F.col(values).cast("array<double>").alias("v")).where(F.size("v") > 0).withColumn("n", F.size("v"))
+    dealt = sized.repartitionByRange("n", "k").sortWithinPartitions("n", "k")
+    return dealt.select("k", "v").mapInArrow(run, ddl)
+
+
+def score_in_batches(rows: DataFrame, key: str, values: str, scorer: Scorer, thresholds: Mapping[str, float], most: int = 8, margin: float = 0.002, careful: Scorer | None = None) -> DataFrame:
+    """(key, score ..., again): an outside scorer over batches of at most `most` rows whose values have one length, so nothing is padded.
+
+    scorer takes an array (rows, length) and gives an array for each name of thresholds. Rows with a score within
+    `margin` of its threshold go to `careful`, by default the scorer itself, alone, and keep what that says; again
+    tells them. Rows are dealt by length and key, so a length that many rows share is many tasks. Null and
+    empty values have null scores.
+    """
+    names = list(thresholds)
+    first = fixed(_scores(rows, key, values, names, scorer, most))
+    near = reduce(or_, (F.abs(F.col(n) - t) < margin for n, t in thresholds.items()))
+    doubtful = rows.join(first.where(near).select(F.col("k").alias(key)), key, "left_semi")
+    second = _scores(doubtful, key, values, names, careful or scorer, 1).select("k", *(F.col(n).alias(f"{n}_again") for n in names), F.lit(True).alias("again"))
+    both = first.join(second, "k", "left").select(F.col("k").alias(key), *(F.coalesce(f"{n}_again", n).alias(n) for n in names), F.coalesce("again", F.lit(False)).alias("again"))
+    return rows.select(key).join(both, key, "left").withColumn("again", F.coalesce("again", F.lit(False)))
+
+
 def encoded_chunks(rows: DataFrame, key: str, budget: int, strong: frozenset[str], weak: frozenset[str]) -> DataFrame:
     """(key, chunk, tokens, ids) of rows (key, tokens, ids): both arrays cut together to at most `budget` each.
 
@@ -296,3 +431,50 @@ def reference_mismatches(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     before = F.aggregate(F.slice("w", F.lit(1), F.col("i")), F.lit(0), lambda a, y: a + y["n"])
     got = F.slice("units", before + 1, F.col("x.n"))
     return rows.withColumn("got", got).where(F.col("got") != F.col("x.own")).select("line", F.col("x.pos").alias("pos"), F.col("x.word").alias("word"), F.col("x.own").alias("expected"), "got")
+
+
+Rule = Mapping[str, object]
+
+
+def _fits(rule: Rule, lists: Mapping[str, Collection[str]]) -> Column:
+    """The condition of a rule on the columns prev, next (bare words, null if none) and following (the token after, null at the end)."""
+    prev, nxt, following = F.col("prev"), F.col("next"), F.col("following")
+
+    def among(column: Column, name: str) -> Column:
+        return F.coalesce(column.isin(*sorted(lists[name])), F.lit(False)) if lists[name] else F.lit(False)
+
+    made = {
+        "prev_in": lambda name: among(prev, name),
+        "prev_not_in": lambda name: ~among(prev, name),
+        "next_in": lambda name: among(nxt, name),
+        "prev_suffix": lambda end: F.coalesce(prev.endswith(end), F.lit(False)),
+        "next_suffix": lambda end: F.coalesce(nxt.endswith(end), F.lit(False)),
+        "prev_matches": lambda pattern: F.coalesce(prev.rlike(pattern), F.lit(False)),
+        "next_vowel": lambda wanted: F.coalesce(nxt.rlike("^[aeiou]"), F.lit(False)) if wanted else F.lit(True),
+        "next_end": lambda wanted: (following.isNull() | following.rlike(r"^\s*[^\p{L}\p{N}]?\s*$")) if wanted else F.lit(True),
+    }
+    unknown = set(rule.get("when", {})) - set(made)
+    if unknown:
+        raise ValueError(f"no such condition: {sorted(unknown)}")
+    return reduce(lambda a, b: a & b, (made[name](value) for name, value in rule.get("when", {}).items()), F.lit(True))
+
+
+def context_variants(rows: DataFrame, group: Sequence[str], order: str, token: str, table: Mapping[str, Sequence[Rule]], lists: Mapping[str, Collection[str]]) -> DataFrame:
+    """rows with variant: what the first rule of a word that fits picks, null where none does.
+
+    table holds the rules of each upper-case word: {"pick": n, "when": {...}} with prev_in, prev_not_in, next_in
+    (names of lists), prev_suffix, next_suffix, prev_matches, next_vowel, next_end. prev and next are the nearest words of the
+    group, lower-case and without quotes; tokens without a letter or digit are skipped, and count for next_end alone.
+    The rules become one expression over two windows; a group is a sentence, which fits a task.
+    """
+    bare = F.regexp_replace(F.lower(F.trim(token)), "^['\"]+|['\"]+$", "")
+    word = F.when(bare.rlike(r"[\p{L}\p{N}]"), bare)
+    by = Window.partitionBy(*group).orderBy(order)
+    near = rows.withColumn("word_", word)
+    near = near.withColumns({
+        "prev": F.last("word_", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)),
+        "next": F.first("word_", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)),
+        "following": F.lead(token).over(by),
+    })
+    picks = [F.when((F.upper(F.trim(token)) == name) & _fits(rule, lists), F.lit(int(rule["pick"]))) for name, rules in table.items() for rule in rules]
+    return near.withColumn("variant", F.coalesce(*picks) if picks else F.lit(None).cast("int")).drop("word_", "prev", "next", "following")

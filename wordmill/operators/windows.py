@@ -65,6 +65,60 @@ def running_in_groups(rows: DataFrame, groups: Sequence[str], order: Sequence[st
     return summed.join(starts, same).withColumn(into, F.col(into) - F.col("before_")).drop("before_", *(f"{g}_of_" for g in groups))
 
 
+def lagged(rows: DataFrame, groups: Sequence[str], order: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """rows with the values that columns names from the row before in the group, null for its first row.
+
+    A group may hold any share of the rows: they are dealt by ranges of (groups, order), each range looks back
+    within itself, and its first row looks at the last row of the range before. One row per range comes to the driver.
+    columns maps names to new names; order must leave no ties that matter. Null group keys are a group.
+    """
+    ranges = fixed(rows.repartitionByRange(*groups, *order).withColumn("range_", F.spark_partition_id()))
+    own = [*groups, *columns]
+    place = F.struct(*(F.struct(F.col(c).isNotNull().alias("is"), F.col(c).alias("v")) for c in [*groups, *order]))  # nulls come first, as they are sorted
+    ends = ranges.groupBy("range_").agg(F.max_by(F.struct(*own), place).alias("end_")).orderBy("range_").collect()
+    by = Window.partitionBy("range_").orderBy(*groups, *order)
+    before = F.lag(F.struct(*own)).over(by)
+    kind = ranges.select(F.struct(*own).alias("end_")).schema["end_"].dataType.simpleString()
+    shifted = [(b["range_"], a["end_"]) for a, b in zip(ends, ends[1:], strict=False)]
+    earlier = rows.sparkSession.createDataFrame(shifted, f"range_ int, end_ {kind}")
+    met = ranges.withColumn("before_", before).join(F.broadcast(earlier), "range_", "left")  # one row for each range
+    met = met.withColumn("before_", F.coalesce("before_", "end_"))
+    same = [F.col(f"before_.{g}").eqNullSafe(F.col(g)) for g in groups]
+    inside = F.col("before_").isNotNull()
+    for s in same:
+        inside = inside & s
+    return met.select(*rows.columns, *(F.when(inside, F.col(f"before_.{c}")).alias(new) for c, new in columns.items()))
+
+
+def islands(rows: DataFrame, groups: Sequence[str], order: Sequence[str], begins: Column, into: str) -> DataFrame:
+    """rows with the number, from 1, of the stretch of their group that they are in; begins says which rows begin one, and may use what lagged() gave."""
+    return running_in_groups(rows.withColumn("begins_", begins.cast("int")), groups, order, "begins_", into).drop("begins_", "total_")
+
+
+def gap_sessions(events: DataFrame, user: str, ts: str, tie: str, gap: float) -> DataFrame:
+    """(user, session, start, end, n) of sessions that end with `gap` or more between two events; a user of any share of the events is many tasks."""
+    back = lagged(events.select(user, ts, tie), [user], [ts, tie], {ts: "earlier_"})
+    numbered = islands(back, [user], [ts, tie], F.col("earlier_").isNull() | (F.col(ts) - F.col("earlier_") >= gap), "session")
+    return numbered.groupBy(user, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
+
+
+def exact_percentiles(rows: DataFrame, groups: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:
+    """(groups, n, name ...) with interpolated percentiles; a group of any share of the rows is many tasks.
+
+    Equal values are counted first. The counts are added up by ranges of (group, value), and each percentile lies
+    between the values at its two ranks, which are minima over the group: nothing holds all its values. Null and NaN
+    values count for nothing; a group without another value is left out.
+    """
+    some = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counted = some.groupBy(*groups, value).agg(F.count("*").alias("n_"))
+    upto = running_in_groups(counted, groups, [value], "n_", "upto_")
+    at = {name: p * (F.col("total_") - 1) for name, p in points.items()}
+    ranks = [F.min(F.when(F.col("upto_") > side(at[name]), F.col(value).cast("double"))).alias(f"{name}_{end}") for name in points for end, side in (("low", F.floor), ("high", F.ceil))]
+    found = upto.groupBy(*groups).agg(F.max("total_").alias("n"), *ranks)
+    share = {name: p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1)) for name, p in points.items()}
+    return found.select(*groups, "n", *((F.col(f"{name}_low") + share[name] * (F.col(f"{name}_high") - F.col(f"{name}_low"))).alias(name) for name in points))
+
+
 def stratified_quota(rows: DataFrame, strata: Sequence[str], key: Sequence[str], value: str, target: int, seed: str) -> DataFrame:
     """rows of a proportional draw: in each stratum by hash, all strata in step, until the target is passed by one row at most.
 

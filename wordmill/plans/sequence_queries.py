@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as Y
+from ..functions.tables import register
 from ..functions.text import text_key
 from ..operators import sequences as D
 from ..registry import query
@@ -204,6 +205,31 @@ def d7_context_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", variant.alias("variant"))
 
 
+#: Rules of two words that have more than one reading, and the lists that they name.
+VARIANTS = {
+    "THE": [{"pick": 1, "when": {"next_vowel": True}}, {"pick": 2, "when": {"next_end": True}}, {"pick": 0}],
+    "A": [{"pick": 2, "when": {"prev_in": "small"}}, {"pick": 1, "when": {"next_suffix": "ing"}}, {"pick": 3, "when": {"prev_matches": "^[m-z]", "prev_not_in": "small"}}],
+}
+VARIANT_LISTS = {"small": ("is", "of", "in", "to")}
+
+
+@query(
+    "d7_rule_variants",
+    r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+|[.,!?]') AS w FROM conversations), e AS (SELECT conv_id, turn, unnest(w) AS token, unnest(range(len(w))) AS pos FROM t),
+    b AS (SELECT *, CASE WHEN regexp_matches(token, '[A-Za-z]') THEN lower(token) END AS word FROM e),
+    n AS (SELECT *, last_value(word IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+        first_value(word IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next, lead(token) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS following FROM b)
+    SELECT conv_id, turn, pos::INT AS pos, CASE WHEN upper(token) = 'THE' AND regexp_matches(next, '^[aeiou]') THEN 1 WHEN upper(token) = 'THE' AND (following IS NULL OR following IN ('.', ',', '!', '?')) THEN 2 WHEN upper(token) = 'THE' THEN 0
+        WHEN upper(token) = 'A' AND prev IN ('is', 'of', 'in', 'to') THEN 2 WHEN upper(token) = 'A' AND ends_with(next, 'ing') THEN 1
+        WHEN upper(token) = 'A' AND regexp_matches(prev, '^[m-z]') AND coalesce(prev NOT IN ('is', 'of', 'in', 'to'), true) THEN 3 END AS variant FROM n WHERE upper(token) IN ('THE', 'A')""",
+)
+def d7_rule_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of two words by a table of rules over their neighbours; a turn is a sentence."""
+    tokens = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+|[.,!?]"), F.lit(0))).alias("pos", "token"))
+    chosen = D.context_variants(tokens, ["conv_id", "turn"], "pos", "token", VARIANTS, VARIANT_LISTS)
+    return chosen.where(F.upper("token").isin(*VARIANTS)).select("conv_id", "turn", "pos", "variant")
+
+
 @query("d8_missing_words", f"WITH {LEXICON}, w AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1) SELECT word, n FROM w WHERE word NOT IN (SELECT word FROM l) AND n >= 5")
 def d8_missing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _readings(spark, sf_dir).where("origin = 'spell' and n >= 5").select("word", "n")
@@ -214,6 +240,23 @@ def d9_phrase_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.tag_phrases(_docs(spark, sf_dir), "doc_id", "text", ["of the", "of", "in the", "the and of"])
 
 
+def benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phrase of two and three words of the benchmark's texts: a lexicon of tens of thousands."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    return table(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.explode(F.concat(grams(2), grams(3))).alias("phrase")).where(F.contains("phrase", F.lit(" "))).distinct()
+
+
+@query("d9_lexicon_tags")
+def d9_lexicon_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest phrases of the benchmark in documents, with vetoes of what stands before and of what the last word begins."""
+    return D.tag_phrases(_docs(spark, sf_dir), "doc_id", "text", benchmark_phrases(spark, sf_dir), {"of the": ("the",)}, overlaps=True)
+
+
 @query("d11_lexicon_validation", "SELECT count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid FROM (SELECT len(list_filter(string_split(p_name, ' '), lambda x: regexp_matches(x, '^[a-z#0-9]+$'))) = len(string_split(p_name, ' ')) AS ok FROM part)")
 def d11_lexicon_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.forall(F.split("p_name", " "), lambda x: x.rlike("^[a-z#0-9]+$"))
@@ -225,6 +268,22 @@ def d14_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.chunks(_docs(spark, sf_dir), "doc_id", "text", 40)
 
 
+@query("d14_text_chunks")
+def d14_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As d14, by the table function that SQL calls for every row."""
+    register(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL text_chunks(d.text, 40) c", docs=_docs(spark, sf_dir))
+
+
+@query("d15_token_chunks")
+def d15_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and marks of texts as encoded utterances, cut at sentence, clause and word boundaries."""
+    register(spark)
+    tokens = F.regexp_extract_all(F.regexp_replace("text", " ", "_"), F.lit("_|[^_\\s.,!?]+|[.,!?]"), F.lit(0))
+    rows = _docs(spark, sf_dir).select("doc_id", tokens.alias("tokens")).withColumn("ids", F.transform("tokens", lambda t: F.length(t)))
+    return spark.sql("SELECT d.doc_id, c.chunk, c.tokens, c.ids, c.cut FROM {rows} d, LATERAL token_chunks(d.tokens, d.ids, CAST(NULL AS ARRAY<INT>), 60) c", rows=rows)
+
+
 @query("d16_reassemble", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1 HAVING count(*) = max(turn) + 1")
 def d16_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("chunk"), F.col("text").alias("part"))
@@ -241,3 +300,23 @@ def d17_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d19_near_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors whose first score lies so near the threshold that it must be scored again."""
     return table(spark, sf_dir, "embeddings").where(F.abs(F.get("embedding", F.lit(0)).cast("double") - 0.1) <= 0.02).select("vec_id")
+
+
+@query("d5_interval_tokens")
+def d5_interval_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns' words as tokens against their letters as spoken intervals, of which one in seven was not spoken."""
+    words = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("utt"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("pos", "token"))
+    phones = words.select("utt", F.col("pos").cast("bigint").alias("pos"), "token", F.regexp_extract_all("token", F.lit("[^aeiou]+|[aeiou]"), F.lit(0)).alias("phones"))
+    spoken = phones.select("utt", F.col("pos").alias("word"), F.posexplode("phones").alias("at", "label")).withColumn("pos", F.col("word") * 100 + F.col("at"))
+    heard = spoken.where(F.pmod(F.xxhash64("utt", "pos"), F.lit(7)) > 0).select("utt", "pos", "label", F.col("pos").cast("double").alias("start"), (F.col("pos") + F.length("label")).cast("double").alias("end"))
+    return D.assign_intervals(phones, heard, ("w", "y", "h"), ("a", "e", "i", "o", "u"), 1.0, codas=("r", "n"), same={"c": ("k", "s")})
+
+
+@query(
+    "d19_scored_in_batches",
+    "WITH m AS (SELECT vec_id, list_avg(embedding::DOUBLE[]) AS mean FROM embeddings) SELECT vec_id, round(mean, 6) AS mean, abs(mean - 0.01) < 0.002 AS again FROM m",
+)
+def d19_scored_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors through an outside scorer in batches of one length; those near the threshold are scored again, alone."""
+    scored = D.score_in_batches(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda x: {"mean": x.mean(axis=1)}, {"mean": 0.01})
+    return scored.select("vec_id", F.round("mean", 6).alias("mean"), "again")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import windows as W
 from ..registry import query
 from ..sources import readers as S
 from ..streaming import jobs
@@ -107,6 +108,18 @@ def t5_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.progress(table(spark, sf_dir, "events"))
 
 
+@query(
+    "t5_quota_progress",
+    "WITH t AS (SELECT l_returnflag AS split, l_linestatus AS language, sum(l_quantity)::DOUBLE AS seconds, count(*) AS n FROM lineitem WHERE l_linenumber < 5 GROUP BY 1, 2), q AS (SELECT l_returnflag AS split, l_linestatus AS language, count(*) * 20.0::DOUBLE AS target FROM lineitem GROUP BY 1, 2) SELECT split, language, target, coalesce(seconds, 0) AS seconds, coalesce(n, 0) AS n, greatest(target - coalesce(seconds, 0), 0) AS missing, coalesce(seconds, 0) >= target AS complete FROM q LEFT JOIN t USING (split, language)",
+)
+def t5_quota_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted hours by split and language against their quotas, as a stream of accepted rows reports them."""
+    rows = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_returnflag": "split", "l_linestatus": "language"})
+    totals = rows.where("l_linenumber < 5").groupBy("split", "language").agg(F.sum(F.col("l_quantity").cast("double")).alias("seconds"), F.count("*").alias("n"))
+    quotas = rows.groupBy("split", "language").agg((F.count("*") * F.lit(20.0)).alias("target"))
+    return jobs.quota_state(totals, quotas, ["split", "language"])
+
+
 @query("t6_status_windows", "SELECT epoch(time_bucket(INTERVAL 5 MINUTES, ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def t6_status_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.status_windows(table(spark, sf_dir, "events")).select(epoch_seconds("start").alias("start"), "event_type", "n")
@@ -129,3 +142,13 @@ def t8_emit_if_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t9_drain", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def t9_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query(
+    "t7_sessions_by_ranges",
+    "WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER w >= 86400 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM g) SELECT user_id, s::BIGINT AS session, min(t) AS start, max(t) AS stop, count(*) AS n FROM s GROUP BY user_id, s",
+)
+def t7_sessions_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users of whom one may have most of the events."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", epoch_seconds("ts").alias("t"))
+    return W.gap_sessions(rows, "user_id", "t", "event_id", 86_400).withColumnRenamed("end", "stop")

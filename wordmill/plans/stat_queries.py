@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import stats as A
+from ..operators import windows as W
 from ..registry import query
 from .session import table
 
@@ -29,6 +30,12 @@ def a1_duration_stats_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.duration_stats(_lines(spark, sf_dir).withColumn("token", F.col("l_partkey") % 97), ["token"], "l_quantity", dict(zip(NAMES, PERCENTS, strict=True)), exact=False)
 
 
+@query("a1_percentiles_by_ranges", f"SELECT l_partkey % 97 AS token, count(*) AS n, {PCT} FROM lineitem GROUP BY 1")
+def a1_percentiles_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact percentiles of a1 where one token may hold most of the rows."""
+    return W.exact_percentiles(_lines(spark, sf_dir).withColumn("token", F.col("l_partkey") % 97), ["token"], "l_quantity", dict(zip(NAMES, PERCENTS, strict=True)))
+
+
 NINE = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 

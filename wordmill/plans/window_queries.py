@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import text_key
 from ..operators import rules as R
 from ..operators import windows as W
-from ..registry import query
+from ..registry import SQL, query
 from .session import epoch_seconds, table
 
 #: lineitem has no unique pair of keys; this tuple is unique.
@@ -112,6 +112,17 @@ def w8_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("w8_islands_by_ranges", SQL["w8_islands"])
+def w8_islands_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As w8, for users of whom one may have most of the events."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("value") > 50).cast("int").alias("active"))
+    placed = W.running_in_groups(rows, ["user_id"], ["ts", "event_id"], "active", "island")
+    runs = placed.groupBy("user_id", "island").agg(F.count_if(F.col("active") == 0).alias("n"), F.max("total_").alias("top"))
+    n, island, zero = F.col("n"), F.col("island"), F.lit(0).cast("bigint")
+    parts = {"leading": island == 0, "trailing": island == F.col("top"), "inner_longest": (island > 0) & (island < F.col("top"))}
+    return runs.groupBy("user_id").agg(*(F.coalesce(F.max(F.when(where, n)), zero).alias(name) for name, where in parts.items()))
+
+
 @query("w9_rolling_budget", "WITH s AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t FROM events) SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS used FROM s")
 def w9_rolling_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the user in the last day (strictly less than a day ago)."""
@@ -126,6 +137,14 @@ def w10_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.where("gap > 86400").groupBy("user_id").agg(F.count("*").alias("stalls"), F.max("gap").alias("longest"))
 
 
+@query("w10_stalls_by_ranges", "WITH s AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS t FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM s) SELECT user_id, count(*) AS stalls, max(gap) AS longest FROM g WHERE gap > 86400 GROUP BY 1")
+def w10_stalls_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As w10, for users of whom one may have most of the events."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", epoch_seconds("ts").alias("t"))
+    gaps = W.lagged(rows, ["user_id"], ["t", "event_id"], {"t": "earlier"}).withColumn("gap", F.col("t") - F.col("earlier"))
+    return gaps.where("gap > 86400").groupBy("user_id").agg(F.count("*").alias("stalls"), F.max("gap").alias("longest"))
+
+
 KEYS = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT)"
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "frames"]
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import wave_facts
+
 
 def manifest(lines: DataFrame, speakers: bool) -> DataFrame:
     """(wav, spk, start, end, text, error) of lines (value) wav|text up to wav|spk|start|end|text.
@@ -144,13 +145,15 @@ def encoded(spark: SparkSession, path: str, tokens: int, tones: int, speakers: S
 
 
 def two_line_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, id, text, phones) of files with "id<tab>text" lines, each followed by a line of phones; without one, null."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    following = F.lead("line").over(Window.partitionBy("file").orderBy("pos"))
-    rows = whole.withColumn("phones", F.nullif(F.trim(following), F.lit(""))).where(F.col("line").rlike(r"^\d"))
-    parts = F.split("line", "\t", 2)
-    phones = F.when(~F.col("phones").rlike(r"^\d+\t"), F.regexp_replace("phones", r"^\s+|\s+$", ""))
-    return rows.select("file", F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("text"), phones.alias("phones"))
+    """(file, id, text, phones) of files with "id<tab>text" lines, each followed by a line of phones; without one, null.
+
+    A record's lines meet by their numbers, so a file may be read in any number of blocks, and a record may lie across two of them.
+    """
+    lines = numbered_lines(spark, path)
+    heads = lines.where(F.col("value").rlike(r"^\d"))
+    next_line = lines.where(~F.col("value").rlike(r"^\d+\t|^\s*$")).select("file", (F.col("line") - 1).alias("line"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("phones"))
+    parts = F.split("value", "\t", 2)
+    return heads.join(next_line, ["file", "line"], "left").select("file", F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("text"), "phones")
 
 
 INTERVAL = r'xmin\s*=\s*([\d.]+)\s*xmax\s*=\s*([\d.]+)\s*text\s*=\s*"([^"]*)"'
@@ -183,23 +186,22 @@ def pronouncing_dictionary(lines: DataFrame) -> DataFrame:
     return rows.select(F.upper(F.regexp_replace(head, r"\(\d+\)$", "")).alias("word"), variant.alias("variant"), F.split(F.trim(F.get(parts, F.lit(1))), r"\s+").alias("phones"))
 
 
+WAVE = "path string, rate bigint, channels bigint, bits bigint, frames bigint, error string"
+
+
 def wave_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, rate, channels, bits, frames, error) of RIFF files in a directory: one inventory job, headers only kept."""
+    """(path, rate, channels, bits, frames, error) of RIFF files in a directory that any store of Spark's holds.
+
+    The files come whole, a batch at a time, and Spark leaves out those without a byte; where the store is one
+    that the `file_facts` source opens itself, that reads the headers' ranges alone and has a row for every file.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for name, data in zip(batch["path"], batch["head"], strict=True):
-                found = data.find(b"fmt ")
-                body = data.find(b"data")
-                if data[:4] != b"RIFF" or found < 0 or body < 0:
-                    out.append((name, None, None, None, None, "header"))
-                    continue
-                _, channels, rate, _, block, bits = struct.unpack("<HHIIHH", data[found + 8 : found + 24])
-                out.append((name, rate, channels, bits, struct.unpack("<I", data[body + 4 : body + 8])[0] // max(block, 1), None))
-            yield pd.DataFrame(out, columns=["path", "rate", "channels", "bits", "frames", "error"]).astype({c: "Int64" for c in ("rate", "channels", "bits", "frames")})
+            rows = [(name, *wave_facts(lambda at, size, data=data: data[at : at + size], len(data))) for name, data in zip(batch["path"], batch["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "rate", "channels", "bits", "frames", "error"]).astype({c: "Int64" for c in ("rate", "channels", "bits", "frames")})
 
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 4096).alias("head"))
-    return files.mapInPandas(run, "path string, rate bigint, channels bigint, bits bigint, frames bigint, error string")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, WAVE)
 
 
 def content_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -207,6 +209,21 @@ def content_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def stat_table(spark: SparkSession, path: str, numbers: Sequence[str], token: str = "token", least: int = 0) -> DataFrame:
+    """token and numbers of a tab-separated table of statistics with a header, with error: what a row lacks, null if nothing.
+
+    A column that the header lacks is an error before any row is read; blank and unreadable numbers are null. Rows of
+    fewer than `least` in the first of numbers have the error few.
+    """
+    rows = spark.read.option("header", True).option("sep", "\t").csv(path)
+    missing = [c for c in (token, *numbers) if c not in rows.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    typed = rows.select(F.nullif(F.trim(token), F.lit("")).alias(token), *(F.trim(F.col(c)).try_cast("double").alias(c) for c in numbers))
+    lacking = F.coalesce(*(F.when(F.col(c).isNull(), c) for c in numbers))
+    return typed.withColumn("error", F.when(F.col(token).isNull(), token).when(lacking.isNotNull(), lacking).when(F.col(numbers[0]) < least, "few"))
+
+
 def fork(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """(kept rows, rejected rows with reason) of one plan."""
     named = rows.withColumn("reason", reason)

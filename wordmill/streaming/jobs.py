@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -228,14 +229,45 @@ def admit(texts: DataFrame, excluded: DataFrame, path: str, checkpoint: str, rat
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh, held = batch.join(excluded, "key", "left_anti"), excluded.select("key")
-        try:
-            there = spark.read.parquet(path).where(F.col("batch") != number).select("key")
+        if _there(spark, path):  # the first batch finds no table
+            there = spark.read.schema("key string, batch bigint").parquet(path).where(F.col("batch") != number).select("key")
             fresh, held = fresh.join(there, "key", "left_anti"), held.unionByName(there)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
-                raise
         if ratio is not None:
             fresh = near_admitted(fixed(fresh), held, ratio)
         fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def quota_state(totals: DataFrame, quotas: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, target, seconds, n, missing, complete) of every quota, what nothing was accepted for included."""
+    rows = quotas.join(totals, list(keys), "left").withColumns({"seconds": F.coalesce("seconds", F.lit(0.0)), "n": F.coalesce("n", F.lit(0))})
+    missing = F.greatest(F.col("target") - F.col("seconds"), F.lit(0.0))
+    return rows.select(*keys, "target", "seconds", "n", missing.alias("missing"), (F.col("seconds") >= F.col("target")).alias("complete"))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
+
+
+def follow_quotas(accepted: DataFrame, quotas: DataFrame, keys: Sequence[str], path: str, checkpoint: str):
+    """Keeps path/report, the state of all quotas (keys, target) over a stream accepted (keys, seconds), and writes path/ready once.
+
+    Every micro-batch replaces the report by what has been accepted so far. When all quotas are complete for
+    the first time path/ready gets the number of that batch; it is written after the report, so it never speaks of an older one.
+    """
+    totals = accepted.groupBy(*keys).agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        quota_state(batch, quotas, keys).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/report")
+        if not _there(spark, f"{path}/ready/_SUCCESS") and spark.read.parquet(f"{path}/report").where("not complete").isEmpty():
+            spark.range(1).select(F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{path}/ready")
+
+    return totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """How many rows a query's windows have dropped as later than the watermark allows, over all progress that it still holds."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for progress in query.recentProgress for op in progress["stateOperators"])
