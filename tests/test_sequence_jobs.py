@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordmill.functions import tables
+from wordmill.functions import text as T
+from wordmill.operators import rules as R
 from wordmill.operators import sequences as D
 from wordmill.operators import windows as W
 
@@ -209,3 +211,55 @@ def test_a_hot_group_is_many_tasks(spark):
     ranges = W.fixed(rows.repartitionByRange(4, "user", "ts", "id").withColumn("part", F.spark_partition_id()))
     assert ranges.groupBy("part").count().agg(F.max("count")).first()[0] < 20_000
     assert W.lagged(rows, ["user"], ["ts", "id"], {"ts": "earlier"}).where("earlier is null or earlier = ts - 1").count() == 40_000
+
+
+def test_pronunciations_from_every_source(spark):
+    lexicon = spark.createDataFrame([("READ", 0, "R IY D"), ("READ", 1, "R EH D"), ("CAT", 0, "K AE T"), ("'CAUSE", 0, "K AH Z"), ("DOGS", 0, "D AO G Z"), ("WELL", 0, "W EH L"), ("UNDER", 0, "AH N D ER"), ("CAT'S", 0, "K AE T S")], "word string, variant int, reading string")
+    supplement = spark.createDataFrame([("zed", "Z EH D"), ("cat", "never")], "word string, reading string")
+    letters = {"A": "EY", "B": "B IY", "X": "EH K S"}
+    asked = [("Read", None), ("read", 1), ("read", 7), ("cat", None), ("cause", None), ("dogs'", None), ("well's", None), ("cat’s", None), ("zed", None), ("well-read", None), ("well-qq", None), ("cat_zed", None), ("UnderCat", None), ("ab", None), ("axq", None), ("", None), (None, None), ("read", 1)]
+    got = {(r["word"], r["pick"]): (r["reading"], r["origin"]) for r in D.pronounce(spark.createDataFrame(asked, "word string, pick int"), lexicon, supplement, letters).collect()}
+    assert got == {
+        ("Read", None): ("R IY D", "lexicon"), ("read", 1): ("R EH D", "lexicon"), ("read", 7): ("R IY D", "lexicon"), ("cat", None): ("K AE T", "lexicon"), ("cause", None): ("K AH Z", "lexicon"),
+        ("dogs'", None): ("D AO G Z", "lexicon"), ("well's", None): ("W EH L", "lexicon"), ("cat’s", None): ("K AE T S", "lexicon"), ("zed", None): ("Z EH D", "supplement"),
+        ("well-read", None): ("W EH L R IY D", "hyphen"), ("well-qq", None): (None, "missing"), ("cat_zed", None): ("K AE T Z EH D", "underscore"), ("UnderCat", None): ("AH N D ER K AE T", "compound"),
+        ("ab", None): ("EY B IY", "spell"), ("axq", None): (None, "missing"), ("", None): (None, "missing"),
+    }
+
+
+def test_warping_matches_a_plain_table():
+    rng = np.random.default_rng(1)
+    for band in (None, 2, 5):
+        for n, m in ((7, 9), (1, 4), (12, 5), (6, 6)):
+            apart = rng.integers(0, 4, (n, m)).astype(float)
+            best = {(0, 0): (0.0, 0)}
+            for i in range(1, n + 1):
+                for j in range(1, m + 1):
+                    if band is None or abs(j - i * m // n) <= band:
+                        cost, steps = min(best.get(k, (np.inf, 0)) for k in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
+                        best[i, j] = (cost + apart[i - 1, j - 1], steps + 1)
+            cost, steps = D.warped(apart, band)
+            want = best.get((n, m), (np.inf, 0))
+            assert cost[n, m] == want[0] and (np.isinf(want[0]) or steps[n, m] == want[1])
+
+
+def test_common_acronyms_and_programming_tokens(spark):
+    def one(text, function):
+        return spark.createDataFrame([(text,)], "t string").select(function(F.col("t")).alias("o")).first()["o"]
+
+    assert one("the GPU and Wifi6, MP3! or mp3 ABCDEF NBA", lambda c: T.spell_acronyms(c, {"wifi6", "MP3"})) == "the G P U and W i f i 6 , M P 3 ! or mp3 ABCDEF N B A"
+    assert one("C++ C# F#", T.programming_tokens) == "C plus plus C sharp F#"
+
+
+def test_eligibility_cascade(spark):
+    ids = list(range(3, 40))
+    english = "the quick brown fox jumps over lazy dogs in the park today."
+    cases = [
+        (english, ids, None), ("", ids, "format"), (None, ids, "format"), ("a | b.", ids, "format"), ("see www.example.org now.", ids, "nonspoken_markup"), ("no end here", ids, "unfinished_punctuation"),
+        (english, [3] * 10, "token_length_or_unknown"), (english, [*ids, 2], "token_length_or_unknown"), (english, None, "token_length_or_unknown"),
+        ("haha haha haha we laughed all day long in the old house.", ids, "repetition"), ("呃嗯呃今天天气很好我们一起去公园吧。", ids, "disfluency"), ("今天很好。", ids, "zh_length"), ("too short here.", ids, "en_length"),
+        ("今天hi。", ids, "mixed_content"), ("今天天气很好我们一起去公园散步吧好吗。", ids, None), ("one two three four five six seven eight nine ten \u201cend.\u201d", ids, None), ("the " * 9 + "end " * 46 + "x.", ids, "repetition"),
+    ]
+    rows = [(k, t, i) for k, (t, i, _) in enumerate(cases)]
+    got = spark.createDataFrame(rows, "k int, t string, ids array<int>").select("k", R.eligibility(F.col("t"), F.col("ids"), 2).alias("reason")).orderBy("k").collect()
+    assert [r["reason"] for r in got] == [want for _, _, want in cases]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,7 +85,7 @@ def collapse_underscore_runs(c: Column) -> Column:
 
 
 def programming_tokens(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("C++"), F.lit("C plus plus")), F.lit("C#"), F.lit("C sharp")), F.lit("F#"), F.lit("F sharp"))
+    return F.replace(F.replace(c, F.lit("C++"), F.lit("C plus plus")), F.lit("C#"), F.lit("C sharp"))
 
 
 def split_sql_glued(c: Column) -> Column:
@@ -159,10 +159,24 @@ def text_to_slash(c: Column) -> Column:
     return F.array_join(F.filter(F.split(c, BLANK + "+"), lambda x: x != ""), "/")
 
 
-def spell_acronyms(c: Column) -> Column:
-    """Words of 2 to 5 capitals as single letters, other words as they are."""
-    words = F.split(c, " ")
-    spelled = F.transform(words, lambda w: F.when(w.rlike("^[A-Z]{2,5}$"), F.trim(F.regexp_replace(w, "([A-Z])", "$1 "))).otherwise(w))
+#: Punctuation at a word's ends that its acronym key leaves out.
+EDGES = r"""[\p{P}$+<=>^`|~]"""
+
+
+def acronym_key(word: Column) -> Column:
+    """A word in capitals, without white space and the punctuation around it."""
+    return F.upper(F.regexp_replace(F.regexp_replace(word, rf"^{EDGES}+|{EDGES}+$", ""), r"\s+", ""))
+
+
+def is_acronym(word: Column, common: Collection[str] = ()) -> Column:
+    """Words of 2 to 5 capitals, and those with a capital whose key is in a list of common acronyms."""
+    plain = word.rlike("^[A-Z]{2,5}$")
+    return (plain | (word.rlike(r"\p{Lu}") & acronym_key(word).isin(*sorted({k.upper() for k in common})))) if common else plain
+
+
+def spell_acronyms(c: Column, common: Collection[str] = ()) -> Column:
+    """Acronyms as single characters, runs of digits whole; other words as they are."""
+    spelled = F.transform(F.split(c, " "), lambda w: F.when(is_acronym(w, common), F.array_join(F.regexp_extract_all(w, F.lit(r"\d+|\S"), F.lit(0)), " ")).otherwise(w))
     return F.array_join(spelled, " ")
 
 

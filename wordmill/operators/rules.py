@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import text_key
+
 HAN = "[\\x{4e00}-\\x{9fff}]"
 SENTENCE_END = "(?<=[.!?])"
 
@@ -76,3 +78,28 @@ def first_by_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     others = [c for c in rows.columns if c not in (key, *order)]
     least = rows.groupBy(key).agg(F.min(F.struct(*order, *others)).alias("s"))
     return least.select(key, "s.*")
+
+
+def eligibility(text: Column, ids: Column, unknown: int) -> Column:
+    """The first reason for which a text can't be spoken as it is, null if there is none.
+
+    ids are its token numbers, `unknown` the one of what the inventory lacks. Text without Han characters or Latin
+    words is English that is too short. The bounds are fixed values.
+    """
+    t = F.trim(F.coalesce(text, F.lit("")))
+    chinese, english = han(t), words(t)
+    letters = F.length(F.array_join(F.regexp_extract_all(t, F.lit("[A-Za-z]+"), F.lit(0)), ""))
+    n = F.coalesce(F.size(ids), F.lit(0))
+    only_han, mixed = (chinese > 0) & (english == 0), (chinese > 0) & (english > 0)
+    return first_issue(
+        ((t == "") | t.rlike(r"[|\n]"), "format"),
+        (t.rlike(r"https?://|www\.|@|[<>\[\]{}]"), "nonspoken_markup"),
+        (~t.rlike("[。！？.!?][”\"’']?$"), "unfinished_punctuation"),
+        (~n.between(18, 340) | F.coalesce(F.array_contains(ids, unknown), F.lit(True)), "token_length_or_unknown"),
+        (text_key(t).rlike(r"(.{4,12})\1\1"), "repetition"),
+        (F.regexp_count(t, F.lit("[呃嗯]")) > 2, "disfluency"),
+        (only_han & ~chinese.between(12, 95), "zh_length"),
+        ((chinese == 0) & ~english.between(8, 55), "en_length"),
+        (mixed & ~(chinese.between(5, 90) & (english <= 45) & (letters >= 3)), "mixed_content"),
+        (~speech_seconds(t).between(3, 22), "estimated_length"),
+    )

@@ -67,6 +67,25 @@ def frame_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.stack(rows) if rows else np.zeros((0, len(b)))
 
 
+def warped(apart: np.ndarray, band: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, steps) of the best paths to every cell of a table of distances, one diagonal of it at a time; of equal costs the fewest steps."""
+    n, m = apart.shape
+    cost = np.full((n + 1, m + 1), np.inf)
+    steps = np.zeros((n + 1, m + 1), dtype=np.int64)
+    cost[0, 0] = 0
+    for diagonal in range(2, n + m + 1):
+        i = np.arange(max(1, diagonal - m), min(n, diagonal - 1) + 1)
+        j = diagonal - i
+        if band is not None:
+            inside = np.abs(j - i * m // n) <= band
+            i, j = i[inside], j[inside]
+        costs = np.stack([cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1]])
+        least = costs.min(axis=0)
+        counts = np.where(costs == least, np.stack([steps[i - 1, j - 1], steps[i - 1, j], steps[i, j - 1]]), n + m)
+        cost[i, j], steps[i, j] = least + apart[i - 1, j - 1], counts.min(axis=0) + 1
+    return cost, steps
+
+
 def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int, metric: str = "l1", with_path: bool = False) -> DataFrame:
     """(pair, cost, steps) of pairs (pair, x, y: arrays of numbers, or of equally long frames) by dynamic time warping.
 
@@ -87,15 +106,7 @@ def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int, metric: str =
             for pair, x, y in zip(batch["pair"], batch["x"], batch["y"], strict=True):
                 n, m = len(x), len(y)
                 apart = frame_distances(frames(x), frames(y), metric) if n and m else np.zeros((n, m))
-                cost = np.full((n + 1, m + 1), np.inf)
-                steps = np.zeros((n + 1, m + 1), dtype=np.int64)
-                cost[0, 0] = 0
-                for i in range(1, n + 1):
-                    middle, reach = i * m // max(n, 1), m if band is None else band
-                    for j in range(max(1, middle - reach), min(m, middle + reach) + 1):
-                        options = ((cost[i - 1, j - 1], steps[i - 1, j - 1]), (cost[i - 1, j], steps[i - 1, j]), (cost[i, j - 1], steps[i, j - 1]))
-                        best = min(options)
-                        cost[i, j], steps[i, j] = best[0] + apart[i - 1, j - 1], best[1] + 1
+                cost, steps = warped(apart, band)
                 row = [pair, float(cost[-1, -1]), int(steps[-1, -1])]
                 if with_path:
                     i, j, path = n, m, []
@@ -478,3 +489,53 @@ def context_variants(rows: DataFrame, group: Sequence[str], order: str, token: s
     })
     picks = [F.when((F.upper(F.trim(token)) == name) & _fits(rule, lists), F.lit(int(rule["pick"]))) for name, rules in table.items() for rule in rules]
     return near.withColumn("variant", F.coalesce(*picks) if picks else F.lit(None).cast("int")).drop("word_", "prev", "next", "following")
+
+
+#: Fixed value: one part of a compound in mixed case.
+PASCAL = "[A-Z][a-z]+|[A-Z]+(?![a-z])"
+
+
+def _spoken(words: DataFrame, lexicon: DataFrame, supplement: DataFrame, letters: Mapping[str, str], spell: bool) -> DataFrame:
+    """words (word, pick) with reading and origin by the lexicon, the supplement and, with spell, their letters."""
+    upper = F.upper(F.trim(F.translate("word", "’", "'")))
+    keys = F.array_distinct(F.array(
+        upper, F.when(upper.rlike("^[A-Z]"), F.concat(F.lit("'"), upper)), F.when(upper.endswith("'S"), F.expr("left(k_, length(k_) - 2)")), F.when(upper.endswith("'"), F.expr("left(k_, length(k_) - 1)")),
+    ))
+    named = words.withColumn("k_", upper)
+    tried = named.select("word", "pick", F.posexplode(keys).alias("rank", "key")).where(F.col("key").isNotNull())
+    own = lexicon.select(F.upper("word").alias("key"), "variant", "reading")
+    # the key that is asked for first, of it the variant that was picked, or else the first
+    order = F.struct("rank", (F.col("variant") != F.coalesce("pick", F.lit(0))).alias("other"), "variant")
+    found = tried.join(own, "key").groupBy("word", "pick").agg(F.min_by("reading", order).alias("lex"))
+    extra = supplement.groupBy(F.upper("word").alias("sup_key")).agg(F.min("reading").alias("sup"))
+    alike = named.alias("w").join(found.alias("f"), F.col("w.word").eqNullSafe(F.col("f.word")) & F.col("w.pick").eqNullSafe(F.col("f.pick")), "left").select("w.word", "w.pick", "k_", "lex")
+    alike = alike.join(extra, F.col("k_") == F.col("sup_key"), "left")
+    names = F.transform(F.regexp_extract_all(F.upper("word"), F.lit(r"\p{L}"), F.lit(0)), lambda x: F.element_at(F.create_map(*(F.lit(v) for pair in letters.items() for v in pair)), x)) if letters else None
+    spelled = F.when((F.size(names) > 0) & ~F.exists(names, lambda x: x.isNull()), F.array_join(names, " ")) if spell and letters else F.lit(None).cast("string")
+    origin = F.when(F.col("lex").isNotNull(), "lexicon").when(F.col("sup").isNotNull(), "supplement").when(spelled.isNotNull(), "spell").otherwise("missing")
+    return alike.select("word", "pick", F.coalesce("lex", "sup", spelled).alias("reading"), origin.alias("origin"))
+
+
+def pronounce(words: DataFrame, lexicon: DataFrame, supplement: DataFrame, letters: Mapping[str, str]) -> DataFrame:
+    """(word, pick, reading, origin) of the distinct (word, pick) of words; the caller joins them back to its rows.
+
+    lexicon: (word, variant, reading), supplement: (word, reading), letters: the readings of capitals. A word is
+    looked up as it is, with a leading apostrophe, without a possessive and without a closing apostrophe; pick is
+    the variant that context_variants() chose, null for the first. A word with an underscore is its parts; any other
+    that lexicon and supplement lack is its parts at hyphens or at capitals (origins underscore, hyphen, compound) if each has a
+    reading, else its letters, else missing. Only distinct words are joined.
+    """
+    distinct = words.select("word", F.col("pick").cast("int").alias("pick") if "pick" in words.columns else F.lit(None).cast("int").alias("pick")).where("word is not null").distinct()
+    pascal = F.regexp_extract_all("word", F.lit(PASCAL), F.lit(0))
+    kind = F.when(F.contains("word", F.lit("_")), "underscore").when(F.contains("word", F.lit("-")), "hyphen").when((F.size(pascal) > 1) & (F.array_join(pascal, "") == F.col("word")), "compound")
+    at_marks = [F.filter(F.split("word", mark), lambda p: p != "") for mark in ("_", "-")]
+    parts = F.when(F.col("kind") == "underscore", at_marks[0]).when(F.col("kind") == "hyphen", at_marks[1]).otherwise(pascal)
+    split = distinct.select("word", kind.alias("kind")).distinct().where("kind is not null").withColumn("parts", parts).where(F.size("parts") > 1)
+    pieces = split.select("word", "kind", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "part"))
+    known = _spoken(pieces.select(F.col("part").alias("word"), F.lit(None).cast("int").alias("pick")).distinct(), lexicon, supplement, letters, True).where("reading is not null")
+    met = pieces.join(known.select(F.col("word").alias("part"), "reading"), "part")
+    joined = met.groupBy("word", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("at", "reading"))).alias("l")).where(F.size("l") == F.col("n"))
+    joined = joined.select(F.col("word").alias("whole"), "kind", F.array_join(F.transform("l", lambda x: x["reading"]), " ").alias("by_parts"))
+    direct = _spoken(distinct, lexicon, supplement, letters, True).join(joined, F.col("word") == F.col("whole"), "left")
+    takes = F.col("by_parts").isNotNull() & ((F.col("kind") == "underscore") | ~F.col("origin").isin("lexicon", "supplement"))
+    return direct.select("word", "pick", F.when(takes, F.col("by_parts")).otherwise(F.col("reading")).alias("reading"), F.when(takes, F.col("kind")).otherwise(F.col("origin")).alias("origin"))

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a table of groups that is broadcast, at most.
@@ -18,18 +18,24 @@ def hash_order(*parts: Column, seed: str = "0") -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *(p.cast("string") for p in parts)), 256)
 
 
-def fixed(rows: DataFrame) -> DataFrame:
-    """rows written to the checkpoint folder: all that follows sees the same ones, and survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir. Where a session on one machine names none, a new local one is set;
-    on a cluster, where no executor could read it, that is an error.
+    Where a session on one machine names none, a new local one is set; on a cluster, where no executor could
+    read it, that is an error.
     """
-    context = rows.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wordmill-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def fixed(rows: DataFrame) -> DataFrame:
+    """rows written to the checkpoint folder: all that follows sees the same ones, and survives lost executors."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

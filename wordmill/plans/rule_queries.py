@@ -89,6 +89,15 @@ def p3_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("p3_whole_cascade")
+def p3_whole_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by the first reason of the whole cascade; a sentence's tokens are its characters, those over U+007F unknown."""
+    rows = R.sentences(table(spark, sf_dir, "documents"), ["doc_id"])
+    ids = F.transform(F.split(F.left("sentence", F.lit(400)), ""), lambda c: F.when(F.ascii(c) > 127, 2).otherwise(3))
+    reason = R.eligibility(F.col("sentence"), ids, 2)
+    return rows.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("p3_repetition")
 def p3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences in which 4 to 12 characters stand three times in a row."""

@@ -51,7 +51,7 @@ over_documents("x17_markdown_asterisks", T.strip_markdown_asterisks, None)
 over_documents("x18_code_ticks", T.strip_code_ticks, "replace({t}, '`', '')")
 over_documents("x19_underscore_runs", T.collapse_underscore_runs, _sub("{t}", "_{2,}", " "))
 over_documents("x20_identifier_underscores", T.expand_identifier_underscores, None)
-over_documents("x21_programming_tokens", T.programming_tokens, "replace(replace(replace({t}, 'C++', 'C plus plus'), 'C#', 'C sharp'), 'F#', 'F sharp')")
+over_documents("x21_programming_tokens", T.programming_tokens, "replace(replace({t}, 'C++', 'C plus plus'), 'C#', 'C sharp')")
 over_documents("x22_sql_glued", T.split_sql_glued, reduce(lambda t, p: _sub(t, rf"(?i)\b{p[0]}{p[1]}\b", f"{p[0]} {p[1]}"), [(a, b) for a, rest in T.SQL_GLUED for b in rest], "{t}"))
 over_documents("x23_translate_chars", lambda c: T.translate_chars(c, "éèêäöü", "eeeaou"), "translate({t}, 'éèêäöü', 'eeeaou')")
 over_documents("x24_double_hyphen", T.collapse_double_hyphen, _sub("{t}", "-{2,}", "-"))
