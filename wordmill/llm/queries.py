@@ -7,6 +7,7 @@ from zlib import crc32
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, jaccard, licenses, mixing, phrases, quality, runs, sstable, toxicity, urls
 from .simhash import simhash_groups
@@ -172,3 +173,91 @@ SELECT any_value(a.doc_id) AS doc_id, any_value(len(a.s))::BIGINT AS n_shingles,
 FROM reached JOIN sets a ON a.row_no = reached.u JOIN sets b ON b.row_no = reached.v
 GROUP BY reached.u
 """
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 counts before its method decides, which SQL can count as well."""
+    return op2_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES["base_quality"] = base_quality
+SQL["base_quality"] = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents
+), w AS MATERIALIZED (
+    SELECT row_no, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d
+), windows AS (
+    SELECT row_no, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT row_no, w, unnest(range(1, len(w) - 6)) AS i FROM w)
+), twice AS (
+    SELECT row_no, i FROM windows QUALIFY count(*) OVER (PARTITION BY row_no, g) > 1
+), covered AS (
+    SELECT row_no, count(DISTINCT p) AS n FROM (SELECT row_no, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY row_no
+), lines AS (
+    SELECT row_no, line FROM (SELECT row_no, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), copied AS (
+    SELECT row_no, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY row_no
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(copied.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+       len(w) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(w) AS base_failed
+FROM w LEFT JOIN covered USING (row_no) LEFT JOIN copied USING (row_no)
+"""
+
+
+def nearest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's neighbours, which an exact search must agree with; scores in six places."""
+    return op8_ann(spark, sf_dir).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+QUERIES["nearest_ids"] = nearest_ids
+SQL["nearest_ids"] = """
+WITH v AS MATERIALIZED (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id)::INT AS rank, vec_id, round(score, 6) AS score
+FROM pairs QUALIFY rank <= 5
+"""
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where op9 finds whole phrases, before its templates add their labels."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+QUERIES["base_licenses"] = base_licenses
+SQL["base_licenses"] = rf"""
+WITH phrases(p, label) AS (
+    VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')
+), d AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), places AS (
+    SELECT row_no, i - 1 AS place, label FROM (SELECT row_no, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN phrases ON w[i] = p[1] AND w[i : i + len(p) - 1] = p
+), found AS (
+    SELECT row_no, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY row_no
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN found USING (row_no)
+"""
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's hosts, paths and rules; what no rule decides is left to its trees."""
+    return op10_urls(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+QUERIES["url_rules"] = url_rules
+SQL["url_rules"] = r"""
+WITH rules(host, path, verdict, name) AS (
+    VALUES ('org', '/', 'allow', 'org/'), ('example.org', '/es/', 'block', 'example.org/es/'), ('example.org', '/en/1', 'block', 'example.org/en/1'), ('com', '/fr/', 'allow', 'com/fr/'), ('com', '/de/', 'block', 'com/de/')
+), cut AS (
+    SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), fits AS (
+    SELECT row_no, name, verdict FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+    QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY length(name) DESC, name) = 1
+)
+SELECT page_id, host, path, name AS rule, verdict AS ruled FROM parts LEFT JOIN fits USING (row_no)
+"""
