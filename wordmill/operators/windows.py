@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
 
@@ -34,9 +35,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fixed(rows: DataFrame) -> DataFrame:
-    """rows written to the checkpoint folder: all that follows sees the same ones, and survives lost executors."""
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint()
+    """rows written to the checkpoint folder, as columns: all that follows sees the same ones, reads those it needs, and survives lost executors."""
+    path = f"{shared_folder(rows.sparkSession)}/fixed-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def global_running_sum(rows: DataFrame, order: Sequence[str], value: str, into: str) -> DataFrame:
