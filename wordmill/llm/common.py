@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to a Python worker.
+TEXTS_AT_ONCE = 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir).
 
@@ -40,6 +44,11 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends whole texts to Python workers TEXTS_AT_ONCE at a time in this session, in place of ten thousand: what a batch takes is held by both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
+
+
 def fitted(sample: DataFrame, train: Callable[[pd.DataFrame], Any]) -> Any:
     """What train makes of all rows of a sample, which the caller keeps to a fixed bound.
 
