@@ -18,10 +18,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wordmill.llm import bpe, mixing, quality, simhash, toxicity
-from wordmill.llm.common import shared_folder
+from wordmill.llm.common import shared_folder, small_batches
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
@@ -34,6 +35,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.first_of_groups(docs)
 
 
@@ -42,6 +44,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
