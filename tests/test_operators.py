@@ -24,7 +24,7 @@ def one(spark, value, function):
     [
         (T.nfkc, "ﬁ①", "fi1"), (T.clause_breaks, "One.\nTwo\nthree\n\nfour", "One. Two, three. four"), (T.strip_structural_quotes, "'don't' \"x\"", "don't x"),
         (T.collapse_letter_dots, "the U.S. army", "the US army"), (T.dash_ranges, "6-8 and a-b", "6 to 8 and a-b"), (T.dedupe_trailing_punct, "what!! !", "what!"),
-        (T.dedupe_trailing_punct, "so...", "so..."), (T.strip_markdown_asterisks, "* item **bold** *it*", "* item bold it"), (T.expand_identifier_underscores, "a_b _c", "a b _c"),
+        (T.dedupe_trailing_punct, "so...", "so..."), (T.strip_markdown_asterisks, "* item **bold** *it*", "* item bold it"), (T.expand_identifier_underscores, "a_b _c", "a underscore b _c"),
         (T.brackets_to_pauses, "a (b c) d", "a, b c, d"), (T.brackets_to_pauses, "a () d.", "a  d."), (T.ensure_sentence_end, "", ""), (T.ensure_sentence_end, "a)", "a)."),
         (lambda c: T.expand_abbreviations(c, {"dr.": "doctor"}), "Dr. Who and dr. No", "Doctor Who and doctor No"),
     ],
@@ -231,3 +231,34 @@ def test_dtw_metrics_and_path(spark, metric):
         assert got[k]["cost"] == pytest.approx(least(len(x) - 1, len(y) - 1)) and len(path) == got[k]["steps"]
         assert path[0] == (0, 0) and path[-1] == (len(x) - 1, len(y) - 1)
         assert sum(apart(i, j) for i, j in path) == pytest.approx(got[k]["cost"])
+
+
+@pytest.mark.parametrize(
+    ("function", "text", "want"),
+    [
+        (T.collapse_letter_dots, "the U.S. army", "the US army"),
+        (T.collapse_letter_dots, "a Ph.D. in the U.K.", "a PhD in the UK"),
+        (T.collapse_letter_dots, "Vitamin C. It", "Vitamin C. It"),
+        (T.collapse_letter_dots, "U.S.A.F. and e.g. this", "USAF and e.g. this"),
+        (T.collapse_letter_dots, "line\nN.A.S.A.\nend", "line\nNASA\nend"),
+        (T.collapse_letter_dots, None, None),
+        (T.dash_ranges, "6-8 weeks", "6 to 8 weeks"),
+        (T.dash_ranges, "6 – 8 or 10—12", "6 to 8 or 10 to 12"),
+        (T.dash_ranges, "2020-2024", "2020-2024"),
+        (T.dash_ranges, "555-12", "555-12"),
+        (T.dash_ranges, "12:30-45 and 3-4/5 and 1-2.5 and 3-4 °", "12:30-45 and 3-4/5 and 1-2.5 and 3-4 °"),
+        (T.expand_identifier_underscores, "date_column", "date underscore column"),
+        (T.expand_identifier_underscores, "a_b_c _x y_", "a underscore b underscore c _x y_"),
+        (T.dedupe_trailing_punct, "what!!!", "what!"),
+        (T.dedupe_trailing_punct, "what ! ! ", "what!"),
+        (T.dedupe_trailing_punct, "what?!", "what?!"),
+        (T.dedupe_trailing_punct, "so...", "so..."),
+        (T.dedupe_trailing_punct, "好。。", "好。"),
+        (T.dedupe_trailing_punct, "a!! b", "a!! b"),
+        (T.dedupe_trailing_punct, "x_ _", "x_ _"),
+        (T.dedupe_trailing_punct, "end  ", "end  "),
+        (T.strip_code_ticks, "run ```x``` and `y`", "run  x  and  y "),
+    ],
+)
+def test_text_rules_by_expected_rows(spark, function, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(function(F.col("t")).alias("out")).first()["out"] == want

@@ -77,7 +77,8 @@ def normalize_ellipsis(c: Column) -> Column:
 
 
 def strip_code_ticks(c: Column) -> Column:
-    return F.replace(c, F.lit("`"), F.lit(""))
+    """Code marks become a space, three together one."""
+    return F.replace(F.replace(c, F.lit("```"), F.lit(" ")), F.lit("`"), F.lit(" "))
 
 
 def collapse_underscore_runs(c: Column) -> Column:
@@ -189,23 +190,31 @@ def strip_structural_quotes(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, "\"“”«»", ""), r"(?<!\p{L})'|'(?!\p{L})", "")
 
 
+#: An abbreviation of capitals with dots, and a range of one- and two-digit numbers that is no date, time, version or angle.
+LETTER_DOTS = r"\b(?:[A-Z][a-z]?\.)+(?:[A-Z][a-z]?)?\."
+NUMBER_RANGE = r"(?<!\d)(?<!:)(\d{1,2})\s*[-–—]\s*(\d{1,2})(?!\d)(?!\s*[/\.])(?!\s*°)"
+
+
 def collapse_letter_dots(c: Column) -> Column:
-    """U.S. as US: dots after single capitals, in words of nothing else."""
-    return F.regexp_replace(c, r"(?<=\b[A-Z])\.(?=[A-Z]\b|\s|$)", "")
+    """U.S. as US and Ph.D. as PhD, the last dot included."""
+    runs = F.regexp_extract_all(c, F.lit(rf"{LETTER_DOTS}|(?s:(?!{LETTER_DOTS}).)+"), F.lit(0))
+    joined = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(rf"^{LETTER_DOTS}$"), F.replace(x, F.lit("."), F.lit(""))).otherwise(x)), "")
+    return F.when(c.rlike(LETTER_DOTS), joined).otherwise(c)
 
 
 def dash_ranges(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<=\d)\s*[-–]\s*(?=\d)", " to ")
+    return F.regexp_replace(c, NUMBER_RANGE, "$1 to $2")
 
 
 def expand_identifier_underscores(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<=[A-Za-z0-9])_(?=[A-Za-z0-9])", " ")
+    return F.regexp_replace(c, r"(?<=[A-Za-z0-9])_(?=[A-Za-z0-9])", " underscore ")
 
 
 def dedupe_trailing_punct(c: Column, keep: str = ".") -> Column:
-    """A run of one mark at the end becomes one mark; marks in keep may run."""
-    marks = "".join(m for m in ",;:!?…，；：！？。" if m not in keep)
-    return F.regexp_replace(c, rf"([{marks}])(\s*\1)+\s*$", "$1")
+    """A run of one mark at the end, spaces between them or not, becomes one mark; different marks stay. Marks in keep don't count."""
+    tail = F.regexp_extract(c, r"(?U)\W+$", 0)
+    marks = F.translate(F.regexp_replace(tail, r"(?U)\s", ""), keep, "")
+    return F.when(marks.rlike(r"(?s)^(.)\1+$"), F.concat(F.left(c, F.length(c) - F.length(tail)), F.left(marks, F.lit(1)))).otherwise(c)
 
 
 def strip_markdown_asterisks(c: Column) -> Column:

@@ -48,7 +48,7 @@ over_documents(
 )
 over_documents("x16_ellipsis", T.normalize_ellipsis, _sub("replace(replace({t}, '……', '...'), '…', '...')", r"\.{3,}", "..."))
 over_documents("x17_markdown_asterisks", T.strip_markdown_asterisks, None)
-over_documents("x18_code_ticks", T.strip_code_ticks, "replace({t}, '`', '')")
+over_documents("x18_code_ticks", T.strip_code_ticks, "replace(replace({t}, '```', ' '), '`', ' ')")
 over_documents("x19_underscore_runs", T.collapse_underscore_runs, _sub("{t}", "_{2,}", " "))
 over_documents("x20_identifier_underscores", T.expand_identifier_underscores, None)
 over_documents("x21_programming_tokens", T.programming_tokens, "replace(replace({t}, 'C++', 'C plus plus'), 'C#', 'C sharp')")
