@@ -24,7 +24,7 @@ def one(spark, value, function):
     [
         (T.nfkc, "ﬁ①", "fi1"), (T.clause_breaks, "One.\nTwo\nthree\n\nfour", "One. Two, three. four"), (T.strip_structural_quotes, "'don't' \"x\"", "don't x"),
         (T.collapse_letter_dots, "the U.S. army", "the US army"), (T.dash_ranges, "6-8 and a-b", "6 to 8 and a-b"), (T.dedupe_trailing_punct, "what!! !", "what!"),
-        (T.dedupe_trailing_punct, "so...", "so..."), (T.strip_markdown_asterisks, "* item **bold** *it*", "* item bold it"), (T.expand_identifier_underscores, "a_b _c", "a underscore b _c"),
+        (T.dedupe_trailing_punct, "so...", "so..."), (T.strip_markdown_asterisks, "* item **bold** *it*", "item bold it"), (T.expand_identifier_underscores, "a_b _c", "a underscore b _c"),
         (T.brackets_to_pauses, "a (b c) d", "a, b c, d"), (T.brackets_to_pauses, "a () d.", "a  d."), (T.ensure_sentence_end, "", ""), (T.ensure_sentence_end, "a)", "a)."),
         (lambda c: T.expand_abbreviations(c, {"dr.": "doctor"}), "Dr. Who and dr. No", "Doctor Who and doctor No"),
     ],
@@ -257,6 +257,13 @@ def test_dtw_metrics_and_path(spark, metric):
         (T.dedupe_trailing_punct, "a!! b", "a!! b"),
         (T.dedupe_trailing_punct, "x_ _", "x_ _"),
         (T.dedupe_trailing_punct, "end  ", "end  "),
+        (T.strip_markdown_asterisks, "Love * Learn * Laugh", "Love, Learn, Laugh"),
+        (T.strip_markdown_asterisks, "Buy:\n* milk\n* eggs", "Buy: milk, eggs"),
+        (T.strip_markdown_asterisks, "a **b c** *d*", "a b c d"),
+        (T.strip_markdown_asterisks, "SELECT COUNT( * ) y", "SELECT COUNT() y"),
+        (T.strip_markdown_asterisks, "tables a.x*, b", "tables a.x, b"),
+        (T.strip_markdown_asterisks, "3 * 4 and 5", "3 * 4 and 5"),
+        (T.strip_structural_quotes, "I'm \u201cfine\u201d, don\u2019t 'worry' \u300e\u597d\u300f", "I'm fine, don\u2019t worry \u597d"),
         (T.strip_code_ticks, "run ```x``` and `y`", "run  x  and  y "),
     ],
 )

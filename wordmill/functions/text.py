@@ -185,9 +185,13 @@ def space_out(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, BLANK + "+", ""), "(.)", "$1 "))
 
 
+#: Quotes that go everywhere, and those that stay between two letters.
+QUOTES, APOSTROPHES = "\"“”「」《》【】『』", "'‘’"
+
+
 def strip_structural_quotes(c: Column) -> Column:
     """Quotes go, but an apostrophe between two letters stays."""
-    return F.regexp_replace(F.translate(c, "\"“”«»", ""), r"(?<!\p{L})'|'(?!\p{L})", "")
+    return F.regexp_replace(F.translate(c, QUOTES, ""), rf"(?<!\p{{L}})[{APOSTROPHES}]|[{APOSTROPHES}](?!\p{{L}})", "")
 
 
 #: An abbreviation of capitals with dots, and a range of one- and two-digit numbers that is no date, time, version or angle.
@@ -217,9 +221,22 @@ def dedupe_trailing_punct(c: Column, keep: str = ".") -> Column:
     return F.when(marks.rlike(r"(?s)^(.)\1+$"), F.concat(F.left(c, F.length(c) - F.length(tail)), F.left(marks, F.lit(1)))).otherwise(c)
 
 
+#: Fixed value: marks after which a list's asterisk needs no comma.
+BEFORE_BULLET = ",.;:!?。，；：！？…"
+#: Asterisks that are no list's and what stays of them, in order: bold, italic, empty arguments, marks of choice, wildcards.
+ASTERISKS = (
+    (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"\(\s*\*\s*\)", "()"), (r"([А-ЯЁа-яё])\)\s*\*(?=\s)", "$1)"), (r"(?<=[A-Za-z0-9])\*(?=[),.\s;]|$)", ""),
+)
+
+
 def strip_markdown_asterisks(c: Column) -> Column:
-    """Emphasis marks go, list bullets stay."""
-    return F.regexp_replace(F.regexp_replace(c, r"\*{2,}", ""), r"(?m)(?<!^)(?<!^\s)\*(?=\S)|(?<=\S)\*", "")
+    """Asterisks of lists become commas, none at the start and after a mark; emphasis and wildcards lose theirs."""
+    out = F.regexp_replace(c, r"^\s*\*\s+(?=\p{L})", "")
+    out = F.regexp_replace(out, rf"([{BEFORE_BULLET}])\s*\*\s+(?=\p{{L}})", "$1 ")
+    out = F.regexp_replace(out, r"(\S)\s+\*\s+(?=\p{L})", "$1, ")
+    for pattern, stays in ASTERISKS:
+        out = F.regexp_replace(out, pattern, stays)
+    return out
 
 
 def clause_breaks(c: Column) -> Column:
