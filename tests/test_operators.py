@@ -178,6 +178,22 @@ def test_step_windows_cover_every_event(spark, tmp_path):
     assert got == [(0, 1000, 2, 2.0), (9000, 10000, 1, 5.0), (10000, 11000, 1, 7.0), (99000, 100000, 1, 9.0)]
 
 
+def test_step_windows_sql_covers_every_event(spark, tmp_path):
+    import duckdb
+
+    from wordmill.plans.stat_queries import a23_step_windows
+    from wordmill.registry import SQL
+
+    rows = [(-1, 4.0), (0, 1.0), (999, 3.0), (9999, 5.0), (10000, 7.0), (99999, 9.0), (None, 2.0), (5_999_999, None)]
+    events = spark.createDataFrame(rows, "event_id bigint, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as own:
+        own.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        expected = sorted(own.execute(SQL["a23_step_windows"]).fetchall())
+    assert len(expected) == 6
+    assert sorted(tuple(r) for r in a23_step_windows(spark, str(tmp_path)).collect()) == expected
+
+
 def test_text_rules_in_full(spark):
     cases = [
         (T.text_key, "\uff21\ufb01 \u2460 \u00c9!", "afi1\u00e9"), (T.text_key, None, None), (T.split_sql_glued, "groupby truncDATE NVL2 ToNumberX", "GROUP BY TRUNC DATE NVL 2 ToNumberX"),
