@@ -13,6 +13,7 @@ from itertools import product
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from tokenizers import Tokenizer
 
 from wordmill.llm import ann, bpe, chat, licenses, sstable, urls
@@ -50,6 +51,23 @@ def test_bpe_matches_the_library(spark):
     assert bpe.encode(frame(spark, []), file).count() == 0
 
 
+def test_bpe_chunks_span_batches_of_rows(spark):
+    texts = [(i, f"the of the {i % 7} w{i}") for i in range(95)] + [(95, None), (96, ""), (97, "  ")]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = bpe._split(spark.createDataFrame(texts, "id bigint, t string").coalesce(1), 3, False).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [list(r["ids"]) for r in rows] == [[i for i, _ in texts]]
+    held = [zstandard.decompress(bytes(b)).split(b" ") for b in rows[0]["words"]]
+    order = bpe.by_rank(np.array([len(h) for h in held]))
+    flat = [w.decode() for h in held for w in h]
+    met = [flat[order[p]] for p in bpe.unsqueeze(bytes(rows[0]["places"]))]
+    assert [w for w in met if w != "\n"] == [w for _, t in texts for w in (t or "").split()]
+    assert [h[0] for h in held if b"the" in h] == [b"the"] and bpe.by_rank(np.array([2, 0, 3])).tolist() == [0, 2, 1, 3, 4]
+
+
 def test_bpe_is_exact_for_other_files(spark, tmp_path):
     cased = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     cased["normalizer"]["normalizers"] = [n for n in cased["normalizer"]["normalizers"] if n["type"] != "Lowercase"]

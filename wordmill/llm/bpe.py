@@ -111,7 +111,7 @@ def as_binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def squeeze(places: np.ndarray) -> bytes:
     """Places as four planes of bytes, compressed."""
     planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
@@ -130,44 +130,70 @@ def slices(batch: pa.RecordBatch, characters: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches of any size, in order, as batches whose second column has at most so many bytes of text, or one row."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in slices(batch, characters):
+            own = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+            if held and size + own > characters:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def by_rank(sizes: np.ndarray) -> np.ndarray:
+    """Where the words stand in lists of so many words, one list after the other, if all first words come first, then all second ones, and so on."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.lexsort((owner, rank))
+
+
 def _split(docs: DataFrame, buckets: int, lower: bool) -> DataFrame:
     """(chunk, ids, sizes, places, words): one row per chunk, as the module says.
 
-    lower: A-Z may be lower-cased first, as the tokenizer would, for fewer distinct words.
+    lower: A-Z may be lower-cased first, as the tokenizer would, for fewer distinct words. A bucket's words stand
+    from the most frequent on, and places are numbered as by_rank() does, so that frequent words have low numbers, which
+    compress better.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in slices(batch, CHUNK_CHARACTERS):
-                text = part.column(1)
-                if lower and not pc.any(pc.match_substring(text, "<|")).as_py():
-                    text = pc.ascii_lower(text)
-                split = pc.ascii_split_whitespace(text)
-                sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
-                coded = split.flatten().dictionary_encode()
-                words = [w.encode() or b"\n" for w in coded.dictionary.to_pylist()]  # an empty one as white space, which has no ids
-                bucket = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % buckets
-                order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(order), dtype=np.int64)
-                place[order] = np.arange(len(order))
-                ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
-                order = order.tolist()
-                pack = zstandard.ZstdCompressor(level=1).compress
-                in_buckets = [pack(b" ".join([words[i] for i in order[a:b]])) if b > a else b"" for a, b in zip([0, *ends], ends, strict=False)]
-                del words, order
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([chunk]),
-                        lists(part.column(0), [len(part)]),
-                        pa.array([sizes.astype("<i4").tobytes()]),
-                        pa.array([squeeze(place[coded.indices.to_numpy()])]),
-                        pa.array([in_buckets], pa.list_(pa.binary())),
-                    ],
-                    names=["chunk", "ids", "sizes", "places", "words"],
-                )
-                chunk += 1
+        for part in gathered(batches, CHUNK_CHARACTERS):
+            text = part.column(1)
+            if lower and not pc.any(pc.match_substring(text, "<|")).as_py():
+                text = pc.ascii_lower(text)
+            split = pc.ascii_split_whitespace(text)
+            sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+            coded = split.flatten().dictionary_encode()
+            words = [w.encode() or b"\n" for w in coded.dictionary.to_pylist()]  # an empty one as white space, which has no ids
+            bucket = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % buckets
+            places = coded.indices.to_numpy()
+            order = np.lexsort((-np.bincount(places, minlength=len(words)), bucket))
+            in_bucket = np.bincount(bucket, minlength=buckets)
+            place = np.empty(len(order), dtype=np.int64)
+            place[order[by_rank(in_bucket)]] = np.arange(len(order))
+            ends = np.cumsum(in_bucket).tolist()
+            order = order.tolist()
+            pack = zstandard.ZstdCompressor(level=3).compress
+            in_buckets = [pack(b" ".join([words[i] for i in order[a:b]])) if b > a else b"" for a, b in zip([0, *ends], ends, strict=False)]
+            del words, order
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk]),
+                    lists(part.column(0), [len(part)]),
+                    pa.array([sizes.astype("<i4").tobytes()]),
+                    pa.array([squeeze(place[places])]),
+                    pa.array([in_buckets], pa.list_(pa.binary())),
+                ],
+                names=["chunk", "ids", "sizes", "places", "words"],
+            )
+            chunk += 1
 
     return docs.mapInArrow(run, f"chunk bigint, ids array<{kind}>, sizes binary, places binary, words array<binary>")
 
@@ -256,7 +282,9 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
                 counts = np.frombuffer(batch.column("sizes")[row].as_py(), "<i4").astype(np.int64)
                 places = unsqueeze(batch.column("places")[row].as_py()).astype(np.int64)
                 own = batch.column("table")[row].as_py() or []
-                sizes = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(p["sizes"]).astype(np.int64) for p in own)])
+                parts = [unsqueeze(p["sizes"]).astype(np.int64) for p in own]
+                sizes = np.concatenate([np.zeros(0, np.int64), *parts])
+                places = by_rank(np.array([len(p) for p in parts], dtype=np.int64))[places]
                 tokens = lists(pa.array(np.concatenate([np.zeros(0, "<u4"), *(unsqueeze(p["tokens"]) for p in own)])), sizes)
                 del own
                 ends = np.cumsum(counts)
