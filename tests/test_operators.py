@@ -213,6 +213,13 @@ def test_character_grams(spark):
     assert got[4] == ["\u00e9\U0001f600xy", "\U0001f600xyz"]
 
 
+def test_character_grams_are_counted(spark):
+    texts = ["abcabcd", "abc", "", None, "\u00e9\U0001f600xyz", "aaaaaaa"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(Y.count_grams(F.col("t"), 4).alias("n"), F.size(Y.grams(F.col("t"), 4)).alias("g"), "t").collect()
+    assert [r["n"] for r in rows] == [4, 0, 0, None, 2, 1]
+    assert all(r["n"] == r["g"] for r in rows if r["t"] is not None)
+
+
 def test_running_sums_in_groups(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randrange(9)) for i in range(400)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +30,16 @@ def grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(F.filter(every, lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>"))
 
 
+def count_grams(text: Column, n: int) -> Column:
+    """The number of distinct n-grams of characters, as grams() lists them; null for a null text."""
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        found = [None if t is None else len({t[i : i + n] for i in range(len(t) - n + 1)}) for t in texts]
+        return pd.Series(found, dtype="Int64")
+
+    return count(text)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product; vectors of different lengths are an error."""
     product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

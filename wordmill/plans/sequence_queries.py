@@ -62,7 +62,7 @@ def y6_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("y7_character_grams", "WITH k AS (SELECT doc_id, string_split(text, '') AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS c, generate_subscripts(t, 1) AS i FROM k), g AS (SELECT doc_id, c || lead(c) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w AS g FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, count(DISTINCT g) AS n FROM g GROUP BY 1 HAVING count(g) > 0")
 def y7_character_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).where(F.length("text") >= 4)
-    return rows.select("doc_id", F.size(Y.grams(F.col("text"), 4)).cast("bigint").alias("n"))
+    return rows.select("doc_id", Y.count_grams(F.col("text"), 4).alias("n"))
 
 
 @query("y8_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
