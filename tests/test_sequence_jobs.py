@@ -263,3 +263,26 @@ def test_eligibility_cascade(spark):
     rows = [(k, t, i) for k, (t, i, _) in enumerate(cases)]
     got = spark.createDataFrame(rows, "k int, t string, ids array<int>").select("k", R.eligibility(F.col("t"), F.col("ids"), 2).alias("reason")).orderBy("k").collect()
     assert [r["reason"] for r in got] == [want for _, _, want in cases]
+
+
+def test_word_distances(spark):
+    rng = random.Random(7)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for most in (3, 20, 150):
+        for _ in range(60):
+            a, b = (rng.choices("abcd", k=rng.randrange(most)) for _ in "ab")
+            assert D.word_distance(a, b) == plain(a, b)
+    # a blank that is no white space of regular expressions joins words, however many words a pair has
+    rows = [("a\u00a0b", "a b"), ("a\tb ", " a b"), ("", "x y"), (None, "x"), ("x", None), (" ".join(map(str, range(7000))), " ".join(map(str, range(1, 7001))))]
+    got = [r["w"] for r in spark.createDataFrame(rows, "a string, b string").select(D.wer(F.col("a"), F.col("b")).alias("w")).collect()]
+    assert got == [2.0, 0.0, 2.0, None, None, 2 / 7000]
+    assert [r["l"] for r in spark.createDataFrame(rows[:1], "a string, b string").select(D._long_wer("a", "b").alias("l")).collect()] == [2.0]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Collection, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import islice
 from operator import or_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -17,8 +20,8 @@ from pyspark.sql.types import DoubleType, StructType
 from ..functions.tables import text_parts
 from .windows import fixed
 
-#: Distinct words of a pair that fit into private-use characters.
-MOST_WORDS = 6400
+#: Cells of tables of distances, and bytes of text, that a step of a Python task takes at once.
+CELLS_AT_ONCE, TEXT_AT_ONCE = 1 << 20, 1 << 20
 
 
 def cer(a: Column, b: Column) -> Column:
@@ -26,35 +29,48 @@ def cer(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.lit(1))
 
 
+def word_distance(p: Sequence[str], q: Sequence[str]) -> int:
+    """Edit distance of two lists of words, one column of the table at a time as the bits of two numbers."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not p:
+        return len(q)
+    places: dict[str, int] = {}
+    for i, word in enumerate(p):
+        places[word] = places.get(word, 0) | 1 << i
+    full, last = (1 << len(p)) - 1, 1 << len(p) - 1
+    up, down, distance = full, 0, len(p)
+    for word in q:
+        same = places.get(word, 0)
+        free = ((same & up) + up ^ up) | same | down
+        right, left = down | ~(free | up) & full, up & free
+        if right & last:
+            distance += 1
+        elif left & last:
+            distance -= 1
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | ~(free | right) & full, right & free
+    return distance
+
+
+#: Fixed value: a word, between what regular expressions take for white space.
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
 @F.pandas_udf(DoubleType())
 def _long_wer(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
             return None
-        p, q = x.split(), y.split()
-        row = np.arange(len(q) + 1)
-        for i, w in enumerate(p, 1):
-            new = np.minimum(row[1:] + 1, row[:-1] + np.array([w != v for v in q], dtype=int)) if q else row[1:]
-            row = np.minimum.accumulate(np.concatenate([[i], new]) - np.arange(len(q) + 1)) + np.arange(len(q) + 1)
-        return float(row[-1]) / max(len(p), 1)
+        p, q = WORD.findall(x), WORD.findall(y)
+        return word_distance(p, q) / max(len(p), 1)
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def wer(a: Column, b: Column) -> Column:
-    """Edit distance of two texts' words over the first one's number of words.
-
-    Each distinct word of the pair becomes one private-use character, so the built-in distance does;
-    pairs with more distinct words than there are such characters go through pandas.
-    """
-    left, right = (F.filter(F.split(c, r"\s+"), lambda x: x != "") for c in (a, b))
-    both = F.array_distinct(F.concat(left, right))
-
-    def written(words: Column) -> Column:
-        signs = F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex((F.lit(57_343) + F.array_position(both, w)).cast("bigint")), 4, "0")), "UTF-16BE"))
-        return F.array_join(signs, "")
-
-    return F.when(F.size(both) <= MOST_WORDS, F.levenshtein(written(left), written(right)) / F.greatest(F.size(left), F.lit(1))).otherwise(_long_wer(a, b))
+    """Edit distance of two texts' words over the first one's number of words."""
+    return _long_wer(a, b)
 
 
 def frame_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
