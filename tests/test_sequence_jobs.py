@@ -286,3 +286,20 @@ def test_word_distances(spark):
     got = [r["w"] for r in spark.createDataFrame(rows, "a string, b string").select(D.wer(F.col("a"), F.col("b")).alias("w")).collect()]
     assert got == [2.0, 0.0, 2.0, None, None, 2 / 7000]
     assert [r["l"] for r in spark.createDataFrame(rows[:1], "a string, b string").select(D._long_wer("a", "b").alias("l")).collect()] == [2.0]
+
+
+def test_tables_are_warped_together(spark):
+    rng = np.random.default_rng(2)
+    apart = rng.integers(0, 5, (6, 9, 7)).astype(float)
+    for band in (None, 2):
+        cost, steps = D.warped(apart, band)
+        for k in range(7):
+            one, counts = D.warped(apart[:, :, k], band)
+            assert np.array_equal(cost[:, :, k], one) and np.array_equal(steps[:, :, k], counts)
+    pairs = [(i, rng.integers(0, 9, 3 + i % 4).astype(float).tolist(), rng.integers(0, 9, 2 + i % 3).astype(float).tolist()) for i in range(60)] + [(60, [], []), (61, [1.0], [])]
+    df = spark.createDataFrame(pairs, "pair bigint, x array<double>, y array<double>")
+    for metric in ("l1", "l2"):
+        got = {r["pair"]: r for r in D.dtw_costs(df, None, 1000, metric, True).collect()}
+        for pair, x, y in pairs:
+            cost, steps = D.warped(np.abs(np.array(x)[:, None] - np.array(y)[None, :]), None)
+            assert (got[pair]["cost"], got[pair]["steps"]) == (cost[-1, -1], steps[-1, -1]) and len(got[pair]["path"]) == steps[-1, -1]

@@ -84,10 +84,13 @@ def frame_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def warped(apart: np.ndarray, band: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(cost, steps) of the best paths to every cell of a table of distances, one diagonal of it at a time; of equal costs the fewest steps."""
-    n, m = apart.shape
-    cost = np.full((n + 1, m + 1), np.inf)
-    steps = np.zeros((n + 1, m + 1), dtype=np.int64)
+    """(cost, steps) of the best paths to every cell of a table of distances, one diagonal of it at a time; of equal costs the fewest steps.
+
+    Further axes of apart are tables of their own, which are walked together.
+    """
+    n, m, *tables = apart.shape
+    cost = np.full((n + 1, m + 1, *tables), np.inf)
+    steps = np.zeros((n + 1, m + 1, *tables), dtype=np.int64)
     cost[0, 0] = 0
     for diagonal in range(2, n + m + 1):
         i = np.arange(max(1, diagonal - m), min(n, diagonal - 1) + 1)
@@ -107,7 +110,8 @@ def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int, metric: str =
 
     The metric is l1, l2 or cosine; band is how far a path may leave the diagonal, None for anywhere.
     With with_path, path holds the steps (i, j) from the start. Pairs of more than most_cells cells get
-    nulls before any Python runs; the others are dealt by their cells so that tasks have like work.
+    nulls before any Python runs; the others are dealt by their cells so that tasks have like work. Pairs of the
+    same lengths are warped together, CELLS_AT_ONCE at a time.
     """
     if metric not in ("l1", "l2", "cosine"):
         raise ValueError(f"no such metric: {metric}")
@@ -116,22 +120,36 @@ def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int, metric: str =
     def frames(values: np.ndarray) -> np.ndarray:
         return np.array([np.atleast_1d(v) for v in values], float).reshape(len(values), -1)
 
+    def tables(xs: Sequence[np.ndarray], ys: Sequence[np.ndarray]) -> np.ndarray:
+        n, m = len(xs[0]), len(ys[0])
+        if not n or not m:
+            return np.zeros((n, m, len(xs)))
+        if metric == "cosine" or any(np.ndim(v[0]) for v in (*xs, *ys)):
+            return np.stack([frame_distances(frames(x), frames(y), metric) for x, y in zip(xs, ys, strict=True)], axis=2)
+        apart = np.abs(np.array(xs, float).T[:, None] - np.array(ys, float).T[None, :])
+        return apart if metric == "l1" else np.sqrt(apart * apart)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for pair, x, y in zip(batch["pair"], batch["x"], batch["y"], strict=True):
-                n, m = len(x), len(y)
-                apart = frame_distances(frames(x), frames(y), metric) if n and m else np.zeros((n, m))
-                cost, steps = warped(apart, band)
-                row = [pair, float(cost[-1, -1]), int(steps[-1, -1])]
-                if with_path:
-                    i, j, path = n, m, []
-                    while i and j and np.isfinite(cost[i, j]):
-                        path.append({"i": i - 1, "j": j - 1})
-                        _, _, i, j = min((cost[p, q], steps[p, q], p, q) for p, q in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
-                    row.append(path[::-1])
-                out.append(row)
-            yield pd.DataFrame(out, columns=["pair", "cost", "steps", "path"][: 3 + with_path])
+            ids, xs, ys = batch["pair"].tolist(), batch["x"].tolist(), batch["y"].tolist()
+            alike: dict[tuple[int, int], list[int]] = {}
+            for row, (x, y) in enumerate(zip(xs, ys, strict=True)):
+                alike.setdefault((len(x), len(y)), []).append(row)
+            for (n, m), rows in alike.items():
+                most = max(1, CELLS_AT_ONCE // max(1, n * m))
+                for part in (rows[at : at + most] for at in range(0, len(rows), most)):
+                    cost, steps = warped(tables([xs[r] for r in part], [ys[r] for r in part]), band)
+                    out = pd.DataFrame({"pair": [ids[r] for r in part], "cost": cost[-1, -1], "steps": steps[-1, -1]})
+                    if with_path:
+                        out["path"] = [walked(cost[:, :, k], steps[:, :, k]) for k in range(len(part))]
+                    yield out
+
+    def walked(cost: np.ndarray, steps: np.ndarray) -> list[dict[str, int]]:
+        i, j, path = cost.shape[0] - 1, cost.shape[1] - 1, []
+        while i and j and np.isfinite(cost[i, j]):
+            path.append({"i": i - 1, "j": j - 1})
+            _, _, i, j = min((cost[p, q], steps[p, q], p, q) for p, q in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
+        return path[::-1]
 
     fit = cells.where(F.col("cells") <= most_cells).repartitionByRange("cells", "pair").select("pair", "x", "y")
     kinds = f"pair {pairs.schema['pair'].dataType.simpleString()}, cost double, steps bigint" + ", path array<struct<i: int, j: int>>" * with_path
