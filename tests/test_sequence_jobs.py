@@ -303,3 +303,17 @@ def test_tables_are_warped_together(spark):
         for pair, x, y in pairs:
             cost, steps = D.warped(np.abs(np.array(x)[:, None] - np.array(y)[None, :]), None)
             assert (got[pair]["cost"], got[pair]["steps"]) == (cost[-1, -1], steps[-1, -1]) and len(got[pair]["path"]) == steps[-1, -1]
+
+
+def test_texts_are_cut_in_bounded_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "TEXT_AT_ONCE", 100)
+    texts = [None, "", "x" * 250, *("y" * 30 for _ in range(10)), None]
+    batch = pa.record_batch({"k": list(range(len(texts))), "t": pa.array(texts)})
+    slices = list(D._bounded(batch, "t"))
+    assert [k for piece in slices for k in piece.column("k").to_pylist()] == list(range(len(texts)))
+    assert all(len(piece) == 1 or sum(len(t or "") for t in piece.column("t").to_pylist()) <= 100 for piece in slices)
+    got = D.chunks(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", 4)
+    assert got.dtypes == [("id", "int"), ("chunk", "int"), ("n_chunks", "int"), ("n_words", "int"), ("hard", "boolean"), ("part", "string")]
+    assert sorted((r["id"], r["part"]) for r in got.collect()) == [(i, t) for i, t in enumerate(texts) if t]

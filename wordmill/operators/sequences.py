@@ -175,23 +175,41 @@ def lookup(words: DataFrame, lexicon: DataFrame, supplement: DataFrame) -> DataF
     return joined.select("word", F.coalesce("r", "br", "sr", spelled).alias("reading"), origin.alias("origin"))
 
 
+def _bounded(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most TEXT_AT_ONCE bytes of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_AT_ONCE, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def chunks(texts: DataFrame, key: str, text: str, budget: int) -> DataFrame:
     """(key, chunk, n_chunks, n_words, hard, part): texts cut to at most `budget` words each.
 
     Cuts fall after sentence ends, else after clause marks, else between words (hard). Short
-    neighbours merge as long as they fit. Joined by spaces the parts give the text's words again.
+    neighbours merge as long as they fit. Joined by spaces the parts give the text's words again. A task
+    cuts TEXT_AT_ONCE bytes of text at a time, so what it holds doesn't grow with its rows.
     """
     kind = texts.schema[key].dataType.simpleString()
+    ddl = StructType.fromDDL(f"k {kind}, chunk int, n_chunks int, n_words int, hard boolean, part string")
+    schema = to_arrow_schema(ddl)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, t in zip(batch["k"], batch["t"], strict=True):
-                parts = list(text_parts((t or "").split(), budget))
-                out += [(k, i, len(parts), len(p), hard, " ".join(p)) for i, (p, hard) in enumerate(parts)]
-            yield pd.DataFrame(out, columns=["k", "chunk", "n_chunks", "n_words", "hard", "part"])
-
-    found = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, chunk int, n_chunks int, n_words int, hard boolean, part string")
+            for piece in _bounded(batch, "t"):
+                rows, out = [], ([], [], [], [], [])
+                for row, text in enumerate(piece.column("t")):
+                    parts = list(text_parts((text.as_py() or "").split(), budget))
+                    for number, (words, hard) in enumerate(parts):
+                        rows.append(row)
+                        for column, value in zip(out, (number, len(parts), len(words), hard, " ".join(words)), strict=True):
+                            column.append(value)
+                keys = piece.column("k").take(pa.array(rows, pa.int64())).cast(schema.types[0])
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(out, schema.types[1:], strict=True))], schema=schema)
+
+    found = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, ddl)
     return found.withColumnRenamed("k", key)
 
 
