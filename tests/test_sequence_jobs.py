@@ -317,3 +317,15 @@ def test_texts_are_cut_in_bounded_slices(spark, monkeypatch):
     got = D.chunks(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", 4)
     assert got.dtypes == [("id", "int"), ("chunk", "int"), ("n_chunks", "int"), ("n_words", "int"), ("hard", "boolean"), ("part", "string")]
     assert sorted((r["id"], r["part"]) for r in got.collect()) == [(i, t) for i, t in enumerate(texts) if t]
+
+
+def test_intervals_of_many_utterances(spark):
+    words = spark.createDataFrame([(u, i, t, [t]) for u in ("u", "v", None, "w") for i, t in enumerate("ab")], "utt string, pos int, token string, phones array<string>")
+    rows = [("u", 1, "b", 1.0, 3.0), ("u", 0, "a", 0.0, 1.0), (None, 0, "a", 0.0, 4.0), (None, 1, "b", None, 5.0), ("x", 0, "a", 0.0, 1.0)]
+    spoken = spark.createDataFrame(rows, "utt string, pos int, label string, start double, end double")
+    out = D.assign_intervals(words, spoken, (), ("a",), 2.0)
+    assert out.dtypes == [("utt", "string"), ("pos", "bigint"), ("token", "string"), ("frames", "double")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan  # no pandas frame for each utterance
+    got = {(r["utt"], r["pos"]): r["frames"] for r in out.collect()}
+    assert {k: v for k, v in got.items() if v is not None and v == v} == {("u", 0): 2.0, ("u", 1): 4.0, (None, 0): 8.0} and len(got) == 8

@@ -378,6 +378,17 @@ class _Aligned:
         return (total, at) if total > 0 else (None, first)
 
 
+#: Utterances that a step of a Python task walks at once, and what it has of each.
+UTTERANCES_AT_ONCE, COLLECTED = 200, ("pos", "token", "phones", "label", "frames")
+
+
+def _as_lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column, empty for nulls; values are converted all at once."""
+    values = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return (values[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+
 def assign_intervals(
     tokens: DataFrame, intervals: DataFrame, onsets: Collection[str], nuclei: Collection[str], rate: float, ahead: int = 6, codas: Collection[str] = (), same: Mapping[str, Collection[str]] | None = None
 ) -> DataFrame:
@@ -390,17 +401,32 @@ def assign_intervals(
     next; if that is nothing, it passes the nucleus that stood in its way. The group of a task is one utterance.
     """
     kind, alike = tokens.schema["utt"].dataType.simpleString(), dict(same or {})
+    ddl = StructType.fromDDL(f"utt {kind}, pos bigint, token string, frames double")
+    schema = to_arrow_schema(ddl)
 
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("pos"), right.sort_values("pos")
-        spoken = _Aligned(right["label"].tolist(), ((right["end"] - right["start"]) * rate).tolist(), nuclei, alike, ahead)
-        at, out = 0, []
-        for utt, pos, token, phones in zip(left["utt"], left["pos"], left["token"], left["phones"], strict=True):
-            frames, at = spoken.take(at, list(phones), onsets, codas) if len(phones) else (None, at)
-            out.append((utt, pos, token, frames))
-        return pd.DataFrame(out, columns=["utt", "pos", "token", "frames"]).astype({"frames": "float64"})
-
-    return tokens.groupBy("utt").cogroup(intervals.groupBy("utt")).applyInPandas(walk, f"utt {kind}, pos bigint, token string, frames double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (batch.slice(at, UTTERANCES_AT_ONCE) for at in range(0, len(batch), UTTERANCES_AT_ONCE)):
+                count = pc.list_value_length(piece.column("token")).to_numpy()
+                phones = _as_lists(piece.column("phones").flatten())
+                out = []
+                for n, labels, lengths in zip(count.tolist(), _as_lists(piece.column("label")), _as_lists(piece.column("frames")), strict=True):
+                    spoken, at = _Aligned(labels, lengths, nuclei, alike, ahead), 0
+                    for own in islice(phones, n):
+                        frames, at = spoken.take(at, own, onsets, codas) if own else (None, at)
+                        out.append(frames)
+                utts = piece.column("utt").take(pa.array(np.repeat(np.arange(len(piece)), count))).cast(schema.types[0])
+                yield pa.RecordBatch.from_arrays([utts, piece.column("pos").flatten(), piece.column("token").flatten(), pa.array(out, pa.float64())], schema=schema)
+
+    # both sides meet in one aggregation, where null utterances are one, too; nulls of pos come last
+    word = F.struct(F.col("pos").isNull(), F.col("pos").cast("bigint").alias("pos"), "token", "phones")
+    length = F.coalesce(((F.col("end") - F.col("start")) * rate).cast("double"), F.lit(float("nan")))
+    sound = F.struct(F.col("pos").isNull(), F.col("pos").alias("pos"), "label", length.alias("frames"))
+    left = tokens.select("utt", word.alias("word"))
+    both = left.unionByName(intervals.select("utt", sound.alias("sound")), allowMissingColumns=True)
+    met = both.groupBy("utt").agg(*(F.sort_array(F.collect_list(c)).alias(c) for c in ("word", "sound"))).where(F.size("word") > 0)
+    parts = [F.transform("word" if name in ("pos", "token", "phones") else "sound", lambda x: x[name]).alias(name) for name in COLLECTED]
+    return met.select("utt", *parts).mapInArrow(run, ddl)
 
 
 Scorer = Callable[[np.ndarray], Mapping[str, np.ndarray]]
