@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -150,6 +152,44 @@ def test_running_sum_and_dense_ids(spark):
 def test_intervals_to_tokens(spark):
     tokens = [("u", 0, "pa", ["p", "a"]), ("u", 1, "wei", ["w", "ei"]), ("u", 2, "ma", ["m", "a"]), ("u", 3, "no", ["n", "o"])]
     labels = [("p", 0.0, 0.1), ("a", 0.1, 0.3), ("ei", 0.3, 0.4), ("x", 0.4, 0.5), ("m", 0.5, 0.6), ("a", 0.6, 0.9)]
+def test_draws_sort_only_what_can_be_drawn(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(3) or None, rng.randrange(0, 20)) for i in range(4000)] + [(4000, "a", 1, None)]
+    df = spark.createDataFrame(rows, "id bigint, g string, p int, v bigint")
+    sorted_rows, plain = [], W.running_in_groups
+
+    def counted(part, groups, order, value, into):
+        if "h_" in order:
+            sorted_rows.append(part.count())
+        return plain(part, groups, order, value, into)
+
+    monkeypatch.setattr(W, "running_in_groups", counted)
+    digest = {i: hashlib.sha256(f"s:{i}".encode()).hexdigest() for i, *_ in rows}
+    for low in (0, -1):
+        sample = [(i, g, v) for i, g, _, v in rows if v is not None] + ([(5000, "b", -3)] if low else [])
+        digest[5000] = hashlib.sha256(b"s:5000").hexdigest()
+        totals, runs, placed = {g: sum(v for _, x, v in sample if x == g) for g in ("a", "b", None)}, Counter(), []
+        for i, g, v in sorted(sample, key=lambda r: digest[r[0]]):
+            runs[g] += v
+            placed.append((int((2 * runs[g] - v) * 1_000_000_000 / (2 * totals[g])), digest[i], i, v))
+        for target in (400, 10**9):
+            want, run = set(), 0
+            for *_, i, v in sorted(placed):
+                run += v
+                if run - v < target:
+                    want.add(i)
+            got = W.stratified_quota(spark.createDataFrame(sample, "id bigint, g string, v bigint").union(df.where("v is null").select("id", "g", "v")), ["g"], ["id"], "v", target, "s").collect()
+            assert len(got) == len(want) and {r["id"] for r in got} == want
+            assert target > 400 or low or sorted_rows[-1] < 200
+    quotas = spark.createDataFrame([("a", 30), ("b", 5000), ("c", 3)], "g string, quota bigint")
+    got = {r["id"] for r in W.prioritized_sample(df, quotas, ["g"], "p", ["id"], "s").collect()}
+    order = sorted(rows, key=lambda r: (-1 if r[2] is None else r[2], digest[r[0]]))
+    assert got == {r[0] for r in [r for r in order if r[1] == "a"][:30]} | {r[0] for r in rows if r[1] == "b"}
+    assert sorted_rows[-1] < 1000
+    huge = spark.createDataFrame([(1, "a", 6_000_000_000), (2, "a", 7_000_000_000), (3, "b", 1)], "id bigint, g string, v bigint")
+    assert W.stratified_quota(huge, ["g"], ["id"], "v", 10**11, "s").count() == 3
+
+
     spoken = spark.createDataFrame([("u", i, *x) for i, x in enumerate(labels)], "utt string, pos bigint, label string, start double, end double")
     df = spark.createDataFrame(tokens, "utt string, pos bigint, token string, phones array<string>")
     rows = {r["token"]: r["frames"] for r in D.assign_intervals(df, spoken, frozenset({"w"}), frozenset({"a", "ei", "o"}), 10.0).collect()}

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table of groups that is broadcast, at most.
 FEW_GROUPS = 10_000
+#: Fixed value: digits of a hash that part a group into buckets.
+BUCKET_DIGITS = 3
 
 
 def hash_order(*parts: Column, seed: str = "0") -> Column:
@@ -127,14 +129,43 @@ def exact_percentiles(rows: DataFrame, groups: Sequence[str], value: str, points
     return found.select(*groups, "n", *((F.col(f"{name}_low") + share[name] * (F.col(f"{name}_high") - F.col(f"{name}_low"))).alias(name) for name in points))
 
 
+def _in_buckets(rows: DataFrame, groups: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """(groups, order, bucket_, sum_, upto_, total_): sums of a value over the buckets of h_ in each group, by order and then by bucket.
+
+    A bucket is the first BUCKET_DIGITS digits of the hash h_, so the table has some thousands of rows for each group and each
+    value of order, or one for each row of the input if that is less. upto_ runs up to the end of the bucket.
+    """
+    sums = rows.groupBy(*groups, *order, F.substring("h_", 1, BUCKET_DIGITS).alias("bucket_")).agg(F.sum(value).cast("bigint").alias("sum_"))
+    return fixed(running_in_groups(sums, groups, [*order, "bucket_"], "sum_", "upto_"))
+
+
+def _up_to(rows: DataFrame, last: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows in buckets up to the last of their group; last: (groups, last_: struct of order and bucket_, more ...), one row for each group that may have some."""
+    last = last.select(*(F.col(g).alias(f"{g}_of_") for g in groups), *(c for c in last.columns if c not in groups))
+    last = F.broadcast(last) if last.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else last
+    own = F.struct(*order, F.substring("h_", 1, BUCKET_DIGITS).alias("bucket_"))
+    met = rows.join(last, [F.col(g).eqNullSafe(F.col(f"{g}_of_")) for g in groups])
+    return fixed(met.where(own <= F.col("last_")).drop("last_", *(f"{g}_of_" for g in groups)))  # so that no hash is taken again
+
+
 def stratified_quota(rows: DataFrame, strata: Sequence[str], key: Sequence[str], value: str, target: int, seed: str) -> DataFrame:
     """rows of a proportional draw: in each stratum by hash, all strata in step, until the target is passed by one row at most.
 
-    A row's position is the middle of its value within its stratum's total. value is an integer.
+    A row's position is the middle of its value within its stratum's total. value is an integer. Sums over buckets of the
+    hash bound the position that the target is reached at, so that only rows of buckets that begin before it are sorted; values
+    below zero bound nothing, and all rows are sorted.
     """
-    keyed = rows.withColumn("h_", hash_order(*(F.col(k) for k in key), seed=seed))
-    run = running_in_groups(keyed, strata, ["h_", *key], value, "in_")
-    placed = run.withColumn("at_", ((2 * F.col("in_") - F.col(value)) * 1_000_000_000 / (2 * F.col("total_"))).cast("bigint")).drop("in_", "total_")
+    keyed = rows.where(F.col(value).isNotNull()).withColumn("h_", hash_order(*(F.col(k) for k in key), seed=seed))
+    buckets = _in_buckets(keyed, strata, [], value)
+    share = F.coalesce(F.try_divide(F.lit(1_000_000_000), F.col("total_")), F.lit(0.0))  # a stratum without any value is at the start
+    ends = buckets.withColumns({"low_": F.floor((F.col("upto_") - F.col("sum_")) * share) - 1, "high_": F.ceil(F.col("upto_") * share) + 1})  # one more for rounding
+    reached = global_running_sum(ends, ["high_", *strata, "bucket_"], "sum_", "all_").where(F.col("all_") >= target).agg(F.min("high_").alias("m")).first()["m"]
+    plain = keyed.where(F.col(value) < 0).limit(1).count() == 0
+    begun = ends if reached is None or not plain else ends.where(F.col("low_") <= reached)
+    last = begun.groupBy(*strata).agg(F.max(F.struct("bucket_")).alias("last_"), F.max("total_").alias("whole_"))
+    run = running_in_groups(_up_to(keyed, last, strata, []), strata, ["h_", *key], value, "in_")
+    middle = ((2 * F.col("in_") - F.col(value)).cast("decimal(20,0)") * 1_000_000_000).cast("double")
+    placed = run.withColumn("at_", (middle / (2 * F.col("whole_"))).cast("bigint")).drop("in_", "total_", "whole_")
     summed = global_running_sum(placed, ["at_", "h_", *key], value, "run_")
     return summed.where(F.col("run_") - F.col(value) < target).drop("h_", "at_", "run_")
 
