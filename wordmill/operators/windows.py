@@ -210,9 +210,15 @@ def largest_remainder(counts: DataFrame, group: Sequence[str], bucket: str, shar
 
 
 def prioritized_sample(rows: DataFrame, quotas: DataFrame, keys: Sequence[str], priority: str, key: Sequence[str], seed: str) -> DataFrame:
-    """The quota's number of rows of each group, by priority and then by hash."""
+    """The quota's number of rows of each group, by priority and then by hash.
+
+    Counts over buckets of the hash tell which buckets the quota ends in, so that only rows up to there are sorted.
+    """
     placed = rows.withColumn("h_", hash_order(*(F.col(k) for k in key), seed=seed)).withColumn("one_", F.lit(1))
-    ranked = running_in_groups(placed, keys, [priority, "h_", *key], "one_", "r_").drop("h_", "one_", "total_")
+    most = quotas.groupBy(*keys).agg(F.max("quota").alias("most_"))
+    begun = _in_buckets(placed, keys, [priority], "one_").join(most, list(keys)).where(F.col("upto_") - F.col("sum_") < F.col("most_"))
+    last = begun.groupBy(*keys).agg(F.max(F.struct(priority, "bucket_")).alias("last_"))
+    ranked = running_in_groups(_up_to(placed, last, keys, [priority]), keys, [priority, "h_", *key], "one_", "r_").drop("h_", "one_", "total_")
     return ranked.join(quotas, list(keys)).where(F.col("r_") <= F.col("quota")).drop("r_", "quota")
 
 
