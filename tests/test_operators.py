@@ -73,6 +73,20 @@ def test_near_matches(spark):
     assert {(r["lid"], r["rid"]) for r in J.near_matches(left, right).collect()} == {(1, 7), (1, 8)}
 
 
+def test_containment_of_every_place(spark, tmp_path):
+    from wordmill.plans.join_queries import j17_containment
+
+    rng = random.Random(8)
+    keys = ["".join(rng.choices("abcdefghij", k=n)) for n in (20, 21, 26, 40, 52, 53, 70, 104, 200)]
+    longer = [rng.choice("kl") * a + k + "m" * b for k in keys for a in range(0, 70, 3) for b in (0, 1, 11, 40)] + keys
+    spark.createDataFrame([(i, k + ".") for i, k in enumerate(keys)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(i, k + ".", "s") for i, k in enumerate(longer)], "doc_id bigint, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = j17_containment(spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {(x, k) for x in longer for k in keys if k in x and len(k) >= 0.65 * len(x)}
+    assert "long" in out._jdf.queryExecution().analyzed().toString()  # long keys have one probe
+
+
 def test_near_matches_are_all_pairs(spark):
     rng = random.Random(4)
     held = "theharbourmasterkeptalongledgerofeveryboat"
@@ -138,20 +152,6 @@ def test_quota_overshoots_by_one_row_at_most(spark):
     assert total >= 400 and total - max(r["v"] for r in got) < 400
 
 
-def test_running_sum_and_dense_ids(spark):
-    rows = [(i % 5, i) for i in range(100)]
-    got = W.global_running_sum(spark.createDataFrame(rows, "v bigint, i bigint"), ["i"], "v", "run").orderBy("i").collect()
-    total = 0
-    for r in got:
-        total += r["v"]
-        assert r["run"] == total
-    sparse = spark.createDataFrame([("a", 0), ("a", 5), ("b", 0), ("b", 1)], "g string, i bigint")
-    assert len({r["d"] for r in W.dense_ids(sparse, "g", "i", "d").collect()}) == 4
-
-
-def test_intervals_to_tokens(spark):
-    tokens = [("u", 0, "pa", ["p", "a"]), ("u", 1, "wei", ["w", "ei"]), ("u", 2, "ma", ["m", "a"]), ("u", 3, "no", ["n", "o"])]
-    labels = [("p", 0.0, 0.1), ("a", 0.1, 0.3), ("ei", 0.3, 0.4), ("x", 0.4, 0.5), ("m", 0.5, 0.6), ("a", 0.6, 0.9)]
 def test_draws_sort_only_what_can_be_drawn(spark, monkeypatch):
     rng = random.Random(11)
     rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(3) or None, rng.randrange(0, 20)) for i in range(4000)] + [(4000, "a", 1, None)]
@@ -190,6 +190,20 @@ def test_draws_sort_only_what_can_be_drawn(spark, monkeypatch):
     assert W.stratified_quota(huge, ["g"], ["id"], "v", 10**11, "s").count() == 3
 
 
+def test_running_sum_and_dense_ids(spark):
+    rows = [(i % 5, i) for i in range(100)]
+    got = W.global_running_sum(spark.createDataFrame(rows, "v bigint, i bigint"), ["i"], "v", "run").orderBy("i").collect()
+    total = 0
+    for r in got:
+        total += r["v"]
+        assert r["run"] == total
+    sparse = spark.createDataFrame([("a", 0), ("a", 5), ("b", 0), ("b", 1)], "g string, i bigint")
+    assert len({r["d"] for r in W.dense_ids(sparse, "g", "i", "d").collect()}) == 4
+
+
+def test_intervals_to_tokens(spark):
+    tokens = [("u", 0, "pa", ["p", "a"]), ("u", 1, "wei", ["w", "ei"]), ("u", 2, "ma", ["m", "a"]), ("u", 3, "no", ["n", "o"])]
+    labels = [("p", 0.0, 0.1), ("a", 0.1, 0.3), ("ei", 0.3, 0.4), ("x", 0.4, 0.5), ("m", 0.5, 0.6), ("a", 0.6, 0.9)]
     spoken = spark.createDataFrame([("u", i, *x) for i, x in enumerate(labels)], "utt string, pos bigint, label string, start double, end double")
     df = spark.createDataFrame(tokens, "utt string, pos bigint, token string, phones array<string>")
     rows = {r["token"]: r["frames"] for r in D.assign_intervals(df, spoken, frozenset({"w"}), frozenset({"a", "ei", "o"}), 10.0).collect()}

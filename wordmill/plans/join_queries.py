@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_key
@@ -225,12 +225,22 @@ def j17_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j17_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The containment arm alone: a benchmark key of 20 characters or more inside a sentence's key.
 
-    The contained key starts at one of the key's places, so its first 20 characters are an equi-join key.
+    The contained key has 0.65 of the length, so it starts within the first 0.35, where its first 20 characters are an
+    equi-join key, and holds what stands between 0.35 and 0.65: in keys of 80 characters and more these are more than 20, and 20 of them are
+    met with all stretches of 20 characters of the benchmark's keys, one row for each key.
     """
     left = keyed_sentences(spark, sf_dir).select(F.col("key").alias("lkey")).distinct().where(F.length("lkey") >= 20)
-    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("lkey") - 19), lambda i: F.substr("lkey", i, F.lit(20))))
-    right = held_keys(spark, sf_dir).where(F.length("key") >= 20).select(F.col("key").alias("rkey"), F.substring("key", 1, 20).alias("s"))
-    met = left.select("lkey", F.explode(cuts).alias("s")).join(right, "s")
+    size = F.length("lkey")
+
+    def cuts(key: str, last: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), last.cast("int")), lambda i: F.substr(key, i, F.lit(20)))
+
+    inner = F.array(F.substr("lkey", (F.ceil(0.35 * size) + 2).cast("int"), F.lit(20)))
+    probes = F.when(size >= 80, inner).otherwise(F.array_distinct(cuts("lkey", F.least(size - 19, F.floor(0.35 * size) + 2))))
+    keys = held_keys(spark, sf_dir).where(F.length("key") >= 20).select(F.col("key").alias("rkey"))
+    stretches = keys.select("rkey", F.explode(F.array_distinct(cuts("rkey", F.length("rkey") - 19))).alias("s"), F.lit(True).alias("long"))
+    right = stretches.unionByName(keys.select("rkey", F.substring("rkey", 1, 20).alias("s"), F.lit(False).alias("long")))
+    met = left.select("lkey", F.explode(probes).alias("s"), (size >= 80).alias("long")).join(right, ["s", "long"])
     return met.where(F.contains("lkey", "rkey") & (F.length("rkey") >= 0.65 * F.length("lkey"))).select("lkey", "rkey").distinct()
 
 
