@@ -329,3 +329,10 @@ def test_intervals_of_many_utterances(spark):
     assert "FlatMapCoGroups" not in plan  # no pandas frame for each utterance
     got = {(r["utt"], r["pos"]): r["frames"] for r in out.collect()}
     assert {k: v for k, v in got.items() if v is not None and v == v} == {("u", 0): 2.0, ("u", 1): 4.0, (None, 0): 8.0} and len(got) == 8
+
+
+def test_eligibility_makes_ids_once(spark):
+    assert str(R.eligibility(F.col("t"), F.col("token_ids"), 2)).count("token_ids") == 1
+    rows = [("x", None), ("Words that are said. ", list(range(3, 30))), ("Words that are said.", [2] * 20), ("Words that are said.", [3, None] * 10)]
+    got = [r["reason"] for r in spark.createDataFrame(rows, "t string, ids array<int>").select(R.eligibility(F.col("t"), F.col("ids"), 2).alias("reason")).collect()]
+    assert got == ["unfinished_punctuation", "en_length", "token_length_or_unknown", "token_length_or_unknown"]

@@ -89,13 +89,14 @@ def eligibility(text: Column, ids: Column, unknown: int) -> Column:
     t = F.trim(F.coalesce(text, F.lit("")))
     chinese, english = han(t), words(t)
     letters = F.length(F.array_join(F.regexp_extract_all(t, F.lit("[A-Za-z]+"), F.lit(0)), ""))
-    n = F.coalesce(F.size(ids), F.lit(0))
+    # an array of one array, so that ids are made once
+    bad_ids = F.get(F.transform(F.array(ids), lambda x: ~F.coalesce(F.size(x), F.lit(0)).between(18, 340) | F.coalesce(F.array_contains(x, unknown), F.lit(True))), F.lit(0))
     only_han, mixed = (chinese > 0) & (english == 0), (chinese > 0) & (english > 0)
     return first_issue(
         ((t == "") | t.rlike(r"[|\n]"), "format"),
         (t.rlike(r"https?://|www\.|@|[<>\[\]{}]"), "nonspoken_markup"),
         (~t.rlike("[。！？.!?][”\"’']?$"), "unfinished_punctuation"),
-        (~n.between(18, 340) | F.coalesce(F.array_contains(ids, unknown), F.lit(True)), "token_length_or_unknown"),
+        (bad_ids, "token_length_or_unknown"),
         (text_key(t).rlike(r"(.{4,12})\1\1"), "repetition"),
         (F.regexp_count(t, F.lit("[呃嗯]")) > 2, "disfluency"),
         (only_han & ~chinese.between(12, 95), "zh_length"),
