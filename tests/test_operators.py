@@ -112,6 +112,73 @@ def test_near_matches_are_all_pairs(spark):
     assert sum(i == 0 for i, _ in want) > 500 and any(left[i] == "abcdexghijkl" for i, _ in want)
 
 
+def test_common_lengths_of_many_pairs():
+    rng = random.Random(5)
+    letters = ("ab", "etaoinshr", "".join(map(chr, range(0x4E00, 0x4E00 + 3000))) + "\U0001f600")
+    sizes = (0, 1, 12, 63, 64, 65, 127, 128, 129, 300, 511, 512, 513, 700)
+    pairs = [tuple("".join(rng.choices(a, k=rng.choice(sizes))) for _ in range(2)) for a in letters for _ in range(60)]
+    pairs += [(x, x) for x, _ in pairs[::7]] + [(x[: len(x) // 2] + "z" + x[len(x) // 2 :], x) for x, _ in pairs[::5]]
+    assert J._common_lengths(pairs).tolist() == [J.common_length(x, y) for x, y in pairs]
+    assert J._common_lengths([]).tolist() == []
+
+
+def test_near_pairs_of_all_sizes_and_places():
+    rng = random.Random(6)
+    right = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (*range(12, 90), 130, 200, 300, 600) for _ in range(2)]
+    left = [x for x in right[::3]]
+    for x in right:  # up to a quarter of the characters put in, taken out or both
+        y = list(x)
+        for _ in range(rng.randrange(len(x) // 4 + 1)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choice(("", "e", "q"))
+        left.append("".join(y))
+        more = int(len(x) / 0.65) - len(x)  # whole keys within longer ones, and parts of keys, at every end
+        for before in (0, more // 2, more):
+            left.append("".join(rng.choices("etaoinq", k=before)) + x + "".join(rng.choices("etaoinq", k=more - before)))
+            left.append(x[min(before, int(len(x) * 0.35)) :][: -(-len(x) * 65 // 100)])
+    left = [x for x in left if len(x) >= 12]
+    right.sort(key=len)
+    for ratio in (88.0, 70.0):
+        want = set()
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                short, long = sorted((x, y), key=len)
+                holds = len(short) >= 20 and len(short) >= 0.65 * len(long) and short in long
+                if holds or (2.0 * len(short) / (len(x) + len(y)) * 100 >= ratio - 1 and 200.0 * J.common_length(x, y) / (len(x) + len(y)) >= ratio):
+                    want.add((i, j))
+        got = list(J._near_pairs(left, J.known(right), ratio))
+        assert len(got) == len(want) and set(got) == want and len(want) > 800
+
+
+def test_near_pairs_verify_few(monkeypatch):
+    """Long keys of few syllables have like counts of letters; those of three in a row tell them apart."""
+    rng = random.Random(7)
+    syllables = "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as".split()
+    keys = ["".join(rng.choices(syllables, k=70)) for _ in range(1000)]
+    judged, many = [], J._common_lengths
+    monkeypatch.setattr(J, "_common_lengths", lambda pairs: judged.extend(pairs) or many(pairs))
+    assert list(J._near_pairs(keys[500:], J.known(sorted(keys[:500], key=len)), 88.0)) == []
+    assert len(judged) < 500, len(judged)
+
+
+def test_near_matches_in_sets_and_with_short_keys(spark, monkeypatch):
+    monkeypatch.setattr(J, "CHARS_AT_ONCE", 120)
+    rng = random.Random(9)
+    right = ["".join(rng.choices("etaoinshr", k=30)) for _ in range(12)]
+    left = [*(x[:14] + "q" + x[15:] for x in right), "short", None, "", *(x + "ab" for x in right)]
+    a = spark.createDataFrame(list(enumerate(left)), "lid bigint, lkey string")
+    b = spark.createDataFrame([*enumerate(right), (98, None), (99, "short")], "rid bigint, rkey string")
+    got = [(r["lid"], r["rid"]) for r in J.near_matches(a, b).collect()]
+    assert sorted(got) == sorted([(i, i) for i in range(12)] + [(15 + i, i) for i in range(12)])
+
+
+def test_near_matches_make_keys_once(spark):
+    from wordmill.plans.join_queries import j17_near_matches
+
+    plan = j17_near_matches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # the keys' normalisation
+
+
 def test_interval_join_is_all_pairs(spark):
     rng = random.Random(2)
     spans = [(rng.randrange(3), s, s + rng.randrange(1, 50)) for s in (rng.randrange(200) for _ in range(60))]

@@ -33,7 +33,7 @@ def sentences(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataF
 
     A split after sentence ends is linear in the text's length; matching sentences would not be.
     """
-    parts = F.split(F.translate(F.col(text), "\n", " "), SENTENCE_END)
+    parts = F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), SENTENCE_END)
     found = F.filter(parts, lambda x: (F.length(x) > 1) & F.right(x, F.lit(1)).isin(".", "!", "?"))
     return docs.select(*keep, F.posexplode(found).alias("pos", "sentence")).withColumn("sentence", F.trim("sentence"))
 
