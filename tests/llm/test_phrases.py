@@ -7,8 +7,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
-from wordmill.llm import phrases
+from wordmill.llm import common, phrases
 
 
 def brute(rows, least, first):
@@ -70,3 +72,17 @@ def test_merge_join_keeps_to_pieces():
     places, items = np.array([0, 1, 2, 4, 5, 9]), np.arange(6).reshape(-1, 1)
     at, joined = phrases.merge_join(places, items)
     assert at.tolist() == [0, 1, 4] and joined.tolist() == [[0, 1], [1, 2], [3, 4]]
+
+
+def test_a_task_holds_few_records_of_a_relation(spark):
+    frame = spark.createDataFrame([("en", f"{k} new york " * 20_000) for k in range(24)], "lang string, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with common.bytes_at_once(spark, 1 << 20):
+        relation = common.written(phrases.occurrences(frame, 0, "text", "lang", 60_000), "test-relation", "zstd", 1 << 20)
+        sizes = relation.select("place", "items").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()
+    groups = [f.metadata.row_group(g) for path in relation.inputFiles() for f in [pq.ParquetFile(path.removeprefix("file://"))] for g in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == sum(r["n"] for r in sizes) == relation.count() == 24
+    assert max(g.total_byte_size for g in groups) < 2 << 20 and max(g.num_rows for g in groups) < 12
+    assert max(r["n"] for r in sizes) <= 3
+    assert spark.conf.get(name) == before

@@ -6,6 +6,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -36,11 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a table written in the shared folder and read again: what follows survives lost executors."""
+def written(df: DataFrame, name: str, compression: str = "snappy", group_bytes: int | None = None) -> DataFrame:
+    """df as a table written in the shared folder and read again: what follows survives lost executors.
+
+    group_bytes is for rows of some MB: the bytes after which a row group ends. Parquet else looks at the size
+    of a group after a hundred rows, and a task holds whole groups when it writes and when it reads.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    to = df.write.option("compression", compression)
+    if group_bytes:
+        to = to.options(**{"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1})
+    to.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +57,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
 
 
+@contextmanager
+def bytes_at_once(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches that go to Python workers end after `most` bytes, or one row, in what runs meanwhile."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fitted(sample: DataFrame, train: Callable[[pd.DataFrame], Any]) -> Any:
     """What train makes of all rows of a sample, which the caller keeps to a fixed bound.
 

@@ -1,7 +1,8 @@
 """Collocations by set-oriented mining (SETM): occurrence relations joined with themselves by place.
 
 R_k holds a row for every place where a frequent phrase of k words stands: its chunk, its place there and
-its k words, in the order of places. It is kept as Parquet, the rows of a chunk as columns of one record;
+its k words, in the order of places. It is kept as Parquet, the rows of a chunk as columns of one record, in
+row groups of RECORD_BYTES, so that what a task holds doesn't grow with the records that it reads or writes;
 a chunk is up to CHUNK_WORDS words of texts of one language, places count on through it, and one place is
 left out between pieces, so that no phrase crosses from one piece into the next.
 
@@ -29,12 +30,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
-from .common import written
+from .common import bytes_at_once, written
 
 LEAST = 30
 LONGEST = 4
 FIRST = 2000
 CHUNK_WORDS = 600_000
+#: Bytes of a relation that a task holds at once where it writes, reads or passes on records, or one record; a chunk of many words has 6 MB.
+RECORD_BYTES = 16 << 20
 #: Texts that are split at once.
 TEXTS_AT_ONCE = 500
 FILTER_BITS = 26
@@ -223,7 +226,7 @@ def semi_join(relation: DataFrame, k: int, single: Filter | None, frequent: Filt
 def _words(docs: DataFrame, text_col: str, lang_col: str, least: int, chunk_words: int) -> tuple[DataFrame, DataFrame]:
     """(R_1, (lang, word, h0, f) of all words), hashed so that no frequent word shares its hash."""
     for seed in range(8):
-        relation = written(occurrences(docs, seed, text_col, lang_col, chunk_words), "occurrences-1", "zstd")
+        relation = written(occurrences(docs, seed, text_col, lang_col, chunk_words), "occurrences-1", "zstd", RECORD_BYTES)
         one = relation.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
         words = one.groupBy("lang", F.col("w.words").alias("word"), F.col("w.hashes").alias("h0")).agg(F.sum("w.counts").alias("f"))
         words = written(words, "words", "zstd")
@@ -274,14 +277,15 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     texts have no words; a null language is `und`; repeated rows count as often as they are there; an empty table gives an
     empty result; long texts are read whole, over several chunks where need be. Other columns are not read.
     """
-    relation, words = _words(docs, text_col, lang_col, least, chunk_words)
-    table = {1: words.where(F.col("f") >= least).select("h0", "f")}
-    single: Filter | None = Filter(table[1], 1)
-    for k in range(2, LONGEST + 1):
-        table[k] = written(group_counts(relation, k, single, least), f"phrases-{k}")
-        if k < LONGEST:
-            relation = written(semi_join(relation, k, single, Filter(table[k], k)), f"occurrences-{k}", "zstd")
-        single = None
+    with bytes_at_once(docs.sparkSession, RECORD_BYTES):
+        relation, words = _words(docs, text_col, lang_col, least, chunk_words)
+        table = {1: words.where(F.col("f") >= least).select("h0", "f")}
+        single: Filter | None = Filter(table[1], 1)
+        for k in range(2, LONGEST + 1):
+            table[k] = written(group_counts(relation, k, single, least), f"phrases-{k}")
+            if k < LONGEST:
+                relation = written(semi_join(relation, k, single, Filter(table[k], k)), f"occurrences-{k}", "zstd", RECORD_BYTES)
+            single = None
 
     names = words.where(F.col("f") >= least).select(F.col("h0").alias("h"), "word", "lang")
     found = None
