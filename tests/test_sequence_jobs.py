@@ -13,6 +13,7 @@ from wordmill.functions import text as T
 from wordmill.operators import rules as R
 from wordmill.operators import sequences as D
 from wordmill.operators import windows as W
+from wordmill.plans import sequence_queries as Q
 
 NUCLEI = ("a", "o", "ei", "e", "er", "u", "ow")
 
@@ -305,6 +306,45 @@ def test_tables_are_warped_together(spark):
             assert (got[pair]["cost"], got[pair]["steps"]) == (cost[-1, -1], steps[-1, -1]) and len(got[pair]["path"]) == steps[-1, -1]
 
 
+@pytest.mark.parametrize("metric", ["l1", "l2", "cosine"])
+def test_long_pairs_are_warped_by_diagonals(metric, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(D, "CELLS_AT_ONCE", 25)
+    for n, m, band in ((1, 40, None), (40, 1, None), (23, 31, None), (31, 23, 3), (30, 30, 0), (12, 40, 1), (5, 90, 2), (90, 5, 2)):
+        x, y = (rng.integers(-2, 3, (k, 2)).astype(float) for k in (n, m))
+        cost, steps = D.warped(D.frame_distances(x, y, metric), band)
+        long = D.LongPair(x, y, band, metric)
+        got, path = long.warped(), long.path()
+        assert got[0] == pytest.approx(cost[-1, -1])
+        if metric != "cosine":  # there, sums of products are rounded otherwise
+            assert got == (cost[-1, -1], steps[-1, -1])
+        if np.isfinite(got[0]):
+            assert len(path) == got[1] and path[0] == {"i": 0, "j": 0} and path[-1] == {"i": n - 1, "j": m - 1}
+            assert all((b["i"] - a["i"], b["j"] - a["j"]) in {(1, 1), (1, 0), (0, 1)} for a, b in zip(path, path[1:], strict=False))
+            assert sum(D.frame_distances(x[[s["i"]]], y[[s["j"]]], metric)[0, 0] for s in path) == pytest.approx(got[0])
+
+
+def test_no_pair_is_left_out(spark):
+    rng = np.random.default_rng(9)
+    rows = [(0, [1.0, 2.0], [1.0, 2.0, 4.0]), (1, rng.integers(0, 9, 1100).astype(float).tolist(), rng.integers(0, 9, 1000).astype(float).tolist()), (2, None, [1.0]), (3, [0.0] * 101, [1.0] * 101), (4, [], [1.0])]
+    df = spark.createDataFrame(rows, "pair bigint, x array<double>, y array<double>")
+    for band in (None, 6):
+        got = {r["pair"]: r for r in D.dtw_costs(df, band, None, "l1", True).collect()}
+        cost, steps = D.warped(np.abs(np.array(rows[1][1])[:, None] - np.array(rows[1][2])[None, :]), band)
+        assert sorted(got) == [0, 1, 2, 3, 4]
+        assert (got[1]["cost"], got[1]["steps"], len(got[1]["path"])) == (cost[-1, -1], steps[-1, -1], steps[-1, -1])
+        assert got[3]["cost"] == 101 and got[0]["cost"] == 2 and got[2]["cost"] is None and got[4]["cost"] == float("inf")
+    part = {r["pair"]: r["cost"] for r in D.dtw_costs(df, None, 1_100_000).collect()}
+    assert part == {r["pair"]: r["cost"] for r in D.dtw_costs(df, None).collect()}
+
+
+def test_vectors_of_any_length_have_a_cost(spark, tmp_path):
+    rows = [(k, [float((k * i) % 7) for i in range(n)]) for k, n in enumerate([64, 64, 101, 120])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["pair"]: r["cost"] for r in Q.d4_dtw(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2] and None not in got.values()
+
+
 def test_texts_are_cut_in_bounded_slices(spark, monkeypatch):
     import pyarrow as pa
 

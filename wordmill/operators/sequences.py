@@ -105,17 +105,112 @@ def warped(apart: np.ndarray, band: int | None) -> tuple[np.ndarray, np.ndarray]
     return cost, steps
 
 
-def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int, metric: str = "l1", with_path: bool = False) -> DataFrame:
+#: The cells of a diagonal that a path can meet: the first one's i, costs, steps.
+Line = tuple[int, np.ndarray, np.ndarray]
+
+
+class LongPair:
+    """What warped() says of one pair of frames (n, k) and (m, k), without its tables.
+
+    Of the diagonals only the last two are held. The path is found from the end: a stretch of diagonals of more than
+    CELLS_AT_ONCE cells is halved, its second half is walked again from the two diagonals before it and traced first.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, band: int | None, metric: str) -> None:
+        self.x, self.y, self.metric, self.end = x, y, metric, len(x) + len(y)
+        n, m = len(x), len(y)
+        diagonals = np.arange(self.end + 1)
+        self.low, self.high = np.maximum(1, diagonals - m), np.minimum(n, diagonals - 1)
+        if band is not None:
+            i = np.arange(1, n + 1)
+            places = i + i * m // n
+            self.low = np.maximum(self.low, np.searchsorted(places, diagonals - band) + 1)
+            self.high = np.minimum(self.high, np.searchsorted(places, diagonals + band, side="right"))
+        self.cells = np.cumsum(np.maximum(0, self.high - self.low + 1))
+        if metric == "cosine":
+            self.sizes = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+        none = np.zeros(0)
+        self.start: tuple[Line, Line] = (0, np.zeros(1), np.zeros(1, dtype=np.int64)), (0, none, none.astype(np.int64))
+
+    def _apart(self, diagonal: int, low: int, high: int) -> np.ndarray:
+        own, other = slice(low - 1, high), slice(diagonal - high - 1, diagonal - low)
+        a, b = self.x[own], self.y[other][::-1]
+        if self.metric == "cosine":
+            sizes = self.sizes[0][own] * self.sizes[1][other][::-1]
+            return 1 - np.divide((a * b).sum(axis=1), sizes, out=np.zeros_like(sizes), where=sizes > 0)
+        d = np.abs(a - b)
+        return d.sum(axis=1) if self.metric == "l1" else np.sqrt((d * d).sum(axis=1))
+
+    @staticmethod
+    def _at(line: Line, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(costs, steps) from low to high, which no path meets outside the line."""
+        first, own, counts = line
+        cost, steps = np.full(high - low + 1, np.inf), np.zeros(high - low + 1, dtype=np.int64)
+        a, b = max(low, first), min(high + 1, first + len(own))
+        if a < b:
+            cost[a - low : b - low], steps[a - low : b - low] = own[a - first : b - first], counts[a - first : b - first]
+        return cost, steps
+
+    def lines(self, before: tuple[Line, Line], first: int, last: int) -> Iterator[Line]:
+        """The diagonals from first to last, from the two before them."""
+        two, one = before
+        for diagonal in range(first, last + 1):
+            low = int(self.low[diagonal])
+            high = max(low - 1, int(self.high[diagonal]))
+            met = [self._at(two, low - 1, high - 1), self._at(one, low - 1, high - 1), self._at(one, low, high)]
+            costs = np.stack([c for c, _ in met])
+            least = costs.min(axis=0)
+            counts = np.where(costs == least, np.stack([s for _, s in met]), self.end)
+            two, one = one, (low, least + self._apart(diagonal, low, high), counts.min(axis=0) + 1)
+            yield one
+
+    def _trace(self, before: tuple[Line, Line], first: int, last: int, i: int, j: int, path: list[dict[str, int]]) -> tuple[int, int]:
+        """Adds the cells of the path from (i, j) back to the diagonal first; the cell that comes before them."""
+        if last > first and self.cells[last] - self.cells[first - 1] > CELLS_AT_ONCE:
+            middle = (first + last) // 2
+            held = before
+            for line in self.lines(before, first, middle):
+                held = held[1], line
+            i, j = self._trace(held, middle + 1, last, i, j, path)
+            return self._trace(before, first, middle, i, j, path)
+        held = [*before, *self.lines(before, first, last)]
+
+        def at(p: int, q: int) -> tuple[float, int]:
+            low, costs, steps = held[p + q - first + 2]
+            return (costs[p - low], steps[p - low]) if low <= p < low + len(costs) else (np.inf, 0)
+
+        while i and j and i + j >= first:
+            path.append({"i": i - 1, "j": j - 1})
+            *_, i, j = min((*at(p, q), p, q) for p, q in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
+        return i, j
+
+    def warped(self) -> tuple[float, int]:
+        """(cost, steps) of the best path, of equal costs the fewest steps."""
+        for line in self.lines(self.start, 2, self.end):
+            pass
+        return float(line[1][-1]), int(line[2][-1])
+
+    def path(self) -> list[dict[str, int]]:
+        """The steps of a path of finite cost, from the start."""
+        path: list[dict[str, int]] = []
+        self._trace(self.start, 2, self.end, len(self.x), len(self.y), path)
+        return path[::-1]
+
+
+def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int | None = None, metric: str = "l1", with_path: bool = False) -> DataFrame:
     """(pair, cost, steps) of pairs (pair, x, y: arrays of numbers, or of equally long frames) by dynamic time warping.
 
-    The metric is l1, l2 or cosine; band is how far a path may leave the diagonal, None for anywhere.
-    With with_path, path holds the steps (i, j) from the start. Pairs of more than most_cells cells get
-    nulls before any Python runs; the others are dealt by their cells so that tasks have like work. Pairs of the
-    same lengths are warped together, CELLS_AT_ONCE at a time.
+    The metric is l1, l2 or cosine; band is how far a path may leave the diagonal, None for anywhere; the cost is infinite
+    where that leaves no path. With with_path, path holds the steps (i, j) from the start. Every pair is warped, whatever its size, unless the
+    caller sets most_cells: pairs of more cells then get nulls before any Python runs. Where x or y is null, so is the rest.
+    Pairs of up to CELLS_AT_ONCE cells are dealt by their cells so that tasks have like work, and those of the
+    same lengths are warped together, CELLS_AT_ONCE at a time. Longer ones are dealt one by one and walked by diagonals, of which
+    a task holds two (with_path: CELLS_AT_ONCE cells and two for each halving); a pair is the work of one task.
     """
     if metric not in ("l1", "l2", "cosine"):
         raise ValueError(f"no such metric: {metric}")
-    cells = pairs.withColumn("cells", F.size("x").cast("bigint") * F.size("y"))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    cells = pairs.withColumn("cells", F.when(known, F.size("x").cast("bigint") * F.size("y")))
 
     def frames(values: np.ndarray) -> np.ndarray:
         return np.array([np.atleast_1d(v) for v in values], float).reshape(len(values), -1)
@@ -136,6 +231,9 @@ def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int, metric: str =
             for row, (x, y) in enumerate(zip(xs, ys, strict=True)):
                 alike.setdefault((len(x), len(y)), []).append(row)
             for (n, m), rows in alike.items():
+                if n * m > CELLS_AT_ONCE:
+                    yield from (alone(ids[r], xs[r], ys[r]) for r in rows)
+                    continue
                 most = max(1, CELLS_AT_ONCE // max(1, n * m))
                 for part in (rows[at : at + most] for at in range(0, len(rows), most)):
                     cost, steps = warped(tables([xs[r] for r in part], [ys[r] for r in part]), band)
@@ -144,6 +242,14 @@ def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int, metric: str =
                         out["path"] = [walked(cost[:, :, k], steps[:, :, k]) for k in range(len(part))]
                     yield out
 
+    def alone(pair: object, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        long = LongPair(frames(x), frames(y), band, metric)
+        cost, steps = long.warped()
+        out = pd.DataFrame({"pair": [pair], "cost": [cost], "steps": [steps]})
+        if with_path:
+            out["path"] = [long.path() if np.isfinite(cost) else []]
+        return out
+
     def walked(cost: np.ndarray, steps: np.ndarray) -> list[dict[str, int]]:
         i, j, path = cost.shape[0] - 1, cost.shape[1] - 1, []
         while i and j and np.isfinite(cost[i, j]):
@@ -151,12 +257,18 @@ def dtw_costs(pairs: DataFrame, band: int | None, most_cells: int, metric: str =
             _, _, i, j = min((cost[p, q], steps[p, q], p, q) for p, q in ((i - 1, j - 1), (i - 1, j), (i, j - 1)))
         return path[::-1]
 
-    fit = cells.where(F.col("cells") <= most_cells).repartitionByRange("cells", "pair").select("pair", "x", "y")
     kinds = f"pair {pairs.schema['pair'].dataType.simpleString()}, cost double, steps bigint" + ", path array<struct<i: int, j: int>>" * with_path
-    skipped = cells.where(F.col("cells") > most_cells).select("pair", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("bigint").alias("steps"))
+    short = CELLS_AT_ONCE if most_cells is None else min(most_cells, CELLS_AT_ONCE)
+    out = cells.where(F.col("cells") <= short).repartitionByRange("cells", "pair").select("pair", "x", "y").mapInPandas(run, kinds)
+    if most_cells is None or most_cells > short:
+        long = cells.where(F.col("cells") > short) if most_cells is None else cells.where(F.col("cells").between(short + 1, most_cells))
+        tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = out.unionByName(long.select("pair", "x", "y").repartition(tasks, "pair").mapInPandas(run, kinds))
+    left = F.col("cells").isNull() if most_cells is None else F.col("cells").isNull() | (F.col("cells") > most_cells)
+    skipped = cells.where(left).select("pair", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("bigint").alias("steps"))
     if with_path:
         skipped = skipped.withColumn("path", F.lit(None).cast("array<struct<i: int, j: int>>"))
-    return fit.mapInPandas(run, kinds).unionByName(skipped)
+    return out.unionByName(skipped)
 
 
 def lookup(words: DataFrame, lexicon: DataFrame, supplement: DataFrame) -> DataFrame:

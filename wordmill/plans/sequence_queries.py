@@ -172,7 +172,7 @@ def d3_restricted_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d4_dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair"), F.col("embedding").alias("x"))
     b = table(spark, sf_dir, "embeddings").select((F.col("vec_id") - 1).alias("pair"), F.col("embedding").alias("y"))
-    return D.dtw_costs(a.join(b, "pair"), 6, 10_000)
+    return D.dtw_costs(a.join(b, "pair"), 6)
 
 
 LEXICON = "l AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark))"
