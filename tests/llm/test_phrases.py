@@ -74,12 +74,13 @@ def test_merge_join_keeps_to_pieces():
     assert at.tolist() == [0, 1, 4] and joined.tolist() == [[0, 1], [1, 2], [3, 4]]
 
 
-def test_a_task_holds_few_records_of_a_relation(spark):
+def test_a_task_holds_few_records_of_a_relation(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "RECORD_BYTES", 1 << 20)
     frame = spark.createDataFrame([("en", f"{k} new york " * 20_000) for k in range(24)], "lang string, text string").coalesce(1)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
     with common.bytes_at_once(spark, 1 << 20):
-        relation = common.written(phrases.occurrences(frame, 0, "text", "lang", 60_000), "test-relation", "zstd", 1 << 20)
+        relation, _ = phrases._words(frame, "text", "lang", 30, 60_000)
         sizes = relation.select("place", "items").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()
     groups = [f.metadata.row_group(g) for path in relation.inputFiles() for f in [pq.ParquetFile(path.removeprefix("file://"))] for g in range(f.metadata.num_row_groups)]
     assert sum(g.num_rows for g in groups) == sum(r["n"] for r in sizes) == relation.count() == 24
